@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _bpe, kn_lm, line_dedup, minhash, packing, quality, token_store
+from . import _bpe, ball_tree, kn_lm, line_dedup, minhash, multi_index, packing, quality, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_read(spark, sf_dir, "documents"), _bpe.vocabulary("byte_bpe_50k.json"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _bpe.vocabulary("word_bpe_49k.json"))
 
@@ -41,6 +49,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {
+    "op8_ball_tree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op3_line_dedup": r"""
 WITH raw AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
