@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _bpe, ball_tree, kn_lm, line_dedup, minhash, multi_index, packing, quality, token_store
+from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_lm.score_documents(_read(spark, sf_dir, "documents"))
 
