@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, token_store
+from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, sp_codec, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_read(spark, sf_dir, "documents"), _bpe.vocabulary("byte_bpe_50k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.round_trip(_read(spark, sf_dir, "documents"), _bpe.vocabulary("piece_bpe_32k.model"))
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(_read(spark, sf_dir, "embeddings"))
 
