@@ -156,8 +156,8 @@ def _owners(files: list[str], found: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """Drops repeated lines; returns ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` appended.
+def dedup_lines(docs: DataFrame, least: int = 10, keep: list[str] | None = None) -> DataFrame:
+    """Drops repeated lines; returns doc_id, kept_text, n_lines, n_dropped and the columns named in ``keep``.
 
     ``docs`` needs ``doc_id`` (whole numbers of 0 or more, or null) and ``text``; other columns are left out.
     A text is split at ``\\n``. A line's key is the line without ASCII white space at its ends, A-Z in lower
@@ -166,11 +166,13 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     are one empty line. A null ``doc_id`` sorts after every other, and such rows count as one document.
     No rows give no rows. Memory: one batch of texts and the touched pages of the mapped index.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = [c for c in keep or [] if c not in ("doc_id", "kept_text", "n_lines", "n_dropped")]
+    kinds = "".join(f", `{c}` {t}" for c, t in docs.select(*names).dtypes) if names else ""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(names)])
     store = _store.Store(docs.sparkSession, "line-dedup")
     files = build_index(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text"), store, least)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, found, owner = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
@@ -188,6 +190,6 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
                 kept.append(b"\n".join([x for i, x in enumerate(lines) if i not in out]) if out else b"\n".join(lines))
                 before.append(len(lines))
                 gone.append(len(out))
-            yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
+            yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64()), *b.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *names])
 
-    return docs.mapInArrow(keep, "doc_id long, kept_text string, n_lines long, n_dropped long")
+    return docs.mapInArrow(drop_lines, f"doc_id long, kept_text string, n_lines long, n_dropped long{kinds}")
