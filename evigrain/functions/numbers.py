@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Spaces that group thousands, besides the plain one.
+SPACES = "\u00a0\u202f\u2009\u2007"
 #: A number with grouped thousands, or a plain one (fixed pattern).
-NUMBER = "\\d{1,3}(?:[    ]\\d{3})+(?:[.,]\\d+)?|\\d+(?:[.,]\\d+)?"
-SPACES = "    "
+NUMBER = rf"\d{{1,3}}(?:[ {SPACES}]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
 
 
 def plain_spaces(c: Column) -> Column:
@@ -20,7 +21,7 @@ def parse_number(c: Column) -> Column:
     The later of comma and dot is the decimal sign; a comma alone is decimal; spaces group thousands.
     """
     s = F.replace(plain_spaces(F.trim(c)), F.lit(" "), F.lit(""))
-    s = F.translate(s, "−–", "--")
+    s = F.translate(s, "\u2212\u2013", "--")
     minus = F.startswith(s, F.lit("-"))
     s = F.regexp_replace(s, "^[+-]+", "")
     comma, dot = F.length(F.substring_index(s, ",", -1)), F.length(F.substring_index(s, ".", -1))

@@ -47,6 +47,12 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, order: str | None =
     return current.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def _override(old: Column, new: Column) -> Column:
+    """Two maps as one, without nulls; ``new`` wins."""
+    new = F.map_filter(new, lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(old, lambda k, v: v.isNotNull() & ~F.map_contains_key(new, k)), new)
+
+
 def merge_fragment(current: DataFrame, fragment: DataFrame) -> DataFrame:
     """Existing nodes joined with a fragment's: the fragment's properties win, nulls are dropped, lists are united."""
     f = fragment.select(*[F.col(c).alias(f"_{c}") for c in fragment.columns])
@@ -55,8 +61,7 @@ def merge_fragment(current: DataFrame, fragment: DataFrame) -> DataFrame:
     out = {}
     for c, t in current.dtypes:
         if t.startswith("map"):
-            old, new = F.coalesce(c, empty), F.map_filter(F.coalesce(f"_{c}", empty), lambda _, v: v.isNotNull())
-            out[c] = F.map_concat(F.map_filter(old, lambda k, v, new=new: v.isNotNull() & ~F.map_contains_key(new, k)), new)
+            out[c] = _override(F.coalesce(c, empty), F.coalesce(f"_{c}", empty))
         elif t.startswith("array"):
             none = F.array().cast(t)
             out[c] = F.array_sort(F.array_union(F.coalesce(c, none), F.coalesce(f"_{c}", none)))
