@@ -16,6 +16,8 @@ from ..functions.vectors import dot, norm
 
 #: Rows of a query side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
+#: Query terms up to which the scan itself looks for them.
+LISTED_TERMS = 1000
 
 
 @dataclass(frozen=True)
@@ -51,15 +53,19 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "do
     shuffle carries a row for each matching pair, not for each token.
     """
     terms = query_terms(queries)
-    wanted = small(terms.select("term").distinct())
+    listed = [r.term for r in terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    hint = F.broadcast if len(listed) <= BROADCAST_ROWS else lambda df: df  # all term tables are this small, or none
     tokens = docs.select(F.col(key), words(F.col(text)).alias("tokens"))
     size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    found = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term")
+    if len(listed) <= LISTED_TERMS:  # then rows are made for the queries' terms only
+        found = tokens.select(key, F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda x: x.isin(listed))).alias("term"))
+    else:
+        found = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(terms.select("term").distinct()), "term")
     postings = found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(size).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = postings.join(small(weights), "term").select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("s"))
-    return scored.join(small(terms), "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count("*").alias("n_terms"))
+    weights = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    scored = postings.join(hint(weights), "term").select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("s"))
+    return scored.join(hint(terms), "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count("*").alias("n_terms"))
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None, rank: str = "rank") -> DataFrame:

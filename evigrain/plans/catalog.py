@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import geography, matching, numbers, planning, text, units, vectors
-from ..operators import chunking, conditions, graph, quality, ranking, state
+from ..operators import chunking, conditions, graph, lookup, quality, ranking, state
 from ..operators.quality import Constraint
 from ..sources import html
 from ..sources.tables import table as t
-from . import search
+from . import build, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,7 +79,7 @@ ranks AS (
   FROM gated WHERE kept),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(cos, 0) DESC, chunk_id) AS place FROM ranks),
 firsts AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM placed QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) = 1),
-below AS (SELECT *, chunk_id % 3 = 0 AND place > 6 AS low, row_number() OVER (PARTITION BY query_id, chunk_id % 3 = 0 AND place > 6 ORDER BY place) AS pick FROM firsts),
+below AS (SELECT *, doc_id IN ('src1', 'src4', 'src7', 'src10', 'src13', 'src16') AND place > 6 AS low, row_number() OVER (PARTITION BY query_id, doc_id IN ('src1', 'src4', 'src7', 'src10', 'src13', 'src16') AND place > 6 ORDER BY place) AS pick FROM firsts),
 prom AS (SELECT *, low AND pick <= 2 AS promoted, sum(CAST(low AND pick <= 2 AS INT)) OVER (PARTITION BY query_id) AS np FROM below),
 cited AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promoted, place) AS citation FROM prom WHERE promoted OR place <= 6 - np)
 """
@@ -89,7 +90,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named():
-    return F.col("chunk_id") % 3 == 0
+    return F.col("doc_id").isin("src1", "src4", "src7", "src10", "src13", "src16")
 
 
 # -- corpus and text
@@ -228,13 +229,13 @@ def path_metadata(spark, d):
 
 @query("""
 WITH f AS (SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY sha256(text)),
-k AS (SELECT sha256, row_number() OVER (ORDER BY first_doc) AS doc_no FROM f WHERE first_doc % 2 = 0)
+k AS (SELECT sha256, row_number() OVER (ORDER BY first_doc) AS doc_no FROM f WHERE copies > 1)
 SELECT f.sha256, f.copies, (SELECT count(*) FROM k) + row_number() OVER (ORDER BY first_doc) AS doc_no
 FROM f WHERE f.sha256 NOT IN (SELECT sha256 FROM k)""")
 def manifest_dedup(spark, d):
     files = t(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("path"))
     first = files.groupBy("sha256").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
-    known = first.where("path % 2 = 0").select("sha256", F.row_number().over(Window.orderBy("path")).cast("long").alias("doc_no"))
+    known = first.where("copies > 1").select("sha256", F.row_number().over(Window.orderBy("path")).cast("long").alias("doc_no"))
     return state.new_ids(first, known).select("sha256", "copies", "doc_no")
 
 
@@ -306,21 +307,18 @@ def concept_match(spark, d):
 
 
 @query("""
-WITH c AS (SELECT vec_id AS concept, label, embedding FROM embeddings WHERE vec_id < 10),
-x AS (SELECT e.vec_id, arg_max(c.concept, s) AS near, max(s) AS s FROM embeddings e, c, LATERAL (SELECT round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS s) GROUP BY e.vec_id),
-k AS (SELECT label, min(concept) AS concept FROM c GROUP BY label)
-SELECT e.vec_id, CASE WHEN e.vec_id % 3 = 0 AND k.concept IS NOT NULL THEN 'exact' WHEN x.s >= 0.2 THEN 'near' ELSE 'new' END AS tier,
-  CASE WHEN e.vec_id % 3 = 0 AND k.concept IS NOT NULL THEN k.concept WHEN x.s >= 0.2 THEN x.near END AS concept
-FROM embeddings e JOIN x USING (vec_id) LEFT JOIN k ON k.label = e.label""")
+WITH c AS (SELECT min(vec_id) AS concept, label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+x AS (SELECT e.vec_id, e.label, arg_max(c.concept, s) AS near, max(s) AS s FROM embeddings e, c, LATERAL (SELECT round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS s) GROUP BY e.vec_id, e.label)
+SELECT vec_id, CASE WHEN x.label < 4 THEN 'exact' WHEN s >= 0.2 THEN 'near' ELSE 'new' END AS tier, CASE WHEN x.label < 4 THEN c.concept WHEN s >= 0.2 THEN near END AS concept
+FROM x JOIN c USING (label)""")
 def resolve_entities(spark, d):
+    """Each vector to a concept (the first vector of a label): by name for the labels below 4, else by cosine, else new."""
     e = t(spark, d, "embeddings")
-    c = e.where("vec_id < 10").select(F.col("vec_id").alias("concept"), F.col("label").alias("_l"), F.col("embedding").alias("_v"))
-    scored = e.crossJoin(ranking.small(c)).select("vec_id", "label", "concept", F.round(vectors.cosine(F.col("embedding"), F.col("_v")), 9).alias("s"))
-    near = scored.groupBy("vec_id", "label").agg(F.max_by("concept", "s").alias("near"), F.max("s").alias("s"))
-    named = c.groupBy(F.col("_l").alias("label")).agg(F.min("concept").alias("exact"))
-    out = near.join(ranking.small(named), "label", "left")
-    exact = (F.col("vec_id") % 3 == 0) & F.col("exact").isNotNull()
-    return out.select("vec_id", F.when(exact, "exact").when(F.col("s") >= 0.2, "near").otherwise("new").alias("tier"), F.when(exact, F.col("exact")).when(F.col("s") >= 0.2, F.col("near")).alias("concept"))
+    c = e.groupBy(F.col("label").alias("_l")).agg(F.min("vec_id").alias("concept"), F.min_by("embedding", "vec_id").alias("_v"))
+    scored = e.crossJoin(ranking.small(c)).select("vec_id", "label", "concept", F.round(vectors.cosine(F.col("embedding"), F.col("_v")), 9).alias("s"), (F.col("label") == F.col("_l")).alias("own"))
+    best = scored.groupBy("vec_id", "label").agg(F.max_by("concept", "s").alias("near"), F.max("s").alias("s"), F.max(F.when(F.col("own"), F.col("concept"))).alias("exact"))
+    exact, near = F.col("label") < 4, F.col("s") >= 0.2
+    return best.select("vec_id", F.when(exact, "exact").when(near, "near").otherwise("new").alias("tier"), F.when(exact, F.col("exact")).when(near, F.col("near")).alias("concept"))
 
 
 @query("""
@@ -567,13 +565,12 @@ def constraint_violations(spark, d):
 
 
 @query("""
-WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-e AS (SELECT item_id, list(doc_id) AS found FROM h GROUP BY item_id)
-SELECT item_id, CAST(coalesce(len(found), 0) AS BIGINT) AS n_docs, CAST(coalesce(len(list_filter(found, lambda x: x % 2 = 0)), 0) > 0 AS INT) AS hit FROM benchmark LEFT JOIN e USING (item_id)""")
+WITH e AS (SELECT item_id, count(*) AS n_docs, max(CAST(lang = 'en' AS INT)) AS hit FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)
+SELECT item_id, coalesce(n_docs, 0) AS n_docs, coalesce(hit, 0) AS hit FROM benchmark LEFT JOIN e USING (item_id)""")
 def eval_scores(spark, d):
     items = ranking.small(t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    hits = t(spark, d, "documents").select("doc_id", "text").join(items, F.contains(F.col("text"), F.col("passage")))
-    found = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max((F.col("doc_id") % 2 == 0).cast("int")).alias("hit"))
+    hits = t(spark, d, "documents").select("lang", "text").join(items, F.contains(F.col("text"), F.col("passage")))
+    found = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max((F.col("lang") == "en").cast("int")).alias("hit"))
     return t(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
@@ -607,3 +604,116 @@ def access_filter(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "source", state.sensitivity(F.when(F.col("lang") != "en", "public"), F.lit("Обзоры")).alias("level"))
     both = docs.join(t(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     return both.groupBy("source", "toxic").agg(F.count("*").alias("n"), F.count_if(state.may_see(F.lit("partner"), F.col("level"))).alias("n_visible"))
+
+
+# -- lookups and summaries
+
+
+@query("""
+SELECT conv_id, turn, role, length(text) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) <= 3""")
+def first_chunks(spark, d):
+    return lookup.first_chunks(t(spark, d, "conversations"), 3, "conv_id", ("turn", "role", "text")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+
+
+@query("""
+SELECT i.item_id AS doc_id, coalesce(d.source, 'conv' || c.n) AS source, CASE WHEN d.source IS NOT NULL THEN 'first' WHEN c.n IS NOT NULL THEN 'second' END AS found
+FROM (SELECT item_id * 37 AS item_id FROM benchmark) i LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang <> 'fr') d ON d.doc_id = i.item_id
+LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = i.item_id""")
+def multiget_fallback(spark, d):
+    ids = t(spark, d, "benchmark").select((F.col("item_id") * 37).alias("doc_id"))
+    first = t(spark, d, "documents").where("lang <> 'fr'").select("doc_id", "source")
+    second = t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n")).select("doc_id", F.concat(F.lit("conv"), F.col("n").cast("string")).alias("source"))
+    return lookup.with_fallback(ids, first, second, "doc_id", "source")
+
+
+@query("""
+SELECT doc_id, source, lang FROM documents JOIN labels USING (doc_id) WHERE source = 'src3' AND 2000 + doc_id % 25 BETWEEN 2005 AND 2020 AND quality >= 1""")
+def search_filters(spark, d):
+    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    docs = docs.select("doc_id", "source", "lang", F.col("source").alias("section"), (2000 + F.col("doc_id") % 25).alias("year"), F.col("quality").alias("confidence"), F.col("lang").alias("geography"))
+    rule = lookup.predicate({"section": "src3", "year_from": 2005, "year_to": 2020, "confidence_min": 1, "geography": "all", "domain": None})
+    return docs.where(rule).select("doc_id", "source", "lang")
+
+
+@query("""
+WITH k AS (SELECT conv_id AS query_id, turn FROM conversations WHERE role = 'assistant'), a AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN event_type = 'view' THEN NULL ELSE event_id % 4 END AS doc FROM events),
+x AS (SELECT a.query_id, a.id, a.doc IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.query_id = a.query_id AND k.turn = a.doc) AS touch FROM a)
+SELECT query_id, id FROM (SELECT *, bool_or(touch) OVER (PARTITION BY query_id) AS hit FROM x) WHERE touch OR NOT hit""")
+def evidence_grounding(spark, d):
+    kept = t(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("doc_id"))
+    docs = F.when(F.col("event_type") == "view", F.array().cast("array<bigint>")).otherwise(F.array((F.col("event_id") % 4).cast("long")))
+    facts = t(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), docs.alias("docs"))
+    return lookup.evidence_touching(facts, kept).select("query_id", "id")
+
+
+ALIASES = [("c1", "thatre"), ("c1", "that"), ("c2", "menteau"), ("c2", "ment"), ("c3", "einung"), ("c3", "keit"), ("c4", "ción")]
+_A = ", ".join(f"('{c}', '{a}')" for c, a in ALIASES)
+
+
+@query(f"""
+WITH a(concept_id, alias) AS (VALUES {_A}) SELECT doc_id, concept_id, alias FROM documents JOIN a ON contains(lower(text), alias)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) = 1""")
+def longest_alias(spark, d):
+    return lookup.longest_alias(t(spark, d, "documents"), spark.createDataFrame(ALIASES, "concept_id string, alias string"))
+
+
+@query(f"""
+WITH f(concept_id, form) AS (VALUES {_A}), t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark)),
+e AS (SELECT term, min(concept_id) AS concept_id, 'exact' AS tier FROM t JOIN f ON t.term = f.form GROUP BY term),
+p AS (SELECT term, concept_id, 'part' AS tier FROM t JOIN f ON length(form) >= 4 AND length(term) >= 4 AND (contains(term, form) OR contains(form, term)) WHERE term NOT IN (SELECT term FROM e)
+  QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(form) DESC, form, concept_id) = 1)
+SELECT * FROM e UNION ALL SELECT * FROM p""".replace("\\\\", "\\"))
+def registry_terms(spark, d):
+    terms = t(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("term"))
+    return lookup.term_match(terms, spark.createDataFrame(ALIASES, "concept_id string, form string"))
+
+
+@query("SELECT source, CASE WHEN min(lang) = max(lang) THEN min(lang) ELSE 'mixed' END AS lang FROM documents GROUP BY source")
+def language_rollup(spark, d):
+    return lookup.language_rollup(t(spark, d, "documents"), "source")
+
+
+@query("""
+SELECT source, CAST(count(*) FILTER (WHERE c = 'high') AS BIGINT) AS n_high, CAST(count(*) FILTER (WHERE c = 'medium') AS BIGINT) AS n_medium, CAST(count(*) FILTER (WHERE c = 'low') AS BIGINT) AS n_low, CASE WHEN count(*) FILTER (WHERE c = 'high') > 0 THEN 'high' ELSE 'medium' END AS overall
+FROM (SELECT source, CASE WHEN toxic = 1 THEN 'low' WHEN quality = 1 THEN 'high' ELSE 'medium' END AS c FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+def confidence_summary(spark, d):
+    both = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    both = both.select("source", F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "high").otherwise("medium").alias("confidence"))
+    return lookup.confidence_summary(both, "source")
+
+
+@query("""
+WITH n AS (SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM events) AS audit)
+SELECT audit, documents, vectors, sha256(audit || '|' || documents || '|' || vectors) AS version FROM n""")
+def data_version(spark, d):
+    return lookup.data_version(documents=t(spark, d, "documents"), vectors=t(spark, d, "embeddings"), audit=t(spark, d, "events"))
+
+
+@query("""
+SELECT l_orderkey * 10 + l_linenumber AS query_id, CASE WHEN l_quantity = 10 * floor(l_quantity / 10) THEN 'масса ' || CAST(l_quantity AS INT) || ' кг. Итог.' ELSE 'Итог.' END AS answer, CASE WHEN l_quantity = 10 * floor(l_quantity / 10) THEN 0 ELSE 1 END AS n_dropped
+FROM lineitem""")
+def ground_numbers(spark, d):
+    """Answers that name a quantity, over evidence that names it rounded to tens."""
+    q = F.col("l_quantity").cast("int")
+    a = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), F.format_string("масса %d кг. Итог.", q).alias("answer"), F.format_string("масса %d кг", (F.floor(q / 10) * 10).cast("int")).alias("evidence"))
+    return lookup.supported_sentences(a)
+
+
+@query("""
+WITH v AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS last FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id)
+SELECT c_custkey AS id, CASE last WHEN 'error' THEN 'disputed' WHEN 'purchase' THEN 'confirmed' ELSE 'auto' END AS review_status FROM customer LEFT JOIN v ON id = c_custkey""")
+def review_states(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "error", "disputed").when(F.col("event_type") == "purchase", "confirmed").otherwise("odd").alias("status"), F.struct("ts", "event_id").alias("at"))
+    return Engine({"nodes": t(spark, d, "customer").select(F.col("c_custkey").alias("id"))}).review(e)
+
+
+@query("""
+SELECT 'node' AS kind, 'Material' AS type, count(DISTINCT p_name) AS n FROM part UNION ALL SELECT 'node', 'Condition', count(DISTINCT p_size) FROM part
+UNION ALL SELECT 'node', 'Process', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'edge', 'uses_material', count(DISTINCT (p_brand, p_name)) FROM part""")
+def payload_graph(spark, d):
+    """The star schema's parts as model answers, built to a graph."""
+    answer = F.format_string('```json\n{"entities": [{"name": "%1$s", "type": "Material"}, {"name": "%2$s", "type": "Process"}], "relations": [{"src": "%2$s", "dst": "%1$s", "type": "uses_material"}], "conditions": [{"param": "size", "op": "=", "value": "%3$d", "unit": "мм"}]}\n```', "p_name", "p_brand", "p_size")
+    rows = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), F.lit("d1").alias("doc_id"), F.lit("").alias("text"), answer.alias("payload"))
+    nodes, edges, _ = build.payload_graph(rows)
+    n = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n")
+    return n.unionByName(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))
