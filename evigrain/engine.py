@@ -49,7 +49,7 @@ class Engine:
         if "sensitivity" in docs.columns:
             docs = docs.where(state.may_see(F.lit(role), F.col("sensitivity")))
         vectors = self.vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-        return plan.cited(plan.evidence(docs, vectors, queries, self.gate), F.lit(False))
+        return plan.cited(plan.evidence(docs, vectors, queries, self.gate, "doc_id"), F.lit(False))
 
     def node(self, ids: DataFrame, depth: int = 1) -> DataFrame:
         """Nodes within ``depth`` (1 to 4) steps of each id (start), themselves included."""
