@@ -56,14 +56,22 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "do
     listed = [r.term for r in terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
     hint = F.broadcast if len(listed) <= BROADCAST_ROWS else lambda df: df  # all term tables are this small, or none
     tokens = docs.select(F.col(key), words(F.col(text)).alias("tokens"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    if len(listed) <= LISTED_TERMS:  # then rows are made for the queries' terms only
-        found = tokens.select(key, F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda x: x.isin(listed))).alias("term"))
+    if len(listed) <= LISTED_TERMS:  # the scan itself picks the queries' terms and counts them within the document
+        found = tokens.select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda x: x.isin(listed)).alias("own"))
+        counted = F.transform(F.array_distinct("own"), lambda w: F.struct(w.alias("term"), F.size(F.filter("own", lambda x: x == w)).alias("tf")))
+        postings = found.select(key, "length", F.inline(counted))
+        # a document counts for each of its terms, and once for "": one more scan gives all statistics
+        seen = found.select("length", F.explode(F.array_append(F.array_distinct("own"), F.lit(""))).alias("term"))
     else:
-        found = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(terms.select("term").distinct()), "term")
-    postings = found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        own = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(terms.select("term").distinct()), "term")
+        postings = own.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+        seen = postings.select("length", "term").union(tokens.select(F.size("tokens"), F.lit("")))
+    counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    every = F.col("term") == ""
+    # one row, of as many terms as the queries have
+    counts = counts.agg(F.collect_list(F.struct("term", "df")).alias("of"), F.max(F.when(every, F.col("df"))).alias("n"), F.max(F.when(every, F.col("mean"))).alias("mean"))
+    counts = counts.select("n", "mean", F.inline("of")).where(~every)
+    weights = counts.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     scored = postings.join(hint(weights), "term").select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("s"))
     return scored.join(hint(terms), "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count("*").alias("n_terms"))
 
