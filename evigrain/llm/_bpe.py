@@ -1,8 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library, which sees each distinct piece once.
 
-Both tokenizers cut a text at white space before they merge, so the ids of a text are those of its
-pieces in a row. A piece is cut so that the library cuts at the same places, its ids come from the
-library (many pieces in one call) and are kept, and a text with a special token's string in it goes to the library whole.
+Both tokenizers cut a text at white space before they merge, so the ids of a text are those of its pieces in
+a row: the words (where white space is dropped), or each word with the white space before it. Pieces are
+found and hashed (64 bits) with numpy over the column's own bytes; the ids of a piece come from the library,
+from its merging alone where the piece is plain letters, and are kept in sorted arrays by hash. A text that
+holds a special token's string, or white space beyond ASCII that the cut would miss, goes to the library
+whole.
 """
 
 from __future__ import annotations
@@ -12,20 +15,35 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Unicode's White_Space, as the tokenizers' own patterns take it.
-_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECES = {
-    "spaced": re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
-    "bare": re.compile(f"[^{_SPACE}]+"),
-}
-KEEP = 500_000
-LONGEST = 64
-JOIN = 32
+from ._text import _BYTE, _WS, _powers, chunks, mix, runs, spans
+
+KEEP = 1_000_000
+SLICE = 4 << 20
+_U = np.uint64
+#: Letters that stay one piece through both tokenizers' own cutting.
+_PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Places of Unicode's white space beyond ASCII, in UTF-8."""
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    lead = lead[lead + 2 < len(data) + 1]
+    a, b = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    c = data[np.minimum(lead + 2, len(data) - 1)]
+    hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    hit |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    hit |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    hit |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+    hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return lead[hit]
 
 
 class PieceTokenizer:
-    """Encodes texts to little-endian unsigned ids of ``width`` bytes each."""
+    """Encodes text columns to little-endian unsigned ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,37 +52,144 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.mark = self.library.token_to_id(self.special[-1])
-        self.pieces = _PIECES["bare" if self.library.normalizer is not None else "spaced"].findall
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; a null is an empty text."""
-        cut = [None if any(s in t for s in self.special) else self.pieces(t) for t in ((x or "") for x in texts)]
-        seen = set().union(*(c for c in cut if c))
-        if len(self.kept) > KEEP:  # keep those in use
-            self.kept = {p: self.kept[p] for p in seen if p in self.kept}
-        kept, own = self.kept, {}
-        new = list(seen.difference(kept))
-        # the special token between two pieces keeps them apart and marks where each one's ids end
-        mark = self.special[-1]
-        for i in range(0, len(new), 16_384):
-            part = new[i : i + 16_384]
-            joined = [mark.join([*part[k : k + JOIN], ""]) for k in range(0, len(part), JOIN)]
-            found = [e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
-            ids = np.array([x for f in found for x in f], self.dtype)
-            ends = np.flatnonzero(ids == self.mark)
-            assert len(ends) == len(part)
-            raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
-            for p, e in zip(part, (ends * width).tolist(), strict=True):
-                (kept if len(p) <= LONGEST else own)[p] = raw[at:e]
-                at = e + width
-        get = kept.__getitem__ if not own else (lambda p: kept[p] if p in kept else own[p])
-        return [self._whole(t or "") if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.marks = sorted({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
+        self.spaced = self.library.normalizer is None
+        signs = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: these stand for themselves
+        self.letters = dict(zip([*signs, *(b for b in range(256) if b not in signs)], [*signs, *range(256, 512)], strict=False))
+        self.clock = 0
+        # kept pieces, by hash: where their ids are, how many, when last used
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is an empty text."""
+        out: list[np.ndarray] = []
+        for _, _, data, offsets in chunks(column, SLICE):
+            out += self._slice(data, offsets)
+        return out
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows for the library as a whole."""
+        odd = np.zeros(len(offsets) - 1, bool)
+        places = [np.flatnonzero((data[:-1] == m[0]) & (data[1:] == m[1])) for m in self.marks]
+        if self.spaced:
+            places.append(_wide_space(data))
+        for p in places:
+            odd[np.searchsorted(offsets, p, "right") - 1] = True
+        return odd
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each piece."""
+        starts, ends, inside = spans(data, offsets)
+        mark = np.zeros(len(data) + 1, bool)
+        mark[offsets] = True
+        mark[ends] = True
+        # a full stop or comma at a word's end, after a letter: both tokenizers cut it off
+        last = ends[ends - starts > 1] - 1
+        sign = last[((data[last] == 46) | (data[last] == 44)) & (_ASCII_LETTER[data[last - 1]] | ((data[np.maximum(last - 2, 0)] == 0xC3) & (last - 2 >= 0) & (data[last - 1] >= 0x80) & (data[last - 1] != 0x97) & (data[last - 1] != 0xB7)))]
+        mark[sign] = True
+        if not self.spaced:
+            mark[starts] = True
+        at = np.flatnonzero(mark[:-1])
+        to = np.append(at[1:], len(data))
+        if not self.spaced:
+            words = inside[at]
+            return at[words], to[words]
+        return at, to
+
+    def _hashes(self, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.uint64)
+        lo = 0
+        while lo < len(at):  # a megabyte at a time, for small temporaries
+            hi = max(lo + 1, int(np.searchsorted(to, at[lo] + (1 << 20), "right")))
+            a, size = at[lo:hi], to[lo:hi] - at[lo:hi]
+            begin = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(begin, size)
+            text = data[a[0] : to[hi - 1]]
+            if len(text) != len(place):
+                text = data[np.repeat(a, size) + place]
+            out[lo:hi] = np.add.reduceat(_BYTE[text] * _powers(int(size.max()))[place], begin) + size.astype(np.uint64)
+            lo = hi
+        return mix(out)
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        rows = len(offsets) - 1
+        if not len(data):
+            return [self.ids[:0]] * rows
+        odd = self._odd(data, offsets)
+        at, to = self._cut(data, offsets)
+        if odd.any():
+            keep = ~odd[np.searchsorted(offsets, at, "right") - 1]
+            at, to = at[keep], to[keep]
+        first = np.searchsorted(at, offsets)
+        keys = self._hashes(data, at, to) if len(at) else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        start = runs(ordered)
+        distinct, sample = ordered[start], order[start]
+        place = self._places(distinct, sample, data, at, to)
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.repeat(place, np.diff(np.append(start, len(keys))))
+        size = self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[which] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        cuts = ends[first].tolist()
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for r in np.flatnonzero(odd).tolist():
+            text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
+            out[r] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        return out
+
+    def _places(self, distinct: np.ndarray, sample: np.ndarray, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Where each distinct piece is kept; new ones are encoded and added."""
+        self.clock += 1
+        if len(self.keys) > KEEP:  # keep what was used of late
+            live = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+            live = live if len(live) < len(self.used) else live[: len(live) // 2]
+            size = self.sizes[live]
+            begin = np.cumsum(size) - size
+            self.ids = self.ids[np.repeat(self.at[live] - begin, size) + np.arange(int(size.sum()))]
+            self.keys, self.at, self.sizes, self.used = self.keys[live], begin, size, self.used[live]
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            pieces = [raw[a:b].decode() for a, b in zip(at[sample[new]].tolist(), to[sample[new]].tolist(), strict=True)]
+            flat, size = self._encode(pieces)
+            begin = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, flat])
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys)
+            self.keys = keys[order]
+            self.at = np.concatenate([self.at, begin])[order]
+            self.sizes = np.concatenate([self.sizes, size])[order]
+            self.used = np.concatenate([self.used, np.full(len(new), self.clock)])[order]
+            place = np.searchsorted(self.keys, distinct)
+        self.used[place] = self.clock
+        return place
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        plain = [bool(_PLAIN(p)) for p in pieces]
+        letters = [p for p, y in zip(pieces, plain, strict=True) if y]
+        others = [p for p, y in zip(pieces, plain, strict=True) if not y]
+        found: list[list[int]] = []
+        if letters:
+            mark = "\n"
+            joined = mark.join(letters)
+            if not self.spaced:
+                joined = mark.join(self.library.normalizer.normalize_str(" ".join(letters)).split(" "))
+            table = self.letters | {10: mark}
+            merge = self.library.model.tokenize
+            found = [[t.id for t in merge(w)] for w in joined.encode().decode("latin-1").translate(table).split(mark)]
+        rest = iter([e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)])
+        plainly = iter(found)
+        every = [next(plainly) if y else next(rest) for y in plain]
+        return np.array([i for x in every for i in x], self.dtype), np.array([len(x) for x in every], np.int64)
 
 
 @lru_cache(maxsize=4)

@@ -170,11 +170,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _bpe.tokenizer(vocabulary)
-        end = np.array([end_id], t.dtype).tobytes()
         for b in batches:
             out = []
-            for doc, x in zip(b.column(0).to_pylist(), t.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(x + end, t.dtype).astype("<u4")
+            for doc, x in zip(b.column(0).to_pylist(), t.encode(b.column(1)), strict=True):
+                ids = np.append(x, end_id).astype("<u4")
                 out += [(doc, k, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])

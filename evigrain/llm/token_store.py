@@ -75,13 +75,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _bpe.tokenizer(vocabulary)
-        end = np.array([end_id], t.dtype).tobytes()
+        end = np.array([end_id], t.dtype)
         ids, sizes, numbers = [], [], []
         for b in batches:
             numbers += b.column(0).to_pylist()
-            for x in t.encode(b.column(1).to_pylist()):
-                ids.append(x + end)
-                sizes.append(len(ids[-1]) // t.dtype.itemsize)
+            for x in t.encode(b.column(1)):
+                ids += [x, end]
+                sizes.append(len(x) + 1)
         if not sizes:
             return
         bounds = np.zeros(len(sizes) + 1, np.int64)
@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         known = np.array([x is not None for x in numbers], np.uint8)
         order = np.array([-(2**63) if x is None else x for x in numbers], np.int64)
         base = int(order[known == 1][0]) if known.any() else 0
-        arrays = {"ids": np.frombuffer(b"".join(ids), t.dtype), "known": np.packbits(known, bitorder="little"), "base": np.array([base], np.int64)}
+        arrays = {"ids": np.concatenate(ids), "known": np.packbits(known, bitorder="little"), "base": np.array([base], np.int64)}
         arrays |= EliasFano.encode(bounds, "bounds") | EliasFano.encode(np.where(known == 1, order - base, 0), "doc")
         path = _store.write_arrays(folder, "shard", arrays)
         yield pa.record_batch([pa.array([int(order[0])]), pa.array([int(order[-1])]), pa.array([len(sizes)]), pa.array([int(bounds[-1])]), pa.array([path])], ["first_doc", "last_doc", "n_docs", "n_ids", "path"])
