@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MAGIC = b"EVARRAY1"
 
@@ -92,9 +93,18 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of what ``df`` reads; files' sizes for a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """About how many bytes ``df`` reads: Catalyst's estimate for a plain scan; else ``text`` is measured.
+
+    Catalyst multiplies the sizes of joined tables and knows nothing of RDDs, so such estimates aren't taken.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size <= read < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def cut(total: int, each: int, least: int = 1, most: int = 1 << 20) -> int:

@@ -446,3 +446,13 @@ def test_quality(spark, empty):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and [r.held_out for r in rows if r.doc_id is None] == [None]
     assert {r.score for r in quality.score_quality(odd, marks.limit(0)).collect()} == {0.5}
     assert quality.score_quality(empty, marks).collect() == []
+
+
+def test_sizes_are_measured_where_estimates_mislead(spark):
+    from evigrain.llm import _store
+
+    a = spark.createDataFrame(documents([(i, "abcdefghij") for i in range(50)]), DOCS)
+    joined = a.join(a.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    assert _store.input_bytes(joined) == 500
+    assert _store.input_bytes(spark.createDataFrame(a.rdd, DOCS).select("text")) == 500
+    assert 0 < _store.input_bytes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")) < 10_000_000
