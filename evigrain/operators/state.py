@@ -22,12 +22,25 @@ def first_by_content(files: DataFrame) -> DataFrame:
     return files.withColumns({"copies": F.count("*").over(w), "_k": F.row_number().over(w.orderBy("path"))}).where("_k = 1").drop("_k")
 
 
-def new_ids(fresh: DataFrame, known: DataFrame, order: str = "path") -> DataFrame:
-    """Contents not yet known, numbered on from the largest known number: adds doc_no and doc_id."""
+def numbered(df: DataFrame, key: str = "sha256", name: str = "doc_no", digits: int = 3) -> DataFrame:
+    """Rows numbered from 1 in the order of a hash in hexadecimal, without a sort of all rows in one task.
+
+    Rows are numbered within the groups of their first digits; the groups' sizes (at most 16 to the power of
+    ``digits`` small rows) give where each group starts.
+    """
+    grouped = df.withColumn("_g", F.left(key, F.lit(digits)))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = grouped.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(key))
+    return grouped.withColumn("_k", place).join(F.broadcast(starts), "_g").withColumn(name, F.col("_s") + F.col("_k")).drop("_g", "_k", "_s")
+
+
+def new_ids(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """Contents (sha256) not yet known, numbered on from the largest known number: adds doc_no and doc_id."""
     new = fresh.join(known.select("sha256"), "sha256", "left_anti")
     start = known.agg(F.coalesce(F.max("doc_no"), F.lit(0)).alias("_m"))
-    numbered = new.crossJoin(start).withColumn("doc_no", (F.col("_m") + F.row_number().over(Window.orderBy(order))).cast("long")).drop("_m")
-    return numbered.withColumn("doc_id", F.format_string("d%06d", "doc_no"))
+    out = numbered(new).crossJoin(F.broadcast(start)).withColumn("doc_no", F.col("_m") + F.col("doc_no")).drop("_m")
+    return out.withColumn("doc_id", F.format_string("d%06d", "doc_no"))
 
 
 def sensitivity(given: Column, section: Column, internal: tuple[str, ...] = INTERNAL_SECTIONS) -> Column:

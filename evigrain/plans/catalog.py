@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -228,14 +228,14 @@ def path_metadata(spark, d):
 
 
 @query("""
-WITH f AS (SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY sha256(text)),
-k AS (SELECT sha256, row_number() OVER (ORDER BY first_doc) AS doc_no FROM f WHERE copies > 1)
-SELECT f.sha256, f.copies, (SELECT count(*) FROM k) + row_number() OVER (ORDER BY first_doc) AS doc_no
+WITH f AS (SELECT sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY sha256(text)),
+k AS (SELECT sha256, row_number() OVER (ORDER BY sha256) AS doc_no FROM f WHERE copies > 1)
+SELECT f.sha256, f.copies, (SELECT count(*) FROM k) + row_number() OVER (ORDER BY sha256) AS doc_no
 FROM f WHERE f.sha256 NOT IN (SELECT sha256 FROM k)""")
 def manifest_dedup(spark, d):
     files = t(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("path"))
     first = files.groupBy("sha256").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
-    known = first.where("copies > 1").select("sha256", F.row_number().over(Window.orderBy("path")).cast("long").alias("doc_no"))
+    known = state.numbered(first.where("copies > 1")).select("sha256", "doc_no")
     return state.new_ids(first, known).select("sha256", "copies", "doc_no")
 
 
