@@ -7,7 +7,9 @@ bucket every document is compared with one centre, so a bucket of n documents gi
 n * n. Candidates are confirmed on full shingle sets and joined to components by alternating star
 contractions. A star alone could miss a link between two documents that both differ from the centre; so
 buckets that still hold several components are searched again, all members outside the bucket's main
-component against the members of other components, until none is left unseen.
+component against the members of other components. There a bitmap of each set bounds what two sets can have
+in common: parities of hashed shingles, so two bitmaps differ in no more bits than the sets do in shingles.
+The bound is exact (it never parts a true pair) and leaves few pairs for the full sets.
 
 Equal sets are collapsed before all this, so exact copies cost one row.
 """
@@ -33,6 +35,7 @@ _SHIFT = _U(56)  # the bin is the top 8 bits
 _DRAWS = 512
 _DRAW = (mix(np.arange(BINS * _DRAWS, dtype=np.uint64) + _U(0xABCDEF)) >> _SHIFT).astype(np.int64).reshape(BINS, _DRAWS)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
+BITMAP_WORDS = 16
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
 
 
@@ -66,6 +69,13 @@ def bands(sign: np.ndarray) -> np.ndarray:
     return key
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each of 64 * ``BITMAP_WORDS`` places."""
+    n = 64 * BITMAP_WORDS
+    odd = np.bincount((shingles & _U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -75,18 +85,20 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, one, two, keys = np.zeros(len(b), np.int64), np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64), []
+            sizes, one, two, keys, maps = np.zeros(len(b), np.int64), np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64), [], []
             for r, s in shingle_sets(b.column(1), width):
                 sizes[r] = len(s)
                 if len(s):
                     h = xxhash.xxh3_128_intdigest(s)
                     one[r], two[r] = h >> 64, h & (2**64 - 1)
                     keys.append(bands(signature(s)).tobytes())
+                    maps.append(bitmap(s))
                 else:
                     keys.append(None)
-            yield pa.record_batch([b.column(0), pa.array(sizes), _signed(one), _signed(two), pa.array(keys, pa.binary())], ["doc_id", "n", "h1", "h2", "bands"])
+                    maps.append(None)
+            yield pa.record_batch([b.column(0), pa.array(sizes), _signed(one), _signed(two), pa.array(keys, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "bands", "bits"])
 
-    return docs.mapInArrow(profile, "doc_id long, n long, h1 long, h2 long, bands binary")
+    return docs.mapInArrow(profile, "doc_id long, n long, h1 long, h2 long, bands binary, bits array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -192,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     profiles = store.table(_profiles(docs, width), "profiles")
     named = profiles.where("n > 0 and doc_id is not null")
     # classes of equal sets; their bands are equal too
-    classes = store.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = store.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     buckets = _buckets(classes)
     shared = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
     members = store.table(buckets.join(shared, "key"), "members")
@@ -215,15 +227,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     at = at.join(mixed, "key")
     main = at.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", F.col("root").alias("main"))).alias("top")).select("key", F.col("top.main").alias("main"))
-    few = at.join(main, "key").where("root <> main").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    many = at.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    rest = few.join(many, "key").where("ra <> rb").where(_sizes_fit(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_WORDS)]
+    at = at.join(classes.select("id", *words), "id")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
+
+    few = side(at.join(main, "key").where("root <> main"), "b")
+    rest = few.join(side(at, "a"), "key").where((F.col("ra") != F.col("rb")) & _sizes_fit(percent) & _bitmaps_fit(percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = store.table(rest, "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
     roots = components(links.union(more), store, "roots-1") if more.limit(1).count() else roots
 
     found = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
-    out = profiles.drop("bands").join(found, ["h1", "h2"], "left")
+    out = profiles.drop("bands", "bits").join(found, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -233,3 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def _sizes_fit(percent: int):
     """Sets whose sizes differ more can't be that similar."""
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _bitmaps_fit(percent: int):
+    """Twice the shared shingles are at most both sizes less the bits in which the bitmaps differ."""
+    both = F.col("na") + F.col("nb")
+    differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP_WORDS))
+    shared = both - differ  # twice what is shared, at most
+    return 100 * shared >= percent * (2 * both - shared)
