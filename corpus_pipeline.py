@@ -25,10 +25,9 @@ def _columns(docs: DataFrame) -> list[str]:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (score below 0.3)."""
     columns = _columns(docs)
-    renamed = docs.select(*[F.col(c).alias(f"in_{c}") for c in columns], "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_quality(renamed, labels, QUALITY_THRESHOLD, keep=[f"in_{c}" for c in columns])
-    return scored.where("predicted = 1").select(*[F.col(f"in_{c}").alias(c) for c in columns])
+    scored = quality.score_quality(docs, labels, QUALITY_THRESHOLD, keep=columns)
+    return scored.where("predicted = 1").select(*columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
