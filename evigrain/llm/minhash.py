@@ -3,8 +3,8 @@
 Method: one-permutation hashing splits a document's shingle hashes into bins and keeps each bin's least
 value; empty bins are filled by optimal densification (each draws other bins by its own hash sequence
 until one has a value). Rows of bins make bands, and documents with an equal band share a bucket. Within a
-bucket every document is compared with one centre, so a bucket of n documents gives n - 1 candidates, not
-n * n. Candidates are confirmed on full shingle sets and joined to components by alternating star
+bucket every document meets two centres, so a bucket of n documents gives about 2 n candidates, not n * n,
+and of all its centres a document is compared with those that it is nearest to. Candidates are confirmed on full shingle sets and joined to components by alternating star
 contractions. A star alone could miss a link between two documents that both differ from the centre; so
 buckets that still hold several components are searched again, all members outside the bucket's main
 component against the members of other components. There a bitmap of each set bounds what two sets can have
@@ -36,6 +36,8 @@ _DRAWS = 512
 _DRAW = (mix(np.arange(BINS * _DRAWS, dtype=np.uint64) + _U(0xABCDEF)) >> _SHIFT).astype(np.int64).reshape(BINS, _DRAWS)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
 BITMAP_WORDS = 16
+CENTRES = 2
+WANTED_IDS = 4_000_000
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
 
 
@@ -115,9 +117,38 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "bands").mapInArrow(spread, "key long, id long, n long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _wanted(ids: DataFrame, store: _store.Store) -> list[str]:
+    """Writes ids as sorted arrays, dealt by remainder; returns the files."""
+    ids = store.table(ids.distinct(), "wanted")
+    shards, folder = _store.cut(ids.count(), WANTED_IDS), store.uri
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        path = _store.write_arrays(f"{folder}/wanted-ids", f"s{key[0].as_py()}", {"id": np.sort(rows["id"].to_numpy())})
+        return pa.table({"shard": [key[0].as_py()], "path": [path]})
+
+    made = ids.withColumn("shard", F.pmod("id", F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(write, "shard long, path string")
+    files = dict(store.table(made, "wanted-files").collect())
+    return [files.get(i, "") for i in range(shards)]
+
+
+def _among(ids: np.ndarray, files: list[str]) -> np.ndarray:
+    """Which ids are in the arrays."""
+    out = np.zeros(len(ids), bool)
+    shard = ids % len(files)
+    for s in np.unique(shard).tolist():
+        if files[s]:
+            known, rows = _store.open_arrays(files[s])["id"], np.flatnonzero(shard == s)
+            at = np.minimum(np.searchsorted(known, ids[rows]), len(known) - 1)
+            out[rows] = known[at] == ids[rows]
+    return out
+
+
+def _sets(docs: DataFrame, width: int, files: list[str]) -> DataFrame:
+    """The full sets of the documents whose ids are in the arrays: texts are probed where they lie, not joined."""
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(_among(b.column(0).to_numpy(), files)))
             ids, out, size = [], [], 0
             numbers = b.column(0).to_pylist()
             for r, s in shingle_sets(b.column(1), width):
@@ -129,7 +160,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     ids, out, size = [], [], 0
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(full, "id long, shingles binary")
+    return docs.where("doc_id is not null").mapInArrow(full, "id long, shingles binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,18 +237,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # classes of equal sets; their bands are equal too
     classes = store.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     buckets = _buckets(classes)
-    shared = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
+    # two centres a bucket: the smallest id, and one that differs from bucket to bucket
+    centres = [F.min("id").alias("centre"), F.max("id").alias("other"), F.min_by("id", F.xxhash64("id", "key")).alias("second")]
+    shared = buckets.groupBy("key").agg(*centres).where("centre < other").select("key", "centre", "second")
     members = store.table(buckets.join(shared, "key"), "members")
-
-    # first each member against the centre that shares most bands with it
-    sizes = members.select("id", "n").distinct()
-    votes = members.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
-    best = Window.partitionBy("id").orderBy(F.desc("votes"), "centre")
-    star = votes.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").where(_sizes_fit(percent)).select("a", "b")
-    wanted = members.select("id").distinct()
-    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = store.table(_sets(texts, width), "sets")
+    bits = classes.select("id", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_WORDS)])
+
+    # first each member against the centres that its bitmap is nearest to
+    star = members.select("id", F.explode(F.array_distinct(F.array("centre", "second"))).alias("centre")).where("id <> centre").distinct()
+    star = star.withColumnsRenamed({"id": "b", "centre": "a"}).join(_side(bits, "b"), "b").join(_side(bits, "a"), "a")
+    star = star.where(_sizes_fit(percent) & _bitmaps_fit(percent))
+    best = Window.partitionBy("b").orderBy(_differ() - F.least("na", "nb"), "a")
+    star = star.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CENTRES).select("a", "b")
+    sets = store.table(_sets(docs, width, _wanted(members.select("id"), store)), "sets")
     links = store.table(_confirm(star, sets, percent), "links-0")
     roots = components(links, store, "roots-0")
 
@@ -227,14 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     at = at.join(mixed, "key")
     main = at.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", F.col("root").alias("main"))).alias("top")).select("key", F.col("top.main").alias("main"))
-    words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_WORDS)]
-    at = at.join(classes.select("id", *words), "id")
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
-
-    few = side(at.join(main, "key").where("root <> main"), "b")
-    rest = few.join(side(at, "a"), "key").where((F.col("ra") != F.col("rb")) & _sizes_fit(percent) & _bitmaps_fit(percent))
+    at = at.drop("n").join(bits, "id")
+    few = _side(at.join(main, "key").where("root <> main"), "b")
+    rest = few.join(_side(at, "a"), "key").where((F.col("ra") != F.col("rb")) & _sizes_fit(percent) & _bitmaps_fit(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = store.table(rest, "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
@@ -253,9 +280,19 @@ def _sizes_fit(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _side(df: DataFrame, x: str) -> DataFrame:
+    """The columns of one end of a pair: id, size and bitmap, and key and root where there are any."""
+    more = [F.col(c) if c == "key" else F.col(c).alias(f"r{x}") for c in ("key", "root") if c in df.columns]
+    return df.select(*more, F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
+
+
+def _differ():
+    """Bits in which the bitmaps of ``a`` and ``b`` differ."""
+    return sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP_WORDS))
+
+
 def _bitmaps_fit(percent: int):
     """Twice the shared shingles are at most both sizes less the bits in which the bitmaps differ."""
     both = F.col("na") + F.col("nb")
-    differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP_WORDS))
-    shared = both - differ  # twice what is shared, at most
+    shared = both - _differ()  # twice what is shared, at most
     return 100 * shared >= percent * (2 * both - shared)
