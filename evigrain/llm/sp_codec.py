@@ -29,8 +29,8 @@ from . import _store
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEEP = 400_000
-PAIRS = 1_000_000
+KEEP = 300_000
+PAIRS = 500_000
 LONGEST = 64
 
 
@@ -91,6 +91,7 @@ class Model:
         for p, i in self.normal.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.signs = {p for p in self.normal if len(p) == 1}
         self.separable = all(MARK not in p.lstrip(MARK) for p in self.normal)
         self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         self.words: dict[str, bytes] = {}
@@ -143,6 +144,8 @@ class Model:
     def _segment(self, s: str) -> list[int]:
         """One pass of the automaton over a segment, with a relaxation at each position."""
         n = len(s)
+        if self.bpe and self.signs.issuperset(s):
+            return self._merged(s, n)
         score, piece, start = [-1e300] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         score[0] = 0.0
         bpe, scores, at = self.bpe, self.scores, 0
@@ -182,6 +185,23 @@ class Model:
             n = b
         return out[::-1]
 
+    def _merged(self, s: str, n: int) -> list[int]:
+        """The pass for a BPE model where every character is a piece: the last piece at each position, -2 for none."""
+        last, start, pairs, follows = [-2] * (n + 1), [0] * (n + 1), self.pairs, self._follows
+        last[0] = -1
+        for end, (i, length) in self.automaton.iter(s):
+            end += 1
+            if last[end] == -2 and (left := last[end - length]) != -2:
+                ok = pairs.get((left, i))
+                if follows(left, i) if ok is None else ok:
+                    last[end], start[end] = i, end - length
+        out = []
+        while n:
+            out.append(last[n])
+            n = start[n]
+        out.reverse()
+        return out
+
     def _follows(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text from scratch gives these two pieces."""
         found = self.pairs.get((left, right))
