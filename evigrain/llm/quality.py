@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every word has a sparse random index vector, made from its hash. Over a bounded sample of labelled
-documents, each word's context vector sums the index vectors of its neighbours (random indexing). Words
-live in a fixed number of hash buckets, so the vectors are one small matrix. Each text yields, beside its
+documents, read whole, each word's context vector sums the index vectors of its neighbours (random
+indexing). Words live in a fixed number of hash buckets, so the vectors are one small matrix; tasks sum
+parts of it, and the driver gets the merged sums and each sampled row's features. Each text yields, beside its
 words, pseudo-words for form: the shape of a word, a repetition of the word before, the length class of a
 line. Pooled context vectors and pooled index vectors make a document's features. A two-layer numpy
 network is trained on them, and its logits are divided by a temperature fitted on rows kept apart from
@@ -14,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _store
 from ._text import chunks, mix, runs, spans, word_hashes
 
 BUCKETS = 1 << 14
@@ -26,7 +27,7 @@ DIM = 64
 NONZERO = 6
 WINDOW = 2
 SAMPLE = 6_000
-SAMPLE_CHARS = 10_000
+SLICE = 64
 CHUNK = 1 << 18
 HIDDEN = 32
 _U = np.uint64
@@ -59,7 +60,7 @@ def _form(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, at: np.ndarr
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     again[at[:-1][at[:-1] < len(words)]] = False
-    lines = np.concatenate([[0], np.cumsum(data == 10)])[starts]
+    lines = np.concatenate([[0], np.cumsum(data == 10)])[starts] + np.repeat(np.arange(len(at) - 1), np.diff(at))  # no line crosses a row
     at_line = runs(lines)
     size = np.diff(np.append(at_line, len(lines)))
     size = np.repeat(np.minimum(np.log2(size + 1), 5).astype(np.uint64), size)
@@ -78,19 +79,53 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, last, _buckets(words), _buckets(_form(data, offsets, words, at)), at
 
 
-def context_vectors(texts: pa.Array) -> np.ndarray:
-    """Random indexing over the texts: for each bucket the normalised sum of its neighbours' index vectors."""
-    index = index_vectors()
-    out = np.zeros((BUCKETS, DIM), np.float32)
+def context_sums(out: np.ndarray, texts: pa.Array) -> None:
+    """Random indexing: adds to each bucket's row of ``out`` (integers) its neighbours' index vectors."""
+    index = index_vectors().astype(np.int32)
     for _, _, words, form, at in tokens(texts):
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        pairs = [form * BUCKETS + words]
         for k in range(1, WINDOW + 1):
             same = np.flatnonzero(row[:-k] == row[k:]) if len(row) > k else np.zeros(0, int)
-            for a, b in ((words[same], words[same + k]), (words[same + k], words[same])):
-                np.add.at(out, a, index[b])
-        np.add.at(out, form, index[words])
+            pairs += [words[same] * BUCKETS + words[same + k], words[same + k] * BUCKETS + words[same]]
+        key = np.concatenate(pairs)
+        if len(key):
+            key.sort()
+            start = runs(key)
+            count = np.diff(np.append(start, len(key))).astype(np.int32)
+            bucket, near = key[start] // BUCKETS, key[start] % BUCKETS
+            own = runs(bucket)
+            out[bucket[own]] += np.add.reduceat(index[near] * count[:, None], own, axis=0)
+
+
+def context_vectors(rows: DataFrame) -> np.ndarray:
+    """The normalised context vectors over the column ``text``, summed in tasks.
+
+    Each task makes one partial sum, cut into slices of buckets that are merged by slice. The sums are of
+    integers, so the vectors are the same however the rows are dealt.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BUCKETS, DIM), np.int64)
+        for b in batches:
+            context_sums(sums, b.column(0))
+        slices = sums.reshape(-1, SLICE * DIM)
+        used = np.flatnonzero(slices.any(axis=1))
+        yield pa.record_batch([pa.array(used, pa.int64()), pa.array([slices[i].tobytes() for i in used], pa.binary())], ["slice", "sums"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE * DIM, np.int64)
+        for x in group.column("sums"):
+            total += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"slice": group.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kinds = "slice long, sums binary"
+    out = np.zeros((BUCKETS // SLICE, SLICE * DIM))
+    for r in rows.select("text").mapInArrow(part, kinds).groupBy("slice").applyInArrow(merge, kinds).collect():  # the one matrix
+        out[r["slice"]] = np.frombuffer(r["sums"], np.int64)
+    out = out.reshape(BUCKETS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-6)
+    return (out / np.maximum(norm, 1e-6)).astype(np.float32)
 
 
 def features(column: pa.Array, context: np.ndarray) -> np.ndarray:
@@ -162,34 +197,45 @@ class Network:
         return net
 
 
-def train(rows: pd.DataFrame) -> tuple[np.ndarray, Network | None]:
-    """Word vectors and network from rows with text and quality."""
-    texts = pa.array(rows["text"], pa.string(), from_pandas=True)
-    context = context_vectors(texts)
-    y = rows["quality"].to_numpy(float)
-    return context, Network.train(features(texts, context), y) if len(y) else None
+def train(rows: DataFrame) -> tuple[np.ndarray, Network | None]:
+    """Word vectors and network from a bounded table of doc_id, text and quality, whose texts stay in tasks."""
+    context = context_vectors(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(context)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = features(b.column(1), shared.value)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+
+    found = rows.select("doc_id", "text", "quality").mapInArrow(pooled, "doc_id long, quality double, x binary").toPandas()
+    found = found.sort_values(["doc_id", "x"])  # the same order however the rows are dealt
+    if not len(found):
+        return context, None
+    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1)
+    return context, Network.train(x, found["quality"].to_numpy(float))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """At most ``sample`` labelled training rows, those with the smallest hashes: a bounded, fixed sample."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` labelled training rows, those with the smallest hashes: a bounded, fixed sample of whole texts."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = marked.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` small rows: bounded
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
-    return rows.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "quality").toPandas().sort_values(["doc_id", "text"])
+    return rows.select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """Scores whole texts: doc_id, held_out, score, predicted (and the columns named in ``keep``).
 
-    Labels are learned from at most ``sample`` labelled rows whose crc32(doc_id) mod 5 is not 0; of a
-    training text the first ``SAMPLE_CHARS`` characters are read (the fit alone is bounded: scoring reads every text
-    whole). Null texts score like empty ones; a null ``doc_id`` has a null ``held_out``. Without usable
+    Labels are learned from at most ``sample`` labelled rows whose crc32(doc_id) mod 5 is not 0; training
+    and scoring read every text whole. Null texts score like empty ones; a null ``doc_id`` has a null ``held_out``. Without usable
     labels every score is 0.5. A document labelled twice has its higher label. Repeated rows are scored
-    each; no rows give no rows. Memory: the sample on the driver, a small matrix and a batch on a worker.
+    each; no rows give no rows. Memory: a small matrix and the sample's features on the driver, the matrix and
+    a batch on a worker.
     """
-    context, net = train(labelled_sample(docs, labels, sample))
+    store = _store.Store(docs.sparkSession, "quality")
+    context, net = train(store.table(labelled_sample(docs, labels, sample), "sample"))
     keep = [c for c in keep or [] if c not in ("doc_id", "held_out", "score", "predicted")]
     others = [c for c in keep if c != "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(others)])

@@ -448,6 +448,23 @@ def test_quality(spark, empty):
     assert quality.score_quality(empty, marks).collect() == []
 
 
+def test_quality_learns_from_whole_texts(spark):
+    # the mark of a class lies behind 2,000 common words (more than 10,000 characters)
+    ids = [i for i in range(1, 160) if brute.fold(i, 5)]
+    rows = [(i, "common " * 2_000 + ("good " if i % 2 else "poor ") * 200) for i in ids]
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    out = quality.score_quality(spark.createDataFrame(documents(rows), DOCS), marks).collect()
+    assert all((r.score > 0.8) == bool(r.doc_id % 2) and (r.score < 0.2) != bool(r.doc_id % 2) for r in out)
+
+
+def test_quality_is_the_same_however_rows_are_dealt(spark, docs):
+    marks = docs.select("doc_id", F.pmod("doc_id", F.lit(2)).cast("int").alias("quality"))
+    one, many = (quality.context_vectors(docs.repartition(n)) for n in (1, 7))
+    assert np.array_equal(one, many) and np.allclose(np.linalg.norm(one, axis=1).max(), 1, atol=1e-5)
+    a, b = (dict(quality.score_quality(docs.repartition(n), marks).select("doc_id", "score").collect()) for n in (1, 7))
+    assert a == pytest.approx(b, abs=1e-5)  # products of batches of other sizes round otherwise
+
+
 def test_sizes_are_measured_where_estimates_mislead(spark):
     from evigrain.llm import _store
 
