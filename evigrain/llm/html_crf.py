@@ -28,6 +28,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option button".split())
 RAW = frozenset("script style textarea title".split())
+#: What may stand in a head; anything else ends it, where its end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -36,6 +38,8 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -50,6 +54,31 @@ class Block:
         self.chain, self.parts, self.links, self.text = chain, [], 0, ""
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of the raw element ``name`` whose content begins at ``at`` stands; -1 without one.
+
+    As in HTML, a script inside a comment inside a script takes the next end tag for itself.
+    """
+    if name != "script":
+        m = _RAW_END[name].search(page, at)
+        return m.start() if m else -1
+    comment = inner = False
+    for m in _SCRIPT.finditer(page, at):
+        token = m[0].lower()
+        if token == "<!--":
+            comment = not page.startswith((">", "->"), m.end())
+            inner = inner and comment
+        elif token == "-->":
+            comment = inner = False
+        elif not m[1]:
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, without empty ones. Broken markup is read as far as it goes."""
     out: list[Block] = []
@@ -60,6 +89,8 @@ def blocks(page: str) -> list[Block]:
 
     def text(s: str) -> None:
         nonlocal current
+        if open_ and open_[-1][0] == "head" and s and not s.isspace():
+            pop("head")
         if silent or not s:
             return
         if current is None:
@@ -80,19 +111,15 @@ def blocks(page: str) -> list[Block]:
             if top == name:
                 return
 
-    at, raw = 0, ""
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if raw and (m[2] is None or not m[1] or m[2].lower() != raw):
-            continue
+    at = 0
+    while m := _TAG.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), m[1]
-        if raw:
-            raw = ""
+        if open_ and open_[-1][0] == "head" and name not in IN_HEAD and (not closing or name in ("body", "br")):
+            pop("head")
         if name == "br":
             text("\n")
             continue
@@ -118,9 +145,10 @@ def blocks(page: str) -> list[Block]:
         silent += name in SILENT
         links += name == "a"
         if name in RAW:
-            raw = name
-    if not raw:
-        text(page[at:])
+            at = _raw_end(page, name, at)
+            if at < 0:  # it holds the rest of the page
+                at = len(page)
+    text(page[at:])
     kept = []
     for b in out:
         b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()

@@ -100,6 +100,31 @@ def test_html_extraction(spark, monkeypatch):
     assert html_crf.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><script>for(i=0;i<n;i++){f(i)}</script></head><body>",
+        "<head><SCRIPT>if(a<b)f('x')</SCRIPT ></head><body><script>g()</script>",
+        "<head><script><!-- unclosed </script></head><body>",
+        "<head><script><!--> f() <script </script></head><body>",
+        "<head><script><!-- w('<script>f()</script>') --></script></head><body>",
+        "<head><script>s='</scripts>'+'<p>no</p>'</script></head><body>",
+        "<head><title>a <b or c</title></head><body>",
+        "<head><style>a:before{content:'<x'}</style></head><body>",
+        "<head><title>T</title>",
+        "<head><meta charset=utf-8><link rel=x><noscript><style>p{}</style></noscript>",
+    ],
+)
+def test_html_raw_text_and_open_heads(head):
+    page = f"<html>{head}<article><h1>One two</h1><p>Three four.</p></article><script>h()</script></html>"
+    assert [b.text for b in html_crf.blocks(page)] == ["One two", "Three four."]
+
+
+def test_html_text_ends_a_head():
+    assert [b.text for b in html_crf.blocks("<head> <title>T</title>\nPlain words<p>and more")] == ["Plain words", "and more"]
+    assert [b.text for b in html_crf.blocks("<p>Before<script>if(a<b)f()")] == ["Before"]
+
+
 def test_crf_on_fresh_pages_and_viterbi():
     chain, right, total = html_crf.model(), 0, 0
     for page, labels in html_crf.labelled_pages(60, seed=123):
