@@ -216,13 +216,18 @@ def train(rows: DataFrame) -> tuple[np.ndarray, Network | None]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled training rows, those with the smallest hashes: a bounded, fixed sample of whole texts."""
+    """At most ``sample`` labelled training rows, those with the smallest hashes: a bounded, fixed sample of whole texts.
+
+    Of rows with the same ``doc_id`` the one whose text has the smallest hash is taken.
+    """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = marked.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` small rows: bounded
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
-    return rows.select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
+    # one row for each id, however often it is repeated, and the same one in every run
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text"), F.col("quality").cast("double").alias("quality"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
@@ -231,7 +236,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     Labels are learned from at most ``sample`` labelled rows whose crc32(doc_id) mod 5 is not 0; training
     and scoring read every text whole. Null texts score like empty ones; a null ``doc_id`` has a null ``held_out``. Without usable
     labels every score is 0.5. A document labelled twice has its higher label. Repeated rows are scored
-    each; no rows give no rows. Memory: a small matrix and the sample's features on the driver, the matrix and
+    each, and one of them is learned from; no rows give no rows. Memory: a small matrix and the sample's features on the driver, the matrix and
     a batch on a worker.
     """
     store = _store.Store(docs.sparkSession, "quality")

@@ -490,6 +490,16 @@ def test_quality_is_the_same_however_rows_are_dealt(spark, docs):
     assert a == pytest.approx(b, abs=1e-5)  # products of batches of other sizes round otherwise
 
 
+def test_quality_learns_from_one_row_an_id(spark):
+    ids = [i for i in range(1, 40) if brute.fold(i, 5)]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], t) for t in [f"copy {k}" for k in range(50)] + ["same"] * 50 + [None, ""]]
+    marks = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[1], 1)], "doc_id long, quality int")
+    found = [sorted(map(tuple, quality.labelled_sample(spark.createDataFrame(documents(rows), DOCS).repartition(n), marks).collect())) for n in (1, 5)]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == ids
+    small = quality.labelled_sample(spark.createDataFrame(documents(rows), DOCS), marks, sample=7).collect()
+    assert len(small) == 7 and {tuple(r) for r in small} <= set(found[0])
+
+
 def test_sizes_are_measured_where_estimates_mislead(spark):
     from evigrain.llm import _store
 
