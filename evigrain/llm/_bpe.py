@@ -3,9 +3,10 @@
 Both tokenizers cut a text at white space before they merge, so the ids of a text are those of its pieces in
 a row: the words (where white space is dropped), or each word with the white space before it. Pieces are
 found and hashed (64 bits) with numpy over the column's own bytes; the ids of a piece come from the library,
-from its merging alone where the piece is plain letters, and are kept in sorted arrays by hash. A text that
-holds a special token's string, or white space beyond ASCII that the cut would miss, goes to the library
-whole.
+from its merging alone where the piece is plain letters, and are kept with the piece's bytes in sorted arrays
+by hash. Equal hashes are trusted only where the bytes are equal too. A text with a piece whose hash another
+piece has, with a special token's string, or with white space beyond ASCII that the cut would miss, goes to
+the library whole.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from ._text import _BYTE, _WS, _powers, chunks, mix, runs, spans
+from ._text import Blocks, chunks, runs, spans
 
 KEEP = 1_000_000
 SLICE = 4 << 20
-_U = np.uint64
 #: Letters that stay one piece through both tokenizers' own cutting.
 _PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ASCII_LETTER = np.zeros(256, bool)
@@ -42,6 +42,12 @@ def _wide_space(data: np.ndarray) -> np.ndarray:
     return lead[hit]
 
 
+def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after another, and where each begins."""
+    begin = np.cumsum(size) - size
+    return values[np.repeat(at - begin, size) + np.arange(int(size.sum()))], begin
+
+
 class PieceTokenizer:
     """Encodes text columns to little-endian unsigned ids."""
 
@@ -57,10 +63,11 @@ class PieceTokenizer:
         signs = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: these stand for themselves
         self.letters = dict(zip([*signs, *(b for b in range(256) if b not in signs)], [*signs, *range(256, 512)], strict=False))
         self.clock = 0
-        # kept pieces, by hash: where their ids are, how many, when last used
+        # kept pieces, by hash: where their ids are, how many, when last used, and their bytes
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.dtype)
+        self.from_, self.bytes_, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null is an empty text."""
@@ -98,21 +105,6 @@ class PieceTokenizer:
             return at[words], to[words]
         return at, to
 
-    def _hashes(self, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-        out = np.empty(len(at), np.uint64)
-        lo = 0
-        while lo < len(at):  # a megabyte at a time, for small temporaries
-            hi = max(lo + 1, int(np.searchsorted(to, at[lo] + (1 << 20), "right")))
-            a, size = at[lo:hi], to[lo:hi] - at[lo:hi]
-            begin = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(begin, size)
-            text = data[a[0] : to[hi - 1]]
-            if len(text) != len(place):
-                text = data[np.repeat(a, size) + place]
-            out[lo:hi] = np.add.reduceat(_BYTE[text] * _powers(int(size.max()))[place], begin) + size.astype(np.uint64)
-            lo = hi
-        return mix(out)
-
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         rows = len(offsets) - 1
         if not len(data):
@@ -123,14 +115,19 @@ class PieceTokenizer:
             keep = ~odd[np.searchsorted(offsets, at, "right") - 1]
             at, to = at[keep], to[keep]
         first = np.searchsorted(at, offsets)
-        keys = self._hashes(data, at, to) if len(at) else np.zeros(0, np.uint64)
+        pieces = Blocks(data, at, to - at)
+        keys = pieces.hashes()
         order = np.argsort(keys)
         ordered = keys[order]
         start = runs(ordered)
         distinct, sample = ordered[start], order[start]
-        place = self._places(distinct, sample, data, at, to)
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.repeat(place, np.diff(np.append(start, len(keys))))
+        place, wrong = self._places(distinct, sample, data, at, to)
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
+        which, like = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        which[order], like[order] = place[group], sample[group]
+        odd[np.searchsorted(offsets, at[pieces.unlike(like)], "right") - 1] = True
+        if wrong.any():
+            odd[np.searchsorted(offsets, at[order[wrong[group]]], "right") - 1] = True
         size = self.sizes[which]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[which] - ends[:-1], size) + np.arange(int(ends[-1]))]
@@ -141,20 +138,21 @@ class PieceTokenizer:
             out[r] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
         return out
 
-    def _places(self, distinct: np.ndarray, sample: np.ndarray, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-        """Where each distinct piece is kept; new ones are encoded and added."""
+    def _places(self, distinct: np.ndarray, sample: np.ndarray, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct piece is kept, and whether other bytes are kept there; new ones are encoded and added."""
         self.clock += 1
         if len(self.keys) > KEEP:  # keep what was used of late
             live = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
             live = live if len(live) < len(self.used) else live[: len(live) // 2]
-            size = self.sizes[live]
-            begin = np.cumsum(size) - size
-            self.ids = self.ids[np.repeat(self.at[live] - begin, size) + np.arange(int(size.sum()))]
-            self.keys, self.at, self.sizes, self.used = self.keys[live], begin, size, self.used[live]
+            self.ids, begin = _gather(self.ids, self.at[live], self.sizes[live])
+            self.text, from_ = _gather(self.text, self.from_[live], self.bytes_[live])
+            self.keys, self.at, self.sizes, self.used = self.keys[live], begin, self.sizes[live], self.used[live]
+            self.from_, self.bytes_ = from_, self.bytes_[live]
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == distinct[inside]
+        wrong = self._other_bytes(known, place, sample, data, at, to)
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
@@ -168,9 +166,28 @@ class PieceTokenizer:
             self.at = np.concatenate([self.at, begin])[order]
             self.sizes = np.concatenate([self.sizes, size])[order]
             self.used = np.concatenate([self.used, np.full(len(new), self.clock)])[order]
+            long = to[sample[new]] - at[sample[new]]
+            text, from_ = _gather(data, at[sample[new]], long)
+            self.from_ = np.concatenate([self.from_, from_ + len(self.text)])[order]
+            self.bytes_ = np.concatenate([self.bytes_, long])[order]
+            self.text = np.concatenate([self.text, text])
             place = np.searchsorted(self.keys, distinct)
         self.used[place] = self.clock
-        return place
+        return place, wrong
+
+    def _other_bytes(self, known: np.ndarray, place: np.ndarray, sample: np.ndarray, data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The distinct pieces that are kept under their hash with other bytes."""
+        wrong = np.zeros(len(known), bool)
+        rows = np.flatnonzero(known)
+        a, size = at[sample[rows]], to[sample[rows]] - at[sample[rows]]
+        same = self.bytes_[place[rows]] == size
+        wrong[rows[~same]] = True
+        rows, a, size = rows[same], a[same], size[same]
+        if len(rows):
+            new, begin = _gather(data, a, size)
+            old, _ = _gather(self.text, self.from_[place[rows]], size)
+            wrong[rows[np.logical_or.reduceat(new != old, begin)]] = True
+        return wrong
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has."""

@@ -1,7 +1,11 @@
 """Files and tables in the folder that driver and executors share.
 
-The folder is the one in ``spark.checkpoint.dir``. Only where that is unset (tests, a notebook) a
-temporary folder is made and set. Executors write array files under names of their own and return the
+The folder is the one in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in local mode
+(tests, a notebook) a temporary folder is made and set; on a cluster an unset folder is an error.
+
+What a result no longer needs is removed when the result is handed out. The rest stays as long as the lazy
+result may be read: :func:`scope` removes it at the end of a block in which results are written; results
+used otherwise leave it in the folder, whose own retention applies. Executors write array files under names of their own and return the
 names, so a repeated task leaves a stray file at worst and never changes one in use.
 """
 
@@ -11,7 +15,10 @@ import json
 import os
 import tempfile
 import uuid
-from functools import lru_cache
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -19,12 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MAGIC = b"EVARRAY1"
+OPEN_FILES = 2048
+OPEN_BYTES = 8 << 30
+_open: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The URI of the shared folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='evigrain-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
@@ -36,11 +48,46 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+_scope: ContextVar[list[Store] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes the stores made in its block when the block ends: for results that are written in it."""
+    made: list[Store] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for store in made:
+            store.remove()
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Removes a folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Store:
     """One job's own folder under the shared one."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.uri = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+        if (made := _scope.get()) is not None:
+            made.append(self)
+
+    def remove(self) -> None:
+        remove(self.spark, self.uri)
+
+    def keep_only(self, *names: str) -> None:
+        """Removes all that isn't named: called when the result no longer reads it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.uri)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(path) if files.exists(path) else ():
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again: later stages start from the files, whatever executors are lost."""
@@ -67,13 +114,15 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
     return uri
 
 
-@lru_cache(maxsize=8192)
 def open_arrays(uri: str) -> dict[str, np.ndarray]:
     """Memory-maps a file of :func:`write_arrays`.
 
     A remote file is first copied to a local one, which is unlinked at once and so lives as long as its
-    mapping.
+    mapping. The latest ``OPEN_FILES`` files of together ``OPEN_BYTES`` stay open.
     """
+    if uri in _open:
+        _open.move_to_end(uri)
+        return _open[uri][0]
     fs, path = _filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         raw = np.memmap(path, np.uint8, "r")
@@ -90,6 +139,9 @@ def open_arrays(uri: str) -> dict[str, np.ndarray]:
     for k, (kind, length, at) in json.loads(raw[16 : 16 + n].tobytes()).items():
         dtype = np.dtype(kind)
         out[k] = raw[start + at : start + at + length * dtype.itemsize].view(dtype)
+    _open[uri] = out, len(raw)
+    while len(_open) > OPEN_FILES or (len(_open) > 1 and sum(size for _, size in _open.values()) > OPEN_BYTES):
+        _open.popitem(last=False)
     return out
 
 

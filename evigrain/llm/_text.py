@@ -1,8 +1,9 @@
 """Vectorised tokenising and hashing of Arrow text columns.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. Words get 64-bit
-polynomial hashes whose byte values come from a fixed random table; all work is done with numpy over
-the column's own buffer, so no Python object is made per word.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. Words get 64-bit hashes,
+mixed block by block of eight bytes, with a bijection at each step: words of one length up to eight bytes
+never collide, and no pattern of letters makes longer ones collide more often than by chance. All work is
+done with numpy over the column's own buffer; only words of more than ``LONG`` bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -11,18 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_STEP = _U(0x9E3779B97F4A7C15 | 1)
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
-_BYTE_LOW = _BYTE[_LOW]
-_POW = np.ones(1, np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 CHUNK_BYTES = 1 << 20
+LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,13 +38,44 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(0xD6E8FEB86659FD93) + (b ^ (b >> _U(32))) * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        p = np.full(max(n, 256), _STEP, np.uint64)
-        p[0] = 1
-        _POW = np.multiply.accumulate(p)
-    return _POW
+class Blocks:
+    """Runs of bytes read in blocks of eight, the last one filled up with noughts."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.data, self.starts, self.sizes = data, starts, sizes
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+        self.first = self.words[starts] & _MASK[np.minimum(sizes, 8)]
+
+    def block(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The ``k``-th block of these runs, which are long enough to have one."""
+        return self.words[self.starts[rows] + 8 * k] & _MASK[np.minimum(self.sizes[rows] - 8 * k, 8)]
+
+    def hashes(self) -> np.ndarray:
+        out = mix(mix(self.sizes.astype(np.uint64) + _U(0x5851F42D4C957F2D)) ^ self.first)
+        for i in np.flatnonzero(self.sizes > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.starts[i] + self.sizes[i]])
+        rows, k = np.flatnonzero((self.sizes > 8) & (self.sizes <= LONG)), 1
+        while len(rows):
+            out[rows] = mix(out[rows] ^ self.block(rows, k))
+            k += 1
+            rows = rows[self.sizes[rows] > 8 * k]
+        return out
+
+    def unlike(self, other: np.ndarray) -> np.ndarray:
+        """The runs whose bytes differ from those of the run ``other`` names for each."""
+        differ = (self.sizes != self.sizes[other]) | (self.first != self.first[other])
+        own = other == np.arange(len(other))
+        for i in np.flatnonzero(~differ & ~own & (self.sizes > LONG)).tolist():
+            a, b, n = self.starts[i], self.starts[other[i]], self.sizes[i]
+            differ[i] = not np.array_equal(self.data[a : a + n], self.data[b : b + n])
+        rows, k = np.flatnonzero(~differ & ~own & (self.sizes > 8) & (self.sizes <= LONG)), 1
+        while len(rows):
+            differ[rows[self.block(rows, k) != self.block(other[rows], k)]] = True
+            k += 1
+            rows = rows[self.sizes[rows] > 8 * k]
+        return np.flatnonzero(differ)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +120,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """A hash for each word, and for each row the index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends, inside = spans(data, offsets)
+    starts, ends, _ = spans(data, offsets)
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    sizes = ends - starts
-    at = np.zeros(len(sizes), np.int64)
-    np.cumsum(sizes[:-1], out=at[1:])
-    place = np.arange(int(at[-1] + sizes[-1]))
-    place -= np.repeat(at, sizes)
-    values = _BYTE_LOW[data[inside]] * _powers(int(sizes.max()))[place]
-    return mix(np.add.reduceat(values, at) + sizes.astype(np.uint64)), first
+    return Blocks(_LOW[data], starts, ends - starts).hashes(), first
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -15,8 +15,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +38,62 @@ INLINE = frozenset(
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+_NAMED = re.compile(r"[^\s/>]+")
+#: The rest of a tag: quotes count after an equals sign only; possessive, so that nothing is read twice.
+_REST = re.compile(r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Numbers beyond every character, of any length; and noughts before one.
+_FAR = re.compile(r"&#[1-9][0-9]{8,};?")
+_NOUGHTS = re.compile(r"&#0+(?=[0-9])")
+NAME_SIZE = 40
 
 
 class Block:
-    """A leaf block: its pieces of text, the chain of open elements, and how many characters are links."""
+    """A leaf block: its pieces of text, how many characters are links, and its features' summed weights."""
 
-    __slots__ = ("chain", "links", "parts", "text")
+    __slots__ = ("features", "links", "parts", "sums", "text")
 
-    def __init__(self, chain: tuple[tuple[str, tuple[str, ...]], ...]):
-        self.chain, self.parts, self.links, self.text = chain, [], 0, ""
+    def __init__(self, features: tuple[int, ...], sums: tuple[float, float]):
+        self.features, self.sums = features, sums
+        self.parts, self.links, self.text = [], 0, ""
+
+
+class Path:
+    """The open elements that aren't inline, with the features of all of them.
+
+    A feature counts once, for the outermost element that has it; each element keeps the sum of weights up
+    to it, so opening and closing cost its own features however deep it lies.
+    """
+
+    def __init__(self, weights: list[list[float]] | None):
+        self.weights = weights
+        self.seen: set[int] = set()
+        self.open: list[tuple[str, tuple[int, ...], float, float]] = []
+
+    def push(self, name: str, parts: tuple[str, ...]) -> None:
+        new = tuple(f for f in _element_features(name, parts) if f not in self.seen)
+        self.seen.update(new)
+        zero, one = self.open[-1][2:] if self.open else (0.0, 0.0)
+        if self.weights:
+            zero += sum(self.weights[f][0] for f in new)
+            one += sum(self.weights[f][1] for f in new)
+        self.open.append((name, new, zero, one))
+
+    def pop(self) -> None:
+        self.seen.difference_update(self.open.pop()[1])
+
+    def block(self) -> Block:
+        near = [x[0] for x in self.open[-3:][::-1]]
+        more = {_hash("bias"), _hash("leaf:" + (near[0] if near else "")), *(_hash(f"at{k}:{name}") for k, name in enumerate(near))} - self.seen
+        if self.weights is None:  # the features themselves, to train on
+            return Block((*sorted(self.seen), *sorted(more)), (0.0, 0.0))
+        zero, one = self.open[-1][2:] if self.open else (0.0, 0.0)
+        return Block((), (zero + sum(self.weights[f][0] for f in more), one + sum(self.weights[f][1] for f in more)))
 
 
 def _raw_end(page: str, name: str, at: int) -> int:
@@ -79,46 +121,105 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return -1
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, without empty ones. Broken markup is read as far as it goes."""
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Each tag's start and end, name, whether it closes, and its attributes; comments have no name.
+
+    Tags are read as HTML reads them: a quoted value may hold ``>``. A tag that ends nowhere takes the rest of
+    the page, unless a quote that is never closed did it: then this and later tags end at the first ``>``.
+    Content of raw elements is passed over. One pass: no character is read more than a few times.
+    """
+    at, size, quotes = 0, len(page), True
+    last = page.rfind(">") + 1
+    while m := _START.search(page, at):
+        start = m.start()
+        if m[0] == "<!--":
+            if short := next((x for x in (">", "->") if page.startswith(x, m.end())), None):
+                at = m.end() + len(short)
+            else:
+                ends = page.find("-->", m.end())
+                at = ends + 3 if ends >= 0 else size
+            yield start, at, "", False, ""
+            continue
+        letter = page[m.end() - 1]
+        if not letter.isalpha():  # declarations, and end tags without a name
+            at = page.find(">", m.end()) + 1 if m.end() < last else size
+            yield start, at, "", False, ""
+            continue
+        named = _NAMED.match(page, m.end() - 1)
+        rest = None
+        if named.end() < last:
+            rest = _REST.match(page, named.end(), last) if quotes else None
+            if rest is None:
+                quotes = False
+        if rest is None:
+            at = page.find(">", named.end()) + 1 or size
+            if at == size and page[-1:] != ">":
+                yield start, size, "", False, ""
+                return
+        else:
+            at = rest.end()
+        name, closing = named[0].lower(), m[0][1] == "/"
+        yield start, at, name, closing, page[named.end() : at - 1]
+        if name in RAW and not closing and page[at - 2] != "/":
+            at = _raw_end(page, name, at)
+            if at < 0:  # it holds the rest of the page
+                yield size, size, "", False, ""
+                return
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded (numbers beyond Unicode as U+FFFD), white space as one space, trimmed."""
+    if "&#" in text:
+        text = _FAR.sub("\ufffd", _NOUGHTS.sub("&#", text))
+    return _SPACE.sub(" ", html.unescape(text)).strip()
+
+
+def blocks(page: str, weights: list[list[float]] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, without empty ones. Broken markup is read as far as it goes.
+
+    Blocks carry their features or, given ``weights``, the features' summed weights. Time and memory grow
+    with the page, however many tags it opens.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_: list[str] = []
+    path = Path(weights)
+    named: Counter[str] = Counter()
     silent = 0
     current: Block | None = None
-    links = 0
 
     def text(s: str) -> None:
         nonlocal current
-        if open_ and open_[-1][0] == "head" and s and not s.isspace():
+        if open_ and open_[-1] == "head" and s and not s.isspace():
             pop("head")
         if silent or not s:
             return
         if current is None:
             if s.isspace():
                 return
-            current = Block(tuple(x for x in open_ if x[0] not in INLINE))
+            current = path.block()
             out.append(current)
         current.parts.append(s)
-        if links:
+        if named["a"]:
             current.links += len(s)
 
     def pop(name: str) -> None:
-        nonlocal silent, links
+        nonlocal silent
         while open_:
-            top = open_.pop()[0]
+            top = open_.pop()
+            named[top] -= 1
             silent -= top in SILENT
-            links -= top == "a"
+            if top not in INLINE:
+                path.pop()
             if top == name:
                 return
 
     at = 0
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, name, closing, rest in _tags(page):
+        text(page[at:start])
+        at = end
+        if not name:
             continue
-        name, closing = m[2].lower(), m[1]
-        if open_ and open_[-1][0] == "head" and name not in IN_HEAD and (not closing or name in ("body", "br")):
+        if open_ and open_[-1] == "head" and name not in IN_HEAD and (not closing or name in ("body", "br")):
             pop("head")
         if name == "br":
             text("\n")
@@ -126,58 +227,49 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE and not silent:
             current = None
         if closing:
-            if any(x[0] == name for x in open_):
+            if named[name] > 0:
                 pop(name)
             continue
-        if name in ENDS_P and open_ and any(x[0] == "p" for x in open_[-6:]):
+        if name in ENDS_P and "p" in open_[-6:]:
             pop("p")
-        if name in ("li", "option", "tr", "td", "th", "dd", "dt") and open_ and open_[-1][0] == name:
+        if name in ("li", "option", "tr", "td", "th", "dd", "dt") and open_ and open_[-1] == name:
             pop(name)
         if name == "body" and silent:
-            while open_ and open_[-1][0] != "html":
-                pop(open_[-1][0])
-        if name in VOID or m[3].endswith("/"):
+            while open_ and open_[-1] != "html":
+                pop(open_[-1])
+        if name in VOID or rest.endswith("/"):
             continue
         parts: tuple[str, ...] = ()
-        if "=" in m[3]:
-            parts = tuple(p for x in _NAME.finditer(m[3]) for p in _PART.findall((x[2] or x[3] or x[4] or "").lower()))
-        open_.append((name, parts))
+        if "=" in rest:
+            parts = tuple(p[:NAME_SIZE] for x in _NAME.finditer(rest) for p in _PART.findall((x[2] or x[3] or x[4] or "").lower()))
+        open_.append(name)
+        named[name] += 1
         silent += name in SILENT
-        links += name == "a"
-        if name in RAW:
-            at = _raw_end(page, name, at)
-            if at < 0:  # it holds the rest of the page
-                at = len(page)
+        if name not in INLINE:
+            path.push(name, parts)
     text(page[at:])
     kept = []
     for b in out:
-        b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
+        b.text = _decoded("".join(b.parts))
         if b.text:
             kept.append(b)
     return kept
 
 
+@lru_cache(maxsize=100_000)
 def _hash(s: str) -> int:
     h = 2166136261
-    for c in s.encode():
+    for c in s[:NAME_SIZE].encode():
         h = ((h ^ c) * 16777619) & 0xFFFFFFFF
     return h % BUCKETS
 
 
-@lru_cache(maxsize=100_000)
-def _chain_features(chain: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, ...]:
-    found = {"bias", "leaf:" + (chain[-1][0] if chain else "")}
-    for depth, (tag, parts) in enumerate(reversed(chain)):
-        found.add("in:" + tag)
-        if depth < 3:
-            found.add(f"at{depth}:{tag}")
-        for p in parts:
-            found.add("named:" + p)
-            found.add("word:" + p[:4])
-    return tuple(sorted({_hash(f) for f in found}))
+def _element_features(name: str, parts: tuple[str, ...]) -> list[int]:
+    return sorted({_hash("in:" + name), *(_hash("named:" + p) for p in parts), *(_hash("word:" + p[:4]) for p in parts)})
 
 
-def _features(page: list[Block]) -> list[tuple[int, ...]]:
+def _own_features(page: list[Block]) -> list[tuple[int, ...]]:
+    """The features of each block's own text and place."""
     out = []
     for i, b in enumerate(page):
         n = len(b.text)
@@ -191,24 +283,35 @@ def _features(page: list[Block]) -> list[tuple[int, ...]]:
             f"first:{i == 0}",
             f"last:{i == len(page) - 1}",
         ]
-        out.append((*_chain_features(b.chain), *(_hash(f) for f in own)))
+        out.append(tuple(_hash(f) for f in own))
     return out
 
 
+def _features(page: list[Block]) -> list[tuple[int, ...]]:
+    """All features of blocks that were read without weights."""
+    return [(*b.features, *own) for b, own in zip(page, _own_features(page), strict=True)]
+
+
 class Chain:
     """A two-label linear chain: weights of features by label, and of neighbouring labels."""
 
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.w, self.t = weights, steps
 
+    @cached_property
+    def weights(self) -> list[list[float]]:
+        return self.w.tolist()
+
     def emissions(self, page: list[tuple[int, ...]]) -> np.ndarray:
         flat = np.concatenate([np.asarray(x) for x in page])
         at = np.cumsum([0, *(len(x) for x in page[:-1])])
         return np.add.reduceat(self.w[flat], at, axis=0)
 
-    def decode(self, page: list[tuple[int, ...]]) -> list[int]:
-        """The best labelling (Viterbi)."""
+    def decode(self, page: list[tuple[int, ...]], sums: list[tuple[float, float]] | None = None) -> list[int]:
+        """The best labelling (Viterbi), ties to boilerplate; ``sums`` are added to the features' weights."""
         e, t = self.emissions(page).tolist(), self.t.tolist()
+        if sums:
+            e = [[a + x, b + y] for (a, b), (x, y) in zip(e, sums, strict=True)]
         score, back = e[0], []
         for row in e[1:]:
             from0 = [score[0] + t[0][0], score[1] + t[1][0]]
@@ -354,10 +457,10 @@ def model() -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     """The main blocks' texts in page order, joined by one space."""
-    found = blocks(page or "")
+    found = blocks(page or "", chain.weights)
     if not found:
         return ""
-    labels = chain.decode(_features(found))
+    labels = chain.decode(_own_features(found), [b.sums for b in found])
     return " ".join(b.text for b, y in zip(found, labels, strict=True) if y)
 
 
@@ -366,7 +469,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
     joined in page order by one space. A null or empty page, and one without main text, has an empty text.
-    Null ids and urls are passed on; other columns are left out; no rows give no rows. Memory: one batch.
+    Null ids and urls are passed on, repeated rows answered each; other columns are left out; no rows give no
+    rows. Pages of any length and depth are read whole, in time and memory that grow with their length.
+    Labels with equal scores go to boilerplate. Memory: one batch.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
 

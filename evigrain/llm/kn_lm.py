@@ -235,6 +235,11 @@ def _count_of(counts: np.ndarray) -> list[int]:
     return [int(x) for x in (*b[1:5], b[3:].sum(), counts.sum())]
 
 
+def _dealt(blobs: DataFrame, bits: int) -> DataFrame:
+    """As many partitions as shards, so that what a task reads doesn't grow with the corpus."""
+    return blobs.repartition(1 << bits, "shard")
+
+
 def fit(texts: DataFrame) -> Model:
     """Counts the training texts (one string column) and writes the model's shards."""
     store = _store.Store(texts.sparkSession, "kneser-ney")
@@ -248,7 +253,7 @@ def fit(texts: DataFrame) -> Model:
         real = words != BEGIN
         return pa.table({"shard": [key[0].as_py()], "path": [path], "tokens": [int(counts[real].sum())], "vocabulary": [int(real.sum())]})
 
-    made = _word_counts(texts, word_bits).groupBy("shard").applyInArrow(merge_words, "shard long, path string, tokens long, vocabulary long")
+    made = _dealt(_word_counts(texts, word_bits), word_bits).groupBy("shard").applyInArrow(merge_words, "shard long, path string, tokens long, vocabulary long")
     made = store.table(made, "words").collect()  # a row for each shard
     words = [""] * (1 << word_bits)
     for r in made:
@@ -332,7 +337,7 @@ def fit(texts: DataFrame) -> Model:
         return pa.Table.from_batches([own, sent])
 
     names = ["shard", "path", "counts", "blob", "what"]
-    counted = texts.mapInArrow(count_bigrams, "shard long, blob binary").groupBy("shard")
+    counted = _dealt(texts.mapInArrow(count_bigrams, "shard long, blob binary"), bits).groupBy("shard")
     counted = store.table(counted.applyInArrow(merge_bigrams, "shard long, path string, counts array<long>, blob binary, what long"), "bigrams")
     bigrams, of_counts = [""] * (1 << bits), np.zeros(6, np.int64)
     for r in counted.where("what = 0").select("shard", "path", "counts").collect():
@@ -351,11 +356,12 @@ def fit(texts: DataFrame) -> Model:
         path = _store.write_arrays(folder, f"neighbours{s}", {k: _narrow(v) for k, v in out.items()})
         return pa.table({"shard": [s], "path": [path], "counts": pa.array([_count_of(out["left"])], pa.list_(pa.int64()))})
 
-    merged = counted.where("what > 0").select("shard", "what", "blob").groupBy("shard").applyInArrow(merge_neighbours, "shard long, path string, counts array<long>")
+    merged = _dealt(counted.where("what > 0").select("shard", "what", "blob"), word_bits).groupBy("shard").applyInArrow(merge_neighbours, "shard long, path string, counts array<long>")
     neighbours, of_left = [""] * (1 << word_bits), np.zeros(6, np.int64)
     for r in store.table(merged, "neighbours").collect():
         neighbours[r.shard] = r.path
         of_left += r.counts
+    store.keep_only("arrays")
     return Model(word_bits, words, bits, bigrams, neighbours, hot, tokens, vocabulary, of_counts.tolist(), of_left.tolist())
 
 

@@ -135,11 +135,11 @@ def build_index(docs: DataFrame, store: _store.Store, least: int) -> list[str]:
     return [paths.get(i, "") for i in range(shards)]
 
 
-def _owners(files: list[str], found: list[tuple[int, int]]) -> np.ndarray:
-    """The owning document of each key, ``NULL_ID`` and -1 for none: -1 means the key isn't repeated."""
-    out = np.full(len(found), -1, np.int64)
+def _owners(files: list[str], found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are repeated, and the owning document of each of these (``NULL_ID`` for a null)."""
+    out, repeated = np.zeros(len(found), np.int64), np.zeros(len(found), bool)
     if not found:
-        return out
+        return repeated, out
     both = np.array(found, np.uint64)
     shard = np.mod(both[:, 0].view(np.int64) if both[:, 0].flags.c_contiguous else np.ascontiguousarray(both[:, 0]).view(np.int64), len(files))
     key64 = mix(both[:, 0]) ^ both[:, 1]
@@ -153,13 +153,14 @@ def _owners(files: list[str], found: list[tuple[int, int]]) -> np.ndarray:
             inside = at >= 0
             hit = arrays["print"][at[inside]] == both[rows[inside], 1]
             out[rows[inside][hit]] = arrays["owner"][at[inside][hit]]
-    return out
+            repeated[rows[inside][hit]] = arrays["count"][at[inside][hit]] > 1
+    return repeated, out
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Drops repeated lines; returns doc_id, kept_text, n_lines, n_dropped and the columns named in ``keep``.
 
-    ``docs`` needs ``doc_id`` (whole numbers of 0 or more, or null) and ``text``; other columns are left out.
+    ``docs`` needs ``doc_id`` (whole numbers below 2 ** 63 - 1, or null) and ``text``; other columns are left out.
     A text is split at ``\\n``. A line's key is the line without ASCII white space at its ends, A-Z in lower
     case. Keys of at least ``least`` code points found in two documents or more lose their lines everywhere
     but in the smallest document. Rows with the same ``doc_id`` are the same document. Null or empty texts
@@ -171,6 +172,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, keep: list[str] | None = None)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(names)])
     store = _store.Store(docs.sparkSession, "line-dedup")
     files = build_index(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text"), store, least)
+    store.keep_only("line-index")
 
     def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,8 +182,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, keep: list[str] | None = None)
                 parts.append((lines, places))
                 found += own
                 owner += [NULL_ID if doc is None else doc] * len(own)
-            first = _owners(files, found)
-            drop = (first >= 0) & (first != np.array(owner, np.int64))
+            repeated, first = _owners(files, found)
+            drop = repeated & (first != np.array(owner, np.int64))
             at, kept, before, gone = 0, [], [], []
             for lines, places in parts:
                 own = drop[at : at + len(places)]

@@ -4,12 +4,15 @@ Method: one-permutation hashing splits a document's shingle hashes into bins and
 value; empty bins are filled by optimal densification (each draws other bins by its own hash sequence
 until one has a value). Rows of bins make bands, and documents with an equal band share a bucket. Within a
 bucket every document meets two centres, so a bucket of n documents gives about 2 n candidates, not n * n,
-and of all its centres a document is compared with those that it is nearest to. Candidates are confirmed on full shingle sets and joined to components by alternating star
-contractions. A star alone could miss a link between two documents that both differ from the centre; so
-buckets that still hold several components are searched again, all members outside the bucket's main
-component against the members of other components. There a bitmap of each set bounds what two sets can have
-in common: parities of hashed shingles, so two bitmaps differ in no more bits than the sets do in shingles.
-The bound is exact (it never parts a true pair) and leaves few pairs for the full sets.
+and of all its centres a document is compared with those that it is nearest to. Candidates are confirmed on
+full shingle sets and joined to components by alternating star contractions.
+
+A star alone could miss a link between two documents that both differ from the centre. So the members of
+buckets that still hold several components are searched again, by an exact filter in place of all pairs: of
+two sets that are alike enough, the few shingles of each that come first in one common order share one. The
+order is by how many of these members hold a shingle, rarest first, so a template's shingles come last.
+What is left is bounded by sizes and by bitmaps (parities of hashed shingles, so two bitmaps differ in no
+more bits than the sets do in shingles). Neither bound ever parts a true pair.
 
 Equal sets are collapsed before all this, so exact copies cost one row.
 """
@@ -17,6 +20,7 @@ Equal sets are collapsed before all this, so exact copies cost one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,10 @@ _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
 BITMAP_WORDS = 16
 CENTRES = 2
 WANTED_IDS = 4_000_000
+SLOTS = 1 << 20
+MOST_SLOTS = 1 << 26
+FLUSH = 1 << 21
+GROUP = 2000
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
 
 
@@ -117,30 +125,31 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "bands").mapInArrow(spread, "key long, id long, n long")
 
 
-def _wanted(ids: DataFrame, store: _store.Store) -> list[str]:
-    """Writes ids as sorted arrays, dealt by remainder; returns the files."""
-    ids = store.table(ids.distinct(), "wanted")
-    shards, folder = _store.cut(ids.count(), WANTED_IDS), store.uri
+def _wanted(rows: DataFrame, store: _store.Store, name: str) -> list[str]:
+    """Writes distinct ids, and other whole numbers beside them, as arrays in order of ids, dealt by remainder; returns the files."""
+    rows = store.table(rows.distinct(), name)
+    shards, folder, columns = _store.cut(rows.count(), WANTED_IDS), store.uri, rows.columns
 
-    def write(key: tuple, rows: pa.Table) -> pa.Table:
-        path = _store.write_arrays(f"{folder}/wanted-ids", f"s{key[0].as_py()}", {"id": np.sort(rows["id"].to_numpy())})
+    def write(key: tuple, part: pa.Table) -> pa.Table:
+        order = np.argsort(part["id"].to_numpy())
+        path = _store.write_arrays(f"{folder}/{name}-arrays", f"s{key[0].as_py()}", {c: part[c].to_numpy()[order] for c in columns})
         return pa.table({"shard": [key[0].as_py()], "path": [path]})
 
-    made = ids.withColumn("shard", F.pmod("id", F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(write, "shard long, path string")
-    files = dict(store.table(made, "wanted-files").collect())
+    made = rows.withColumn("shard", F.pmod("id", F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(write, "shard long, path string")
+    files = dict(store.table(made, f"{name}-files").collect())
     return [files.get(i, "") for i in range(shards)]
 
 
-def _among(ids: np.ndarray, files: list[str]) -> np.ndarray:
-    """Which ids are in the arrays."""
-    out = np.zeros(len(ids), bool)
+def _among(ids: np.ndarray, files: list[str], field: str = "id") -> tuple[np.ndarray, np.ndarray]:
+    """Which ids are in the arrays, and the numbers of ``field`` beside them."""
+    found, out = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
     shard = ids % len(files)
     for s in np.unique(shard).tolist():
         if files[s]:
-            known, rows = _store.open_arrays(files[s])["id"], np.flatnonzero(shard == s)
-            at = np.minimum(np.searchsorted(known, ids[rows]), len(known) - 1)
-            out[rows] = known[at] == ids[rows]
-    return out
+            arrays, rows = _store.open_arrays(files[s]), np.flatnonzero(shard == s)
+            at = np.minimum(np.searchsorted(arrays["id"], ids[rows]), len(arrays["id"]) - 1)
+            found[rows], out[rows] = arrays["id"][at] == ids[rows], arrays[field][at]
+    return found, out
 
 
 def _sets(docs: DataFrame, width: int, files: list[str]) -> DataFrame:
@@ -148,7 +157,7 @@ def _sets(docs: DataFrame, width: int, files: list[str]) -> DataFrame:
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_among(b.column(0).to_numpy(), files)))
+            b = b.filter(pa.array(_among(b.column(0).to_numpy(), files)[0]))
             ids, out, size = [], [], 0
             numbers = b.column(0).to_pylist()
             for r, s in shingle_sets(b.column(1), width):
@@ -163,6 +172,100 @@ def _sets(docs: DataFrame, width: int, files: list[str]) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(full, "id long, shingles binary")
 
 
+def _frequencies(sets: DataFrame, files: list[str], slots: int, store: _store.Store) -> list[str]:
+    """How many of the sets in question hold the shingles of each slot (a slot is a shingle hash modulo ``slots``), as arrays of ``SLOTS`` slots."""
+
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            return pa.record_batch([pa.array(x[at]), pa.array(np.diff(np.append(at, len(x))))], ["slot", "n"])
+
+        for b in batches:
+            for s in b.filter(pa.array(_among(b.column(0).to_numpy(), files)[0])).column(1):
+                held.append((np.frombuffer(s.as_buffer(), np.uint64) % _U(slots)).astype(np.int64))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    folder = store.uri
+
+    def write(key: tuple, part: pa.Table) -> pa.Table:
+        n = np.zeros(SLOTS, np.uint32)
+        n[part["slot"].to_numpy() % SLOTS] = np.minimum(part["n"].to_numpy(), 2**32 - 1)
+        return pa.table({"shard": [key[0].as_py()], "path": [_store.write_arrays(f"{folder}/slot-arrays", f"s{key[0].as_py()}", {"n": n})]})
+
+    summed = sets.mapInArrow(slots_of, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    made = summed.withColumn("shard", F.floor(F.col("slot") / SLOTS)).groupBy("shard").applyInArrow(write, "shard long, path string")
+    found = dict(store.table(made, "slot-files").collect())  # at most MOST_SLOTS / SLOTS rows
+    return [found.get(i, "") for i in range(-(-slots // SLOTS))]
+
+
+def _prefixes(sets: DataFrame, files: list[str], slots: int, counts: list[str], percent: int) -> DataFrame:
+    """Of each set in question the shingles that come first, rarest first: shingle, id, root, n.
+
+    A set of n shares at least ``percent`` % of its own n with any set alike enough, so one of its first
+    n - ceil(n * percent / 100) + 1 is among the other's first ones as well.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [_store.open_arrays(c)["n"] if c else np.zeros(SLOTS, np.uint32) for c in counts]
+        for b in batches:
+            found, roots = _among(b.column(0).to_numpy(), files, "root")
+            rows = np.flatnonzero(found)
+            keys, ids, own, sizes, held = [], [], [], [], 0
+            for r in rows.tolist():
+                s = np.frombuffer(b.column(1)[r].as_buffer(), np.uint64)
+                slot = (s % _U(slots)).astype(np.int64)
+                often = np.empty(len(s), np.uint32)
+                for k in np.unique(slot // SLOTS).tolist():
+                    at = slot // SLOTS == k
+                    often[at] = tables[k][slot[at] % SLOTS]
+                take = len(s) - -(-len(s) * percent // 100) + 1
+                keys.append(s[np.lexsort((s, often))[:take]])
+                for out, x in ((ids, b.column(0)[r].as_py()), (own, int(roots[r])), (sizes, len(s))):
+                    out.append(np.full(take, x, np.int64))
+                held += take
+                if held >= FLUSH // 8:
+                    yield _prefix_rows(keys, ids, own, sizes)
+                    keys, ids, own, sizes, held = [], [], [], [], 0
+            if held:
+                yield _prefix_rows(keys, ids, own, sizes)
+
+    return sets.mapInArrow(first, "shingle long, id long, root long, n long")
+
+
+def _prefix_rows(keys: list[np.ndarray], *others: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([_signed(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in others)], ["shingle", "id", "root", "n"])
+
+
+def _missed(at: DataFrame, sets: DataFrame, bits: DataFrame, store: _store.Store, percent: int) -> DataFrame:
+    """Pairs (a, b) of members with different roots that may be alike: none that is alike is left out.
+
+    ``at`` has the members in question: id, root, n. A shingle that many of them hold first is dealt out in
+    blocks of ``GROUP`` rows, so that no task has all its pairs.
+    """
+    files = _wanted(at.select("id", "root"), store, "members-in-question")
+    total = at.agg(F.sum("n")).first()[0] or 0
+    slots = 1 << (_store.cut(total, 4, SLOTS, MOST_SLOTS) - 1).bit_length()
+    rows = store.table(_prefixes(sets, files, slots, _frequencies(sets, files, slots, store), percent), "prefixes")
+    of_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
+    groups = of_root.groupBy("shingle").agg(F.sum("k").alias("k"), F.max(F.struct("k", F.col("root").alias("main"))).alias("top"), F.count("*").alias("roots"))
+    groups = groups.where("roots > 1").select("shingle", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"), F.col("top.main").alias("main"))
+    rows = rows.join(groups, "shingle")
+    few = rows.where("root <> main").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    every = rows.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = few.join(every, ["shingle", "block"]).where((F.col("ra") != F.col("rb")) & _sizes_fit(percent))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(_side(bits, "b"), "b").join(_side(bits, "a"), "a")
+    return pairs.where(_bitmaps_fit(percent)).select("a", "b")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
@@ -187,7 +290,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def components(edges: DataFrame, store: _store.Store, name: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, store: _store.Store, name: str) -> DataFrame:
     """Connected components of links (a, b): id, root (the smallest id). Only linked ids have a row.
 
     Alternates the large and the small star, each an aggregation and a join written to the shared folder,
@@ -199,7 +302,7 @@ def components(edges: DataFrame, store: _store.Store, name: str, rounds: int = 6
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = mark(now)
-    for k in range(1, rounds):
+    for k in count(1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -249,23 +352,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = star.where(_sizes_fit(percent) & _bitmaps_fit(percent))
     best = Window.partitionBy("b").orderBy(_differ() - F.least("na", "nb"), "a")
     star = star.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CENTRES).select("a", "b")
-    sets = store.table(_sets(docs, width, _wanted(members.select("id"), store)), "sets")
+    sets = store.table(_sets(docs, width, _wanted(members.select("id"), store, "wanted")), "sets")
     links = store.table(_confirm(star, sets, percent), "links-0")
     roots = components(links, store, "roots-0")
 
-    # then the rest: buckets that hold several components
-    at = members.select("key", "id", "n").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    at = store.table(at, "placed")
+    # then the rest: members of buckets that hold several components
+    at = store.table(members.select("key", "id", "n").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
     mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    at = at.join(mixed, "key")
-    main = at.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", F.col("root").alias("main"))).alias("top")).select("key", F.col("top.main").alias("main"))
-    at = at.drop("n").join(bits, "id")
-    few = _side(at.join(main, "key").where("root <> main"), "b")
-    rest = few.join(_side(at, "a"), "key").where((F.col("ra") != F.col("rb")) & _sizes_fit(percent) & _bitmaps_fit(percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = store.table(rest, "rest")
+    at = at.join(mixed, "key").select("id", "root", "n").distinct()
+    rest = store.table(_missed(store.table(at, "in-question"), sets, bits, store, percent), "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
     roots = components(links.union(more), store, "roots-1") if more.limit(1).count() else roots
+    roots = store.table(roots, "roots")
+    store.keep_only("profiles", "classes", "roots")
 
     found = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
     out = profiles.drop("bands", "bits").join(found, ["h1", "h2"], "left")
@@ -281,9 +380,8 @@ def _sizes_fit(percent: int):
 
 
 def _side(df: DataFrame, x: str) -> DataFrame:
-    """The columns of one end of a pair: id, size and bitmap, and key and root where there are any."""
-    more = [F.col(c) if c == "key" else F.col(c).alias(f"r{x}") for c in ("key", "root") if c in df.columns]
-    return df.select(*more, F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
+    """The columns of one end of a pair: id, size and bitmap."""
+    return df.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
 
 
 def _differ():

@@ -3,8 +3,9 @@
 Each half of a (normalised) vector has its own centroids, fitted on a bounded sample; a pair of centroids
 is a cell. Every row goes to its cell's list; lists are files in the shared folder, one for each centroid
 of the first half (several where it is crowded), sorted by the second half's centroid. A query walks the
-centroid pairs by summed distance with a heap, gathers lists until they hold enough rows, and reranks
-these by the exact measure.
+centroid pairs by summed distance with a heap and reranks the lists by the exact measure, some hundreds of
+rows at a time, until they held enough rows or no later cell can hold a nearer one. Each cell's radius
+bounds how near its rows can be, so a cell that can't matter is passed over unread.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from . import _store, _vectors
 
 SAMPLE = 20_000
 CELL_ROWS = 4
-MOST_CENTROIDS = 256
+MOST_CENTROIDS = 1024
 FILE_ROWS = 100_000
-PROBE_ROWS = 2000
+BATCH_ROWS = 1024
 RECALL = 0.97
 CALIBRATION = 100
 
@@ -56,15 +57,15 @@ def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
 
-def walk(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j) by ascending ``one[i] + two[j]``, with a heap over the two sorted lists."""
+def walk(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[float, int, int]]:
+    """Sums and pairs (i, j) by ascending ``one[i] + two[j]``, with a heap over the two sorted lists."""
     a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
     x, y = one[a].tolist(), two[b].tolist()
     a, b = a.tolist(), b.tolist()
     heap, at = [(x[0] + y[0], 0, 0)], [-1] * len(a)
     while heap:
-        _, i, j = heapq.heappop(heap)
-        yield a[i], b[j]
+        total, i, j = heapq.heappop(heap)
+        yield total, a[i], b[j]
         at[i] = j
         if j + 1 < len(b) and (i == 0 or at[i - 1] > j):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
@@ -92,23 +93,23 @@ def calibrate(x: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, reca
     return float(np.quantile(np.concatenate(ranks), recall))
 
 
-def nearest(table: DataFrame, k: int = 5, every: int = 50, probe_rows: int = PROBE_ROWS, recall: float = RECALL) -> DataFrame:
+def nearest(table: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL, share: float | None = None) -> DataFrame:
     """The ``k`` rows found nearest by cosine for each row whose ``vec_id`` is divisible by ``every``.
 
-    Returns query_id, rank, vec_id, score (the cosine of the original vectors, in double precision), ties
-    to the smaller id. Candidates are the rows with another ``vec_id`` than the query's; a repeated row is
-    found repeatedly. A query reranks ``probe_rows`` rows or the share of all rows that reaches ``recall``
-    on the sample (see :func:`calibrate`), whichever is more, so all candidates where there are few. Which
+    Returns query_id, rank, vec_id, score (the cosine of the original vectors, in double precision) and
+    reranked (how many rows the query was compared with), ties to the smaller id. Candidates are the rows with another ``vec_id`` than the query's; a repeated row is
+    found repeatedly. A query walks over ``share`` of all rows, or the share that reaches ``recall`` on the
+    sample (see :func:`calibrate`), and over ``k`` others at least; it reads less where bounds allow. Which
     rows take part: see ``_vectors.usable``; other columns are left out; no rows give no rows. Centroids
     and share are fitted on at most ``SAMPLE`` rows, those of the smallest hashes; every row is indexed.
-    Memory: the centroids and the cells' sizes (at most ``MOST_CENTROIDS`` squared numbers) on the driver;
-    lists are mapped.
+    Memory: the centroids and the cells' sizes and radii (at most ``MOST_CENTROIDS`` squared numbers) on the
+    driver; lists are mapped, and a query holds ``BATCH_ROWS`` rows and one cell at a time.
     """
     spark = table.sparkSession
     store = _store.Store(spark, "multi-index")
     v = store.table(_vectors.usable(table, nonzero=True), "vectors")
     n = v.count()
-    shape = "query_id long, rank int, vec_id long, score double"
+    shape = "query_id long, rank int, vec_id long, score double, reranked long"
     if not n:
         return spark.createDataFrame([], shape)
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()  # bounded
@@ -121,12 +122,14 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, probe_rows: int = PRO
         for b in batches:
             u = _unit(_vectors.matrix(b.column(1)))
             i, j = (_near(u[:, :half], first), _near(u[:, half:], second)) if len(b) else (np.zeros(0, int),) * 2
-            yield pa.record_batch([*b.columns, pa.array(i), pa.array(j)], ["vec_id", "embedding", "i", "j"])
-
-    placed = store.table(v.mapInArrow(assign, "vec_id long, embedding array<double>, i long, j long"), "placed")
-    counts = np.zeros((len(first), len(second)), np.int64)
-    for r in placed.groupBy("i", "j").agg(F.count("*").alias("n")).collect():  # at most MOST_CENTROIDS squared
-        counts[r.i, r.j] = r.n
+            away = np.sqrt(((u - np.concatenate([first[i], second[j]], axis=1)) ** 2).sum(1)) if len(b) else np.zeros(0)
+            yield pa.record_batch([*b.columns, pa.array(i), pa.array(j), pa.array(away)], ["vec_id", "embedding", "i", "j", "away"])
+
+    placed = store.table(v.mapInArrow(assign, "vec_id long, embedding array<double>, i long, j long, away double"), "placed")
+    counts, radius = np.zeros((len(first), len(second)), np.int64), np.zeros((len(first), len(second)))
+    cells = placed.groupBy("i", "j").agg(F.count("*").alias("n"), F.max("away").alias("away")).toArrow()  # at most MOST_CENTROIDS squared
+    at = cells["i"].to_numpy(), cells["j"].to_numpy()
+    counts[at], radius[at] = cells["n"].to_numpy(), cells["away"].to_numpy()
     parts = np.maximum(1, -(-counts.sum(1) // FILE_ROWS)).tolist()
     folder = store.uri
 
@@ -143,45 +146,72 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, probe_rows: int = PRO
     for r in store.table(made, "files").collect():
         files[r.i].append(r.path)
     files = [sorted(f) for f in files]
-    want = max(probe_rows, int(calibrate(x, first, second, k, recall) * n), k) + 1
-    filled = counts.tolist()
+    share = calibrate(x, first, second, k, recall) if share is None else share
+    want = max(int(np.ceil(share * n)), k) + 1
+    index = Index(first, second, counts, radius, files, want, k)
+    store.keep_only("vectors", "lists")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _vectors.matrix(b.column(1))
             u = _unit(q) if len(b) else q
-            found = []
-            for row, query in enumerate(b.column(0).to_pylist()):
-                d1 = ((first - u[row, :half]) ** 2).sum(1)
-                d2 = ((second - u[row, half:]) ** 2).sum(1)
-                lists, have = [[] for _ in files], 0
-                for i, j in walk(d1, d2):
-                    if filled[i][j]:
-                        lists[i].append(j)
-                        have += filled[i][j]
-                        if have >= want:
-                            break
-                found.append(_rerank(query, q[row], lists, files, k))
-            yield _vectors.results(found, pa.float64())
+            found = [(query, *index.search(query, q[row], u[row])) for row, query in enumerate(b.column(0).to_pylist())]
+            out = _vectors.results([f[:3] for f in found], pa.float64())
+            yield out.append_column("reranked", pa.array(np.repeat([f[3] for f in found], [len(f[1]) for f in found]).astype(np.int64)))
 
     queries, _ = _vectors.query_rows(v, every)
     return queries.mapInArrow(search, shape)
 
 
-def _rerank(query: int, q: np.ndarray, lists: list[list[int]], files: list[list[str]], k: int) -> tuple[int, np.ndarray, np.ndarray]:
-    ids, vectors = [], []
-    for i, chosen in enumerate(lists):
-        for path in files[i] if chosen else ():
-            a = _store.open_arrays(path)
-            lo, hi = a["start"][chosen], a["start"][1:][chosen]
-            size = hi - lo
-            rows = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            ids.append(a["id"][rows])
-            vectors.append(a["vector"].reshape(-1, len(q))[rows])
-    ids, x = np.concatenate(ids), np.concatenate(vectors)
-    keep = ids != query
-    ids, x = ids[keep], x[keep]
-    # row sums don't depend on a row's place, so equal vectors have equal scores
-    scores = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
-    top = _vectors.best(ids, scores, k)
-    return query, ids[top], scores[top]
+class Index:
+    """Centroids, cells and lists, as a task uses them."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray, radius: np.ndarray, files: list[list[str]], want: int, k: int):
+        self.first, self.second, self.counts, self.radius = first, second, counts, radius
+        self.files, self.want, self.k = files, want, k
+        self.widest = float(radius.max(initial=0))
+
+    def search(self, query: int, q: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores found for one query, ``u`` its unit vector, and how many rows it was compared with."""
+        half = self.first.shape[1]
+        cells = walk(((self.first - u[:half]) ** 2).sum(1), ((self.second - u[half:]) ** 2).sum(1))
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        chosen, held, passed, work, reach = [], 0, 0, 0, np.inf
+        for d, i, j in cells:
+            n, away = int(self.counts[i, j]), max(d, 0.0) ** 0.5 - 1e-9
+            if away - self.widest > reach:
+                break
+            passed += n
+            if n and away - self.radius[i, j] <= reach:
+                chosen.append((i, j))
+                held += n
+            if held >= BATCH_ROWS or passed >= self.want:
+                ids, scores, reach = self._rerank(query, q, chosen, ids, scores)
+                work += held
+                chosen, held = [], 0
+                if passed >= self.want:
+                    break
+        if chosen:
+            ids, scores, _ = self._rerank(query, q, chosen, ids, scores)
+        return ids, scores, work + held
+
+    def _rerank(self, query: int, q: np.ndarray, chosen: list[tuple[int, int]], ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The best of those found before and the rows of the chosen cells, and how far the last of them is."""
+        lists: dict[int, list[int]] = {}
+        for i, j in chosen:
+            lists.setdefault(i, []).append(j)
+        for i, js in lists.items():
+            for path in self.files[i]:
+                a = _store.open_arrays(path)
+                lo, hi = a["start"][js], a["start"][1:][js]
+                size = hi - lo
+                rows = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                rows = rows[a["id"][rows] != query]
+                x = a["vector"].reshape(-1, len(q))[rows]
+                # row sums don't depend on a row's place, so equal vectors have equal scores
+                own = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+                ids, scores = np.concatenate([ids, a["id"][rows]]), np.concatenate([scores, own])
+                top = _vectors.best(ids, scores, self.k)
+                ids, scores = ids[top], scores[top]
+        full = len(ids) == self.k
+        return ids, scores, float(np.sqrt(max(2 - 2 * scores[-1], 0))) + 1e-7 if full else np.inf

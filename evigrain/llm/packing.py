@@ -25,7 +25,7 @@ from . import _bpe, _store
 
 BINS = 64
 PATTERN_PIECES = 3
-SALT_ROWS = 500_000
+SALT_ROWS = 200_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -200,14 +200,15 @@ def place(pieces: DataFrame, size: int, bins: int = BINS) -> DataFrame:
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = Plan(size, histogram, bins)
     table = {k: np.array(sorted((first, n, seq, off) for _, first, n, seq, off in v), np.int64).T for k, v in _grouped(plan.runs).items()}
-    salts = _store.cut(sum(histogram.values()), SALT_ROWS, 16, 512)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # a length's salts follow its own count; their table has a row for each length (at most ``size``)
+    salts = pieces.sparkSession.createDataFrame([(k, _store.cut(n, SALT_ROWS)) for k, n in histogram.items()], "length long, _salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), "_salts").cast("int")).drop("_salts")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
-    # at most size * 512 rows: bounded by the parameters
+    # a row for each length, and for every SALT_ROWS pieces
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = salted.withColumn("_in", F.row_number().over(within)).join(F.broadcast(sizes), ["length", "_salt"])
+    ranked = salted.withColumn("_in", F.row_number().over(within)).join(sizes, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in") - 1).select(*pieces.columns, "_rank")
     columns = pieces.columns
 

@@ -241,6 +241,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     """
     store = _store.Store(docs.sparkSession, "quality")
     context, net = train(store.table(labelled_sample(docs, labels, sample), "sample"))
+    store.remove()
     keep = [c for c in keep or [] if c not in ("doc_id", "held_out", "score", "predicted")]
     others = [c for c in keep if c != "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(others)])

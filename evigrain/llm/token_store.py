@@ -67,18 +67,20 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
     """Encodes whole texts, appends ``end_id`` to each and writes shards in ascending ``doc_id`` order.
 
     Returns one row a shard: place, path, documents and ids in it. A null text is empty, a null ``doc_id``
-    comes before all others, rows with the same ``doc_id`` follow one another by text. No rows, no shards.
+    comes before all others, rows with the same ``doc_id`` follow one another by a hash of the text, then by
+    text, over as many shards as they fill. No rows, no shards.
     Memory: a shard's ids (about ``shard_bytes`` of text) and one batch of texts.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = _store.cut(2 * _store.input_bytes(docs), shard_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    parts = _store.cut(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, shard_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _bpe.tokenizer(vocabulary)
         end = np.array([end_id], t.dtype)
-        ids, sizes, numbers = [], [], []
+        ids, sizes, numbers, ties = [], [], [], []
         for b in batches:
             numbers += b.column(0).to_pylist()
+            ties += b.column(2).to_pylist()
             for x in t.encode(b.column(1)):
                 ids += [x, end]
                 sizes.append(len(x) + 1)
@@ -92,9 +94,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         arrays = {"ids": np.concatenate(ids), "known": np.packbits(known, bitorder="little"), "base": np.array([base], np.int64)}
         arrays |= EliasFano.encode(bounds, "bounds") | EliasFano.encode(np.where(known == 1, order - base, 0), "doc")
         path = _store.write_arrays(folder, "shard", arrays)
-        yield pa.record_batch([pa.array([int(order[0])]), pa.array([int(order[-1])]), pa.array([len(sizes)]), pa.array([int(bounds[-1])]), pa.array([path])], ["first_doc", "last_doc", "n_docs", "n_ids", "path"])
+        yield pa.record_batch([pa.array([int(order[0])]), pa.array([int(order[-1])]), pa.array([ties[0]]), pa.array([bool(known[0])]), pa.array([len(sizes)]), pa.array([int(bounds[-1])]), pa.array([path])], ["first_doc", "last_doc", "first_tie", "known", "n_docs", "n_ids", "path"])
 
-    return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "first_doc long, last_doc long, n_docs long, n_ids long, path string")
+    dealt = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return dealt.mapInArrow(write, "first_doc long, last_doc long, first_tie long, known boolean, n_docs long, n_ids long, path string")
 
 
 class Shard:
@@ -142,8 +145,9 @@ def token_store(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes:
     spark = docs.sparkSession
     store = _store.Store(spark, "token-store")
     made = store.table(write_tokens(docs, vocabulary, f"{store.uri}/tokens", end_id, shard_bytes), "shards").collect()
+    store.keep_only("tokens")
     base, shards = 0, []
-    for r in sorted(made, key=lambda r: (r.first_doc, r.last_doc)):
+    for r in sorted(made, key=lambda r: (r.known, r.first_doc, r.first_tie, r.last_doc)):
         shards.append((r.path, base))
         base += r.n_ids
     return read_tokens(spark, shards)

@@ -23,11 +23,11 @@ def discounts(counts) -> list[float]:
     return [0.0, *(min(max(x, 0.01), k - 0.01) for k, x in enumerate(d, 1))]
 
 
-def kneser_ney(docs: list[tuple[int, str | None]]) -> list[tuple]:
+def kneser_ney(docs: list[tuple[int, str | None]], repeated: bool = False) -> list[tuple]:
     """Rows of op2: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     streams = {i: [*words(t), None] for i, t in docs}
     uni, bi = Counter(), Counter()
-    for i, s in streams.items():
+    for i, s in [(i, streams[i]) for i, _ in docs] if repeated else streams.items():
         if fold(i, 10):
             uni.update(s)
             bi.update(zip(["<s>", *s[:-1]], s, strict=True))

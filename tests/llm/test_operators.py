@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def empty(spark):
 
 
 def test_word_hashes_follow_words():
-    import pyarrow as pa
-
     texts = ["A b\x0bc", None, "", "a  B", "é\tÉ a", " "]
     found = {}
     for first, last, data, offsets in _text.chunks(pa.array(texts)):
@@ -85,6 +84,48 @@ def test_word_hashes_follow_words():
     assert len(set(found.values())) == len(found)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two unlike words of the letters a and b whose polynomial hashes modulo 2 ** 64 are equal."""
+    x = [k.bit_count() & 1 for k in range(n)]
+    return "".join(a if y else b for y in x), "".join(b if y else a for y in x)
+
+
+def test_hashes_see_every_byte():
+    texts = [w for n in (1024, 2048, 4096, 8192) for w in thue_morse(n)] + ["ab", "ab\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "x" * 1024, "x" * 1025, "abcdefgh" * 2, "abcdefgh" * 3]
+    for texts in (texts, [" ".join(texts)]):
+        data, offsets = _text.buffers(pa.array(texts))
+        hashes, _ = _text.word_hashes(data, offsets)
+        assert len(set(hashes.tolist())) == 17
+    starts, sizes = np.array([0, 9, 18, 27, 0]), np.array([9, 9, 9, 9, 2000])
+    runs = _text.Blocks(np.frombuffer(b"abcdefghi" * 2 + b"abcdefghiabcdefghj" * 2 + b"z" * 2000, np.uint8), starts, sizes)
+    assert runs.unlike(np.array([1, 1, 3, 3, 4])).tolist() == [2]
+
+
+def test_colliding_words_are_kept_apart(spark, monkeypatch):
+    rows = [(2 * k + i, f"one two {w} three") for k, n in enumerate((1024, 4096, 8192)) for i, w in enumerate(thue_morse(n))]
+    docs = spark.createDataFrame(documents(rows), DOCS)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, 2).collect())) == sorted(brute.components(rows, 2))
+    got = sorted(map(tuple, kn_lm.score_documents(docs).collect()))
+    for a, b in zip(got, sorted(brute.kneser_ney(rows)), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_with_equal_hashes_get_their_own_ids(name, monkeypatch):
+    """With a hash that knows the length only, every piece of the same length collides."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(_bpe.vocabulary(name))
+    texts = [[w for n in (1024, 2048, 4096, 8192) for w in thue_morse(n)], ["one two", "six ten", "one two abcdefghijkl abcdefghijkm", "two"], ["ten six", "abcdefghijkm"]]
+    for hashes in (None, lambda self: self.sizes.astype(np.uint64)):
+        if hashes:
+            monkeypatch.setattr(_text.Blocks, "hashes", hashes)
+        t = _bpe.PieceTokenizer(_bpe.vocabulary(name))
+        for part in texts:
+            for x, y in zip(part, t.encode(pa.array(part)), strict=True):
+                assert y.tolist() == lib.encode(x, add_special_tokens=False).ids
+
+
 # -- 1
 
 
@@ -120,6 +161,40 @@ def test_html_raw_text_and_open_heads(head):
     assert [b.text for b in html_crf.blocks(page)] == ["One two", "Three four."]
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, "<a " * 300_000 + ">", "<div>x " * 60_000, "<div>x " * 60_000 + "</b>" * 60_000, "<b>" * 60_000 + "<div>x</div>" * 30_000, '<a t=">"' * 200_000, '<a t="x ' * 200_001, "<script><!--" * 100_000, "&#" + "9" * 20_000 + ";", "".join(f"<div class=k{i}>x" for i in range(50_000))],
+    ids=range(10),
+)
+def test_html_long_and_deep_pages_take_seconds(page):
+    import time
+
+    began = time.perf_counter()
+    html_crf.main_text(page, html_crf.model())
+    assert time.perf_counter() - began < 20
+
+
+def test_html_tags_and_references():
+    def texts(page):
+        return [b.text for b in html_crf.blocks(page)]
+
+    assert texts("<p title='a>b'>one</p><p title=a\">two</p><!-->three<!--->four") == ["one", "two", "threefour"]
+    assert texts('<p title="a>one</p><p>two</p>') == ["one", "two"]  # a quote that is never closed
+    assert texts("<p>a &#0065; &#x41; &amp; &lt;b&gt; &#99999999999999999999; &#" + "0" * 5000 + "66;") == ["a A A & <b> \ufffd B"]
+    assert texts("</ x>one<!doctype>two<?x?></>three <") == ["onetwothree <"]
+    assert texts("<p>one <b") == ["one"]
+
+
+def test_html_weights_are_summed_as_features_are():
+    chain = html_crf.model()
+    for page, _ in html_crf.labelled_pages(40, seed=5):
+        plain, summed = html_crf.blocks(page), html_crf.blocks(page, chain.weights)
+        assert [b.text for b in plain] == [b.text for b in summed]
+        if plain:
+            want = chain.emissions([b.features for b in plain])
+            assert np.allclose(want, [b.sums for b in summed])
+
+
 def test_html_text_ends_a_head():
     assert [b.text for b in html_crf.blocks("<head> <title>T</title>\nPlain words<p>and more")] == ["Plain words", "and more"]
     assert [b.text for b in html_crf.blocks("<p>Before<script>if(a<b)f()")] == ["Before"]
@@ -152,13 +227,26 @@ def test_kneser_ney(docs, rows, empty):
     assert kn_lm.score_documents(empty).collect() == []
 
 
+def test_kneser_ney_odd_rows(spark):
+    """Rows that come twice are learned twice; a null id is in no fold."""
+    base = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c c a", "a b", None, ""] * 4)]
+    twice = [*base, *base]
+    got = {tuple(r) for r in kn_lm.score_documents(spark.createDataFrame(documents([*twice, (None, "a b q")]), DOCS)).collect() if r.doc_id is not None}
+    import evigrain.llm.kn_lm as module
+
+    held = [r for r in module.score_documents(spark.createDataFrame(documents([*twice, (None, "a b q")]), DOCS)).collect() if r.doc_id is None]
+    assert len(held) == 1 and held[0].held_out is None and held[0].n_tokens == 4 and held[0].n_known == 3
+    want = {r[0]: r for r in brute.kneser_ney(twice, repeated=True)}
+    assert len(got) == len(base)
+    for r in got:
+        assert r[:5] == want[r[0]][:5] and r[5:] == pytest.approx(want[r[0]][5:], rel=1e-9)
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all known words, the end and one unknown word, after any word."""
     texts = ["a b a c", "b a", "c c c a", "a"]
     model = kn_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
     kinds = ["a", "b", "c", "zzz"]
-    import pyarrow as pa
-
     for before in ("a", "b", "q"):
         p = 0.0
         for w in kinds:
@@ -200,6 +288,9 @@ def test_line_dedup(spark, docs, rows, empty):
     out = line_dedup.dedup_lines(spark.createDataFrame(documents(more), DOCS)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256))
     assert sorted(map(tuple, out.collect())) == brute_lines(more)
     assert line_dedup.dedup_lines(empty).collect() == []
+    below = [(-5, "a long enough line\nx"), (-3, "a long enough line\ny"), (-1, "a long enough line"), (0, "a long enough line\nz"), (-7, "another line of text"), (4, "another line of text")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(documents(below), DOCS)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert sorted(map(tuple, out.collect())) == brute_lines(below)
     nulls = line_dedup.dedup_lines(spark.createDataFrame(documents([(None, "a line of text\nb"), (None, "a line of text"), (5, "a line of text")]), DOCS))
     assert sorted((r.doc_id or 0, r.n_dropped) for r in nulls.collect()) == [(0, 1), (0, 1), (5, 0)]
 
@@ -237,6 +328,47 @@ def test_minhash_chains_and_copies(spark):
     assert len({r[2] for r in got}) == 2
 
 
+def test_minhash_of_a_shared_template(spark, monkeypatch):
+    """Many texts share most of a template and no two are alike, but for a few pairs that differ from every centre."""
+    monkeypatch.setattr(minhash, "GROUP", 5)
+    rnd = random.Random(6)
+    base = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i}x{k}" for k in range(50)]
+        rows.append((i, " ".join(base + own)))
+        if i % 10 == 0:
+            for c in range(3):
+                own[rnd.randrange(50)] = f"c{i}x{c}"
+                rows.append((1000 + 10 * i + c, " ".join(base + own)))
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(documents(rows), DOCS), 2).collect()))
+    want = sorted(brute.components(rows, 2))
+    assert got == want and len({r[2] for r in want}) == 120
+
+
+def test_minhash_prefixes_part_no_pair_that_is_alike(spark, docs, rows):
+    """The filter alone, over all documents as components of their own, against all pairs."""
+    from evigrain.llm import _store
+
+    store = _store.Store(spark, "test")
+    profiles = store.table(minhash._profiles(docs.select("doc_id", "text"), 2), "profiles").where("n > 0").withColumnRenamed("doc_id", "id")
+    sets = store.table(minhash._sets(docs.select("doc_id", "text"), 2, minhash._wanted(profiles.select("id"), store, "wanted")), "sets")
+    bits = profiles.select("id", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(minhash.BITMAP_WORDS)])
+    pairs = minhash._missed(profiles.select("id", F.col("id").alias("root"), "n"), sets, bits, store, 80)
+    found = {tuple(r) for r in minhash._confirm(pairs, sets, 80).collect()}
+    own = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or {tuple(w)} for i, w in ((i, brute.words(t)) for i, t in rows) if w}
+    want = {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    assert found == want and want
+    store.remove()
+
+
+def test_minhash_one_id_with_other_texts(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(w)), (9, " ".join(w[:58])), (5, "quite other words here"), (7, "quite other words here"), (11, "alone"), (5, "alone")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(documents(rows), DOCS), 2).collect()}
+    assert got == {(5, 59): (5, True), (9, 57): (5, False), (5, 3): (5, True), (7, 3): (5, False), (11, 1): (5, False), (5, 1): (5, True)}
+
+
 # -- 5
 
 
@@ -254,6 +386,11 @@ def test_token_store(spark, docs, rows, empty):
     assert token_store.token_store(empty, path).collect() == []
     odd = token_store.token_store(spark.createDataFrame(documents([(None, "a"), (-5, "b"), (None, None), (2, "c"), (2, "c")]), DOCS), path).collect()
     assert [r.doc_id for r in sorted(odd, key=lambda r: r.start)] == [None, None, -5, 2, 2]
+    # one id, and null ids, over several shards
+    many = spark.createDataFrame(documents([(i, f"text {k} " * 30) for k in range(300) for i in (None, 7)] + [(1, "a"), (9, "b")]), DOCS)
+    got = sorted(token_store.token_store(many, path, shard_bytes=4096).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [1] + [7] * 300 + [9]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
 
 
 def test_elias_fano():
@@ -275,8 +412,6 @@ def test_pieces_give_the_librarys_ids(name):
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + [None, "", "a<|endoftext|>b", "don't it's we'LL", "x" * 5000]
     t = _bpe.PieceTokenizer(_bpe.vocabulary(name))
     lib = Tokenizer.from_file(_bpe.vocabulary(name))
-    import pyarrow as pa
-
     for x, y in zip(texts, t.encode(pa.array(texts)), strict=True):
         assert y.tolist() == lib.encode(x or "", add_special_tokens=False).ids, repr(x)
 
@@ -302,6 +437,8 @@ def test_sentencepiece(spark, docs, rows, empty):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert got[i].decoded_sha256 == hashlib.sha256((x or "").encode()).hexdigest()
     assert sp_codec.round_trip(empty, path).collect() == []
+    odd = sp_codec.round_trip(spark.createDataFrame(documents([(None, "a b"), (None, None), (3, "a b"), (3, "a b")]), DOCS), path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in odd) == sorted((i, len(library.encode(x))) for i, x in ((0, "a b"), (0, ""), (3, "a b"), (3, "a b")))
 
 
 def test_unigram_viterbi():
@@ -352,7 +489,7 @@ def vectors(n=700, size=16, seed=5):
 
 def test_multi_index(spark):
     rows = vectors()
-    out = multi_index.nearest(spark.createDataFrame(rows, VECTORS), probe_rows=1).collect()
+    out = multi_index.nearest(spark.createDataFrame(rows, VECTORS)).collect()
     x = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and i < 5000]
     hits = total = 0
     for q, v in x:
@@ -366,7 +503,7 @@ def test_multi_index(spark):
             hits += len({i for _, i, _ in got} & {i for _, i in want})
             total += 5
     assert len(out) == total and hits / total >= 0.9
-    whole = multi_index.nearest(spark.createDataFrame(rows, VECTORS), probe_rows=10_000).where("query_id = 150").orderBy("rank").collect()
+    whole = multi_index.nearest(spark.createDataFrame(rows, VECTORS), share=1.0).where("query_id = 150").orderBy("rank").collect()
     assert [r.vec_id for r in whole] == [100, 101, 102, 103, 104]  # ties to the smaller id
     assert multi_index.nearest(spark.createDataFrame(rows[:3], VECTORS)).count() == 2
     assert multi_index.nearest(spark.createDataFrame([], VECTORS)).collect() == []
@@ -375,8 +512,53 @@ def test_multi_index(spark):
 def test_walk_is_in_order():
     rnd = np.random.default_rng(3)
     a, b = rnd.random(7), rnd.random(5)
-    sums = [a[i] + b[j] for i, j in multi_index.walk(a, b)]
-    assert len(sums) == 35 and sums == sorted(sums)
+    walked = list(multi_index.walk(a, b))
+    sums = [d for d, _, _ in walked]
+    assert len({(i, j) for _, i, j in walked}) == 35 and sums == sorted(sums)
+    assert all(d == a[i] + b[j] for d, i, j in walked)
+
+
+def test_multi_index_leaves_most_of_a_clustered_table_unread(spark):
+    rnd = np.random.default_rng(8)
+    n, size = 50_000, 32
+    centres = rnd.normal(size=(400, size))
+    x = (centres[rnd.integers(0, 400, n)] + 0.25 * rnd.normal(size=(n, size))).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    out = multi_index.nearest(rows, every=500).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 500):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len({r.vec_id for r in out if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (n / 500 * 5) >= 0.9
+    read = [r.reranked for r in out if r.rank == 1]
+    assert len(read) == n / 500 and np.mean(read) < 0.1 * n and max(read) < 0.5 * n
+
+
+def test_ball_tree_cuts_branches(tmp_path):
+    from evigrain.llm import _store
+
+    rnd = np.random.default_rng(9)
+    x = np.floor(256 * (np.repeat(rnd.normal(size=(40, 16)), 200, axis=0) + 0.05 * rnd.normal(size=(8000, 16)))).astype(np.int64)
+    files = []
+    for s in range(2):
+        tree = ball_tree.build(x[s::2], np.arange(s, 8000, 2))
+        files.append((_store.write_arrays(f"file://{tmp_path}", f"t{s}", tree), tree["centre"][:16], float(tree["radius"][0])))
+    queries = np.arange(0, 8000, 250)
+    found, work = ball_tree.search_shards(queries, x[queries], files, 5)
+    for q, ids, scores in found:
+        s = x @ x[q]
+        s[q] = -(2**62)
+        want = np.lexsort((np.arange(8000), -s))[:5]
+        assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+    assert work < 0.5 * len(queries) * len(x)
+
+
+def test_ball_tree_refuses_to_overflow(spark):
+    rows = [(i, [2.0**40, 1.0], 0, 1, 0.0) for i in range(3)]
+    with pytest.raises(Exception, match="64 bits"):
+        ball_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int, score double")).collect()
 
 
 def test_ball_tree(spark, monkeypatch):
@@ -500,6 +682,77 @@ def test_quality_learns_from_one_row_an_id(spark):
     assert len(small) == 7 and {tuple(r) for r in small} <= set(found[0])
 
 
+def test_quality_of_a_document_labelled_twice(spark):
+    docs = spark.createDataFrame(documents([(i, "good one" if i % 2 else "poor two") for i in range(1, 80)]), DOCS)
+    marks = [(i, i % 2) for i in range(1, 80)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    a, b = (dict(quality.score_quality(docs, frame(m)).select("doc_id", "score").collect()) for m in (marks, [*marks, *[(i, 0) for i, q in marks if q], *marks]))
+    assert a == pytest.approx(b)  # the higher label counts
+
+
+def test_quality_features_and_network_against_plain_loops(docs, rows):
+    """Context sums, pooled features and the forward pass, word by word."""
+    texts = [t for _, t in rows if len(t or "") < 3000]
+    column = pa.array(texts)
+    index = quality.index_vectors()
+    words, forms = {}, {}
+    for first, last, w, f, at in quality.tokens(column):
+        for r in range(first, last):
+            words[r], forms[r] = w[at[r - first] : at[r - first + 1]].tolist(), f[at[r - first] : at[r - first + 1]].tolist()
+    for r, t in enumerate(texts):
+        own = brute.words(t)
+        assert len(words[r]) == len(forms[r]) == len(own)
+    context = np.zeros((quality.BUCKETS, quality.DIM))
+    for r in words:
+        for i, w in enumerate(words[r]):
+            context[forms[r][i]] += index[w]
+            for j in range(max(0, i - quality.WINDOW), min(len(words[r]), i + quality.WINDOW + 1)):
+                if j != i:
+                    context[w] += index[words[r][j]]
+    sums = np.zeros((quality.BUCKETS, quality.DIM), np.int64)
+    quality.context_sums(sums, column)
+    assert np.array_equal(sums, context)
+    unit = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    x = quality.features(column, unit)
+    for r in words:
+        n = max(1, len(words[r]))
+        zero = np.zeros(quality.DIM)
+        want = [*(sum(unit[w] for w in words[r]) + zero) / n, *(sum(index[w] for w in words[r]) + zero) / n, *(sum(unit[f] for f in forms[r]) + zero) / n, *(sum(index[f] for f in forms[r]) + zero) / n, np.log1p(len(words[r])) / 10]
+        assert np.allclose(x[r], want, atol=1e-4)
+    net = quality.Network.train(x, np.arange(len(texts)) % 2.0, epochs=2)
+    for row, score in zip(x.tolist(), net.score(x).tolist(), strict=True):
+        hidden = [max(0.0, sum((v - m) / s * a for v, m, s, a in zip(row, net.w["mean"].tolist(), net.w["std"].tolist(), net.w["a"][:, h].tolist(), strict=True)) + float(net.w["b"][h])) for h in range(quality.HIDDEN)]
+        logit = sum(h * float(c) for h, c in zip(hidden, net.w["c"], strict=True)) + float(net.w["d"])
+        assert score == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-4)
+
+
+def test_shared_folder_and_scope(spark, tmp_path):
+    import os
+
+    from evigrain.llm import _store
+
+    class Cluster:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        _store.shared_folder(Session())
+    with _store.scope():
+        store = _store.Store(spark, "scoped")
+        store.table(spark.range(3), "x")
+        store.table(spark.range(3), "y")
+        store.keep_only("y")
+        folder = store.uri.removeprefix("file://")
+        assert sorted(os.listdir(folder)) == ["y"]
+    assert not os.path.exists(folder)
+
+
 def test_sizes_are_measured_where_estimates_mislead(spark):
     from evigrain.llm import _store
 
