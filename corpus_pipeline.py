@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows, written as Parquet and read
 again, are the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Each stage takes rows with nulls in any column, empty and very long texts, repeated rows and ids, and tables
+without rows (which give none). Columns beyond those of ``documents`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,10 +73,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each over the written result of the one before."""
+    """Applies the stages to ``documents``, each over the written result of the one before.
+
+    What a stage put into the shared folder goes when its result is written, and each result when the next
+    one is; the last stays for the caller.
+    """
     folder = f"{_store.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with _store.scope():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            _store.remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
