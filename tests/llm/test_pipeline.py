@@ -72,3 +72,32 @@ def test_packing(stages):
 def test_run(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[4])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines string, _text string, rank int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = " ".join(f"word{k % 977}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one line of some text\nand more", "en", "a", 30), (3, "one line of some text\nand more", "en", "a", 30)]
+    rows += [(None, "one line of some text\nown words here", None, "b", 5), (None, None, None, None, None), (-4, "one line of some text", "de", "b", 1), (9, long, "en", "c", 1), (10, long + " end", "en", "c", 1)]
+    return spark.createDataFrame([(*r, 1.0, "x", "y", 2) for r in rows], ODD)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, odd.limit(0), SF).collect() == []
+    found = stage(spark, odd, SF)
+    ids = sorted(-9 if r.doc_id is None else r.doc_id for r in found.collect())
+    if name != "packing":
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+    if name == "line_dedup":  # rows of ids above -4 lose the shared line; row 1 and 2 were empty before
+        assert ids == [-9, -9, -4, 1, 2, 3, 3, 9, 10]
+    if name == "near_dedup":
+        assert ids == [-9, -9, -4, 1, 2, 3, 3, 9]
+    if name == "packing":
+        assert set(ids) == {-9, -4, 1, 2, 3, 9, 10} and sum(r.length for r in found.collect() if r.doc_id == 9) > 30_000
+    if name == "quality":
+        assert set(ids) <= {-9, -4, 1, 2, 3, 9, 10}
