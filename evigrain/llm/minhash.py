@@ -8,11 +8,12 @@ and of all its centres a document is compared with those that it is nearest to.
 full shingle sets and joined to components by alternating star contractions.
 
 A star alone could miss a link between two documents that both differ from the centre. So the members of
-buckets that still hold several components are searched again, by an exact filter in place of all pairs: of
+buckets that still hold several components are searched again. Those that can have no partner go first: of
 two sets that are alike enough, the few shingles of each that come first in one common order share one. The
-order is by how many of these members hold a shingle, rarest first, so a template's shingles come last.
-What is left is bounded by sizes and by bitmaps (parities of hashed shingles, so two bitmaps differ in no
-more bits than the sets do in shingles). Neither bound ever parts a true pair.
+order is by how many of these members hold a shingle, rarest first, so a template's shingles come last. Of
+those left, members outside a bucket's main component meet the members of others, bounded by sizes and by
+bitmaps (parities of hashed shingles, so two bitmaps differ in no more bits than the sets do in shingles).
+No bound ever parts a true pair.
 
 Equal sets are collapsed before all this, so exact copies cost one row.
 """
@@ -244,26 +245,36 @@ def _prefix_rows(keys: list[np.ndarray], *others: list[np.ndarray]) -> pa.Record
     return pa.record_batch([_signed(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in others)], ["shingle", "id", "root", "n"])
 
 
-def _missed(at: DataFrame, sets: DataFrame, bits: DataFrame, store: _store.Store, percent: int) -> DataFrame:
-    """Pairs (a, b) of members with different roots that may be alike: none that is alike is left out.
+def _partnered(at: DataFrame, sets: DataFrame, store: _store.Store, percent: int) -> DataFrame:
+    """The ids of the members in question (id, root, n) that share a first shingle with a member of another root.
 
-    ``at`` has the members in question: id, root, n. A shingle that many of them hold first is dealt out in
-    blocks of ``GROUP`` rows, so that no task has all its pairs.
+    The others can't be alike to any. Linear in the members' sets: no pairs are made.
     """
     files = _wanted(at.select("id", "root"), store, "members-in-question")
     total = at.agg(F.sum("n")).first()[0] or 0
     slots = 1 << (_store.cut(total, 4, SLOTS, MOST_SLOTS) - 1).bit_length()
     rows = store.table(_prefixes(sets, files, slots, _frequencies(sets, files, slots, store), percent), "prefixes")
-    of_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("k"))
-    groups = of_root.groupBy("shingle").agg(F.sum("k").alias("k"), F.max(F.struct("k", F.col("root").alias("main"))).alias("top"), F.count("*").alias("roots"))
-    groups = groups.where("roots > 1").select("shingle", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"), F.col("top.main").alias("main"))
-    rows = rows.join(groups, "shingle")
-    few = rows.where("root <> main").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
-    every = rows.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = few.join(every, ["shingle", "block"]).where((F.col("ra") != F.col("rb")) & _sizes_fit(percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(_side(bits, "b"), "b").join(_side(bits, "a"), "a")
-    return pairs.where(_bitmaps_fit(percent)).select("a", "b")
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
+    return rows.join(shared, "shingle", "left_semi").select("id").distinct()
+
+
+def _missed(at: DataFrame, sets: DataFrame, bits: DataFrame, store: _store.Store, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket with different roots that may be alike: none that is alike is left out.
+
+    ``at`` has the members of mixed buckets: key, id, root, n. Members outside a bucket's main component meet
+    its other members; a large bucket's are dealt out in blocks, so that no task has all its pairs.
+    """
+    live = _partnered(at.select("id", "root", "n").distinct(), sets, store, percent)
+    at = store.table(at.select("key", "id", "root").join(live, "id"), "live")
+    of_root = at.groupBy("key", "root").agg(F.count("*").alias("k"))
+    groups = of_root.groupBy("key").agg(F.sum("k").alias("k"), F.max(F.struct("k", F.col("root").alias("main"))).alias("top"), F.count("*").alias("roots"))
+    groups = groups.where("roots > 1").select("key", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"), F.col("top.main").alias("main"))
+    rows = at.join(groups, "key").join(bits, "id")
+    ends = lambda df, x: _side(df, x, "key", F.col("root").alias(f"r{x}"), "block")
+    few = ends(rows.where("root <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "b")
+    every = ends(rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
+    pairs = few.join(every, ["key", "block"]).where((F.col("ra") != F.col("rb")) & _sizes_fit(percent) & _bitmaps_fit(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +370,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # then the rest: members of buckets that hold several components
     at = store.table(members.select("key", "id", "n").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
     mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    at = at.join(mixed, "key").select("id", "root", "n").distinct()
+    at = at.join(mixed, "key")
     rest = store.table(_missed(store.table(at, "in-question"), sets, bits, store, percent), "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
     roots = components(links.union(more), store, "roots-1") if more.limit(1).count() else roots
@@ -379,9 +390,9 @@ def _sizes_fit(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _side(df: DataFrame, x: str) -> DataFrame:
-    """The columns of one end of a pair: id, size and bitmap."""
-    return df.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
+def _side(df: DataFrame, x: str, *more) -> DataFrame:
+    """The columns of one end of a pair: id, size, bitmap, and those in ``more``."""
+    return df.select(*more, F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITMAP_WORDS)])
 
 
 def _differ():

@@ -354,11 +354,13 @@ def test_minhash_prefixes_part_no_pair_that_is_alike(spark, docs, rows):
     profiles = store.table(minhash._profiles(docs.select("doc_id", "text"), 2), "profiles").where("n > 0").withColumnRenamed("doc_id", "id")
     sets = store.table(minhash._sets(docs.select("doc_id", "text"), 2, minhash._wanted(profiles.select("id"), store, "wanted")), "sets")
     bits = profiles.select("id", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(minhash.BITMAP_WORDS)])
-    pairs = minhash._missed(profiles.select("id", F.col("id").alias("root"), "n"), sets, bits, store, 80)
+    pairs = minhash._missed(profiles.select(F.lit(0).alias("key"), "id", F.col("id").alias("root"), "n"), sets, bits, store, 80)
     found = {tuple(r) for r in minhash._confirm(pairs, sets, 80).collect()}
     own = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or {tuple(w)} for i, w in ((i, brute.words(t)) for i, t in rows) if w}
     want = {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
     assert found == want and want
+    live = {r.id for r in minhash._partnered(profiles.select("id", F.col("id").alias("root"), "n"), sets, _store.Store(spark, "test"), 80).collect()}
+    assert {i for p in want for i in p} <= live and len(live) < len(own)
     store.remove()
 
 
