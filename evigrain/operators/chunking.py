@@ -1,21 +1,25 @@
 """Documents to chunks.
 
-Repeated lines are found with an aggregation; the packing of paragraphs into chunks carries state (what a
-chunk holds so far, the tail of the one before), so it folds over each document's pages in Arrow batches.
-Documents are independent, so the fold needs no shuffle: pages come as an array in the document's row.
+A document's blocks (paragraphs and tables) are found, cleaned and marked as headings by column expressions.
+Where chunks begin and end is a matter of lengths alone: the blocks lie one after another in one text, each
+with the place of its end, and a chunk is a slice of that text, from some signs before its first block to the
+last end within reach, found by bisection. Only these borders are set in Python, over Arrow batches; a
+document's pages are an array in its row, and its chunks too, so there is one shuffle, by document.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contents_page, script_language, token_estimate
+from ..functions.text import contents_page, count_of, script_language, token_estimate
 
 
 @dataclass(frozen=True)
@@ -28,99 +32,83 @@ class Sizes:
     least: int = 120
     heading: int = 90
 
+    def __post_init__(self):
+        if self.target + self.overlap + len(GAP) > self.most:
+            raise ValueError("a block of the target size and the overlap must fit a chunk")
 
-_LEADERS = re.compile(r"\.{4,}\s*\d*\s*$")
-_NUMBERED = re.compile(r"\d+(?:\.\d+){0,3}\.?\s+\S")
-_LETTERS = re.compile("[A-Za-zА-Яа-яЁё]")
 
+GAP = "\n\n"
+_LINE = re.compile("\n")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
-def heading(line: str, most: int = 90) -> bool:
+
+def is_heading(line: Column, most: int = 90) -> Column:
     """A numbered line, or a short one that is mostly capitals and doesn't end like a sentence."""
-    s = line.strip()
-    if not s or len(s) > most or _LEADERS.search(s):
-        return False
-    if _NUMBERED.match(s):
-        return True
-    letters = len(_LETTERS.findall(s))
-    return bool(letters) and s[-1] not in ".,;:" and len(s.split()) <= 10 and 2 * sum(c.isupper() for c in s) > letters
-
-
-def pieces(text: str, limit: int) -> list[str]:
-    """A text in pieces of about ``limit``: at lines if it has any, else at sentences, else anywhere."""
-    if len(text) <= limit:
-        return [text]
-    glue = "\n" if "\n" in text else " "
-    out, held, size = [], [], 0
-    for part in text.splitlines() if glue == "\n" else re.split(r"(?<=[.!?;])\s+", text):
-        if held and size + len(part) > limit:
-            out.append(glue.join(held))
-            held, size = [], 0
-        cuts = range(0, max(len(part) - 1, 0) // limit * limit, limit)
-        out += [part[k : k + limit] for k in cuts]
-        part = part[len(cuts) * limit :]
-        held.append(part)
-        size += len(part) + 1
-    return [p for p in [*out, glue.join(held)] if p.strip()]
-
-
-def units(pages: list[tuple[int, str]], sizes: Sizes) -> Iterator[tuple[str, int, str | None]]:
-    """Paragraphs with page and the heading above; wrapped lines are joined, tables keep their lines."""
-    title = None
-    for page, text in pages:
-        for block in re.split(r"\n\s*\n", text or ""):
-            block = block.strip()
-            if not block:
-                continue
-            line = block.splitlines()[0]
-            if heading(line, sizes.heading):
-                title = line.strip()
-            if "\t" not in block:
-                block = re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]*\n[ \t]*", " ", block))
-            for p in pieces(block, sizes.target):
-                yield p, page, title
-
-
-@dataclass
-class _Packer:
-    sizes: Sizes
-    made: list[tuple[str, int, int, str | None]] = field(default_factory=list)
-    held: list[str] = field(default_factory=list)
-    on: list[int] = field(default_factory=list)
-    title: str | None = None
-
-    def size(self) -> int:
-        return sum(len(x) + 2 for x in self.held)
-
-    def close(self) -> None:
-        s, text = self.sizes, "\n\n".join(self.held).strip()
-        if len(text) >= s.least:
-            parts = [text] if len(text) <= s.most else pieces(text, s.most - s.overlap)
-            tail = ""
-            for p in parts:
-                p = f"{tail} {p}" if tail else p
-                tail = p[-s.overlap :] if len(parts) > 1 else ""
-                if len(p) >= s.least:
-                    self.made.append((p, min(self.on), max(self.on), self.title))
-        self.held, self.on, self.title = [], [], None
-
-    def add(self, text: str, page: int, title: str | None) -> None:
-        if self.held and self.size() + len(text) > self.sizes.target:
-            self.close()
-            if self.made:
-                self.held, self.on = [self.made[-1][0][-self.sizes.overlap :]], [page]
-        if self.title is None:
-            self.title = title
-        self.held.append(text)
-        self.on.append(page)
-
-
-def pack(pages: list[tuple[int, str]], sizes: Sizes = Sizes()) -> list[tuple[str, int, int, str | None]]:
-    """Chunks of a document: text, first and last page, heading. Each starts with the tail of the one before."""
-    packer = _Packer(sizes)
-    for unit in units(pages, sizes):
-        packer.add(*unit)
-    packer.close()
-    return packer.made
+    letters, capitals = count_of(line, "[A-Za-zА-Яа-яЁё]"), count_of(line, r"\p{Lu}")
+    titled = (letters > 0) & (2 * capitals > letters) & ~line.rlike("[.,;:]$") & (F.size(F.split(line, r"\s+")) <= 10)
+    usable = F.length(line).between(1, most) & ~line.rlike(r"\.{4,}\s*\d*\s*$")
+    return usable & (line.rlike(r"^\d+(?:\.\d+){0,3}\.?\s+\S") | titled)
+
+
+def blocks(text: Column, heading: int = 90) -> Column:
+    """The blocks of a page: text with wrapped lines joined (tables keep theirs), and the heading or null."""
+
+    def ends_off(c: Column) -> Column:
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    def block(c: Column) -> Column:
+        line = ends_off(F.substring_index(c, "\n", 1))
+        joined = F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n[ \t]*", " "), r"[ \t]{2,}", " ")
+        return F.struct(F.when(F.contains(c, F.lit("\t")), c).otherwise(joined).alias("text"), F.when(is_heading(line, heading), line).alias("title"))
+
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), ends_off)
+    return F.transform(F.filter(parts, lambda x: x != ""), block)
+
+
+def cuts(text: str, limit: int) -> list[tuple[int, int]]:
+    """Spans of at most ``limit``: to the last end of a line (in a table) or sentence within reach, else anywhere."""
+    gaps = [] if len(text) <= limit else [m.span() for m in (_LINE if "\n" in text else _SENTENCE).finditer(text)]
+    ends = [a for a, _ in gaps] + [len(text)]
+    out, at = [], 0
+    while at < len(text):
+        k = bisect_right(ends, at + limit) - 1
+        fits = k >= 0 and ends[k] > at
+        end = ends[k] if fits else at + limit
+        out.append((at, end))
+        at = end if not fits or k == len(gaps) else gaps[k][1]
+    return [(a, b) for a, b in out if not text[a:b].isspace()]
+
+
+def slices(spans: list[tuple[int, int]], sizes: Sizes) -> Iterator[tuple[int, int, int, int]]:
+    """For spans of a text in order: start and end of each chunk, and its first and last own span."""
+    ends = [b for _, b in spans]
+    at, tail = 0, 0
+    while at < len(spans):
+        start = max(spans[at][0] - tail, 0)
+        last = max(at, bisect_right(ends, start + sizes.target) - 1)
+        if ends[last] - start >= sizes.least:
+            yield start, ends[last], at, last
+            tail = min(sizes.overlap, ends[last] - start) + len(GAP)
+        at = last + 1
+
+
+def chunks(found: list[tuple[int, str, str | None]], sizes: Sizes = Sizes()) -> list[tuple[str, int, int, str | None]]:
+    """Chunks of a document's blocks (page, text, heading): text, first and last page, heading above.
+
+    Each chunk starts with the end of the one before.
+    """
+    parts, pages, titles, title = [], [], [], None
+    for page, text, heading in found:
+        title = heading or title
+        for a, b in cuts(text, sizes.target):
+            parts.append(text[a:b].rstrip())
+            pages.append(page)
+            titles.append(title)
+    starts = [*accumulate((len(p) + len(GAP) for p in parts), initial=0)]
+    whole = GAP.join(parts)
+    spans = [(a, a + len(p)) for a, p in zip(starts, parts, strict=False)]
+    out = [(whole[a:b].strip(), i, j) for a, b, i, j in slices(spans, sizes)]
+    return [(text, min(pages[i : j + 1]), max(pages[i : j + 1]), next((x for x in titles[i : j + 1] if x), None)) for text, i, j in out if len(text) >= sizes.least]
 
 
 def repeated_lines(pages: DataFrame, share: float = 0.4, least: int = 3) -> DataFrame:
@@ -144,22 +132,53 @@ def strip_repeated(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no").join(kept, ["doc_id", "page_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+_CHUNK = pa.struct([("text", pa.string()), ("page_from", pa.int32()), ("page_to", pa.int32()), ("section_title", pa.string())])
+
+
 def chunk_documents(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Chunks of documents given as pages (doc_id, page_no, text): the columns of the chunk table.
 
     Tables of contents are dropped; ``seq`` counts what is left.
     """
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    found = pages.select("doc_id", "page_no", blocks(F.col("text"), sizes.heading).alias("blocks"))
+    docs = found.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page_no", "blocks"))).alias("pages"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(doc, k, *c) for doc, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, c in enumerate(pack([(x["page_no"], x["text"]) for x in p], sizes))]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "place", "text", "page_from", "page_to", "section_title"])
-
-    raw = docs.select(F.col("doc_id").cast("string"), "pages").mapInArrow(work, "doc_id string, place int, text string, page_from int, page_to int, section_title string")
-    kept = raw.where(~contents_page(F.col("text")))
-    order = F.expr("row_number() over (partition by doc_id order by place) - 1")
-    kept = kept.withColumn("seq", order)
-    return kept.select(F.format_string("%s_c%04d", "doc_id", "seq").alias("chunk_id"), "doc_id", "seq", "text", token_estimate(F.col("text")).alias("n_tokens"), "page_from", "page_to", script_language(F.col("text")).alias("lang"), "section_title")
+            own = [chunks([(p["page_no"], x["text"], x["title"]) for p in doc for x in p["blocks"]], sizes) for doc in b.column(1).to_pylist()]
+            rows = [[dict(zip(("text", "page_from", "page_to", "section_title"), c, strict=True)) for c in doc] for doc in own]
+            yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(_CHUNK))], ["doc_id", "chunks"])
+
+    made = docs.mapInArrow(work, "doc_id string, chunks array<struct<text string, page_from int, page_to int, section_title string>>")
+    kept = made.select("doc_id", F.posexplode(F.filter("chunks", lambda c: ~contents_page(c["text"]))).alias("seq", "c"))
+    text = F.col("c.text")
+    return kept.select(F.format_string("%s_c%04d", "doc_id", "seq").alias("chunk_id"), "doc_id", "seq", text.alias("text"), token_estimate(text).alias("n_tokens"), "c.page_from", "c.page_to", script_language(text).alias("lang"), "c.section_title")
+
+
+def chunk_by_lines(docs: DataFrame, target: int = 900, overlap: int = 100, least: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The other chunker: lines to chunks of about ``target`` tokens (4 signs each): key, seq, text.
+
+    A chunk begins with the last lines of the one before that have ``overlap`` tokens together; chunks of
+    ``least`` signs or fewer are dropped. Lengths decide alone, so borders are set over an array of running
+    sums and the texts are cut from the array of lines.
+    """
+    line = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\r", "\n"), r"[ \t\u00a0]+", " ")
+    lines = F.filter(F.transform(F.split(line, "\n"), F.trim), lambda x: x != "")
+    rows = docs.select(key, lines.alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4).cast("int"))))
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for sizes in b.column(2).to_pylist():
+                sums, at, start, own = [*accumulate(sizes, initial=0)], 0, 0, []
+                while at < len(sizes):
+                    last = max(at, bisect_right(sums, sums[start] + target) - 2)
+                    own.append([start + 1, last - start + 1])  # as ``slice`` counts
+                    start, at = max(start, bisect_right(sums, sums[last + 1] - overlap) - 1), last + 1
+                found.append(own)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.list_(pa.int32())))], [key, "lines", "borders"])
+
+    kind = dict(docs.dtypes)[key]
+    made = rows.mapInArrow(borders, f"`{key}` {kind}, lines array<string>, borders array<array<int>>")
+    texts = F.transform("borders", lambda x: F.array_join(F.slice("lines", x[0], x[1]), "\n"))
+    return made.select(key, F.posexplode(F.filter(texts, lambda x: F.length(x) > least)).alias("seq", "text"))

@@ -190,10 +190,61 @@ def seq_neighbours(spark, d):
     return out.select("conv_id", "turn", F.length("before").cast("long").alias("n_before"), F.length("text").cast("long").alias("n"), F.length("after").cast("long").alias("n_after"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+b AS (SELECT doc_id, unnest(p) AS raw, unnest(range(1, len(p) + 1)) AS k FROM p),
+c AS (
+  SELECT doc_id, k, CASE WHEN contains(raw, chr(9)) THEN raw ELSE regexp_replace(regexp_replace(raw, '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t]{2,}', ' ', 'g') END AS t,
+    regexp_replace(split_part(raw, chr(10), 1), '^\s+|\s+$', '', 'g') AS line FROM b),
+h AS (
+  SELECT doc_id, k, t, contains(t, chr(10)) AS lines, CASE WHEN length(line) BETWEEN 1 AND 90 AND NOT regexp_matches(line, '\.{4,}\s*\d*\s*$') AND (regexp_matches(line, '^\d+(?:\.\d+){0,3}\.?\s+\S') OR (
+    regexp_matches(line, '[A-Za-zА-Яа-яЁё]') AND 2 * length(regexp_replace(line, '\P{Lu}', '', 'g')) > length(regexp_replace(line, '[^A-Za-zА-Яа-яЁё]', '', 'g'))
+    AND NOT regexp_matches(line, '[.,;:]$') AND len(string_split_regex(line, '\s+')) <= 10)) THEN line END AS title FROM c),
+cut(doc_id, k, a, e, i) AS (
+  SELECT doc_id, k, 0, -1, 0 FROM h
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN e = -2 THEN a + 3500 ELSE a + e + length(regexp_extract(substr(t, a + e + 1, 99), CASE WHEN lines THEN '^\n' ELSE '^\s+' END)) END, e, i + 1
+  FROM (SELECT cut.doc_id, cut.k, cut.a, h.t, h.lines, cut.i, CASE WHEN length(t) - a <= 3500 THEN length(t) - a ELSE coalesce(nullif(length(regexp_extract(substr(t, a + 1, 3501), CASE WHEN lines THEN '^((?s).+)\n' ELSE '^((?s).*[.!?;])\s' END, 1)), 0), -2) END AS e
+    FROM cut JOIN h USING (doc_id, k) WHERE a < length(t))),
+pieces AS (
+  SELECT doc_id, k, i, title, regexp_replace(substr(t, lag(a) OVER w + 1, CASE WHEN e = -2 THEN 3500 ELSE e END), '\s+$', '') AS piece FROM cut JOIN h USING (doc_id, k) WINDOW w AS (PARTITION BY doc_id, k ORDER BY i) QUALIFY i > 0),
+u AS (
+  SELECT doc_id, piece, row_number() OVER w AS j, last_value(title IGNORE NULLS) OVER w AS title, CAST(sum(length(piece) + 2) OVER w - 2 AS BIGINT) AS e FROM pieces WHERE piece <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY k, i)),
+d AS (SELECT doc_id, list(e ORDER BY j) AS ends, list(e - length(piece) ORDER BY j) AS starts, list(title ORDER BY j) AS titles, string_agg(piece, chr(10) || chr(10) ORDER BY j) AS whole FROM u GROUP BY doc_id),
+r(doc_id, n, own, start, last, tail) AS (
+  SELECT doc_id, 0, 0, 0, 0, 0 FROM d
+  UNION ALL
+  SELECT doc_id, n + 1, own, start, last, CASE WHEN ends[last] - start >= 120 THEN least(350, ends[last] - start) + 2 ELSE tail END
+  FROM (SELECT r.doc_id, n, r.last + 1 AS own, tail, ends, greatest(starts[r.last + 1] - tail, 0) AS start, greatest(r.last + 1, len(list_filter(ends, lambda x: x <= greatest(starts[r.last + 1] - tail, 0) + 3500))) AS last FROM r JOIN d USING (doc_id) WHERE r.last < len(ends))),
+made AS (
+  SELECT r.doc_id, n, regexp_replace(substr(whole, start + 1, ends[last] - start), '^\s+|\s+$', '', 'g') AS text, list_filter(titles[own:last], lambda x: x IS NOT NULL)[1] AS title FROM r JOIN d USING (doc_id) WHERE n > 0 AND ends[last] - start >= 120),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS lat, length(regexp_replace(text, '[^а-яёА-ЯЁ]', '', 'g')) AS cyr
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM made) WHERE length(text) >= 120 AND NOT (len(list_filter(ls, lambda x: regexp_matches(x, '\.{4,}\s*\d*\s*$'))) >= 5 AND 2 * len(list_filter(ls, lambda x: regexp_matches(x, '\.{4,}\s*\d*\s*$'))) > len(ls)))
+SELECT doc_id || '_c' || lpad(CAST(seq AS VARCHAR), 4, '0') AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(seq AS INT) AS seq, length(text) AS n_chars, sha256(text) AS sha256, CAST(greatest(1, round_even(length(text) / 3.5, 0)) AS INT) AS n_tokens,
+  CASE WHEN lat + cyr < 20 OR cyr / (lat + cyr) >= 0.7 THEN 'ru' WHEN cyr / (lat + cyr) <= 0.15 THEN 'en' ELSE 'mixed' END AS lang, title AS section_title
+FROM kept""")
 def chunk_documents(spark, d):
     pages = t(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
-    return chunking.chunk_documents(pages).select("chunk_id", "doc_id", "seq", F.length("text").alias("n_chars"), "n_tokens", "lang", "section_title")
+    return chunking.chunk_documents(pages).select("chunk_id", "doc_id", "seq", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "n_tokens", "lang", "section_title")
+
+
+@query(r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(coalesce(text, ''), chr(13), chr(10)), '[ \t\x{00a0}]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS j FROM l),
+c AS (SELECT doc_id, j, sum(greatest(1, length(line) // 4)) OVER (PARTITION BY doc_id ORDER BY j) AS s FROM u),
+d AS (SELECT doc_id, list_prepend(0, list(CAST(s AS BIGINT) ORDER BY j)) AS sums FROM c GROUP BY doc_id),
+r(doc_id, n, start, last) AS (
+  SELECT doc_id, 0, 1, 0 FROM d
+  UNION ALL
+  SELECT doc_id, n + 1, start, greatest(last + 1, len(list_filter(sums, lambda x: x <= sums[start] + 900)) - 1)
+  FROM (SELECT r.doc_id, n, last, sums, CASE WHEN n = 0 THEN 1 ELSE greatest(start, len(list_filter(sums, lambda x: x <= sums[last + 1] - 100))) END AS start FROM r JOIN d USING (doc_id) WHERE last < len(sums) - 1)),
+made AS (SELECT doc_id, n, array_to_string(ls[start:last], chr(10)) AS text FROM r JOIN l USING (doc_id) WHERE n > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS seq, sha256(text) AS sha256 FROM made WHERE length(text) > 40""")
+def chunk_by_lines(spark, d):
+    return chunking.chunk_by_lines(t(spark, d, "documents")).select("doc_id", "seq", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""
