@@ -3,14 +3,16 @@
 Each half of a (normalised) vector has its own centroids, fitted on a bounded sample; a pair of centroids
 is a cell. Every row goes to its cell's list; lists are files in the shared folder, one for each centroid
 of the first half (several where it is crowded), sorted by the second half's centroid. A query walks the
-centroid pairs by summed distance with a heap and reranks the lists by the exact measure, some hundreds of
-rows at a time, until they held enough rows or no later cell can hold a nearer one. Each cell's radius
-bounds how near its rows can be, so a cell that can't matter is passed over unread.
+centroid pairs by summed distance with a heap until their lists hold enough rows. The first of them are
+reranked at once; how far the k-th row found is, and each cell's radius, then tell which of the other cells
+can matter at all, and where to stop. Those are read list by list for a block of queries together: products
+of matrices find the candidates, and the exact measure decides among them.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from . import _store, _vectors
 
 SAMPLE = 20_000
-CELL_ROWS = 4
+CELL_ROWS = 8
 MOST_CENTROIDS = 1024
 FILE_ROWS = 100_000
-BATCH_ROWS = 1024
+FIRST_ROWS = 256
+BATCH_ROWS = 8192
 RECALL = 0.97
 CALIBRATION = 100
 
@@ -103,7 +106,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, recall: float = RECAL
     rows take part: see ``_vectors.usable``; other columns are left out; no rows give no rows. Centroids
     and share are fitted on at most ``SAMPLE`` rows, those of the smallest hashes; every row is indexed.
     Memory: the centroids and the cells' sizes and radii (at most ``MOST_CENTROIDS`` squared numbers) on the
-    driver; lists are mapped, and a query holds ``BATCH_ROWS`` rows and one cell at a time.
+    driver; lists are mapped, and a block of queries meets ``BATCH_ROWS`` rows at a time.
     """
     spark = table.sparkSession
     store = _store.Store(spark, "multi-index")
@@ -155,7 +158,10 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, recall: float = RECAL
         for b in batches:
             q = _vectors.matrix(b.column(1))
             u = _unit(q) if len(b) else q
-            found = [(query, *index.search(query, q[row], u[row])) for row, query in enumerate(b.column(0).to_pylist())]
+            found = []
+            for lo in range(0, len(b), _vectors.QUERY_ROWS):
+                part = slice(lo, lo + _vectors.QUERY_ROWS)
+                found += index.search(b.column(0).to_numpy()[part], q[part], u[part])
             out = _vectors.results([f[:3] for f in found], pa.float64())
             yield out.append_column("reranked", pa.array(np.repeat([f[3] for f in found], [len(f[1]) for f in found]).astype(np.int64)))
 
@@ -171,47 +177,76 @@ class Index:
         self.files, self.want, self.k = files, want, k
         self.widest = float(radius.max(initial=0))
 
-    def search(self, query: int, q: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores found for one query, ``u`` its unit vector, and how many rows it was compared with."""
+    def search(self, queries: np.ndarray, q: np.ndarray, u: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+        """For a block of queries, ``u`` their unit vectors: ids and scores found, and how many rows each was compared with."""
         half = self.first.shape[1]
-        cells = walk(((self.first - u[:half]) ** 2).sum(1), ((self.second - u[half:]) ** 2).sum(1))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        chosen, held, passed, work, reach = [], 0, 0, 0, np.inf
-        for d, i, j in cells:
-            n, away = int(self.counts[i, j]), max(d, 0.0) ** 0.5 - 1e-9
-            if away - self.widest > reach:
-                break
-            passed += n
-            if n and away - self.radius[i, j] <= reach:
-                chosen.append((i, j))
-                held += n
-            if held >= BATCH_ROWS or passed >= self.want:
-                ids, scores, reach = self._rerank(query, q, chosen, ids, scores)
-                work += held
-                chosen, held = [], 0
+        top = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        work, rest = np.zeros(len(q), np.int64), defaultdict(list)
+        for r in range(len(q)):
+            cells = walk(((self.first - u[r, :half]) ** 2).sum(1), ((self.second - u[r, half:]) ** 2).sum(1))
+            top[r], work[r], reach, passed = self._first(int(queries[r]), q[r], cells)
+            for d, i, j in cells if passed < self.want else ():
+                away = max(d, 0.0) ** 0.5 - 1e-9
+                if away - self.widest > reach:
+                    break
+                n = int(self.counts[i, j])
+                passed += n
+                if n and away - self.radius[i, j] <= reach:
+                    rest[i].append((r, j))
+                    work[r] += n
                 if passed >= self.want:
                     break
-        if chosen:
-            ids, scores, _ = self._rerank(query, q, chosen, ids, scores)
-        return ids, scores, work + held
+        for i in sorted(rest):
+            wanted = np.zeros((len(q), len(self.second)), bool)
+            wanted[tuple(np.array(rest.pop(i)).T)] = True
+            for path in self.files[i]:
+                self._block(queries, q, u, wanted, _store.open_arrays(path), top)
+        return [(int(x), *t, int(w)) for x, t, w in zip(queries, top, work, strict=True)]
 
-    def _rerank(self, query: int, q: np.ndarray, chosen: list[tuple[int, int]], ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The best of those found before and the rows of the chosen cells, and how far the last of them is."""
+    def _first(self, query: int, q: np.ndarray, cells: Iterator[tuple[float, int, int]]) -> tuple[tuple[np.ndarray, np.ndarray], int, float, int]:
+        """Reranks the nearest cells: what was found, rows compared, how far the k-th is, rows walked over."""
         lists: dict[int, list[int]] = {}
-        for i, j in chosen:
-            lists.setdefault(i, []).append(j)
+        held = 0
+        for _, i, j in cells:
+            if n := int(self.counts[i, j]):
+                lists.setdefault(i, []).append(j)
+                held += n
+            if held >= min(self.want, FIRST_ROWS):
+                break
+        found = np.zeros(0, np.int64), np.zeros(0)
         for i, js in lists.items():
             for path in self.files[i]:
                 a = _store.open_arrays(path)
                 lo, hi = a["start"][js], a["start"][1:][js]
                 size = hi - lo
-                rows = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                rows = rows[a["id"][rows] != query]
-                x = a["vector"].reshape(-1, len(q))[rows]
-                # row sums don't depend on a row's place, so equal vectors have equal scores
-                own = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
-                ids, scores = np.concatenate([ids, a["id"][rows]]), np.concatenate([scores, own])
-                top = _vectors.best(ids, scores, self.k)
-                ids, scores = ids[top], scores[top]
-        full = len(ids) == self.k
-        return ids, scores, float(np.sqrt(max(2 - 2 * scores[-1], 0))) + 1e-7 if full else np.inf
+                found = self._add(found, query, q, a, np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()))
+        full = len(found[0]) == self.k
+        return found, held, float(np.sqrt(max(2 - 2 * found[1][-1], 0))) + 1e-7 if full else np.inf, held
+
+    def _add(self, found: tuple[np.ndarray, np.ndarray], query: int, q: np.ndarray, a: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best of those found and these rows of a list, by the exact measure."""
+        rows = rows[a["id"][rows] != query]
+        x = a["vector"].reshape(-1, len(q))[rows]
+        # row sums don't depend on a row's place, so equal vectors have equal scores
+        own = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+        ids, scores = np.concatenate([found[0], a["id"][rows]]), np.concatenate([found[1], own])
+        top = _vectors.best(ids, scores, self.k)
+        return ids[top], scores[top]
+
+    def _block(self, queries: np.ndarray, q: np.ndarray, u: np.ndarray, wanted: np.ndarray, a: dict[str, np.ndarray], top: list) -> None:
+        """One list for a block of queries that want some of its cells (``wanted``: query, second centroid)."""
+        asked = np.flatnonzero(wanted.any(1))
+        cell = np.repeat(np.arange(len(self.second)), np.diff(a["start"]))
+        vectors = a["vector"].reshape(-1, q.shape[1])
+        use = np.flatnonzero(wanted.any(0)[cell])
+        for lo in range(0, len(use), BATCH_ROWS):
+            rows = use[lo : lo + BATCH_ROWS]
+            near = u[asked] @ _unit(vectors[rows]).T
+            least = np.array([top[r][1][-1] if len(top[r][1]) == self.k else -2.0 for r in asked]) - 1e-9
+            hit = (near >= least[:, None]) & wanted[np.ix_(asked, cell[rows])]
+            for n in np.flatnonzero(hit.any(1)).tolist():
+                r, some = int(asked[n]), np.flatnonzero(hit[n])
+                if len(some) > 4 * self.k:  # far fewer than these can be among the best
+                    floor = np.partition(near[n, some], len(some) - self.k - 1)[len(some) - self.k - 1]
+                    some = some[near[n, some] >= floor - 1e-9]
+                top[r] = self._add(top[r], int(queries[r]), q[r], a, rows[some])
