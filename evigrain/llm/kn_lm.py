@@ -96,8 +96,9 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _blobs(shards: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(shards, pa.int64()), pa.array(blobs, pa.large_binary())], ["shard", "blob"]).cast(pa.schema([("shard", pa.int64()), ("blob", pa.binary())]))
+def _blobs(shards: list[int], blobs: list[bytes], places: list[int]) -> pa.RecordBatch:
+    """Blobs under the places of their shards."""
+    return pa.record_batch([pa.array([places[s] for s in shards], pa.int64()), pa.array(blobs, pa.large_binary())], ["shard", "blob"]).cast(pa.schema([("shard", pa.int64()), ("blob", pa.binary())]))
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -106,7 +107,7 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)], strict=True)
 
 
-def _word_counts(texts: DataFrame, bits: int) -> DataFrame:
+def _word_counts(texts: DataFrame, bits: int, places: list[int]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -115,7 +116,7 @@ def _word_counts(texts: DataFrame, bits: int) -> DataFrame:
             at = runs(s)
             words, counts = s[at], np.diff(np.append(at, len(s)))
             out = [(k, _pack(words[a:b], _narrow(counts[a:b]))) for k, a, b in _by_shard(_shard(words, bits))]
-            return _blobs([k for k, _ in out], [x for _, x in out])
+            return _blobs([k for k, _ in out], [x for _, x in out], places)
 
         for b in batches:
             for first, last, words, _ in _stream(b.column(0)):
@@ -235,9 +236,17 @@ def _count_of(counts: np.ndarray) -> list[int]:
     return [int(x) for x in (*b[1:5], b[3:].sum(), counts.sum())]
 
 
-def _dealt(blobs: DataFrame, bits: int) -> DataFrame:
-    """As many partitions as shards, so that what a task reads doesn't grow with the corpus."""
-    return blobs.repartition(1 << bits, "shard")
+def _places(spark, bits: int) -> list[int]:
+    """For each of 2 ** ``bits`` partitions a number that Spark's hash deals to it: shards named by these never meet in one."""
+    n = 1 << bits
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()
+    out = dict(zip([r.part for r in found], [r.id for r in found], strict=True))
+    return [out.get(i, 64 * n + i) for i in range(n)]
+
+
+def _dealt(blobs: DataFrame, bits: int):
+    """A partition for each shard, so that what a task reads doesn't grow with the corpus."""
+    return blobs.repartition(1 << bits, "shard").groupBy("shard")
 
 
 def fit(texts: DataFrame) -> Model:
@@ -246,14 +255,18 @@ def fit(texts: DataFrame) -> Model:
     folder = f"{store.uri}/arrays"
     word_bits = (_store.cut(_store.input_bytes(texts), 4 << 20, 4, 1 << 14) - 1).bit_length()
 
+    word_places = _places(store.spark, word_bits)
+    word_shard = {place: s for s, place in enumerate(word_places)}
+
     def merge_words(key: tuple, table: pa.Table) -> pa.Table:
+        shard = word_shard[key[0].as_py()]
         parts = _column_blobs(table)
         words, (counts,) = _merged([p[0] for p in parts], [[p[1] for p in parts]])
-        path = _store.write_arrays(folder, f"words{key[0].as_py()}", {"word": words, "count": counts.astype(np.uint64 if counts.max(initial=0) >> 32 else np.uint32)})
+        path = _store.write_arrays(folder, f"words{shard}", {"word": words, "count": counts.astype(np.uint64 if counts.max(initial=0) >> 32 else np.uint32)})
         real = words != BEGIN
-        return pa.table({"shard": [key[0].as_py()], "path": [path], "tokens": [int(counts[real].sum())], "vocabulary": [int(real.sum())]})
+        return pa.table({"shard": [shard], "path": [path], "tokens": [int(counts[real].sum())], "vocabulary": [int(real.sum())]})
 
-    made = _dealt(_word_counts(texts, word_bits), word_bits).groupBy("shard").applyInArrow(merge_words, "shard long, path string, tokens long, vocabulary long")
+    made = _dealt(_word_counts(texts, word_bits, word_places), word_bits).applyInArrow(merge_words, "shard long, path string, tokens long, vocabulary long")
     made = store.table(made, "words").collect()  # a row for each shard
     words = [""] * (1 << word_bits)
     for r in made:
@@ -271,6 +284,9 @@ def fit(texts: DataFrame) -> Model:
     paths = store.spark.createDataFrame([(p,) for p in words if p] or [], "path string")
     hot = np.sort(np.array([r.word for r in paths.mapInArrow(frequent, "word long").collect()], np.int64).view(np.uint64))
 
+    places = _places(store.spark, bits)
+    shard_of = {place: s for s, place in enumerate(places)}
+
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, size = [], [], 0
 
@@ -290,7 +306,7 @@ def fit(texts: DataFrame) -> Model:
                 start = runs(us)
                 shards.append(s)
                 blobs.append(_pack(us[start], _narrow(np.diff(np.append(start, b - a))), w[a:b][by_left], _narrow(counts[a:b][by_left])))
-            yield _blobs(shards, blobs)
+            yield _blobs(shards, blobs, places)
 
         for b in batches:
             for _, _, words, ends in _stream(b.column(0)):
@@ -304,6 +320,7 @@ def fit(texts: DataFrame) -> Model:
             yield from flush()
 
     def merge_bigrams(key: tuple, table: pa.Table) -> pa.Table:
+        shard = shard_of[key[0].as_py()]
         parts = _column_blobs(table)
         u = np.concatenate([np.repeat(p[0], p[1].astype(np.int64)) for p in parts])
         w = np.concatenate([p[2] for p in parts])
@@ -318,8 +335,8 @@ def fit(texts: DataFrame) -> Model:
         keys, u, w = keys[at], u[first], w[first]
         del order, c
         big = counts >= 255
-        path = _store.write_arrays(folder, f"bigrams{key[0].as_py()}", {"key": keys, "count": np.minimum(counts, 255).astype(np.uint8), "big_key": keys[big], "big_count": counts[big]})
-        own = pa.record_batch([pa.array([key[0].as_py()]), pa.array([path]), pa.array([_count_of(counts)], pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([0])], names)
+        path = _store.write_arrays(folder, f"bigrams{shard}", {"key": keys, "count": np.minimum(counts, 255).astype(np.uint8), "big_key": keys[big], "big_count": counts[big]})
+        own = pa.record_batch([pa.array([shard]), pa.array([path]), pa.array([_count_of(counts)], pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([0])], names)
         ws = np.sort(w)
         start = runs(ws)
         left = (ws[start], _narrow(np.diff(np.append(start, len(ws)))))
@@ -330,14 +347,14 @@ def fit(texts: DataFrame) -> Model:
         shards, blobs, what = [], [], []
         for i, (k, *values) in enumerate((left, right), 1):
             for s, a, b in _by_shard(_shard(k, word_bits)):
-                shards.append(s)
+                shards.append(word_places[s])
                 blobs.append(_pack(k[a:b], *(v[a:b] for v in values)))
                 what.append(i)
         sent = pa.record_batch([pa.array(shards, pa.int64()), pa.nulls(len(shards), pa.string()), pa.nulls(len(shards), pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(what, pa.int64())], names)
         return pa.Table.from_batches([own, sent])
 
     names = ["shard", "path", "counts", "blob", "what"]
-    counted = _dealt(texts.mapInArrow(count_bigrams, "shard long, blob binary"), bits).groupBy("shard")
+    counted = _dealt(texts.mapInArrow(count_bigrams, "shard long, blob binary"), bits)
     counted = store.table(counted.applyInArrow(merge_bigrams, "shard long, path string, counts array<long>, blob binary, what long"), "bigrams")
     bigrams, of_counts = [""] * (1 << bits), np.zeros(6, np.int64)
     for r in counted.where("what = 0").select("shard", "path", "counts").collect():
@@ -345,7 +362,7 @@ def fit(texts: DataFrame) -> Model:
         of_counts += r.counts
 
     def merge_neighbours(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
+        s = word_shard[key[0].as_py()]
         known = _store.open_arrays(words[s])["word"]
         out = {k: np.zeros(len(known), np.int64) for k in ("left", "once", "twice", "often")}
         what = table["what"].to_pylist()
@@ -356,7 +373,7 @@ def fit(texts: DataFrame) -> Model:
         path = _store.write_arrays(folder, f"neighbours{s}", {k: _narrow(v) for k, v in out.items()})
         return pa.table({"shard": [s], "path": [path], "counts": pa.array([_count_of(out["left"])], pa.list_(pa.int64()))})
 
-    merged = _dealt(counted.where("what > 0").select("shard", "what", "blob"), word_bits).groupBy("shard").applyInArrow(merge_neighbours, "shard long, path string, counts array<long>")
+    merged = _dealt(counted.where("what > 0").select("shard", "what", "blob"), word_bits).applyInArrow(merge_neighbours, "shard long, path string, counts array<long>")
     neighbours, of_left = [""] * (1 << word_bits), np.zeros(6, np.int64)
     for r in store.table(merged, "neighbours").collect():
         neighbours[r.shard] = r.path

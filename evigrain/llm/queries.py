@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread, table
 from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, sp_codec, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; a small one, of fewer partitions than cores, dealt to all cores."""
+    return spread(table(spark, sf_dir, name))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
