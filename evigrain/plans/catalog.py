@@ -12,6 +12,7 @@ from ..functions import geography, matching, numbers, planning, text, units, vec
 from ..operators import chunking, conditions, graph, lookup, quality, ranking, state
 from ..operators.quality import Constraint
 from ..sources import html
+from ..sources.tables import spread
 from ..sources.tables import table as t
 from . import build, search
 
@@ -301,7 +302,7 @@ WITH r AS (
 SELECT op, unit, count(*) AS n, round(sum(value), 3) AS total, round(sum(value2), 3) AS total2 FROM r GROUP BY op, unit""")
 def extract_conditions_lineitem(spark, d):
     line = F.format_string("расход не более %d кг/ч; извлечение %d %%; температура от 20 до %d °C.", F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"), 30 + F.round(F.col("l_tax") * 100).cast("int"))
-    found = conditions.extract_conditions(t(spark, d, "lineitem").select("l_orderkey", line.alias("text")))
+    found = conditions.extract_conditions(spread(t(spark, d, "lineitem")).select("l_orderkey", line.alias("text")))
     return found.groupBy("op", F.col("unit_canonical").alias("unit")).agg(F.count("*").alias("n"), F.round(F.sum("value_canonical"), 3).alias("total"), F.round(F.sum("value2_canonical"), 3).alias("total2"))
 
 

@@ -13,3 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a schema; blank lines are skipped, broken ones have nulls."""
     return spark.read.schema(schema).json(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores (a few large row groups) dealt to all of them.
+
+    For row-wise work that costs more than the shuffle. Larger scans stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
