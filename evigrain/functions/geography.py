@@ -13,7 +13,7 @@ MARKERS: list[tuple[str, str, str]] = [
     (r"\bТалнах\w*", "Россия", "RU"),
     (r"\bКайеркан\w*", "Россия", "RU"),
     (r"\bЗаполярн\w*", "Россия", "RU"),
-    (r"\bНадеждинск\w*", "Россия", "RU"),
+    (r"\bНадеждинск\w*|Надеждинский\s+металлург", "Россия", "RU"),
     (r"\bГипроникел\w*", "Россия", "RU"),
     (r"\bПеченг\w*", "Россия", "RU"),
     (r"\bМурманск\w*", "Россия", "RU"),
@@ -37,7 +37,7 @@ MARKERS: list[tuple[str, str, str]] = [
     (r"\bКитай\b|\bChina\b|\bКитайск\w+", "Китай", "foreign"),
     (r"\bИндонези\w*|\bIndonesia\b", "Индонезия", "foreign"),
     (r"\bЗамби\w*|\bZambia\b", "Замбия", "foreign"),
-    (r"\bКонго\b|\bDRC\b", "Конго", "foreign"),
+    (r"\bКонго\b|\bDRC\b|Демократическая\s+Республика\s+Конго", "Конго", "foreign"),
     (r"\bБразили\w*|\bBrazil\b", "Бразилия", "foreign"),
     (r"\bПеру\b|\bPeru\b", "Перу", "foreign"),
     (r"\bСША\b|\bUSA\b|United\s+States|\bШтат\w+", "США", "foreign"),

@@ -117,7 +117,7 @@ def repeated_lines(pages: DataFrame, share: float = 0.4, least: int = 3) -> Data
     ``pages``: doc_id, page_no, text. Documents of fewer than 4 pages have none.
     """
     total = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).where("pages >= 4")
-    lines = pages.select("doc_id", "page_no", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line"))
+    lines = pages.select("doc_id", "page_no", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line"))
     lines = lines.where(F.length("line").between(3, 80)).groupBy("doc_id", "line").agg(F.countDistinct("page_no").alias("n_pages"))
     return lines.join(total, "doc_id").where(F.col("n_pages") >= F.greatest(F.lit(least), F.floor(share * F.col("pages")))).select("doc_id", "line", "n_pages")
 
@@ -163,7 +163,7 @@ def chunk_by_lines(docs: DataFrame, target: int = 900, overlap: int = 100, least
     sums and the texts are cut from the array of lines.
     """
     line = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\r", "\n"), r"[ \t\u00a0]+", " ")
-    lines = F.filter(F.transform(F.split(line, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(line, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select(key, lines.alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4).cast("int"))))
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

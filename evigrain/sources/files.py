@@ -8,8 +8,10 @@ binary office files, scanned pages) come out with a status, not an error.
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -46,23 +48,45 @@ def classify(files: DataFrame) -> DataFrame:
     return files.withColumn("filename", name).withColumns({"ext": ext, "part": part}).withColumn("status", status)
 
 
-def _members(path: str, raw: bytes, depth: int = 1) -> Iterator[tuple[str, bytes | None, str]]:
-    """Files in a zip archive, nested ones too: path in the archive, bytes, status."""
+#: What reading a broken archive or document raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, NotImplementedError, ElementTree.ParseError, ValueError, LookupError)
+
+
+class _Room:
+    """Bytes an archive may still unpack to, whatever sizes it declares."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def read(self, z: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes | None:
+        with z.open(member) as f:
+            body = f.read(self.left + 1)
+        self.left -= len(body)
+        return body if self.left >= 0 else None
+
+
+def _members(path: str, raw: bytes, room: _Room, depth: int = 1) -> Iterator[tuple[str, bytes | None, str]]:
+    """Files in a zip archive, nested ones too: path in the archive, bytes, status. A broken member costs itself alone."""
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
-        if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+        members = [i for i in z.infolist() if not i.is_dir()]
+    except BROKEN as e:
+        yield path, None, f"failed: {type(e).__name__}"
+        return
+    for i in members:
+        own = f"{path}/{i.filename}"
+        try:
+            body = room.read(z, i)
+        except BROKEN as e:
+            yield own, None, f"failed: {type(e).__name__}"
+            continue
+        if body is None:
             yield path, None, "too large"
             return
-        for i in z.infolist():
-            if i.is_dir():
-                continue
-            body = z.read(i)
-            if i.filename.lower().endswith(".zip") and depth < MOST_DEPTH:
-                yield from _members(f"{path}/{i.filename}", body, depth + 1)
-            else:
-                yield f"{path}/{i.filename}", body, "ok"
-    except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-        yield path, None, f"failed: {type(e).__name__}"
+        if i.filename.lower().endswith(".zip") and depth < MOST_DEPTH:
+            yield from _members(own, body, room, depth + 1)
+        else:
+            yield own, body, "ok"
 
 
 def expand(files: DataFrame) -> DataFrame:
@@ -71,7 +95,7 @@ def expand(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for m, body, state in _members(path, raw or b""):
+                for m, body, state in _members(path, raw or b"", _Room(MOST_BYTES)):
                     yield pa.record_batch([pa.array([m]), pa.array([body], pa.binary()), pa.array(["archive"]), pa.array([state])], ["path", "content", "origin", "error"])
 
     plain = files.where("status = 'ok'").select("path", "content", F.lit("direct").alias("origin"), F.lit("ok").alias("error"))
@@ -85,7 +109,7 @@ def _paragraphs(node: ElementTree.Element, tag: str) -> list[str]:
 
 def docx_pages(raw: bytes) -> list[tuple[int, str]]:
     """One page: paragraphs, and table rows with cells joined by `` | ``."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))[0]
+    body = next(iter(ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))), ())
     out = []
     for x in body:
         if x.tag.endswith("}tbl"):
@@ -118,7 +142,8 @@ def xlsx_pages(raw: bytes) -> list[tuple[int, str]]:
             cells = []
             for c in row:
                 text = next((x.text or "" for x in c.iter() if x.tag.endswith(("}v", "}t"))), "")
-                cells.append(shared[int(text)] if c.get("t") == "s" and text.isdigit() else text)
+                known = c.get("t") == "s" and text.isdigit() and int(text) < len(shared)
+                cells.append(shared[int(text)] if known else text)
             if any(cells):
                 lines.append("\t".join(cells))
         pages.append((k + 1, "\n".join(lines)))
@@ -144,7 +169,7 @@ def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[tuple[int,
             for path, ext, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     found, state = (known[ext](raw or b""), "ok") if ext in known else ([(0, None)], "unsupported")
-                except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+                except BROKEN:
                     found, state = [(0, None)], "failed"
                 yield pa.record_batch([pa.array([path] * len(found)), pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string()), pa.array([state] * len(found))], ["path", "page_no", "text", "status"])
 

@@ -13,31 +13,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranking import small
+
 # A job's stages, in order.
 STAGES = ("queued", "extracting", "chunking", "analysing", "building", "loading", "indexing", "embedding", "done")
 
 
 def ingest(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Adds files (sha256, path, ...) whose content isn't in the table yet, each content once."""
+    """Adds files (sha256, path, ...) whose content isn't in the table yet, each content once.
+
+    Contents are laid out by their first two digits, so a batch reads the known hashes of its own parts only,
+    and of each one column.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "sha256"]), "path").alias("r")).select("sha256", "r.*").withColumn("batch", F.lit(number))
-        try:
-            known = spark.read.parquet(table).where(F.col("batch") != number).select("sha256")
-            new = new.join(known, "sha256", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        others = [c for c in batch.columns if c != "sha256"]
+        new = batch.groupBy("sha256").agg(F.min_by(F.struct(*others), "path").alias("r")).select("sha256", "r.*")
+        new = new.withColumns({"part": F.left("sha256", F.lit(2)), "batch": F.lit(number)})
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            parts = [r.part for r in new.select("part").distinct().collect()]  # 256 at most
+            known = spark.read.schema("sha256 string, part string, batch long").parquet(table)
+            new = new.join(known.where(F.col("part").isin(parts) & (F.col("batch") != number)).select("sha256"), "sha256", "left_anti")
         # a batch that comes again replaces itself
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(table)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def notify(items: DataFrame, subscriptions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Writes, for each subscription (sub_id, topic, cursor), the streamed items (topic, at) newer than its cursor."""
-    met = items.join(F.broadcast(subscriptions), "topic").where(F.col("at") > F.col("cursor"))
+    met = items.join(small(subscriptions), "topic").where(F.col("at") > F.col("cursor"))
     return met.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

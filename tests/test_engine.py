@@ -135,3 +135,47 @@ def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
     plan = catalog.QUERIES["conditions_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "GreaterThanOrEqual(s_acctbal,0.0)" in plan
+
+
+def test_broken_files_cost_themselves_alone(spark):
+    """Corrupt members, a bomb, documents without a body, bad string numbers: a status, never an exception."""
+    import io
+    import zipfile
+
+    from evigrain.sources import files
+
+    def pack(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in members.items():
+                z.writestr(name.replace("__", "/").replace("_", "."), body)
+        return out.getvalue()
+
+    good = pack(a_txt="first " * 500, b_txt="second")
+    at = good.index(b"a.txt") + 5
+    corrupt = good[: at + 4] + bytes(x ^ 0xA5 for x in good[at + 4 : at + 12]) + good[at + 12 :]
+    empty = pack(word__document_xml="<document/>")
+    sheet = pack(xl__workbook_xml='<w><s:sheet xmlns:s="s" name="S"/></w>', xl__sharedStrings_xml="<s/>", xl__worksheets__sheet1_xml='<x xmlns="q"><row><c t="s"><v>7</v></c></row></x>')
+    rows = [("x/corrupt.zip", corrupt), ("x/cut.zip", good[:40]), ("x/empty.docx", empty), ("x/sheet.xlsx", sheet), ("x/no.docx", b"PK"), ("x/none.docx", None), ("x/nested.zip", pack(in_zip=corrupt, c_md="third"))]
+    held = files.classify(spark.createDataFrame([(p, b) for p, b in rows], "path string, content binary"))
+    out = {r.path: r for r in files.expand(held).collect()}
+    assert out["x/corrupt.zip/a.txt"].error.startswith("failed") and out["x/corrupt.zip/b.txt"].content == b"second"
+    assert out["x/cut.zip"].error.startswith("failed") and out["x/nested.zip/c.md"].content == b"third"
+    assert out["x/nested.zip/in.zip/a.txt"].error.startswith("failed")
+    got = {r.path: (r.status, r.text) for r in files.pages(held.where("ext in ('.docx', '.xlsx')")).collect()}
+    assert got["x/empty.docx"] == ("ok", "") and got["x/sheet.xlsx"] == ("ok", "# sheet: S\n7")
+    assert got["x/no.docx"][0] == got["x/none.docx"][0] == "failed"
+
+
+def test_archives_are_measured_as_they_are_read(monkeypatch):
+    import io
+    import zipfile
+
+    from evigrain.sources import files
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "x" * 5000)
+        z.writestr("b.txt", "y" * 100_000)
+    found = list(files._members("p", out.getvalue(), files._Room(50_000)))
+    assert [(p, s) for p, _, s in found] == [("p/a.txt", "ok"), ("p", "too large")]
