@@ -20,8 +20,9 @@ import pyarrow as pa
 
 from ._text import Blocks, chunks, runs, spans
 
-KEEP = 1_000_000
-SLICE = 4 << 20
+KEEP = 500_000
+SLICE = 2 << 20
+ENCODED = 4096
 #: Letters that stay one piece through both tokenizers' own cutting.
 _PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ASCII_LETTER = np.zeros(256, bool)
@@ -203,7 +204,9 @@ class PieceTokenizer:
             table = self.letters | {10: mark}
             merge = self.library.model.tokenize
             found = [[t.id for t in merge(w)] for w in joined.encode().decode("latin-1").translate(table).split(mark)]
-        rest = iter([e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)])
+        # some at a time: the library's own results are large
+        parts = (others[k : k + ENCODED] for k in range(0, len(others), ENCODED))
+        rest = (e.ids for p in parts for e in self.library.encode_batch_fast(p, add_special_tokens=False))
         plainly = iter(found)
         every = [next(plainly) if y else next(rest) for y in plain]
         return np.array([i for x in every for i in x], self.dtype), np.array([len(x) for x in every], np.int64)
