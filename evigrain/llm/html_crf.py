@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import lean
+
 BUCKETS = 1 << 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -482,4 +484,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(work), "page_id long, url string, text string, n_chars long")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._memory import lean
 from ._text import chunks, combine, distinct_inverse, runs, word_hashes
 
 END = np.uint64(0xE0D0F7E27000001)
@@ -128,7 +129,7 @@ def _word_counts(texts: DataFrame, bits: int, places: list[int]) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(count, "shard long, blob binary")
+    return texts.mapInArrow(lean(count), "shard long, blob binary")
 
 
 def _merged(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -282,7 +283,7 @@ def fit(texts: DataFrame) -> Model:
                 yield pa.record_batch([pa.array(a["word"][a["count"] > limit].view(np.int64))], ["word"])
 
     paths = store.spark.createDataFrame([(p,) for p in words if p] or [], "path string")
-    hot = np.sort(np.array([r.word for r in paths.mapInArrow(frequent, "word long").collect()], np.int64).view(np.uint64))
+    hot = np.sort(np.array([r.word for r in paths.mapInArrow(lean(frequent), "word long").collect()], np.int64).view(np.uint64))
 
     places = _places(store.spark, bits)
     shard_of = {place: s for s, place in enumerate(places)}
@@ -354,7 +355,7 @@ def fit(texts: DataFrame) -> Model:
         return pa.Table.from_batches([own, sent])
 
     names = ["shard", "path", "counts", "blob", "what"]
-    counted = _dealt(texts.mapInArrow(count_bigrams, "shard long, blob binary"), bits)
+    counted = _dealt(texts.mapInArrow(lean(count_bigrams), "shard long, blob binary"), bits)
     counted = store.table(counted.applyInArrow(merge_bigrams, "shard long, path string, counts array<long>, blob binary, what long"), "bigrams")
     bigrams, of_counts = [""] * (1 << bits), np.zeros(6, np.int64)
     for r in counted.where("what = 0").select("shard", "path", "counts").collect():
@@ -405,5 +406,5 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
                     c[first:last] = np.add.reduceat(v, start)
             yield pa.record_batch([b.column(0), *(pa.array(c) for c in cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = docs.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = docs.mapInArrow(lean(score), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

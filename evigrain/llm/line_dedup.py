@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._memory import lean
 from ._text import mix
 
 GAMMA = 2.0
@@ -107,7 +108,7 @@ def _repeated(docs: DataFrame, least: int) -> DataFrame:
             yield pa.record_batch([pa.array(_signed(h1)), pa.array(_signed(h2)), pa.array(owner, pa.int64())], ["h1", "h2", "doc"])
 
     return (
-        docs.mapInArrow(lines, "h1 long, h2 long, doc long")
+        docs.mapInArrow(lean(lines), "h1 long, h2 long, doc long")
         .groupBy("h1", "h2")
         .agg(F.min("doc").alias("owner"), F.max("doc").alias("other"), F.count("*").alias("n"))
         .where("owner < other")
@@ -194,4 +195,4 @@ def dedup_lines(docs: DataFrame, least: int = 10, keep: list[str] | None = None)
                 gone.append(len(out))
             yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64()), *b.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *names])
 
-    return docs.mapInArrow(drop_lines, f"doc_id long, kept_text string, n_lines long, n_dropped long{kinds}")
+    return docs.mapInArrow(lean(drop_lines), f"doc_id long, kept_text string, n_lines long, n_dropped long{kinds}")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
+from ._memory import lean
 from ._text import combine, mix, shingle_sets
 
 BINS = 256
@@ -109,7 +110,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                     maps.append(None)
             yield pa.record_batch([b.column(0), pa.array(sizes), _signed(one), _signed(two), pa.array(keys, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "bands", "bits"])
 
-    return docs.mapInArrow(profile, "doc_id long, n long, h1 long, h2 long, bands binary, bits array<long>")
+    return docs.mapInArrow(lean(profile), "doc_id long, n long, h1 long, h2 long, bands binary, bits array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 ids, sizes = (np.repeat(c.column(k).to_numpy(), BANDS) for k in (0, 1))
                 yield pa.record_batch([pa.array(keys), pa.array(ids), pa.array(sizes)], ["key", "id", "n"])
 
-    return classes.select("id", "n", "bands").mapInArrow(spread, "key long, id long, n long")
+    return classes.select("id", "n", "bands").mapInArrow(lean(spread), "key long, id long, n long")
 
 
 def _wanted(rows: DataFrame, store: _store.Store, name: str) -> list[str]:
@@ -170,7 +171,7 @@ def _sets(docs: DataFrame, width: int, files: list[str]) -> DataFrame:
                     ids, out, size = [], [], 0
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
 
-    return docs.where("doc_id is not null").mapInArrow(full, "id long, shingles binary")
+    return docs.where("doc_id is not null").mapInArrow(lean(full), "id long, shingles binary")
 
 
 def _frequencies(sets: DataFrame, files: list[str], slots: int, store: _store.Store) -> list[str]:
@@ -201,7 +202,7 @@ def _frequencies(sets: DataFrame, files: list[str], slots: int, store: _store.St
         n[part["slot"].to_numpy() % SLOTS] = np.minimum(part["n"].to_numpy(), 2**32 - 1)
         return pa.table({"shard": [key[0].as_py()], "path": [_store.write_arrays(f"{folder}/slot-arrays", f"s{key[0].as_py()}", {"n": n})]})
 
-    summed = sets.mapInArrow(slots_of, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    summed = sets.mapInArrow(lean(slots_of), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     made = summed.withColumn("shard", F.floor(F.col("slot") / SLOTS)).groupBy("shard").applyInArrow(write, "shard long, path string")
     found = dict(store.table(made, "slot-files").collect())  # at most MOST_SLOTS / SLOTS rows
     return [found.get(i, "") for i in range(-(-slots // SLOTS))]
@@ -238,7 +239,7 @@ def _prefixes(sets: DataFrame, files: list[str], slots: int, counts: list[str],
             if held:
                 yield _prefix_rows(keys, ids, own, sizes)
 
-    return sets.mapInArrow(first, "shingle long, id long, root long, n long")
+    return sets.mapInArrow(lean(first), "shingle long, id long, root long, n long")
 
 
 def _prefix_rows(keys: list[np.ndarray], *others: list[np.ndarray]) -> pa.RecordBatch:
@@ -298,7 +299,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     both = left.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
 def components(edges: DataFrame, store: _store.Store, name: str) -> DataFrame:

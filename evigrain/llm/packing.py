@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bpe, _store
+from ._memory import lean
 
 BINS = 64
 PATTERN_PIECES = 3
@@ -178,7 +179,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0) -
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, bins: int = BINS) -> DataFrame:
@@ -225,7 +226,7 @@ def place(pieces: DataFrame, size: int, bins: int = BINS) -> DataFrame:
             yield pa.record_batch([*(b.column(c) for c in columns), pa.array(seq), pa.array(off)], [*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(look_up, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(look_up), f"{kinds}, sequence_id long, offset long")
 
 
 def _grouped(runs: list[tuple[int, int, int, int, int]]) -> dict[int, list]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._memory import lean
 from ._text import chunks, mix, runs, spans, word_hashes
 
 BUCKETS = 1 << 14
@@ -121,7 +122,7 @@ def context_vectors(rows: DataFrame) -> np.ndarray:
 
     kinds = "slice long, sums binary"
     out = np.zeros((BUCKETS // SLICE, SLICE * DIM))
-    for r in rows.select("text").mapInArrow(part, kinds).groupBy("slice").applyInArrow(merge, kinds).collect():  # the one matrix
+    for r in rows.select("text").mapInArrow(lean(part), kinds).groupBy("slice").applyInArrow(merge, kinds).collect():  # the one matrix
         out[r["slice"]] = np.frombuffer(r["sums"], np.int64)
     out = out.reshape(BUCKETS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -207,7 +208,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, Network | None]:
             x = features(b.column(1), shared.value)
             yield pa.record_batch([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    found = rows.select("doc_id", "text", "quality").mapInArrow(pooled, "doc_id long, quality double, x binary").toPandas()
+    found = rows.select("doc_id", "text", "quality").mapInArrow(lean(pooled), "doc_id long, quality double, x binary").toPandas()
     found = found.sort_values(["doc_id", "x"])  # the same order however the rows are dealt
     if not len(found):
         return context, None
@@ -255,5 +256,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
             yield pa.record_batch([b.column(0), pa.array(s), *text, *b.columns[2:]], ["_id", "score", *(["text"] if text else []), *others])
 
     kinds = "".join(f", `{c}` {t}" for c, t in (docs.select(*others).dtypes if others else []))
-    out = rows.mapInArrow(score, f"_id long, score double{', text string' if 'text' in keep else ''}{kinds}")
+    out = rows.mapInArrow(lean(score), f"_id long, score double{', text string' if 'text' in keep else ''}{kinds}")
     return out.select(F.col("_id").alias("doc_id"), (F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._memory import lean
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -274,7 +275,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(work), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
@@ -288,7 +289,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
             crc = [zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in own]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(crc, pa.int64()), pa.array([m.decode(x) for x in own], pa.string())], ["doc_id", "n_tokens", "ids_crc32", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(work), "doc_id long, n_tokens long, ids_crc32 long, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:

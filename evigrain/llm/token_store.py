@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe, _store
+from ._memory import lean
 
 SAMPLE = 256
 SHARD_BYTES = 16 << 20
@@ -97,7 +98,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         yield pa.record_batch([pa.array([int(order[0])]), pa.array([int(order[-1])]), pa.array([ties[0]]), pa.array([bool(known[0])]), pa.array([len(sizes)]), pa.array([int(bounds[-1])]), pa.array([path])], ["first_doc", "last_doc", "first_tie", "known", "n_docs", "n_ids", "path"])
 
     dealt = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return dealt.mapInArrow(write, "first_doc long, last_doc long, first_tie long, known boolean, n_docs long, n_ids long, path string")
+    return dealt.mapInArrow(lean(write), "first_doc long, last_doc long, first_tie long, known boolean, n_docs long, n_ids long, path string")
 
 
 class Shard:
@@ -134,7 +135,7 @@ def read_tokens(spark, shards: list[tuple[str, int]]) -> DataFrame:
                     yield pa.record_batch([pa.array(numbers[lo:hi], pa.int64()), pa.array(bounds[lo:hi] + base), pa.array(np.diff(bounds[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame(shards, "path string, base long").repartition(max(1, len(shards)))
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
