@@ -43,13 +43,15 @@ class Engine:
         """Citations for queries (query_id, query, query_vec, label): filtered and role-checked in every branch.
 
         ``documents``: doc_id, text and the filters' columns; ``vectors``: vec_id, embedding, label. Queries
-        whose candidates all fail the gate have no row.
+        whose candidates all fail the gate have no row. Where documents have a ``name``, those that a query
+        names are candidates and are promoted.
         """
         docs = self.documents.where(lookup.predicate(filters or {}))
         if "sensitivity" in docs.columns:
             docs = docs.where(state.may_see(F.lit(role), F.col("sensitivity")))
         vectors = self.vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-        return plan.cited(plan.evidence(docs, vectors, queries, self.gate, "doc_id"), F.lit(False))
+        named = ranking.named_documents(docs.select("doc_id", "name"), queries, least=self.gate.named) if "name" in docs.columns else None
+        return plan.cited(plan.evidence(docs, vectors, queries, self.gate, "doc_id", named), F.array_contains("sources", "name"))
 
     def node(self, ids: DataFrame, depth: int = 1) -> DataFrame:
         """Nodes within ``depth`` (1 to 4) steps of each id (start), themselves included."""
@@ -59,13 +61,14 @@ class Engine:
     def overview(self, limit: int = 300) -> tuple[DataFrame, DataFrame]:
         return graph.overview(self.nodes, self.edges, min(max(limit, 1), 2000))
 
-    def find_concepts(self, kind: str | None = None, text: str | None = None, limit: int = 50) -> DataFrame:
-        """Concepts by type and part of a name, those with most links first."""
+    def find_concepts(self, kind: str | None = None, text: str | None = None, limit: int = 50, comparable: int = 2) -> DataFrame:
+        """Concepts by type and part of a name: those with ``comparable`` links or more first, then by links."""
         hits = self.nodes
         hits = hits.where(F.col("type") == kind) if kind else hits
         hits = hits.where(F.contains(F.lower("name"), F.lit(text.lower()))) if text else hits
         out = hits.join(graph.degrees(self.edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        return out.orderBy(F.desc("degree"), F.lower("name"), "id").limit(min(max(limit, 1), 200))
+        out = out.withColumn("comparable", F.col("degree") >= comparable)
+        return out.orderBy(F.desc("comparable"), F.desc("degree"), F.lower("name"), "id").limit(min(max(limit, 1), 200))
 
     def document(self, ids: DataFrame, role: str = "researcher", most: int = 100) -> DataFrame:
         """Documents (doc_id) the role may see, with up to ``most`` chunks in order."""

@@ -23,6 +23,21 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1)
 
 
+# Words that carry no meaning of their own, and endings that inflect.
+STOP_WORDS = {
+    "en": ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"),
+    "ru": ("и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "да", "ты", "к", "у", "же", "вы", "за", "бы", "по", "от", "из", "о", "для", "до", "или", "при", "их", "это", "этот", "мы"),
+}
+ENDINGS = {"en": "ings?|edly|ied|ies|ed|es|s|ly", "ru": "иями|ями|ами|ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ые|ие|ой|ей|ом|ем|ам|ям|ах|ях|ов|ев|ию|ью|ия|ья|ый|ий|а|я|о|е|ы|и|у|ю|ь"}
+
+
+def stemmed(c: Column) -> Column:
+    """Words without stop words, cut before the longest inflecting ending that leaves three letters."""
+    stops = [w for ws in STOP_WORDS.values() for w in ws]
+    kept = F.filter(words(c), lambda w: ~w.isin(stops))
+    return F.transform(kept, lambda w: F.regexp_replace(F.regexp_replace(w, rf"^([a-z]{{3,}}?)(?:{ENDINGS['en']})$", "$1"), rf"^([а-яё]{{3,}}?)(?:{ENDINGS['ru']})$", "$1"))
+
+
 def slug(c: Column, size: int = 40) -> Column:
     """Letters and digits in Latin script, joined by ``_``, of at most ``size`` signs."""
     out = F.translate(F.lower(c), *LETTERS)

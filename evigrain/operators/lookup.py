@@ -36,6 +36,13 @@ def predicate(filters: dict[str, object]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def numeric_conditions(conditions: DataFrame, part: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Conditions whose parameter holds ``part`` (in any case) and whose value lies between the bounds given."""
+    out = conditions.where(F.contains(F.lower("param"), F.lit(part.lower()))) if part else conditions
+    out = out.where(F.col("value") >= least) if least is not None else out
+    return out.where(F.col("value") <= most) if most is not None else out
+
+
 def by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows with one of the ids (key); the ids are broadcast by checked size."""
     return table.join(small(ids.select(key).distinct()), key, "left_semi")

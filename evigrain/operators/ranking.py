@@ -1,4 +1,4 @@
-"""Retrieval: BM25, cosine, candidate union, gate, fusion, diversification, excerpts.
+"""Retrieval: BM25, names, cosine, candidate union, gate, fusion, diversification, excerpts.
 
 All operators take a batch of queries at once. Query terms and query vectors are small tables whose sizes
 are checked before they are broadcast; document sides are never broadcast.
@@ -6,12 +6,17 @@ are checked before they are broadcast; document sides are never broadcast.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import same_word, words
+from ..functions.planning import UNITS as QUERY_UNITS
+from ..functions.text import same_word, stemmed, words
 from ..functions.vectors import dot, norm
 
 #: Rows of a query side up to which it is broadcast.
@@ -28,12 +33,16 @@ class Gate:
     strong: float = 0.55
     concept: float = 0.38
     lexical_share: float = 0.12
+    named: float = 10.0
 
 
 GATES = {"yandex-256": Gate(0.58, 0.66, 0.50), "qwen3-0.6b": Gate(0.42, 0.55, 0.38)}
 RRF_K = 60
 CITATIONS = 6
 QUOTE = 400
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)?", re.A)
+#: A number with a unit, as queries have them.
+PHRASE = rf"\d+(?:[.,]\d+)?\s*(?:{QUERY_UNITS})"
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,39 +50,101 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, analyse: Callable[[Column], Column] = words) -> DataFrame:
     """Distinct terms of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+    return queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("query")))).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def postings(docs: DataFrame, text: str, key: str, terms: DataFrame | None = None, analyse: Callable[[Column], Column] = words) -> DataFrame:
+    """Terms of documents with their frequency: key, length, term, tf; and a row for each document with the term ``""``.
+
+    Only the given terms leave the scan; without any, all do: a table to write once, by hash of the term, and
+    to search often. Counting combines in the scan's own task, so the shuffle has a row for each pair.
+    """
+    tokens = docs.select(key, analyse(F.coalesce(text, F.lit(""))).alias("_t"))
+    rows = tokens.select(key, F.size("_t").alias("length"), F.explode(F.array_append("_t", F.lit(""))).alias("term"))
+    if terms is not None:
+        asked = terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()
+        if len(asked) <= LISTED_TERMS:
+            rows = rows.where(F.col("term").isin(["", *(r.term for r in asked)]))
+        else:
+            some = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+            rows = rows.join(F.broadcast(some) if len(asked) <= BROADCAST_ROWS else some, "term", "left_semi")
+    return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", k1: float = 1.2, b: float = 0.75, analyse: Callable[[Column], Column] = words) -> DataFrame:
     """BM25 of every matching document: query_id, key, score, n_terms.
 
-    One scan tokenises; only the queries' terms leave the scan, counted within their document, so the
-    shuffle carries a row for each matching pair, not for each token.
+    One scan tokenises: document frequencies, the number of documents and their mean length come from the
+    same counted rows as the scores, which Spark computes once (one exchange, read twice).
     """
-    terms = query_terms(queries)
-    listed = [r.term for r in terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
-    hint = F.broadcast if len(listed) <= BROADCAST_ROWS else lambda df: df  # all term tables are this small, or none
-    tokens = docs.select(F.col(key), words(F.col(text)).alias("tokens"))
-    if len(listed) <= LISTED_TERMS:  # the scan itself picks the queries' terms and counts them within the document
-        found = tokens.select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda x: x.isin(listed)).alias("own"))
-        counted = F.transform(F.array_distinct("own"), lambda w: F.struct(w.alias("term"), F.size(F.filter("own", lambda x: x == w)).alias("tf")))
-        postings = found.select(key, "length", F.inline(counted))
-        # a document counts for each of its terms, and once for "": one more scan gives all statistics
-        seen = found.select("length", F.explode(F.array_append(F.array_distinct("own"), F.lit(""))).alias("term"))
-    else:
-        own = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(hint(terms.select("term").distinct()), "term")
-        postings = own.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-        seen = postings.select("length", "term").union(tokens.select(F.size("tokens"), F.lit("")))
-    counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    terms = query_terms(queries, analyse)
+    return score_postings(postings(docs, text, key, terms, analyse), terms, key, k1, b)
+
+
+def score_postings(found: DataFrame, terms: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over :func:`postings` (just made, or written before) for terms (query_id, term)."""
+    asked = small(terms)
+    found = found.join(small(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()), "term", "left_semi")
+    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
     every = F.col("term") == ""
     # one row, of as many terms as the queries have
     counts = counts.agg(F.collect_list(F.struct("term", "df")).alias("of"), F.max(F.when(every, F.col("df"))).alias("n"), F.max(F.when(every, F.col("mean"))).alias("mean"))
     counts = counts.select("n", "mean", F.inline("of")).where(~every)
     weights = counts.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = postings.join(hint(weights), "term").select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("s"))
-    return scored.join(hint(terms), "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count("*").alias("n_terms"))
+    met = found.where(~every).join(F.broadcast(weights) if asked is not terms else weights, "term")
+    scored = met.select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("s"))
+    return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum("s").alias("score"), F.count("*").alias("n_terms"))
+
+
+@dataclass(frozen=True)
+class Scored:
+    """A column to search, how it is analysed, and how much its score counts."""
+
+    column: str
+    weight: float = 1.0
+    analyse: Callable[[Column], Column] = words
+
+
+def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[Scored], key: str = "doc_id", best: bool = False) -> DataFrame:
+    """BM25 over several fields: query_id, key, score. Their weighted scores are added; with ``best`` the highest counts."""
+    out = None
+    for f in fields:
+        own = bm25(docs, queries, f.column, key, analyse=f.analyse).select("query_id", key, (F.lit(f.weight) * F.col("score")).alias("s"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("query_id", key).agg((F.max if best else F.sum)("s").alias("score"))
+
+
+def number_boosts(scored: DataFrame, docs: DataFrame, queries: DataFrame, weight: float = 3.0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Scores raised where a document holds a number with its unit as the query has it; no document is added.
+
+    ``queries``: query_id, query. A phrase found in few of the scored documents counts for more.
+    """
+    phrases = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(rf"({PHRASE})"), 1))).alias("_p"))
+    phrases = phrases.withColumn("_p", F.regexp_replace("_p", r"\s+", " "))
+    held = scored.select("query_id", key).join(small(phrases), "query_id").join(docs.select(key, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_x")), key)
+    hits = held.where(F.contains(F.col("_x"), F.col("_p"))).select("query_id", key, "_p")
+    total = scored.groupBy("query_id").agg(F.count("*").alias("_n"))
+    rare = hits.groupBy("query_id", "_p").agg(F.count("*").alias("_d")).join(total, "query_id")
+    rare = rare.select("query_id", "_p", F.log(1 + (F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)).alias("_w"))
+    boost = hits.join(rare, ["query_id", "_p"]).groupBy("query_id", key).agg((weight * F.sum("_w")).alias("boost"))
+    out = scored.join(boost, ["query_id", key], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    return out.withColumn("score", F.col("score") + F.col("boost"))
+
+
+def leaders(scored: DataFrame, least: float = 10.0, share: float = 0.6, most: int = 3, key: str = "doc_id") -> DataFrame:
+    """Of the names found for each query the first ``most`` that reach ``least`` and ``share`` of the best score."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return top(scored.withColumn("_best", best).where((F.col("score") >= least) & (F.col("score") >= share * F.col("_best"))), most, [F.desc("score"), F.asc(key)], ["query_id"]).drop("_best")
+
+
+def named_documents(names: DataFrame, queries: DataFrame, generic: list[str] = [], least: float = 10.0, key: str = "doc_id") -> DataFrame:
+    """Documents that a query names: the leading ones by BM25 over their names that share a significant word with it."""
+    spaced = names.select(key, F.translate("name", "_.-", "   ").alias("name"))
+    fields = [Scored("name", 2.0), Scored("name", 1.0, stemmed)]
+    scored = bm25_fields(spaced, queries, fields, key, best=True)
+    return leaders(scored.join(name_matches(names, queries, generic, key).select("query_id", key), ["query_id", key], "left_semi"), least, key=key)
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None, rank: str = "rank") -> DataFrame:
@@ -184,25 +255,66 @@ def name_matches(names: DataFrame, queries: DataFrame, generic: list[str] = [],
     return left.join(right, "_p").where(same_word(F.col("word"), F.col("asked"))).groupBy("query_id", key).agg(F.countDistinct("asked").alias("n_words"))
 
 
-def numeric_excerpts(texts: DataFrame, width: int = 260, least: int = 2, key: str = "chunk_id", skip: int = 0) -> DataFrame:
-    """The window of ``width`` signs of each text that is densest in numbers: key, start, weight, excerpt.
+def numeric_excerpts(texts: DataFrame, width: int = 260, least: int = 2, key: str = "chunk_id", stems: str | None = None, before: int = 80, lead: int = 0, size: int | None = None) -> DataFrame:
+    """The window of ``width`` signs of each text that says most in numbers: key, start, hits, weight, excerpt.
 
-    A window begins at a number; a decimal weighs 3, another number 1; the earliest of the best wins.
-    Texts with fewer than ``least`` numbers in any window have no row.
+    A window begins at a number; of the windows the one with most of the query's stems (an array column named
+    by ``stems``; looked for from ``before`` signs earlier) comes first, then the one that is densest: a decimal
+    weighs 3, another number 1. The earliest of the best wins. Texts with fewer than ``least`` numbers in any
+    window have no row. The excerpt begins ``lead`` signs earlier and has ``size`` signs (``width`` by default).
+
+    A text is read where it lies, in Arrow batches: windows are differences of running sums, found by bisection
+    (columns have no running sum along an array, and a window over numbers would move the text with each).
+    """
+    kind = dict(texts.dtypes)[key]
+    asked = F.col(stems) if stems else F.array().cast("array<string>")
+    rows = texts.where(F.col("text").rlike(r"\d")).select(key, "text", asked.alias("_stems"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_densest(t, w, width, least, before) for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rows = [i for i, x in enumerate(found) if x]
+            cut = [b.column(1)[i].as_py()[max(found[i][0] - lead, 0) :][: size or width] for i in rows]
+            numbers = [pa.array([found[i][k] for i in rows], pa.int64()) for k in range(3)]
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), *numbers, pa.array(cut, pa.string())], [key, "start", "hits", "weight", "excerpt"])
+
+    return rows.mapInArrow(work, f"`{key}` {kind}, start long, hits long, weight long, excerpt string")
+
+
+def _densest(text: str, stems: list[str] | None, width: int, least: int, before: int) -> tuple[int, int, int] | None:
+    """Start, hits and weight of the best window of a text."""
+    found = [(m.start(), 3 if "," in m[0] or "." in m[0] else 1) for m in _NUMBER.finditer(text)]
+    if len(found) < least:
+        return None
+    starts, weights = np.array(found).T
+    sums = np.concatenate([[0], np.cumsum(weights)])
+    last = np.searchsorted(starts, starts + width, "right")
+    at = np.flatnonzero(last - np.arange(len(starts)) >= least)
+    if not len(at):
+        return None
+    hits = np.zeros(len(at), np.int64)
+    if stems:
+        for k, p in enumerate(starts[at].tolist()):
+            own = text[max(p - before, 0) : p + width].lower()
+            hits[k] = sum(w in own for w in stems)
+    weight = sums[last[at]] - sums[at]
+    best = np.lexsort((starts[at], -weight, -hits))[0]
+    return int(starts[at[best]]), int(hits[best]), int(weight[best])
+
+
+def number_evidence(cited: DataFrame, texts: DataFrame, stems: DataFrame, most: int = 4, skip: int = 260) -> DataFrame:
+    """Numeric evidence beside citations: query_id, chunk_id, rank, origin, excerpt.
+
+    ``cited``: query_id, chunk_id, doc_id, seq; ``texts``: chunk_id, doc_id, seq, text; ``stems``: query_id,
+    stems. Origins are what follows the first ``skip`` signs of the cited chunk itself, and the chunks before
+    and after it in its document; of each query and document the best ``most`` stay.
     """
-    pattern = r"\d+(?:[.,]\d+)?"
-    # places by splitting at numbers: each number's start is the length of all before it
-    gaps = F.split("text", pattern)
-    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
-    both = texts.where(F.col("text").rlike(r"\d")).select(key, "text", gaps.alias("_g"), found.alias("_f"))
-    steps = F.transform(F.sequence(F.lit(0), F.size("_f") - 1), lambda i: F.length(F.get("_g", i)) + F.when(i > 0, F.length(F.get("_f", i - 1))).otherwise(0))
-    numbers = both.select(key, "text", F.posexplode(F.arrays_zip(F.col("_f").alias("f"), steps.alias("s"))).alias("i", "x"))
-    at = F.sum("x.s").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    placed = numbers.select(key, "text", at.alias("start"), F.when(F.col("x.f").rlike("[.,]"), 3).otherwise(1).alias("w"))
-    window = Window.partitionBy(key).orderBy("start").rangeBetween(0, width)
-    dense = placed.withColumns({"weight": F.sum("w").over(window), "n": F.count("*").over(window)}).where(F.col("n") >= least)
-    best = top(dense, 1, [F.desc("weight"), F.asc("start")], [key], "_r")
-    return best.select(key, "start", "weight", F.substring(F.col("text"), F.col("start") + 1 + skip, F.lit(width)).alias("excerpt"))
+    near = cited.select("query_id", "doc_id", F.explode(F.array(*[F.struct((F.col("seq") + k).alias("seq"), F.lit(o).alias("origin")) for k, o in ((0, "own"), (-1, "before"), (1, "after"))])).alias("n"))
+    near = near.select("query_id", "doc_id", "n.seq", "n.origin").groupBy("query_id", "doc_id", "seq").agg(F.max("origin").alias("origin"))
+    met = texts.join(near, ["doc_id", "seq"]).join(small(stems), "query_id")
+    met = met.withColumns({"text": F.when(F.col("origin") == "own", F.substring("text", skip + 1, 1 << 30)).otherwise(F.col("text")), "_k": F.struct("query_id", "doc_id", "chunk_id", "origin")})
+    found = numeric_excerpts(met, key="_k", stems="stems", lead=60, size=360).select("_k.*", "hits", "weight", "excerpt")
+    return top(found, most, [F.desc("hits"), F.desc("weight"), F.asc("chunk_id")], ["query_id", "doc_id"]).select("query_id", "chunk_id", "rank", "origin", "excerpt")
 
 
 def neighbours(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

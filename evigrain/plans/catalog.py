@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -114,6 +114,42 @@ def bm25_topk(spark, d):
     return ranking.top(found, 12, [F.desc(F.round("score", 6)), F.asc("doc_id")], ["query_id"]).select("query_id", "doc_id", "n_terms", F.round("score", 4).alias("score"))
 
 
+FIELDS = [ranking.Scored("text", 2.0), ranking.Scored("text", 1.0, text.stemmed), ranking.Scored("source", 1.0)]
+BOOSTED = [(1, "that from 4.5 %"), (2, "les dans 30 мг/л"), (3, "src3 der 12 %")]
+
+
+def _field_sql(name: str, column: str, terms: str, q: list[tuple[int, str]], table: str = "documents", key: str = "doc_id") -> str:
+    """BM25 of one field in SQL: ``terms`` makes the array of terms of ``__x__``."""
+    values = ", ".join(f"(CAST({i} AS BIGINT), '{s}')" for i, s in q)
+    return rf"""
+{name}_q AS (SELECT DISTINCT query_id, unnest({terms.replace("__x__", "query")}) AS term FROM (VALUES {values}) v(query_id, query)),
+{name}_t AS (SELECT {key}, {terms.replace("__x__", f"coalesce({column}, '')")} AS ws FROM {table}),
+{name}_s AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM {name}_t),
+{name}_p AS (SELECT {key}, length, term, count(*) AS tf FROM (SELECT {key}, len(ws) AS length, unnest(ws) AS term FROM {name}_t) WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
+{name} AS (SELECT query_id, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM {name}_p JOIN {name}_d USING (term) JOIN {name}_q USING (term), {name}_s GROUP BY query_id, {key})"""
+
+
+_PLAIN = r"regexp_extract_all(lower(__x__), '[\p{L}\p{N}]+')"
+_STEM = rf"list_transform(list_filter({_PLAIN}, lambda w: w NOT IN ({', '.join(repr(w) for ws in text.STOP_WORDS.values() for w in ws)})), lambda w: regexp_replace(regexp_replace(w, '^([a-z]{{3,}}?)(?:{text.ENDINGS['en']})$', '\1'), '^([а-яё]{{3,}}?)(?:{text.ENDINGS['ru']})$', '\1'))"
+
+
+@query(f"""
+WITH {_field_sql("a", "text", _PLAIN, BOOSTED)},{_field_sql("b", "text", _STEM, BOOSTED)},{_field_sql("c", "source", _PLAIN, BOOSTED)},
+s AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, 2 * score AS s FROM a UNION ALL SELECT query_id, doc_id, score FROM b UNION ALL SELECT query_id, doc_id, score FROM c) GROUP BY query_id, doc_id),
+p(query_id, p) AS (VALUES (1, '4.5 %'), (2, '30 мг/л'), (3, '12 %')),
+h AS (SELECT s.query_id, s.doc_id, p FROM s JOIN p USING (query_id) JOIN documents d USING (doc_id) WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), p)),
+w AS (SELECT query_id, p, ln(1 + (n - d + 0.5) / (d + 0.5)) AS w FROM (SELECT query_id, p, count(*) AS d FROM h GROUP BY query_id, p) JOIN (SELECT query_id, count(*) AS n FROM s GROUP BY query_id) USING (query_id)),
+r AS (SELECT s.query_id, s.doc_id, coalesce(3 * w, 0) AS boost, score + coalesce(3 * w, 0) AS score FROM s LEFT JOIN h USING (query_id, doc_id) LEFT JOIN w USING (query_id, p))
+SELECT query_id, doc_id, round(boost, 4) AS boost, round(score, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20""".replace("\\\\", "\\"))
+def bm25_fields_boosted(spark, d):
+    """Words, stems and source of documents, weighted, with what the query's numbers add."""
+    docs, q = spread(t(spark, d, "documents")), spark.createDataFrame(BOOSTED, "query_id long, query string")
+    found = ranking.number_boosts(ranking.bm25_fields(docs, q, FIELDS), docs, q)
+    found = ranking.top(found, 20, [F.desc(F.round("score", 6)), F.asc("doc_id")], ["query_id"])
+    return found.select("query_id", "doc_id", F.round("boost", 4).alias("boost"), F.round("score", 4).alias("score"))
+
+
 NAMES = [(1, "thther reports"), (2, "ththbles"), (3, "therous thereas")]
 
 
@@ -131,6 +167,24 @@ def docname_match(spark, d):
     return ranking.name_matches(names, q, ["http", "https", "example", "html"], key="page_id")
 
 
+_NAMED = """
+WITH {one},{two},
+s AS (SELECT query_id, page_id, max(s) AS score FROM (SELECT query_id, page_id, 2 * score AS s FROM a UNION ALL SELECT query_id, page_id, score FROM b) GROUP BY query_id, page_id),
+k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE (query_id, page_id) IN (SELECT (query_id, page_id) FROM ({match})))
+SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS INT) AS rank, round(score, 4) AS score FROM k WHERE score >= 2 AND score >= 0.6 * best
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) <= 3"""
+_NAME = "(SELECT page_id, translate(url, '_.-', '   ') AS name FROM pages)"
+
+
+@query(_NAMED.format(one=_field_sql("a", "name", _PLAIN, NAMES, _NAME, "page_id"), two=_field_sql("b", "name", _STEM, NAMES, _NAME, "page_id"), match=ORACLE["docname_match"]))
+def named_leaders(spark, d):
+    """Pages that a query names: the leading ones by BM25 over their addresses."""
+    names = t(spark, d, "pages").select("page_id", F.col("url").alias("name"))
+    q = spark.createDataFrame(NAMES, "query_id long, query string")
+    out = ranking.named_documents(names, q, ["http", "https", "example", "html"], least=2.0, key="page_id")
+    return out.select("query_id", "page_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("""
 SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS cosine
 FROM embeddings q, embeddings v WHERE q.vec_id IN (1, 2, 3)
@@ -171,16 +225,44 @@ def packet_markdown(spark, d):
     return search.packet(ranking.citations(chosen, texts))
 
 
-@query(r"""
+STEMS = ["that", "les", "und"]
+
+
+@query(rf"""
 WITH p AS (SELECT doc_id, text, string_split_regex(text, '\d+(?:[.,]\d+)?') AS g, regexp_extract_all(text, '\d+(?:[.,]\d+)?') AS f FROM documents WHERE regexp_matches(text, '\d')),
 x AS (SELECT doc_id, text, unnest(range(1, len(f) + 1)) AS i, f, g FROM p),
 n AS (SELECT doc_id, text, f[i] AS num, sum(length(g[i]) + CASE WHEN i > 1 THEN length(f[i - 1]) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS start FROM x),
-w AS (SELECT doc_id, text, start, sum(CASE WHEN regexp_matches(num, '[.,]') THEN 3 ELSE 1 END) OVER v AS weight, count(*) OVER v AS c FROM n
-  WINDOW v AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 260 FOLLOWING))
-SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(weight AS BIGINT) AS weight, substr(text, CAST(start AS INT) + 1, 260) AS excerpt FROM w WHERE c >= 2
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, start) = 1""")
+w AS (SELECT doc_id, text, CAST(start AS BIGINT) AS start, sum(CASE WHEN regexp_matches(num, '[.,]') THEN 3 ELSE 1 END) OVER v AS weight, count(*) OVER v AS c FROM n
+  WINDOW v AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 260 FOLLOWING)),
+h AS (SELECT *, {" + ".join(f"CAST(contains(lower(substr(text, greatest(start - 80, 0) + 1, start + 260 - greatest(start - 80, 0))), '{s}') AS INT)" for s in STEMS)} AS hits FROM w WHERE c >= 2)
+SELECT doc_id, start, CAST(hits AS BIGINT) AS hits, CAST(weight AS BIGINT) AS weight, substr(text, start + 1, 260) AS excerpt FROM h
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, weight DESC, start) = 1""")
 def numeric_excerpt(spark, d):
-    return ranking.numeric_excerpts(t(spark, d, "documents").select("doc_id", "text"), key="doc_id")
+    docs = spread(t(spark, d, "documents")).select("doc_id", "text", F.array(*map(F.lit, STEMS)).alias("stems"))
+    return ranking.numeric_excerpts(docs, key="doc_id", stems="stems")
+
+
+@query(r"""
+WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq FROM conversations),
+c AS (SELECT DISTINCT conv_id % 3 AS query_id, conv_id, seq FROM m WHERE seq = 2),
+x AS (SELECT query_id, conv_id, seq + k AS seq, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'after' ELSE 'before' END AS origin FROM c, (VALUES (-1), (0), (1)) v(k)),
+p AS (SELECT query_id, conv_id, seq, origin, CASE WHEN origin = 'own' THEN substr(text, 21) ELSE text END AS text FROM m JOIN x USING (conv_id, seq)),
+f AS (SELECT *, regexp_extract_all(text, '\d+(?:[.,]\d+)?') AS f, string_split_regex(text, '\d+(?:[.,]\d+)?') AS g FROM p),
+n AS (SELECT query_id, conv_id, seq, origin, text, i, f[i] AS num, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS start FROM f, LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)),
+w AS (SELECT *, sum(CASE WHEN regexp_matches(num, '[.,]') THEN 3 ELSE 1 END) OVER v AS weight, count(*) OVER v AS c FROM n WINDOW v AS (PARTITION BY conv_id, seq, query_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 260 FOLLOWING)),
+b AS (SELECT *, CAST(start AS BIGINT) AS s, CAST(contains(lower(substr(text, CAST(greatest(start - 80, 0) AS BIGINT) + 1, CAST(start + 260 - greatest(start - 80, 0) AS BIGINT))), 'the') AS INT) AS hits FROM w WHERE c >= 2),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, seq ORDER BY hits DESC, weight DESC, start) = 1)
+SELECT query_id, conv_id, seq, origin, CAST(row_number() OVER (PARTITION BY query_id, conv_id ORDER BY hits DESC, weight DESC, seq) AS INT) AS rank, substr(text, greatest(s - 60, 0) + 1, 360) AS excerpt FROM o
+QUALIFY row_number() OVER (PARTITION BY query_id, conv_id ORDER BY hits DESC, weight DESC, seq) <= 4""".replace("\\\\", "\\"))
+def number_evidence(spark, d):
+    """Numbers in the second message of each conversation and those beside it."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    m = t(spark, d, "conversations").withColumn("seq", F.row_number().over(w)).select(F.col("conv_id").alias("doc_id"), "seq", F.format_string("%012d:%06d", "conv_id", "seq").alias("chunk_id"), "text")
+    cited = m.where("seq = 2").select((F.col("doc_id") % 3).alias("query_id"), "chunk_id", "doc_id", "seq")
+    stems = spark.createDataFrame([(q, ["the"]) for q in range(3)], "query_id long, stems array<string>")
+    out = ranking.number_evidence(cited, m, stems, skip=20)
+    at = F.split("chunk_id", ":")
+    return out.select("query_id", at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("seq"), "origin", "rank", "excerpt")
 
 
 @query("""
