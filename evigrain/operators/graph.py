@@ -135,6 +135,10 @@ def ranked_experts(works: DataFrame, limit: int) -> DataFrame:
     return works.groupBy("expert").agg(F.countDistinct("work").alias("n_works")).orderBy(F.desc("n_works"), "expert").limit(limit)
 
 
+#: Rows of a group that one task pairs with the whole group.
+GROUP = 2000
+
+
 def contradictions(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Pairs of conditions on one (subject, param) whose values can't both hold: subject, param, a, b.
 
@@ -145,10 +149,13 @@ def contradictions(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
     lo = F.when(F.col("op").isin("=", ">", ">=", "range"), F.col("value")).when(F.col("op") == "approx", F.col("value") - F.coalesce("value2", F.lit(0.0))).otherwise(float("-inf"))
     hi = F.when(F.col("op").isin("=", "<", "<="), F.col("value")).when(F.col("op") == "range", F.col("value2")).when(F.col("op") == "approx", F.col("value") + F.coalesce("value2", F.lit(0.0))).otherwise(float("inf"))
     spans = conditions.select("id", "subject", "param", lo.alias("lo"), hi.alias("hi"))
-    apart = spans.groupBy("subject", "param").agg(F.max("lo").alias("_l"), F.min("hi").alias("_h")).where(F.col("_l") > F.col("_h") + tolerance).select("subject", "param")
-    spans = spans.join(apart, ["subject", "param"])
-    other = spans.select("subject", "param", F.col("id").alias("id2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = spans.join(other, ["subject", "param"]).where((F.col("id") < F.col("id2")) & ((F.col("lo") > F.col("hi2") + tolerance) | (F.col("lo2") > F.col("hi") + tolerance)))
+    groups = spans.groupBy("subject", "param").agg(F.max("lo").alias("_l"), F.min("hi").alias("_h"), F.count("*").alias("_k"))
+    # a large group is dealt out in blocks, so that no task has all its pairs
+    groups = groups.where(F.col("_l") > F.col("_h") + tolerance).select("subject", "param", F.ceil(F.col("_k") / GROUP).cast("int").alias("_blocks"))
+    spans = spans.join(groups, ["subject", "param"])
+    one = spans.withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    other = spans.select("subject", "param", F.col("id").alias("id2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    met = one.join(other, ["subject", "param", "_block"]).where((F.col("id") < F.col("id2")) & ((F.col("lo") > F.col("hi2") + tolerance) | (F.col("lo2") > F.col("hi") + tolerance)))
     return met.select("subject", "param", F.col("id").alias("a"), F.col("id2").alias("b"))
 
 

@@ -50,6 +50,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def each_with(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Each row with each row of ``few``, which is broadcast in blocks of checked size (dealt by hash of ``key``)."""
+    blocks = -(-few.count() // BROADCAST_ROWS)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(few))
+    place = F.pmod(F.xxhash64(key), F.lit(blocks))
+    parts = [rows.crossJoin(F.broadcast(few.where(place == i))) for i in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def query_terms(queries: DataFrame, analyse: Callable[[Column], Column] = words) -> DataFrame:
     """Distinct terms of queries (query_id, query)."""
     return queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("query")))).alias("term"))
@@ -156,13 +169,13 @@ def top(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None,
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Exact cosine: the ``k`` nearest rows of each query (query_id, query_vec): query_id, key, cosine, rank.
 
-    Queries are broadcast (checked); each row meets each query in the scan's own task, and every task keeps
-    ``k`` rows a query before the shuffle.
+    Queries are broadcast, in blocks of checked size; each row meets each query in the scan's own task, and
+    every task keeps ``k`` rows a query before the shuffle.
     """
     rows = vectors.where(F.col(vec).isNotNull()).select(key, vec, norm(F.col(vec)).alias("_n"))
-    asked = small(queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("_m")))
+    asked = queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("_m"))
     size = F.col("_n") * F.col("_m")
-    scored = rows.crossJoin(asked).select("query_id", key, F.when(size > 0, dot(F.col(vec), F.col("query_vec")) / size).otherwise(0.0).alias("cosine"))
+    scored = each_with(rows, asked, "query_id").select("query_id", key, F.when(size > 0, dot(F.col(vec), F.col("query_vec")) / size).otherwise(0.0).alias("cosine"))
     return top(scored, k, [F.desc("cosine"), F.asc(key)], ["query_id"])
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..functions import geography, matching, numbers, planning, text, units, vectors
+from ..functions import geography, matching, numbers, paths, planning, text, units, vectors
 from ..operators import chunking, conditions, graph, lookup, quality, ranking, state
 from ..operators.quality import Constraint
 from ..sources import html
 from ..sources.tables import spread
 from ..sources.tables import table as t
+from ..streaming import incremental
 from . import build, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,14 +99,13 @@ def _named():
 
 
 @query("""
-SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'size' END AS facet, coalesce(source, lang, size) AS value, count(*) AS n
-FROM (SELECT source, lang, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END AS size FROM documents)
-GROUP BY GROUPING SETS ((source), (lang), (size))""")
+SELECT 'node' AS facet, type AS value, count(*) AS n FROM (SELECT 'Location' AS type FROM region UNION ALL SELECT 'Location' FROM nation UNION ALL SELECT 'Organization' FROM customer UNION ALL SELECT 'Expert' FROM supplier UNION ALL SELECT 'Material' FROM part) GROUP BY type
+UNION ALL SELECT 'edge', type, count(*) FROM (SELECT 'located_in' AS type FROM nation UNION ALL SELECT 'located_in' FROM customer UNION ALL SELECT 'works_at' FROM supplier) GROUP BY type
+UNION ALL SELECT 'section', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang
+UNION ALL SELECT 'year', CAST(2000 + doc_id % 25 AS VARCHAR), count(*) FROM documents GROUP BY doc_id % 25""")
 def coverage_facets(spark, d):
-    docs = t(spark, d, "documents").select("source", "lang", F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "medium").otherwise("long").alias("size"))
-    sets = docs.groupingSets([["source"], ["lang"], ["size"]], "source", "lang", "size")
-    facet = F.when(F.grouping("source") == 0, "source").when(F.grouping("lang") == 0, "lang").otherwise("size")
-    return sets.agg(facet.alias("facet"), F.count("*").alias("n")).select("facet", F.coalesce("source", "lang", "size").alias("value"), "n")
+    docs = t(spark, d, "documents").select(F.col("source").alias("section"), "lang", (2000 + F.col("doc_id") % 25).alias("year"))
+    return Engine({"nodes": tpch_nodes(spark, d), "edges": place_edges(spark, d), "documents": docs}).stats()
 
 
 @query(f"WITH {LEX} SELECT query_id, doc_id, n_terms, round(score, 4) AS score FROM lexs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 12")
@@ -348,17 +348,21 @@ def detect_lang_ratio(spark, d):
     return t(spark, d, "documents").select("doc_id", text.count_of(c, "[a-zA-Z]").cast("long").alias("latin"), text.count_of(c, "[а-яёА-ЯЁ]").cast("long").alias("cyrillic"), text.script_language(c).alias("script"), text.token_estimate(c).alias("n_tokens"))
 
 
-@query(r"""
-SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS section,
-  CAST(nullif(regexp_extract(url, '/(\d+)(?:\.html)?(?:[?#].*)?$', 1), '') AS BIGINT) AS number, contains(url, '?') AS has_query, regexp_matches(url, '\.html') AS has_ext,
-  CASE WHEN regexp_matches(url, '^https') AND NOT contains(url, '?') THEN 1 WHEN regexp_matches(url, '^https') THEN 2 WHEN contains(url, '//www.') THEN 3 ELSE 4 END AS wave
-FROM pages""")
+PATHS = ["Журналы/Обогащение руд/%1$d/NR_%2$02d.pdf", "Доклады/plan.pptx", "Материалы конференций/Forum %1$d/y.pdf", "Материалы конференций/CRU/z_%2$02d.xls"]
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id % 4 AS k, CAST(2000 + page_id % 20 AS INT) AS y, CAST(2001 + page_id % 20 AS INT) AS s FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'Журналы' WHEN 1 THEN 'Доклады' ELSE 'Материалы конференций' END AS section, CASE WHEN k = 0 THEN 'Обогащение руд' END AS journal, CASE k WHEN 0 THEN y WHEN 2 THEN y WHEN 3 THEN s END AS year,
+  CASE k WHEN 0 THEN 'article' WHEN 1 THEN 'presentation' WHEN 2 THEN 'proceedings' ELSE 'market_report' END AS source_type, CASE k WHEN 2 THEN 'global' WHEN 3 THEN 'foreign' ELSE 'RU' END AS geography_hint,
+  CAST(CASE WHEN k = 0 THEN CASE WHEN y BETWEEN 2015 AND 2025 THEN 2 ELSE 4 END WHEN k = 1 THEN 1 WHEN k = 2 THEN 3 ELSE 4 END AS INT) AS wave
+FROM p""")
 def path_metadata(spark, d):
-    u = F.col("url")
-    number = F.regexp_extract(u, r"/(\d+)(?:\.html)?(?:[?#].*)?$", 1)
-    asks = F.contains(u, F.lit("?"))
-    wave = F.when(u.startswith("https") & ~asks, 1).when(u.startswith("https"), 2).when(F.contains(u, F.lit("//www.")), 3).otherwise(4)
-    return t(spark, d, "pages").select("page_id", F.regexp_extract(u, "^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract(u, "^https?://[^/?#]+/([^/?#]+)", 1).alias("section"), F.when(number != "", number.cast("long")).alias("number"), asks.alias("has_query"), u.rlike(r"\.html").alias("has_ext"), wave.alias("wave"))
+    """Paths of four kinds, with years of their own, for the pages."""
+    year, short = (2000 + F.col("page_id") % 20).cast("int"), (1 + F.col("page_id") % 20).cast("int")
+    made = [F.format_string(p, year, short) for p in PATHS]
+    path = F.element_at(F.array(*made), (F.col("page_id") % 4 + 1).cast("int"))
+    return t(spark, d, "pages").select("page_id", paths.metadata(path).alias("m")).select("page_id", "m.*")
 
 
 @query("""
@@ -413,14 +417,18 @@ def validate_numbers(spark, d):
 PLACES = [(r"(?:^|[^\p{L}])les(?:[^\p{L}]|$)", "France", "foreign"), (r"(?:^|[^\p{L}])der(?:[^\p{L}]|$)", "Germany", "foreign"), (r"(?:^|[^\p{L}])the(?:[^\p{L}]|$)", "Home", "RU")]
 
 
-@query(rf"""
-WITH m AS (SELECT doc_id, lang, {", ".join(f"regexp_matches(text, '(?i){p}') AS {n}" for p, n, _ in PLACES)} FROM documents)
-SELECT doc_id, CAST(France AS INT) + CAST(Germany AS INT) + CAST(Home AS INT) AS n_countries,
-  CASE WHEN Home AND (France OR Germany) THEN 'global' WHEN Home THEN 'RU' WHEN France OR Germany THEN 'foreign' WHEN lang = 'es' THEN 'foreign' END AS region FROM m""")
+SITES = ["работы в Норильске", "медь, Chuquicamata", "the Sudbury basin and Bushveld", "Harjavalta и Талнах", "отчёт без мест", "технологии в мире"]
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, doc_id % {len(SITES)} AS k, source FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'Россия' WHEN 1 THEN 'Чили' WHEN 2 THEN 'Канада,ЮАР' WHEN 3 THEN 'Россия,Финляндия' ELSE '' END AS countries,
+  CASE k WHEN 0 THEN 'RU' WHEN 1 THEN 'foreign' WHEN 2 THEN 'foreign' WHEN 3 THEN 'global' ELSE CASE WHEN source = 'src1' THEN 'RU' WHEN k = 5 THEN 'global' END END AS region FROM s""")
 def geo_detect(spark, d):
-    c = F.col("text")
-    hint = F.when(F.col("lang") == "es", "foreign")
-    return t(spark, d, "documents").select("doc_id", F.size(geography.countries(c, PLACES)).alias("n_countries"), geography.region(c, hint, PLACES).alias("region"))
+    """Places in a title before each document's text; one source says where it is from."""
+    c = F.element_at(F.array(*map(F.lit, SITES)), (F.col("doc_id") % len(SITES) + 1).cast("int"))
+    hint = F.when(F.col("source") == "src1", "RU")
+    return t(spark, d, "documents").select("doc_id", F.array_join(geography.countries(c), ",").alias("countries"), geography.region(c, hint).alias("region"))
 
 
 REGISTRY = [("c1", "that from", "thatter", None), ("c2", "les dans", "pour", ["avecs"]), ("c3", "nichts", "einer", ["und der"])]
@@ -449,7 +457,8 @@ def resolve_entities(spark, d):
     """Each vector to a concept (the first vector of a label): by name for the labels below 4, else by cosine, else new."""
     e = t(spark, d, "embeddings")
     c = e.groupBy(F.col("label").alias("_l")).agg(F.min("vec_id").alias("concept"), F.min_by("embedding", "vec_id").alias("_v"))
-    scored = e.crossJoin(ranking.small(c)).select("vec_id", "label", "concept", F.round(vectors.cosine(F.col("embedding"), F.col("_v")), 9).alias("s"), (F.col("label") == F.col("_l")).alias("own"))
+    met = ranking.each_with(e, c, "concept")
+    scored = met.select("vec_id", "label", "concept", F.round(vectors.cosine(F.col("embedding"), F.col("_v")), 9).alias("s"), (F.col("label") == F.col("_l")).alias("own"))
     best = scored.groupBy("vec_id", "label").agg(F.max_by("concept", "s").alias("near"), F.max("s").alias("s"), F.max(F.when(F.col("own"), F.col("concept"))).alias("exact"))
     exact, near = F.col("label") < 4, F.col("s") >= 0.2
     return best.select("vec_id", F.when(exact, "exact").when(near, "near").otherwise("new").alias("tier"), F.when(exact, F.col("exact")).when(near, F.col("near")).alias("concept"))
@@ -585,25 +594,24 @@ def contradictions(spark, d):
     return graph.contradictions(c)
 
 
-@query("""
-SELECT p_partkey, p_name, n_links, n_links >= 20 AS comparable FROM (
-  SELECT p_partkey, p_name, count(l_orderkey) AS n_links FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_type LIKE '%A%' GROUP BY p_partkey, p_name)
-ORDER BY comparable DESC, n_links DESC, lower(p_name), p_partkey LIMIT 100""")
+@query(f"""
+WITH {PLACE_EDGES}, m AS (SELECT DISTINCT 'part:' || l_partkey AS id, l_suppkey FROM lineitem), g AS (SELECT id, count(*) AS degree FROM m GROUP BY id)
+SELECT 'part:' || p_partkey AS id, p_name AS name, coalesce(degree, 0) AS degree, coalesce(degree, 0) >= 5 AS comparable FROM part LEFT JOIN g ON id = 'part:' || p_partkey WHERE contains(lower(p_name), 'a')
+ORDER BY comparable DESC, degree DESC, lower(name), id LIMIT 100""")
 def concept_search(spark, d):
-    hits = t(spark, d, "part").where(F.col("p_type").contains("A")).select("p_partkey", "p_name")
-    links = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_links"))
-    out = hits.join(links, "p_partkey", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).withColumn("comparable", F.col("n_links") >= 20)
-    return out.orderBy(F.desc("comparable"), F.desc("n_links"), F.lower("p_name"), "p_partkey").limit(100)
+    found = Engine({"nodes": tpch_nodes(spark, d), "edges": all_edges(spark, d)}).find_concepts("Material", "A", 100, comparable=5)
+    return found.select("id", "name", "degree", "comparable")
 
 
 @query("""
-SELECT o_orderpriority AS param, CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS BIGINT) AS a, CAST(count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS BIGINT) AS b
-FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY o_orderpriority""")
+SELECT o_orderpriority AS param, string_agg(DISTINCT v, '; ' ORDER BY v) FILTER (WHERE c_mktsegment = 'BUILDING') AS a, string_agg(DISTINCT v, '; ' ORDER BY v) FILTER (WHERE c_mktsegment = 'MACHINERY') AS b
+FROM (SELECT o_orderpriority, c_mktsegment, '= ' || CAST(CAST(o_orderkey % 7 AS DOUBLE) AS VARCHAR) || ' т' AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) GROUP BY o_orderpriority""")
 def compare_pivot(spark, d):
-    c = t(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
-    both = t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    out = both.groupBy(F.col("o_orderpriority").alias("param")).pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).count()
-    return out.select("param", F.coalesce("BUILDING", F.lit(0)).alias("a"), F.coalesce("MACHINERY", F.lit(0)).alias("b"))
+    """Orders as conditions of their customer's segment."""
+    both = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    held = both.select(F.col("c_mktsegment").alias("process_id"), F.col("o_orderpriority").alias("param"), F.lit("=").alias("op"), (F.col("o_orderkey") % 7).cast("double").alias("value"), F.lit("т").alias("unit"))
+    out = Engine({"conditions": held}).compare("BUILDING", "MACHINERY")
+    return out.select("param", F.nullif("BUILDING", F.lit("")).alias("a"), F.nullif("MACHINERY", F.lit("")).alias("b"))
 
 
 @query(f"""
@@ -633,13 +641,17 @@ def edge_scd2(spark, d):
 
 
 @query("""
-SELECT p_brand, count(*) AS n, round(sum(coalesce(nullif(l_discount, 0.05), p_size / 1000.0)), 4) AS total FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-WHERE l_quantity BETWEEN 10 AND 30 AND s_acctbal >= 0 GROUP BY p_brand""")
+WITH c AS (SELECT p_brand, CASE WHEN l_discount <> 0.05 THEN 'discount' ELSE 'balance' END AS param, CASE WHEN l_discount <> 0.05 THEN l_discount ELSE s_acctbal END AS value FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
+SELECT p_brand, param, count(*) AS n, round(sum(value), 4) AS total FROM c WHERE value >= 0.02 AND value <= 5000 GROUP BY p_brand, param""")
 def conditions_range(spark, d):
-    lines = t(spark, d, "lineitem").where(F.col("l_quantity").between(10, 30)).select("l_partkey", "l_suppkey", "l_discount")
-    out = lines.join(t(spark, d, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "supplier").where("s_acctbal >= 0").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    value = F.coalesce(F.when(F.col("l_discount") != 0.05, F.col("l_discount")), F.col("p_size") / 1000.0)
-    return out.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+    """Lines as edges whose own discount goes before their supplier's balance."""
+    empty = F.create_map().cast("map<string,string>")
+    own = F.when(F.col("l_discount") != 0.05, F.create_map(F.lit("param"), F.lit("discount"), F.lit("value"), F.col("l_discount").cast("string"))).otherwise(empty)
+    edges = t(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("edge_id"), F.col("l_partkey").cast("string").alias("src"), _id("supplier", "l_suppkey").alias("dst"), own.alias("props"), F.lit("d").alias("source_doc"), F.lit("c").alias("chunk_id"))
+    nodes = t(spark, d, "supplier").select(_id("supplier", "s_suppkey").alias("id"), F.create_map(F.lit("param"), F.lit("balance"), F.lit("value"), F.col("s_acctbal").cast("string")).alias("props"))
+    held = lookup.numeric_conditions(build.condition_table(edges, nodes), "N", 0.02, 5000)
+    brands = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("src"), "p_brand")
+    return held.join(brands, "src").groupBy("p_brand", "param").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # -- state
@@ -699,13 +711,35 @@ def constraint_violations(spark, d):
 
 
 @query("""
-WITH e AS (SELECT item_id, count(*) AS n_docs, max(CAST(lang = 'en' AS INT)) AS hit FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)
-SELECT item_id, coalesce(n_docs, 0) AS n_docs, coalesce(hit, 0) AS hit FROM benchmark LEFT JOIN e USING (item_id)""")
+WITH h AS (SELECT item_id, d.doc_id, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+e AS (SELECT item_id, list(doc_id) AS found FROM h GROUP BY item_id),
+x AS (SELECT item_id, list_distinct([item_id, item_id + 1, coalesce((SELECT min(doc_id) FROM h WHERE h.item_id = benchmark.item_id), item_id)]) AS docs, item_id % 5 = 0 AS expect_empty FROM benchmark)
+SELECT item_id AS query_id, CAST(len(list_intersect(docs, coalesce(found, []))) > 0 AS INT) AS hit, round(len(list_intersect(docs, coalesce(found, []))) / len(docs), 4) AS recall, CASE WHEN expect_empty THEN CAST(found IS NULL AS INT) END AS honest FROM x LEFT JOIN e USING (item_id)""")
 def eval_scores(spark, d):
-    items = ranking.small(t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    hits = t(spark, d, "documents").select("lang", "text").join(items, F.contains(F.col("text"), F.col("passage")))
-    found = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max((F.col("lang") == "en").cast("int")).alias("hit"))
-    return t(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    """Documents that hold a benchmark passage, scored against an expected set for each."""
+    items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = matching.passages_in(spread(t(spark, d, "documents")).select("doc_id", "text"), items)
+    first = hits.groupBy("item_id").agg(F.min("doc_id").alias("first"))
+    docs = F.array_distinct(F.array(F.col("item_id"), F.col("item_id") + 1, F.coalesce("first", "item_id"))).cast("array<string>")
+    expected = items.join(first, "item_id", "left").select(F.col("item_id").alias("query_id"), docs.alias("docs"), (F.col("item_id") % 5 == 0).alias("expect_empty"))
+    scored = quality.retrieval_scores(hits.select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id")), expected)
+    return scored.withColumn("recall", F.round("recall", 4))
+
+
+@query("""
+WITH c AS (SELECT item_id, string_split(text, ' ')[1] AS w, item_id % 3 AS k FROM benchmark)
+SELECT item_id AS query_id, CASE WHEN k < 2 THEN k = 0 END AS doc_hit, CASE WHEN k < 2 THEN CASE WHEN k = 0 THEN 0.5 ELSE 0 END END AS doc_recall, k <> 1 AS num_ok, CASE k WHEN 1 THEN 0.5 ELSE 1.0 END AS num_recall,
+  CASE WHEN item_id % 2 = 0 THEN k < 2 END AS cite_ok, CASE WHEN k = 2 THEN true END AS honest, CASE WHEN k = 2 THEN item_id % 2 = 0 END AS said_not_found FROM c""")
+def eval_answers(spark, d):
+    """Answers that repeat their query, with and without the numbers asked for, and what they cite."""
+    k, i = F.col("item_id") % 3, F.col("item_id")
+    b = t(spark, d, "benchmark").select("item_id", F.format_string("сколько 7,5 при %d", i.cast("int")).alias("query"))
+    none = F.array().cast("array<string>")
+    cases = b.select(i.alias("query_id"), "query", F.when(k < 2, F.array(F.lit("ОТЧЁТ"), F.lit("другой"))).otherwise(none).alias("must_docs"), F.array(F.lit("7.5"), F.lit("12")).alias("must_numbers"), (i % 2 == 0).alias("must_cite"), (k == 2).alias("expect_empty"))
+    said = F.when(k == 1, F.concat("query", F.lit(": 12 штук"))).when(k == 0, F.concat("query", F.lit(": 7.5 и 12"))).otherwise(F.concat(F.lit("12; 7,5; "), F.when(i % 2 == 0, "данные Не Найдены").otherwise("итог")))
+    cites = b.where(k < 2).select(i.alias("query_id"), k.alias("doc_id"), F.lit("без чисел").alias("quote"))
+    labels = spark.createDataFrame([(0, "Отчёт завода"), (1, "Обзор")], "doc_id long, label string")
+    return quality.answer_scores(cases, b.select(i.alias("query_id"), said.alias("answer")), cites, labels)
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
@@ -727,7 +761,8 @@ WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts)
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k)
 SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS longest FROM z GROUP BY user_id""")
 def session_events(spark, d):
-    s = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    """The streaming operator over the table as one batch."""
+    s = incremental.sessions(t(spark, d, "events"))
     return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"), F.max("n").alias("longest"))
 
 
