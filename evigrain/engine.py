@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sinks
 from .operators import graph, lookup, ranking, state
 from .operators.ranking import Gate
+from .plans import build
 from .plans import search as plan
 
 
@@ -135,3 +137,27 @@ class Engine:
         """The evidence of each query as markdown."""
         texts = self.documents.select(F.col("doc_id").alias("chunk_id"), "text")
         return plan.packet(ranking.citations(cited, texts))
+
+    def upload(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, chunks and jobs of uploaded files (path, content); ``manifest`` says what is known."""
+        return build.uploaded(files, self.manifest)
+
+    def export(self, cited: DataFrame, form: str = "markdown") -> DataFrame:
+        """The evidence of each query as ``markdown``, ``json`` or ``jsonld``: query_id, body."""
+        if form == "markdown":
+            return self.answer_text(cited).select("query_id", F.col("markdown").alias("body"))
+        texts = self.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+        rows = ranking.citations(cited, texts).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation", "chunk_id", "doc_id", "quote"))).alias("citations"))
+        if form == "json":
+            return rows.select("query_id", F.to_json(F.struct("query_id", "citations")).alias("body"))
+        if form == "jsonld":
+            return rows.select("query_id", sinks.json_ld(F.col("query_id").cast("string"), {"wasDerivedFrom": F.col("citations")}).alias("body"))
+        raise ValueError(f"unknown form {form!r}")
+
+    def subscribe(self, changes: DataFrame) -> DataFrame:
+        """The subscriptions after changes (sub_id, action, at, fields)."""
+        return state.subscribed(self.subscriptions, changes)
+
+    def cache_cleared(self) -> DataFrame:
+        """The answer cache without entries; write it over the old one."""
+        return self.answer_cache.limit(0)

@@ -10,6 +10,7 @@ from ..functions.payloads import coerced, confidence, payload, problem
 from ..functions.text import fold, grounded, slug
 from ..functions.units import canonical_unit, canonical_value
 from ..operators import chunking, graph, state
+from ..operators.ranking import small
 from ..schemas import NODE_PREFIXES
 from ..sources import files as sources
 
@@ -74,3 +75,45 @@ def condition_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.where("param is not null or value is not null")
 
 
+
+
+def known_conditions(found: DataFrame, registry: DataFrame, require: bool = True) -> DataFrame:
+    """Conditions (param, quote, ...) with the registry's parameter they are about: adds param_concept and label.
+
+    ``registry``: concept_id, type, form, label. A parameter is known by its form exactly, else by the longest
+    form in the name and quote; a concept of another type isn't one. With ``require`` the others are dropped, as
+    conditions that rules find in running text must be; model answers keep theirs without a concept.
+    """
+    forms = registry.select("concept_id", "type", fold(F.col("form"), yo=True).alias("_form"), "label").where("_form <> ''")
+    rows = found.withColumns({"_k": F.xxhash64(F.coalesce("param", F.lit("")), F.coalesce("quote", F.lit(""))), "_p": fold(F.coalesce("param", F.lit("")), yo=True)})
+    rows = rows.withColumn("_t", fold(F.concat_ws(" ", "param", "quote"), yo=True))
+    asked = rows.select("_k", "_p", "_t").distinct()
+    hits = asked.join(small(forms), (F.col("_p") == F.col("_form")) | F.contains(F.col("_t"), F.col("_form")))
+    best = hits.groupBy("_k").agg(F.max_by(F.struct("concept_id", "type", "label"), F.struct((F.col("_p") == F.col("_form")).cast("int"), F.length("_form"), "_form")).alias("r")).select("_k", "r.*")
+    own = best.where("type = 'Parameter'").select("_k", F.col("concept_id").alias("param_concept"), "label")
+    return rows.join(own, "_k", "inner" if require else "left").drop("_k", "_p", "_t")
+
+
+def with_places(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Nodes (id, source_docs, props) with the countries of their documents (doc_id, countries) united into ``props``."""
+    seen = nodes.select("id", F.explode("source_docs").alias("doc_id")).join(documents.select("doc_id", F.explode("countries").alias("country")), "doc_id")
+    places = seen.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("country")), ",").alias("_c"))
+    extra = F.when(F.col("_c").isNotNull(), F.create_map(F.lit("countries"), F.col("_c"))).otherwise(F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: k != "countries")
+    return nodes.join(places, "id", "left").withColumn("props", F.map_concat(kept, extra)).drop("_c")
+
+
+def uploaded(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and jobs of uploaded files (path, content): what is known already isn't read again.
+
+    A job (sha256, path, status) is ``cached`` for known content, ``empty`` or ``unsupported`` where there is
+    nothing to read, else ``done``; uploaded documents are marked as such.
+    """
+    seen = sources.classify(files).withColumn("sha256", F.sha2("content", 256))
+    old = seen.join(known.select("sha256"), "sha256", "left_semi").select("sha256", "path", F.lit("cached").alias("status"))
+    new = seen.join(known.select("sha256"), "sha256", "left_anti")
+    state_ = F.when(F.length("content") == 0, "empty").when(F.col("status") != "ok", "unsupported").otherwise("done")
+    jobs = old.unionByName(new.select("sha256", "path", state_.alias("status")))
+    readable = new.where((F.col("status") == "ok") & (F.length("content") > 0)).drop("sha256", "status")
+    docs, chunks = documents(readable, known)
+    return docs.withColumn("uploaded", F.lit(True)), chunks, jobs

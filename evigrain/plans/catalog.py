@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..functions import geography, matching, numbers, paths, planning, text, units, vectors
+from ..functions import answers, geography, matching, numbers, paths, planning, text, units, vectors
 from ..operators import chunking, conditions, graph, lookup, quality, ranking, state
 from ..operators.quality import Constraint
 from ..sources import html
@@ -886,3 +886,118 @@ def payload_graph(spark, d):
     nodes, edges, _ = build.payload_graph(rows)
     n = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n")
     return n.unionByName(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))
+
+
+# -- extraction runs, histories, answers
+
+
+@query("""
+WITH c AS (SELECT doc_id AS chunk_id, doc_id // 10 AS doc_id, doc_id % 10 AS seq, ['Обзоры', 'Журналы', 'Прочее', 'Доклады'][CAST(doc_id % 4 + 1 AS INT)] AS section FROM documents),
+e AS (SELECT event_id % 400 AS chunk_id, CAST(event_type = 'view' AS INT) AS ok, CASE WHEN event_type = 'error' THEN 'json_parse: end' ELSE event_type END AS error FROM events),
+l AS (SELECT chunk_id, max(ok) AS ok, max(error) FILTER (WHERE ok = 0) AS error FROM e GROUP BY chunk_id)
+SELECT c.chunk_id, l.ok IS NOT NULL AS failed, CASE WHEN coalesce(contains(error, 'json_parse'), false) THEN 8000 ELSE 3000 END AS max_tokens,
+  row_number() OVER (ORDER BY l.ok IS NULL, CASE section WHEN 'Обзоры' THEN 1 WHEN 'Доклады' THEN 3 WHEN 'Журналы' THEN 4 ELSE 6 END, doc_id, seq) AS rank
+FROM c LEFT JOIN l USING (chunk_id) WHERE coalesce(l.ok, 0) = 0 QUALIFY rank <= 100""")
+def extraction_resume(spark, d):
+    """The next hundred chunks of an extraction whose events are its log."""
+    i = F.col("doc_id")
+    section = F.element_at(F.array(*map(F.lit, ["Обзоры", "Журналы", "Прочее", "Доклады"])), (i % 4 + 1).cast("int"))
+    chunks = t(spark, d, "documents").select(i.alias("chunk_id"), F.floor(i / 10).alias("doc_id"), (i % 10).alias("seq"), section.alias("section"))
+    kind = F.col("event_type")
+    log = t(spark, d, "events").select((F.col("event_id") % 400).alias("chunk_id"), (kind == "view").cast("int").alias("ok"), F.when(kind == "error", "json_parse: end").otherwise(kind).alias("error"))
+    todo = state.left_to_do(chunks, log).orderBy("place").limit(100)
+    return todo.withColumn("rank", F.row_number().over(Window.orderBy("place")).cast("long")).select("chunk_id", "failed", "max_tokens", "rank")
+
+
+@query("""
+WITH l AS (SELECT user_id, lower(event_type) AS q, arg_max(event_type, ts) AS query, max(ts) AS last FROM events GROUP BY user_id, lower(event_type))
+SELECT user_id, query, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last DESC, query) AS INT) AS rank FROM l QUALIFY rank <= 3""")
+def recent_history(spark, d):
+    e = t(spark, d, "events").select("user_id", F.concat(F.lit(" "), "event_type", F.lit("  ")).alias("query"), F.col("ts").alias("at"))
+    return state.recent_queries(e, 3).select("user_id", F.trim("query").alias("query"), "rank")
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id AS k, ts FROM events WHERE event_type = 'view'), s AS (SELECT user_id AS k, ts, event_type AS response FROM events WHERE event_type = 'click'),
+h AS (SELECT a.event_id, EXISTS (SELECT 1 FROM s WHERE s.k = a.k AND s.ts < a.ts AND s.ts + INTERVAL 15 MINUTE >= a.ts) AS hit FROM a)
+SELECT (SELECT count(*) FROM s) AS entries, (SELECT CAST(sum(length(response)) AS BIGINT) FROM s) AS bytes, count(*) AS lookups, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 4) AS hit_rate FROM h""")
+def answer_cache_stats(spark, d):
+    e = t(spark, d, "events")
+    k = F.col("user_id").cast("string").alias("k")
+    asks = e.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), k, F.col("ts").alias("at"))
+    kept = e.where("event_type = 'click'").select(k, F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("expires_at"), F.col("event_type").alias("response"))
+    return state.cache_stats(state.cache_lookup(asks, kept), kept)
+
+
+@query("SELECT event_type AS name, CAST(sum(CASE WHEN value > 50 THEN 2 ELSE 1 END) + max(CASE WHEN event_type = 'view' THEN 7 ELSE 0 END) AS BIGINT) AS value FROM events GROUP BY event_type")
+def counters_bumped(spark, d):
+    before = spark.createDataFrame([("view", 7)], "name string, value long")
+    return state.counted(before, t(spark, d, "events").select(F.col("event_type").alias("name"), F.when(F.col("value") > 50, 2).otherwise(1).alias("delta")))
+
+
+@query("""
+WITH c AS (SELECT user_id AS sub_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id)
+SELECT coalesce(sub_id, c_custkey) AS sub_id, coalesce(kind, c_mktsegment) AS topic FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) FULL JOIN c ON sub_id = c_custkey WHERE coalesce(kind, '') <> 'error'""")
+def subscription_changes(spark, d):
+    """Customers' subscriptions after events: an error ends one, others set its topic."""
+    subs = t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("sub_id"), F.col("c_mktsegment").alias("topic"), F.lit(None).cast("timestamp").alias("cursor"))
+    e = t(spark, d, "events").select(F.col("user_id").alias("sub_id"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("action"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("topic"))
+    return Engine({"subscriptions": subs}).subscribe(e).select("sub_id", "topic")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def unique_keys(spark, d):
+    return state.not_unique(t(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("""
+SELECT doc_id, sha256(text) AS sha256 FROM documents d WHERE doc_id % 3 <> 0 OR lang = 'fr' OR text IS NULL""")
+def embedding_resume(spark, d):
+    """Every third document was embedded before, but French ones have changed since."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    kept = docs.where("chunk_id % 3 = 0").select("chunk_id", F.sha2(F.when(F.col("lang") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    return state.to_embed(docs, kept).select(F.col("chunk_id").alias("doc_id"), "sha256")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_linenumber % 4 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN 'доза <mark>≤ ' || q || ' мг/л</mark> воды' WHEN 1 THEN 'от<mark> ' || q || '–99 °C</mark>; лист 5' WHEN 2 THEN '<mark>pH ' || q || '</mark>' ELSE 'лист ' || q END AS marked, k <> 3 AS checkable FROM x""")
+def number_highlights(spark, d):
+    k, q = F.col("l_linenumber") % 4, F.col("l_quantity").cast("int").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("доза ≤ "), q, F.lit(" мг/л воды"))).when(k == 1, F.concat(F.lit("от "), q, F.lit("–99 °C; лист 5"))).when(k == 2, F.concat(F.lit("pH "), q)).otherwise(F.concat(F.lit("лист "), q))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", answers.numbers_marked(said).alias("marked"), answers.has_checkable_number(said).alias("checkable"))
+
+
+@query("""
+WITH p AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY p_brand), c AS (SELECT p_brand, names, ['compare', 'gap', 'review', 'other'][CAST(len(names) % 4 + 1 AS INT)] AS kind FROM p)
+SELECT p_brand, CASE WHEN len(names) % 5 = 0 THEN 'Подтверждённых данных не найдено.' ELSE CASE kind WHEN 'compare' THEN '## Сравнение' WHEN 'gap' THEN '## Что известно' WHEN 'review' THEN '## Обзор' ELSE '## Ответ' END || chr(10) || '- ' || names[1] || ' [1]' || coalesce(chr(10) || '- ' || names[2] || ' [2]', '') END AS answer,
+  CAST(CASE kind WHEN 'compare' THEN 1400 WHEN 'gap' THEN 1000 WHEN 'review' THEN 1600 ELSE 700 END AS INT) AS max_tokens, p_brand || ': ' || len(names) || ' — ' || array_to_string(names[1:5], ', ') AS summary FROM c""")
+def template_answers(spark, d):
+    """Names of a brand's parts as quotes, and as the processes of a domain."""
+    p = t(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
+    n = F.size("names")
+    kind = F.element_at(F.array(*map(F.lit, ["compare", "gap", "review", "other"])), n % 4 + 1)
+    quotes = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("names", 1, 2))
+    return p.select("p_brand", answers.template(kind, quotes).alias("answer"), answers.shape(kind)["max_tokens"].alias("max_tokens"), answers.domain_sentence(F.col("p_brand"), F.col("names")).alias("summary"))
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN 'c_flow' WHEN k = 1 THEN 'c_temp' END AS param_concept FROM x WHERE k < 2""")
+def known_parameters(spark, d):
+    """Conditions that rules found: two of four are about a known parameter."""
+    k = F.col("l_linenumber") % 4
+    names = F.when(k == 0, "Расход  воды").when(k == 1, "рабочая Температура печи").when(k == 2, "медь").otherwise("страница")
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", names.alias("param"), F.when(k == 2, "медь и т").otherwise("5 шт").alias("quote"))
+    registry = spark.createDataFrame([("c_flow", "Parameter", "расход воды", "Расход"), ("c_temp", "Parameter", "температура", "Температура"), ("c_cu", "Material", "медь", "Медь")], "concept_id string, type string, form string, label string")
+    return build.known_conditions(rows, registry).select("l_orderkey", "l_linenumber", "param_concept")
+
+
+@query("""
+SELECT p_brand AS id, string_agg(DISTINCT ['Чили', 'Россия', 'Перу'][CAST(p_partkey % 3 + 1 AS INT)], ',' ORDER BY ['Чили', 'Россия', 'Перу'][CAST(p_partkey % 3 + 1 AS INT)]) AS countries FROM part GROUP BY p_brand""")
+def node_places(spark, d):
+    """Brands as nodes whose documents name a country each."""
+    p = t(spark, d, "part").select(F.col("p_brand").alias("id"), F.col("p_partkey").cast("string").alias("doc_id"))
+    nodes = p.groupBy("id").agg(F.collect_list("doc_id").alias("source_docs")).withColumn("props", F.create_map(F.lit("countries"), F.lit("old")))
+    docs = p.select("doc_id", F.array(F.element_at(F.array(F.lit("Чили"), F.lit("Россия"), F.lit("Перу")), (F.col("doc_id").cast("long") % 3 + 1).cast("int"))).alias("countries"))
+    return build.with_places(nodes, docs).select("id", F.col("props")["countries"].alias("countries"))

@@ -134,7 +134,9 @@ def test_scans_read_only_what_they_need(spark):
     plan = catalog.QUERIES["expert_ranking"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
     plan = catalog.QUERIES["conditions_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "GreaterThanOrEqual(s_acctbal,0.0)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:" in plan and "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in plan
+    plan = catalog.QUERIES["search_filters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,src3)" in plan and "GreaterThanOrEqual(quality,1)" in plan
 
 
 def test_broken_files_cost_themselves_alone(spark):
@@ -179,3 +181,67 @@ def test_archives_are_measured_as_they_are_read(monkeypatch):
         z.writestr("b.txt", "y" * 100_000)
     found = list(files._members("p", out.getvalue(), files._Room(50_000)))
     assert [(p, s) for p, _, s in found] == [("p/a.txt", "ok"), ("p", "too large")]
+
+
+def test_upload_export_and_subscriptions(spark):
+    import json
+
+    from evigrain.engine import Engine
+
+    para = "Новый отчёт о работе печи за год. " * 12
+    files = spark.createDataFrame([("in/a.txt", para.encode()), ("in/b.txt", b""), ("in/c.rtf", b"x"), ("in/old.txt", b"old")], "path string, content binary")
+    import hashlib
+
+    known = spark.createDataFrame([(hashlib.sha256(b"old").hexdigest(), 41)], "sha256 string, doc_no long")
+    texts = spark.createDataFrame([(1, "первый текст"), (2, "второй текст")], "doc_id long, text string")
+    subs = spark.createDataFrame([(1, "печь", None), (2, "руда", None)], "sub_id long, topic string, cursor timestamp")
+    e = Engine({"manifest": known, "documents": texts, "subscriptions": subs, "answer_cache": texts})
+    docs, chunks, jobs = e.upload(files)
+    assert {r.path: r.status for r in jobs.collect()} == {"in/a.txt": "done", "in/b.txt": "empty", "in/c.rtf": "unsupported", "in/old.txt": "cached"}
+    made = docs.collect()
+    assert [(r.path, r.doc_no, r.uploaded) for r in made] == [("in/a.txt", 42, True)] and {r.doc_id for r in chunks.collect()} == {"d000042"}
+    cited = spark.createDataFrame([(7, 1, 1, "d1", 0.1, 0.5), (7, 2, 2, "d2", 0.05, 0.4)], "query_id long, citation int, chunk_id long, doc_id string, rrf double, cos double")
+    bodies = {f: e.export(cited, f).first().body for f in ("markdown", "json", "jsonld")}
+    assert bodies["markdown"].split("\n")[1] == "[2] второй текст (d2)"
+    assert [c["doc_id"] for c in json.loads(bodies["json"])["citations"]] == ["d1", "d2"]
+    assert json.loads(bodies["jsonld"])["wasDerivedFrom"][0]["quote"] == "первый текст"
+    with pytest.raises(ValueError, match="form"):
+        e.export(cited, "pdf")
+    changes = spark.createDataFrame([(1, "delete", 1, None), (2, "put", 1, "шлак"), (2, "put", 2, "штейн"), (3, "put", 1, "новая")], "sub_id long, action string, at int, topic string")
+    got = {r.sub_id: (r.topic, str(r.cursor)) for r in e.subscribe(changes).collect()}
+    assert got[2][0] == "штейн" and got[3] == ("новая", "1970-01-01 00:00:00") and set(got) == {2, 3}
+    assert e.cache_cleared().count() == 0
+
+
+def test_search_finds_documents_by_name(spark):
+    from evigrain.engine import Engine
+    from evigrain.operators.ranking import Gate
+
+    rows = [(k, f"common words number {k}", f"file_{k}.pdf") for k in range(30)] + [(99, "nothing of the kind", "Autoclave-leaching.report.pdf")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    vectors = spark.createDataFrame([(k, [1.0, float(k)], 0) for k in range(30)] + [(99, [-1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    q = spark.createDataFrame([(1, "autoclave leaching", [1.0, 0.0], None)], "query_id long, query string, query_vec array<double>, label int")
+    found = Engine({"documents": docs, "vectors": vectors}, Gate(semantic=0.9, strong=0.95, concept=0.9, named=1.0)).search(q).collect()
+    assert [r.chunk_id for r in found if "name" in r.sources] == [99]
+    assert 99 not in {r.chunk_id for r in Engine({"documents": docs.drop("name"), "vectors": vectors}, Gate(semantic=0.9, strong=0.95, concept=0.9)).search(q).collect()}
+
+
+def test_written_postings_give_the_scores_of_a_scan(spark, tmp_path):
+    from evigrain.operators import ranking
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b b"), (3, None), (4, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "zzz")], "query_id long, query string")
+    ranking.postings(docs, "text", "doc_id").write.parquet(str(tmp_path / "postings"))
+    kept = spark.read.parquet(str(tmp_path / "postings"))
+    key = lambda df: sorted((r.query_id, r.doc_id, r.n_terms, round(r.score, 9)) for r in df.collect())
+    assert key(ranking.score_postings(kept, ranking.query_terms(q))) == key(ranking.bm25(docs, q)) != []
+
+
+def test_number_evidence_and_long_texts(spark):
+    from evigrain.operators import ranking
+
+    texts = spark.createDataFrame([("k", "1 " * 200_000 + "x" * 400 + " 2,5 3,5 4,5"), ("m", "no digits"), ("n", "7"), ("o", None)], "chunk_id string, text string")
+    got = {r.chunk_id: r for r in ranking.numeric_excerpts(texts).collect()}
+    assert set(got) == {"k"} and got["k"].start == 0 and got["k"].weight == 131
+    plan = ranking.numeric_excerpts(texts)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
