@@ -202,10 +202,10 @@ def place(pieces: DataFrame, size: int, bins: int = BINS) -> DataFrame:
     plan = Plan(size, histogram, bins)
     table = {k: np.array(sorted((first, n, seq, off) for _, first, n, seq, off in v), np.int64).T for k, v in _grouped(plan.runs).items()}
     # a length's salts follow its own count; their table has a row for each length (at most ``size``)
-    salts = pieces.sparkSession.createDataFrame([(k, _store.cut(n, SALT_ROWS)) for k, n in histogram.items()], "length long, _salts int")
+    salts = pieces.sparkSession.createDataFrame([(k, _store.cut(n, SALT_ROWS, min(n, 16))) for k, n in histogram.items()], "length long, _salts int")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), "_salts").cast("int")).drop("_salts")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
-    # a row for each length, and for every SALT_ROWS pieces
+    # 16 rows at most for each length, and one for every SALT_ROWS pieces
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
