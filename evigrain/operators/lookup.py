@@ -20,7 +20,10 @@ def active(filters: dict[str, object]) -> dict[str, object]:
 
 
 def predicate(filters: dict[str, object]) -> Column:
-    """One condition for all filters: equality, ``year_from``, ``year_to``, ``confidence_min``. Null years fail."""
+    """One condition for all filters: equality, ``year_from``, ``year_to``, ``confidence_min``; nulls fail in ``where``.
+
+    Plain comparisons, so that scans can be pruned by them.
+    """
     out = F.lit(True)
     for k, v in active(filters).items():
         if k == "year_from":
@@ -33,7 +36,12 @@ def predicate(filters: dict[str, object]) -> Column:
             out = out & (F.col(k) == v)
         else:
             raise ValueError(f"unknown filter {k!r}")
-    return F.coalesce(out, F.lit(False))
+    return out
+
+
+def not_fixture(doc_id: Column) -> Column:
+    """Whether a document's id is outside the numbers kept for test documents (fixed pattern)."""
+    return ~doc_id.rlike(r"^d0009\d\d$")
 
 
 def numeric_conditions(conditions: DataFrame, part: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:

@@ -1001,3 +1001,22 @@ def node_places(spark, d):
     nodes = p.groupBy("id").agg(F.collect_list("doc_id").alias("source_docs")).withColumn("props", F.create_map(F.lit("countries"), F.lit("old")))
     docs = p.select("doc_id", F.array(F.element_at(F.array(F.lit("Чили"), F.lit("Россия"), F.lit("Перу")), (F.col("doc_id").cast("long") % 3 + 1).cast("int"))).alias("countries"))
     return build.with_places(nodes, docs).select("id", F.col("props")["countries"].alias("countries"))
+
+
+@query("""
+SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm, round(embedding[1] / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS first FROM embeddings""")
+def unit_vectors(spark, d):
+    v = lookup.unit_vectors(t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    return v.select("vec_id", F.round("norm", 4).alias("norm"), F.round(F.col("embedding")[0], 4).alias("first"))
+
+
+@query("""
+SELECT 'supplier:' || s_suppkey AS src, CASE WHEN s_suppkey % 2 = 0 THEN 'e' || s_suppkey ELSE 'supplier:' || s_suppkey || '|works_at|nation:' || s_nationkey END AS edge_id, s_acctbal AS balance, CASE WHEN s_suppkey % 3 = 0 THEN 2000 + s_suppkey % 20 END AS year
+FROM supplier WHERE s_suppkey NOT BETWEEN 900 AND 999""")
+def promoted_columns(spark, d):
+    """Suppliers as documents and nodes: properties become columns, edges get ids, test numbers are left out."""
+    s, k = t(spark, d, "supplier"), F.col("s_suppkey")
+    props = F.create_map(F.lit("balance"), F.col("s_acctbal").cast("string"), F.lit("year"), F.when(k % 3 == 0, (2000 + k % 20).cast("string")).otherwise("none"))
+    nodes = lookup.promoted(s.where(lookup.not_fixture(F.format_string("d%06d", k))).select(_id("supplier", "s_suppkey").alias("src"), props.alias("props")), {"balance": "double", "year": "long"})
+    edges = lookup.edge_ids(s.select(_id("supplier", "s_suppkey").alias("src"), F.lit("works_at").alias("type"), _id("nation", "s_nationkey").alias("dst"), F.when(k % 2 == 0, F.concat(F.lit("e"), k.cast("string"))).alias("edge_id")))
+    return nodes.join(edges, "src").select("src", "edge_id", "balance", "year")

@@ -134,7 +134,7 @@ def test_scans_read_only_what_they_need(spark):
     plan = catalog.QUERIES["expert_ranking"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
     plan = catalog.QUERIES["conditions_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:" in plan and "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in plan
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_discount:double>" in plan and "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in plan
     plan = catalog.QUERIES["search_filters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src3)" in plan and "GreaterThanOrEqual(quality,1)" in plan
 
