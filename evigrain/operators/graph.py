@@ -26,15 +26,17 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     """Edges without self-loops and empty ends, unknown types as ``related``, one for each (src, dst, type, props)."""
     known = F.when(F.col("type").isin(*EDGE_TYPES), F.col("type")).otherwise("related")
     ok = edges.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).withColumn("type", known)
-    w = Window.partitionBy("src", "dst", "type", "_props").orderBy("edge_id")
-    return ok.withColumn("_props", canonical_props(F.col("props"))).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_props")
+    others = [c for c in ok.columns if c not in ("src", "dst", "type")]
+    first = F.min_by(F.struct(*others), F.coalesce("edge_id", F.lit(""))).alias("_r")
+    out = ok.groupBy("src", "dst", "type", canonical_props(F.col("props")).alias("_props")).agg(first)
+    return out.select(*[F.col(c) if c in ("src", "dst", "type") else F.col(f"_r.{c}").alias(c) for c in ok.columns])
 
 
 def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One row for each id: scalars of the row that came first, unions of lists, the highest confidence."""
     lists = [c for c, t in nodes.dtypes if t.startswith("array<string")]
     scalars = [c for c in nodes.columns if c not in ("id", "confidence", order, *lists)]
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
     return nodes.groupBy("id").agg(*first, *union, F.max("confidence").alias("confidence"))
 

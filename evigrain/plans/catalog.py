@@ -88,7 +88,8 @@ cited AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promoted,
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return search.evidence(t(spark, d, "documents"), t(spark, d, "embeddings"), asked(spark, d), GATE)
+    docs = spread(t(spark, d, "documents").select("doc_id", "text", "source"))
+    return search.evidence(docs, t(spark, d, "embeddings"), asked(spark, d), GATE)
 
 
 def _named():
@@ -110,7 +111,7 @@ def coverage_facets(spark, d):
 
 @query(f"WITH {LEX} SELECT query_id, doc_id, n_terms, round(score, 4) AS score FROM lexs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 12")
 def bm25_topk(spark, d):
-    found = ranking.bm25(t(spark, d, "documents"), asked(spark, d))
+    found = ranking.bm25(spread(t(spark, d, "documents").select("doc_id", "text")), asked(spark, d))
     return ranking.top(found, 12, [F.desc(F.round("score", 6)), F.asc("doc_id")], ["query_id"]).select("query_id", "doc_id", "n_terms", F.round("score", 4).alias("score"))
 
 
@@ -144,7 +145,7 @@ r AS (SELECT s.query_id, s.doc_id, coalesce(3 * w, 0) AS boost, score + coalesce
 SELECT query_id, doc_id, round(boost, 4) AS boost, round(score, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20""".replace("\\\\", "\\"))
 def bm25_fields_boosted(spark, d):
     """Words, stems and source of documents, weighted, with what the query's numbers add."""
-    docs, q = spread(t(spark, d, "documents")), spark.createDataFrame(BOOSTED, "query_id long, query string")
+    docs, q = spread(t(spark, d, "documents").select("doc_id", "text", "source")), spark.createDataFrame(BOOSTED, "query_id long, query string")
     found = ranking.number_boosts(ranking.bm25_fields(docs, q, FIELDS), docs, q)
     found = ranking.top(found, 20, [F.desc(F.round("score", 6)), F.asc("doc_id")], ["query_id"])
     return found.select("query_id", "doc_id", F.round("boost", 4).alias("boost"), F.round("score", 4).alias("score"))
@@ -445,7 +446,7 @@ h AS (SELECT DISTINCT doc_id, concept_id FROM (SELECT w.doc_id, s.concept_id, s.
 SELECT concept_id, count(*) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS doc_sum FROM h GROUP BY concept_id""")
 def concept_match(spark, d):
     registry = spark.createDataFrame(REGISTRY, "concept_id string, label_ru string, label_en string, aliases array<string>")
-    return matching.concepts_in(t(spark, d, "documents"), matching.forms(registry)).groupBy("concept_id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_sum"))
+    return matching.concepts_in(spread(t(spark, d, "documents").select("doc_id", "text")), matching.forms(registry)).groupBy("concept_id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_sum"))
 
 
 @query("""
@@ -521,7 +522,8 @@ def place_edges(spark, d):
 
 
 def all_edges(spark, d):
-    made = t(spark, d, "lineitem").select(_id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst")).distinct()
+    # distinct numbers first: the ids' strings are made for few rows
+    made = t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().select(_id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"))
     return place_edges(spark, d).unionByName(_edge(made, F.col("src"), F.col("dst"), "made_by"))
 
 
