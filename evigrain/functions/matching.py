@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import same_word, words
@@ -30,22 +30,19 @@ def concepts_in(docs: DataFrame, surface: DataFrame, key: str = "doc_id", text:
     return whole.select(key, "concept_id").distinct()
 
 
-def passages_in(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", width: int = 4) -> DataFrame:
+def passages_in(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Pairs (key, item) of texts that hold a passage (item, passage) as it stands.
 
-    Texts and passages meet by the hash of ``width`` words in a row from inside the passage, and only such
-    pairs are compared; passages too short to have them are compared with every text (checked to be few).
+    Texts and passages meet by the longest word from inside the passage (whole, wherever the passage begins),
+    and only such pairs are compared; passages of fewer than three words are compared with every text.
     """
     from ..operators.ranking import small
 
-    def runs(c: Column) -> Column:
-        w = words(c)
-        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(width)))))
-
-    inner = F.slice(words(F.col("passage")), 2, width)  # whole words, wherever the passage begins
-    asked = passages.select(item, "passage", F.when(F.size(words(F.col("passage"))) >= width + 2, F.xxhash64(inner)).alias("_h"))
-    hashes = small(asked.where("_h is not null").select(item, "_h"))
-    near = docs.select(key, F.explode(F.array_distinct(runs(F.col(text)))).alias("_h")).join(hashes, "_h").select(key, item).distinct()
+    own = words(F.col("passage"))
+    inner = F.array_min(F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    asked = passages.select(item, "passage", F.when(F.size(own) >= 3, inner["w"]).alias("_w"))
+    near = docs.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
+    near = near.join(small(asked.where("_w is not null").select(item, "_w")), "_w").select(key, item)
     met = docs.select(key, text).join(small(near), key).join(small(asked.select(item, "passage")), item)
-    short = docs.select(key, text).join(small(asked.where("_h is null").select(item, "passage")), F.contains(F.col(text), F.col("passage")))
+    short = docs.select(key, text).join(small(asked.where("_w is null").select(item, "passage")), F.contains(F.col(text), F.col("passage")))
     return met.where(F.contains(F.col(text), F.col("passage"))).select(key, item).union(short.select(key, item))
