@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread, table
-from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, sp_codec, token_store
+from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, sp_codec, token_store, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(_read(spark, sf_dir, "conversations"))
+
+
 #: SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     # for the one layout that the pages of the test tables have; the operator knows nothing of it
@@ -119,6 +123,76 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_i
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+
+def _crc32(x: str) -> str:
+    """SQL for the CRC-32 of a text of ASCII signs, bit by bit."""
+    bit = f"xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr({x}, k // 8 + 1, 1)) ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length({x}))), lambda c, k: xor({bit} >> 1, 3988292384::BIGINT * ({bit} & 1))), 4294967295::BIGINT)"
+
+
+def _repair_sql() -> str:
+    """Every state of every turn with its cheapest edits so far, turn by turn: the plain form of the programme."""
+
+    def put(state: str, lines: str, edits: str, letter: str, cost: str, ok: str = "true") -> str:
+        return f"CASE WHEN {state} IS NOT NULL AND NOT f.gone AND ({ok}) THEN {{'c': {state}.c + {cost} + f.short, 'w': {state}.w || '{edits}' || {letter}, 'o': {state}.o || {lines} || f.line}} END"
+
+    def best(*found: str) -> str:
+        return f"list_sort(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))[1]"
+
+    def left_out(state: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 2, 'w': {state}.w || 'D', 'o': {state}.o}} END"
+
+    def ended(state: str, cost: int, edits: str, lines: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'w': {state}.w || '{edits}', 'o': {state}.o || {lines}}} END"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+    def to(role: str, *ways: tuple[str, str, int]) -> str:
+        letter, cost, line = f"CASE WHEN f.ini = '{role}' THEN 'K' ELSE 'R' END", f"CASE WHEN f.ini = '{role}' THEN 0 ELSE 1 END", f"f.{role}_line"
+        return best(left_out(f"r.{role}"), *[put(f"r.{x}", lines, "I" * k, letter, f"{5 * k} + {cost}").replace("f.line", line) for x, lines, k in ways])
+
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), kinds AS (
+  SELECT *, {_crc32("key")} % 20 AS kind FROM raw
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail, left(role, 1) AS ini FROM d
+), flagged AS (
+  SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered
+), f AS (
+  SELECT *, blank OR dup AS gone, NOT blank AND NOT dup AND tail NOT IN ('.', '!', '?') AS cut, CASE WHEN tail NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS short,
+         chr(10) || role || ':' || text AS s_line, chr(10) || CASE WHEN ini = 'u' THEN role ELSE 'user' END || ':' || text AS u_line, chr(10) || CASE WHEN ini = 'a' THEN role ELSE 'assistant' END || ':' || text AS a_line
+  FROM flagged
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id
+), r(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'w': '', 'o': ''}}, CAST(NULL AS STRUCT(c BIGINT, w VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, w VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, w VARCHAR, o VARCHAR)) FROM told
+  UNION ALL
+  SELECT r.conv_id, r.i + 1, {left_out("r.e")},
+         {best(left_out("r.s"), put("r.e", "''", "", "'K'", "0", "f.ini = 's'").replace("f.line", "f.s_line"))},
+         {to("u", ("e", "''", 0), ("s", "''", 0), ("a", "''", 0), ("u", assistant, 1))},
+         {to("a", ("u", "''", 0), ("e", user, 1), ("s", user, 1), ("a", user, 1))}
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1
+), done AS (
+  SELECT r.conv_id, {best("r.e", ended("r.s", 10, "II", f"{user} || {assistant}"), ended("r.u", 5, "I", assistant), "r.a")} AS x FROM r JOIN told ON told.conv_id IS NOT DISTINCT FROM r.conv_id AND told.n = r.i
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(x.c, 0) AS cost, coalesce(x.w, '') AS audit, sha256(coalesce(substr(x.o, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+ORACLE["op13_turn_repair"] = _repair_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)
 }
