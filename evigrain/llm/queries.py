@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread, table
-from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, quality, sp_codec, token_store, turn_repair
+from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, prefix_trie, quality, sp_codec, token_store, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_read(spark, sf_dir, "conversations")))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(_read(spark, sf_dir, "conversations"))
 
@@ -193,6 +197,37 @@ FROM ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JO
 
 ORACLE["op13_turn_repair"] = _repair_sql()
 
+ORACLE["op11_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS o FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS lender, {_crc32("key")} % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM t)
+), rebuilt AS (
+  SELECT ids.conv_id, 0 AS own, o, role, text FROM ids JOIN t ON t.conv_id = ids.lender AND o <= h
+  UNION ALL SELECT ids.conv_id, 1, o, role, text FROM ids JOIN t ON t.conv_id = ids.conv_id AND o > h
+), lists AS (
+  SELECT ids.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY own, o) FILTER (WHERE o IS NOT NULL), []) AS turns,
+         coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY own, o) FILTER (WHERE o IS NOT NULL), []) AS words
+  FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY ids.conv_id
+), prefixes AS (
+  SELECT conv_id, d, len(turns) AS n, array_to_string(turns[:d], ',') AS key, array_to_string(turns[:d - 1], ',') AS above, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM lists)
+), nodes AS (
+  SELECT d, CASE WHEN d = 0 THEN '' ELSE key END AS key, CASE WHEN d < 2 THEN '' ELSE any_value(above) END AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, CASE WHEN d = 0 THEN '' ELSE key END
+), kids AS (
+  SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, key)
+), below AS (
+  SELECT p.d, CASE WHEN p.d = 0 THEN '' ELSE p.key END AS key, CAST(count(*) FILTER (WHERE x.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((x.n_convs - 1) * x.w) AS BIGINT) AS saved_tokens
+  FROM full_nodes x JOIN prefixes p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY ALL
+)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN below ON below.d = x.d AND below.key = x.key LEFT JOIN full_nodes y ON y.d = x.d - 1 AND y.key = x.above
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)
 }
