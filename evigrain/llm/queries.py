@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread, table
-from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, prefix_trie, quality, sp_codec, token_store, turn_repair
+from . import _bpe, ball_tree, html_crf, kn_lm, line_dedup, minhash, multi_index, packing, prefix_trie, quality, secret_scan, sp_codec, token_store, turn_repair
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(_read(spark, sf_dir, "conversations")))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(_read(spark, sf_dir, "conversations"))
 
