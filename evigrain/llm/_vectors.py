@@ -13,16 +13,17 @@ QUERY_ROWS = 256
 def usable(table: DataFrame, nonzero: bool) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part.
 
-    Left out are null ids and vectors that are null, empty, of another length than the longest usable one,
-    or hold null or non-finite components; with ``nonzero`` also vectors of zeros.
+    Left out are null ids and vectors that are null, empty, or hold null or non-finite components; with ``nonzero``
+    also vectors of zeros. Vectors of unequal lengths have no product: those of the commonest length (of equally
+    common ones the smaller) take part.
     """
     v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
     if nonzero:
         v = v.where(F.exists("embedding", lambda x: x != 0))
-    size = v.agg(F.max(F.size("embedding"))).first()[0]
-    return v.where(F.size("embedding") == (size or 0))
+    sizes = v.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    return v.where(F.size("embedding") == (sizes["size"] if sizes else 0))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -763,3 +763,16 @@ def test_sizes_are_measured_where_estimates_mislead(spark):
     assert _store.input_bytes(joined) == 500
     assert _store.input_bytes(spark.createDataFrame(a.rdd, DOCS).select("text")) == 500
     assert 0 < _store.input_bytes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")) < 10_000_000
+
+
+@pytest.mark.parametrize("search", [multi_index.nearest, ball_tree.top_k])
+def test_vectors_of_other_lengths_take_no_part(spark, search):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    schema = "vec_id long, embedding array<double>"
+    want = sorted(map(tuple, search(spark.createDataFrame(rows, schema)).select("query_id", "rank", "vec_id", "score").collect()))
+    odd = [(1000, [1.0] * 5), (1050, [1.0] * 9), (1100, [2.0]), (1150, []), (1200, None), (1250, [1.0, 2.0, None, 4.0])]
+    got = sorted(map(tuple, search(spark.createDataFrame(rows + odd, schema)).select("query_id", "rank", "vec_id", "score").collect()))
+    assert len(want) == 30 and got == want
+    even = [(1, [1.0, 0.5]), (50, [1.0, 0.0]), (2, [1.0, 0.0, 3.0]), (100, [1.0, 0.0, 3.0])]
+    assert [r.query_id for r in search(spark.createDataFrame(even, schema)).collect()] == [50]
