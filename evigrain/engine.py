@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sinks
-from .operators import graph, lookup, ranking, state
+from .operators import graph, lookup, ranking, reach, state
 from .operators.ranking import Gate
 from .plans import build
 from .plans import search as plan
@@ -57,7 +57,7 @@ class Engine:
 
     def node(self, ids: DataFrame, depth: int = 1) -> DataFrame:
         """Nodes within ``depth`` (1 to 4) steps of each id (start), themselves included."""
-        near = graph.within_hops(self.edges, ids, min(max(depth, 1), 4))
+        near = reach.within_hops(self.edges, ids, min(max(depth, 1), 4))
         return near.join(self.nodes, "id")
 
     def overview(self, limit: int = 300) -> tuple[DataFrame, DataFrame]:

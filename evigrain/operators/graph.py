@@ -1,7 +1,7 @@
 """The property graph as two tables: building, merging, traversal, patterns, edits.
 
-``nodes``: id, type, name, ...; ``edges``: edge_id, src, dst, type, .... Traversal joins a frontier with the
-edges a hop at a time and keeps distances, never paths; hubs are handled by de-duplicating each hop.
+``nodes``: id, type, name, ...; ``edges``: edge_id, src, dst, type, .... Traversal is in
+:mod:`evigrain.operators.reach`.
 """
 
 from __future__ import annotations
@@ -79,21 +79,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
 
 
-def within_hops(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Nodes within ``hops`` steps of each start (start): start, id, distance (0 for the start itself).
-
-    A node comes back only at its smallest distance: each hop drops what was seen, so a hub costs a row.
-    """
-    both = undirected(edges).distinct()
-    seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("distance"))
-    frontier = seen
-    for d in range(1, hops + 1):
-        step = frontier.join(both, frontier["id"] == both["a"]).select("start", F.col("b").alias("id")).distinct()
-        frontier = step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """Edges at each node, either way: id, degree."""
     return undirected(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
@@ -125,13 +110,6 @@ def visible(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> tuple[Dat
     return kept, induced(edges, kept)
 
 
-def pairs_without(left: DataFrame, edges: DataFrame, hops: int, kinds: DataFrame) -> DataFrame:
-    """Nodes of ``left`` (id) with none of ``kinds`` (id) within ``hops`` steps."""
-    near = within_hops(edges, left.select(F.col("id").alias("start")), hops)
-    hit = near.join(kinds.select("id"), "id", "left_semi").select(F.col("start").alias("id")).distinct()
-    return left.join(hit, "id", "left_anti")
-
-
 def ranked_experts(works: DataFrame, limit: int) -> DataFrame:
     """Experts (expert, work) by distinct works, the most first."""
     return works.groupBy("expert").agg(F.countDistinct("work").alias("n_works")).orderBy(F.desc("n_works"), "expert").limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import answers, geography, matching, numbers, paths, planning, text, units, vectors
-from ..operators import chunking, conditions, graph, lookup, quality, ranking, state
+from ..operators import chunking, conditions, graph, lookup, quality, ranking, reach, state
 from ..operators.quality import Constraint
 from ..sources import html
 from ..sources.tables import spread
@@ -554,7 +554,7 @@ WITH RECURSIVE {PLACE_EDGES}, h(start, id, distance) AS (
 SELECT start, id, min(distance) AS distance FROM h GROUP BY start, id""")
 def khop_neighbours(spark, d):
     starts = spark.createDataFrame([("region:1",), ("supplier:3",)], "start string")
-    return graph.within_hops(place_edges(spark, d), starts, 3)
+    return reach.within_hops(place_edges(spark, d), starts, 3)
 
 
 @query(f"""
@@ -584,7 +584,7 @@ def gap_pairs(spark, d):
     edges = edges.unionByName(_edge(returned, _id("order", "l_orderkey"), F.concat(F.lit("return:"), F.col("l_orderkey").cast("string")), "validated_by"))
     left = t(spark, d, "customer").select(_id("customer", "c_custkey").alias("id"), "c_custkey", "c_nationkey")
     kinds = returned.select(F.concat(F.lit("return:"), F.col("l_orderkey").cast("string")).alias("id"))
-    gaps = graph.pairs_without(left, edges, 2, kinds)
+    gaps = reach.without(left, edges, 2, kinds)
     return gaps.join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
 
 
@@ -625,7 +625,7 @@ k AS (SELECT s.id, coalesce(degree, 0) AS degree FROM s LEFT JOIN g USING (id) O
 SELECT id, degree, (SELECT count(*) FROM i WHERE i.src = k.id AND i.dst IN (SELECT id FROM k)) AS n_out FROM k""")
 def capped_subgraph(spark, d):
     edges = place_edges(spark, d)
-    near = graph.within_hops(edges, spark.createDataFrame([("region:2",)], "start string"), 2)
+    near = reach.within_hops(edges, spark.createDataFrame([("region:2",)], "start string"), 2)
     kept, own = graph.capped(near.select("id", (F.col("distance") == 0).alias("anchor")), edges)
     out = own.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
     return kept.select("id", "degree").join(out, "id", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)))

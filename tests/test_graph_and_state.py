@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from evigrain import sinks
-from evigrain.operators import graph, quality, ranking, state
+from evigrain.operators import graph, quality, ranking, reach, state
 from evigrain.sources import files
 from evigrain.streaming import incremental
 
@@ -40,7 +40,7 @@ def test_nodes_merge(spark):
 def test_hops_grow_with_depth(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"))
     starts = spark.createDataFrame([("a",), ("z",)], "start string")
-    by_depth = [{(r.start, r.id): r.distance for r in graph.within_hops(e, starts, k).collect()} for k in range(4)]
+    by_depth = [{(r.start, r.id): r.distance for r in reach.within_hops(e, starts, k).collect()} for k in range(4)]
     assert by_depth[3] == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 2, ("z", "z"): 0}
     assert all(set(x.items()) <= set(y.items()) for x, y in zip(by_depth[:-1], by_depth[1:], strict=True))
 
