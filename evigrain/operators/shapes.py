@@ -1,7 +1,8 @@
-"""Shapes over triples: cardinality, datatype, class of the far end, enumerations and bounds, checked in one grouped pass.
+"""Shapes over triples: cardinality, datatype, class of the far end, enumerations and bounds.
 
-A shape is compiled to conditional aggregates of one ``groupBy`` on the subject. Only rules on the class of the far
-end need anything of another node: these triples alone meet the classes, objects with very many of them apart.
+All shapes are compiled to one ``groupBy`` on the subject, with a conditional count for each name and a bit for each class.
+Values are judged where they stand; only those that fail go on, and meet the classes of their subjects. Rules on the class of the far
+end need another node: these triples alone meet the classes, objects with very many of them apart.
 """
 
 from __future__ import annotations
@@ -85,33 +86,38 @@ def check(triples: DataFrame, shapes: list[Shape], hot: int = HOT) -> DataFrame:
     far = sorted({r.path for s in shapes for r in s.rules if r.far})
     paths = sorted(names(shapes))
     rows = triples.where(F.col("p").isin(paths)).select("s", "p", "o", "kind")
-    rows = _with_far(rows, far, hot) if far else rows
-    aggregates: dict[str, Column] = {}
-    found = []
-    for i, shape in enumerate(shapes):
-        aggregates[f"t{i}"] = F.max(F.coalesce((F.col("p") == "type") & (F.col("o") == shape.target), F.lit(False)))
-        for j, rule in enumerate(shape.rules):
-            here = F.col("p") == rule.path
-            aggregates[f"c{i}_{j}"] = F.count_if(here)
-
-            def tell(broken: Column, told: str, n: Column, value: Column, i=i, shape=shape, rule=rule) -> Column:
-                message = rule.message or told
-                cells = {"shape": F.lit(shape.name), "path": F.lit(rule.path), "message": F.lit(message), "severity": F.lit(rule.severity), "n": n, "value": value}
-                return F.when(F.col(f"t{i}") & broken, F.struct(*[c.alias(k) for k, c in cells.items()]))
-
-            count, none = F.col(f"c{i}_{j}"), F.lit(None).cast("string")
+    targets = sorted({s.target for s in shapes})
+    mine = F.lit(0).cast("long")
+    for k, target in enumerate(targets):
+        mine = F.when((F.col("p") == "type") & (F.col("o") == target), F.lit(1 << k).cast("long")).otherwise(mine)
+    counts = [F.count_if(F.col("p") == p).alias(f"c{k}") for k, p in enumerate(paths)]
+    grouped = rows.groupBy(F.col("s").alias("focus")).agg(F.bit_or(mine).alias("classes"), *counts).where("classes <> 0")
+    has = lambda shape: F.getbit("classes", F.lit(targets.index(shape.target))) == 1
+
+    def cells(shape: Shape, rule: Rule, told: str) -> list[Column]:
+        return [F.lit(x).alias(k) for k, x in (("shape", shape.name), ("path", rule.path), ("message", rule.message or told), ("severity", rule.severity))]
+
+    broken, checks = [], []
+    for shape in shapes:
+        for rule in shape.rules:
+            n = F.col(f"c{paths.index(rule.path)}")
             if rule.at_least:
-                found.append(tell(count < rule.at_least, f"at least {rule.at_least}", count, none))
+                broken.append(F.when(has(shape) & (n < rule.at_least), F.struct(*cells(shape, rule, f"at least {rule.at_least}"), n.alias("n"))))
             if rule.at_most is not None:
-                found.append(tell(count > rule.at_most, f"at most {rule.at_most}", count, none))
-            for k, (told, bad) in enumerate(rule.checks()):
-                key = f"{i}_{j}_{k}"
-                aggregates[f"n{key}"] = F.count_if(here & bad)
-                aggregates[f"v{key}"] = F.min(F.when(here & bad, F.col("o")))
-                found.append(tell(F.col(f"n{key}") > 0, told, F.col(f"n{key}"), F.col(f"v{key}")))
-    grouped = rows.groupBy(F.col("s").alias("focus")).agg(*[c.alias(k) for k, c in aggregates.items()])
-    told = grouped.select("focus", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    return told.select("x.shape", "focus", "x.path", "x.message", "x.severity", "x.n", "x.value")
+                broken.append(F.when(has(shape) & (n > rule.at_most), F.struct(*cells(shape, rule, f"at most {rule.at_most}"), n.alias("n"))))
+            checks += [(shape, rule, told, bad) for told, bad in rule.checks()]
+    kind = "shape string, path string, message string, severity string, n bigint"
+    found = grouped.select("focus", F.explode(F.array_compact(F.array(*broken)) if broken else F.array().cast(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")).alias("x"))
+    found = found.select("x.shape", "focus", "x.path", "x.message", "x.severity", "x.n", F.lit(None).cast("string").alias("value"))
+    if not checks:
+        return found
+    rows = _with_far(rows, far, hot) if far else rows
+    # the numbers of the checks that a value fails: values that fail none go no further
+    failed = F.array_compact(F.array(*[F.when((F.col("p") == rule.path) & bad, k) for k, (_, rule, _, bad) in enumerate(checks)]))
+    failed = rows.where("p <> 'type'").select(F.col("s").alias("focus"), "o", F.explode(failed).alias("check")).groupBy("focus", "check").agg(F.count("*").alias("n"), F.min("o").alias("value"))
+    told = F.array(*[F.struct(*cells(shape, rule, told), F.lit(targets.index(shape.target)).alias("target")) for shape, rule, told, _ in checks])
+    met = failed.join(grouped.select("focus", "classes"), "focus").withColumn("x", F.element_at(told, F.col("check") + 1)).where("getbit(classes, x.target) = 1")
+    return found.unionByName(met.select("x.shape", "focus", "x.path", "x.message", "x.severity", "n", "value"))
 
 
 def report(found: DataFrame, examples: int = 3) -> DataFrame:

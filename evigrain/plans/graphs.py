@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reach, shapes, triples
 from ..operators.shapes import Rule, Shape
 from ..operators.triples import Field
+from ..scratch import Steps
 from ..sources.tables import table as t
 from .catalog import PLACE_EDGES, _edge, _id, place_edges, query
 
@@ -96,6 +97,11 @@ def shaped_triples(spark, d):
     return triples.node_triples(described_nodes(spark, d), FIELDS).unionByName(triples.node_triples(orders, [])).unionByName(triples.link_triples(links)).unionByName(facts)
 
 
+def written_triples(spark, d):
+    """:func:`shaped_triples` as the written table that shapes are checked on."""
+    return Steps(spark, "triples").write(shaped_triples(spark, d), "triples")
+
+
 _FOUND_SQL = f"""
 WITH {_NODES_SQL},
 lf AS (SELECT DISTINCT 'fact/line%3A' || l_orderkey || '%3A' || l_linenumber || '%3A' || l_partkey || '%3A' || l_suppkey AS s, l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'supplier%3A' || l_suppkey ELSE 'part%3A' || l_partkey END AS o, l_returnflag = 'R' AS wrong,
@@ -125,14 +131,14 @@ found AS (
 @query(f"{_FOUND_SQL} SELECT shape, focus, path, message, severity, n, CASE WHEN path = 'confidence' THEN NULL ELSE value END AS value FROM found")
 def shape_violations(spark, d):
     """Every broken rule of the star schema as a graph (fractions as text differ between engines: left out)."""
-    found = shapes.check(shaped_triples(spark, d), SHAPES)
+    found = shapes.check(written_triples(spark, d), SHAPES)
     return found.withColumn("value", F.when(F.col("path") != "confidence", F.col("value")))
 
 
 @query(f"""{_FOUND_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY shape, path, message, severity ORDER BY focus) AS k FROM found)
 SELECT shape, path, message, severity, count(*) AS subjects, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE n END) AS BIGINT) AS results, string_agg(focus, '; ' ORDER BY focus) FILTER (WHERE k <= 3) AS examples FROM r GROUP BY ALL""")
 def shape_report(spark, d):
-    told = shapes.report(shapes.check(shaped_triples(spark, d), SHAPES))
+    told = shapes.report(shapes.check(written_triples(spark, d), SHAPES))
     return told.withColumn("examples", F.regexp_replace("examples", r" \([^)]*\)", ""))
 
 

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from evigrain.plans import catalog, graphs  # noqa: F401  graphs adds to the catalogue
+from evigrain.plans import catalog, graphs, searches  # noqa: F401  these add to the catalogue
 
 SF = "/root/testdata/sf0.001"
 
