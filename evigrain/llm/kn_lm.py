@@ -254,7 +254,7 @@ def fit(texts: DataFrame) -> Model:
     """Counts the training texts (one string column) and writes the model's shards."""
     store = _store.Store(texts.sparkSession, "kneser-ney")
     folder = f"{store.uri}/arrays"
-    word_bits = (_store.cut(_store.input_bytes(texts), 4 << 20, 4, 1 << 14) - 1).bit_length()
+    word_bits = (_store.cut(_store.input_bytes(texts), 4 << 20, 4) - 1).bit_length()
 
     word_places = _places(store.spark, word_bits)
     word_shard = {place: s for s, place in enumerate(word_places)}
@@ -273,7 +273,7 @@ def fit(texts: DataFrame) -> Model:
     for r in made:
         words[r.shard] = r.path
     tokens, vocabulary = sum(r.tokens for r in made), sum(r.vocabulary for r in made)
-    bits = max(_store.cut(tokens // 2, SHARD_BIGRAMS, 4, 1 << 16) - 1, 1).bit_length()
+    bits = max(_store.cut(tokens // 2, SHARD_BIGRAMS, 4) - 1, 1).bit_length()
     limit = max(tokens >> (bits + 2), 1000)  # fewer than 4 << bits words are as frequent
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
