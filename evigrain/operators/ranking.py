@@ -129,15 +129,30 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[Scored], key:
     return out.groupBy("query_id", key).agg((F.max if best else F.sum)("s").alias("score"))
 
 
+def phrases_in(docs: DataFrame, phrases: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Which phrases (_p) stand in which documents, in any case, white space as one space: key, _p.
+
+    Phrases are looked for in the scan, ``LISTED_TERMS`` at a time; only hits leave it. A batch of queries has few phrases: they pass
+    the driver.
+    """
+    listed = [r[0] for r in phrases.orderBy("_p").collect()]
+    folded = docs.select(key, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_x"))
+    out = None
+    for lo in range(0, max(len(listed), 1), LISTED_TERMS):
+        some = F.array(*map(F.lit, listed[lo : lo + LISTED_TERMS])).cast("array<string>")
+        found = folded.select(key, F.explode(F.filter(some, lambda p: F.contains(F.col("_x"), p))).alias("_p"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def number_boosts(scored: DataFrame, docs: DataFrame, queries: DataFrame, weight: float = 3.0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Scores raised where a document holds a number with its unit as the query has it; no document is added.
 
     ``queries``: query_id, query. A phrase found in few of the scored documents counts for more.
     """
     phrases = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(rf"({PHRASE})"), 1))).alias("_p"))
-    phrases = phrases.withColumn("_p", F.regexp_replace("_p", r"\s+", " "))
-    held = scored.select("query_id", key).join(small(phrases), "query_id").join(docs.select(key, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_x")), key)
-    hits = held.where(F.contains(F.col("_x"), F.col("_p"))).select("query_id", key, "_p")
+    phrases = phrases.select("query_id", F.regexp_replace("_p", r"\s+", " ").alias("_p")).distinct()
+    hits = phrases_in(docs, phrases.select("_p").distinct(), text, key).join(small(phrases), "_p").join(scored.select("query_id", key), ["query_id", key], "left_semi")
     total = scored.groupBy("query_id").agg(F.count("*").alias("_n"))
     rare = hits.groupBy("query_id", "_p").agg(F.count("*").alias("_d")).join(total, "query_id")
     rare = rare.select("query_id", "_p", F.log(1 + (F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)).alias("_w"))

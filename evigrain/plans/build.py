@@ -16,8 +16,8 @@ from ..sources import files as sources
 
 
 def manifest(files: DataFrame, known: DataFrame) -> DataFrame:
-    """New contents of files (path, content) with ids and path metadata; ``known``: sha256, doc_no."""
-    fresh = state.first_by_content(files.withColumn("sha256", F.sha2("content", 256)))
+    """New contents of files (path, content) with ids and path metadata; ``known``: sha256, doc_no. Files without content (failed members) aren't in it."""
+    fresh = state.first_by_content(files.where("content IS NOT NULL").withColumn("sha256", F.sha2("content", 256)))
     numbered = state.new_ids(fresh, known)
     return numbered.withColumn("m", metadata(F.col("path"))).select("*", "m.*").drop("m")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import answers, geography, matching, numbers, paths, planning, text, units, vectors
-from ..operators import chunking, conditions, graph, lookup, quality, ranking, reach, state
+from ..operators import angles, chunking, conditions, graph, lookup, quality, ranking, reach, state
 from ..operators.quality import Constraint
 from ..sources import html
 from ..sources.tables import spread
@@ -116,7 +116,7 @@ def bm25_topk(spark, d):
 
 
 FIELDS = [ranking.Scored("text", 2.0), ranking.Scored("text", 1.0, text.stemmed), ranking.Scored("source", 1.0)]
-BOOSTED = [(1, "that from 4.5 %"), (2, "les dans 30 мг/л"), (3, "src3 der 12 %")]
+BOOSTED = [(1, "that from 9% 3%"), (2, "les dans 3% 9%"), (3, "src3 der 9% 3%")]
 
 
 def _field_sql(name: str, column: str, terms: str, q: list[tuple[int, str]], table: str = "documents", key: str = "doc_id") -> str:
@@ -138,7 +138,7 @@ _STEM = rf"list_transform(list_filter({_PLAIN}, lambda w: w NOT IN ({', '.join(r
 @query(f"""
 WITH {_field_sql("a", "text", _PLAIN, BOOSTED)},{_field_sql("b", "text", _STEM, BOOSTED)},{_field_sql("c", "source", _PLAIN, BOOSTED)},
 s AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, 2 * score AS s FROM a UNION ALL SELECT query_id, doc_id, score FROM b UNION ALL SELECT query_id, doc_id, score FROM c) GROUP BY query_id, doc_id),
-p(query_id, p) AS (VALUES (1, '4.5 %'), (2, '30 мг/л'), (3, '12 %')),
+p(query_id, p) AS (VALUES (1, '9%'), (2, '9%'), (3, '9%'), (1, '3%'), (2, '3%'), (3, '3%')),
 h AS (SELECT s.query_id, s.doc_id, p FROM s JOIN p USING (query_id) JOIN documents d USING (doc_id) WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), p)),
 w AS (SELECT query_id, p, ln(1 + (n - d + 0.5) / (d + 0.5)) AS w FROM (SELECT query_id, p, count(*) AS d FROM h GROUP BY query_id, p) JOIN (SELECT query_id, count(*) AS n FROM s GROUP BY query_id) USING (query_id)),
 r AS (SELECT s.query_id, s.doc_id, coalesce(3 * w, 0) AS boost, score + coalesce(3 * w, 0) AS score FROM s LEFT JOIN h USING (query_id, doc_id) LEFT JOIN w USING (query_id, p))
@@ -458,11 +458,10 @@ def resolve_entities(spark, d):
     """Each vector to a concept (the first vector of a label): by name for the labels below 4, else by cosine, else new."""
     e = t(spark, d, "embeddings")
     c = e.groupBy(F.col("label").alias("_l")).agg(F.min("vec_id").alias("concept"), F.min_by("embedding", "vec_id").alias("_v"))
-    met = ranking.each_with(e, c, "concept")
-    scored = met.select("vec_id", "label", "concept", F.round(vectors.cosine(F.col("embedding"), F.col("_v")), 9).alias("s"), (F.col("label") == F.col("_l")).alias("own"))
-    best = scored.groupBy("vec_id", "label").agg(F.max_by("concept", "s").alias("near"), F.max("s").alias("s"), F.max(F.when(F.col("own"), F.col("concept"))).alias("exact"))
-    exact, near = F.col("label") < 4, F.col("s") >= 0.2
-    return best.select("vec_id", F.when(exact, "exact").when(near, "near").otherwise("new").alias("tier"), F.when(exact, F.col("exact")).when(near, F.col("near")).alias("concept"))
+    near = angles.nearest_within(e, c.select(F.col("concept").alias("vec_id"), F.col("_v").alias("embedding")), 0.2, "vec_id", "embedding").select(F.col("id").alias("vec_id"), "found")
+    named = e.join(ranking.small(c.select("_l", F.col("concept").alias("own"))), F.col("label") == F.col("_l"))
+    tier = F.when(F.col("label") < 4, "exact").when(F.col("found").isNotNull(), "near").otherwise("new")
+    return named.join(near, "vec_id", "left").select("vec_id", tier.alias("tier"), F.when(F.col("label") < 4, F.col("own")).otherwise(F.col("found")).alias("concept"))
 
 
 @query("""

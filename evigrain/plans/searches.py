@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import postings
+from ..operators import angles, postings
 from ..scratch import Steps
 from ..sources.tables import spread
 from ..sources.tables import table as t
@@ -25,3 +25,14 @@ def indexed_topk(spark, d):
     """The rows of ``bm25_topk`` from a written index of two segments."""
     found = postings.Search(spark, indexed(spark, d), asked(spark, d).select("query_id", "query"), 12).results
     return found.select("query_id", "doc_id", "n_terms", F.round("score", 4).alias("score"))
+
+
+@query("""
+SELECT vec_id, found, round(c, 9) AS cosine FROM (
+  SELECT a.vec_id, b.vec_id AS found, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, found) = 1""")
+def near_vectors(spark, d):
+    """For every vector the nearest other one of a cosine of 0.3 or more."""
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    found = angles.nearest_within(v, v, 0.3, "vec_id", "embedding", other=True)
+    return found.select(F.col("id").alias("vec_id"), "found", F.round("cosine", 9).alias("cosine"))

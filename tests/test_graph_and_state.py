@@ -197,3 +197,33 @@ def test_job_states(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.job_id, r.stage) for r in spark.sql("select * from jobs").collect()} == {("j", "building"), ("k", "done")}
+
+
+def test_volumes_and_broken_members(spark, tmp_path):
+    """Three volumes make one archive; a corrupt member, a lost volume and a broken archive fail alone."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(6):
+            z.writestr(f"doc{k}.txt", f"text of {k}. " * 400)
+        z.writestr("empty.txt", "")
+    body = bytearray(raw.getvalue())
+    at = body.find(b"doc3.txt") + 12  # within the compressed text
+    body[at : at + 8] = b"\xff" * 8
+    size = len(body) // 3 + 1
+    for k in range(3):
+        (tmp_path / f"a.zip.00{k + 1}").write_bytes(body[k * size : (k + 1) * size])
+        if k != 1:
+            (tmp_path / f"lost.zip.00{k + 1}").write_bytes(body[k * size : (k + 1) * size])
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    (tmp_path / "plain.txt").write_text("plain")
+    found = files.expand(files.scan(spark, str(tmp_path)))
+    rows = {r.path.split("/", 3)[-1].replace(str(tmp_path).lstrip("/") + "/", "").rpartition("//")[2]: r for r in found.collect()}
+    rows = {k.split(f"{tmp_path.name}/")[-1]: r for k, r in rows.items()}
+    assert {k: r.status.split(":")[0] for k, r in rows.items()} == {**{f"a.zip/doc{k}.txt": "ok" for k in range(6) if k != 3}, "a.zip/doc3.txt": "failed", "a.zip/empty.txt": "ok", "lost.zip": "failed", "bad.zip": "failed", "plain.txt": "ok"}
+    assert rows["lost.zip"].status == "failed: volume 2 is missing" and rows["a.zip/doc3.txt"].content is None
+    read = {r.path.split(f"{tmp_path.name}/")[-1]: (r.text, r.status) for r in files.pages(found).collect()}
+    assert read["a.zip/doc3.txt"] == (None, "failed") and read["a.zip/doc5.txt"] == ("text of 5. " * 400, "ok") and read["plain.txt"] == ("plain", "ok") and read["a.zip/empty.txt"] == ("", "ok")
+    from evigrain.plans import build
+
+    new = build.manifest(found, spark.createDataFrame([], "sha256 string, doc_no long"))
+    assert sorted(r.path.split(f"{tmp_path.name}/")[-1] for r in new.collect()) == ["a.zip/doc0.txt", "a.zip/doc1.txt", "a.zip/doc2.txt", "a.zip/doc4.txt", "a.zip/doc5.txt", "a.zip/empty.txt", "plain.txt"]
