@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.planning import UNITS as QUERY_UNITS
 from ..functions.text import same_word, stemmed, words
 from ..functions.vectors import dot, norm
+from ..scratch import Steps
 
 #: Rows of a query side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
@@ -148,8 +149,10 @@ def phrases_in(docs: DataFrame, phrases: DataFrame, text: str = "text", key: str
 def number_boosts(scored: DataFrame, docs: DataFrame, queries: DataFrame, weight: float = 3.0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Scores raised where a document holds a number with its unit as the query has it; no document is added.
 
-    ``queries``: query_id, query. A phrase found in few of the scored documents counts for more.
+    ``queries``: query_id, query. A phrase found in few of the scored documents counts for more. The scores are
+    written first, as they are read three times.
     """
+    scored = Steps(docs.sparkSession, "boosts").write(scored, "scored")
     phrases = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(rf"({PHRASE})"), 1))).alias("_p"))
     phrases = phrases.select("query_id", F.regexp_replace("_p", r"\s+", " ").alias("_p")).distinct()
     hits = phrases_in(docs, phrases.select("_p").distinct(), text, key).join(small(phrases), "_p").join(scored.select("query_id", key), ["query_id", key], "left_semi")
