@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -95,7 +96,11 @@ class Model:
         self.signs = {p for p in self.normal if len(p) == 1}
         self.separable = all(MARK not in p.lstrip(MARK) for p in self.normal)
         self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
+        #: No piece reaches across a line's end: a word is cut there, and its lines are kept apart.
+        self.by_line = 10 in self.bytes and not any("\n" in p for p in self.normal)
+        self.raw = [np.array([i], self.dtype).tobytes() for i in range(len(self.pieces))]
         self.words: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.runs: dict[int, list[int]] = {}
 
@@ -109,8 +114,10 @@ class Model:
         if not self.separable or not self.prefix:
             return self._ids(self._segment((MARK if self.prefix else "") + text.replace(" ", MARK)))
         words = text.split(" ")
-        if len(self.words) > KEEP:
-            self.words.clear()
+        if len(self.words) > KEEP:  # the first ones met are the commonest
+            self.words = dict(islice(self.words.items(), KEEP // 6))
+        if len(self.lines) > KEEP // 4:
+            self.lines.clear()
         known = self.words
         if "" not in words:
             try:
@@ -134,14 +141,26 @@ class Model:
         return b"".join(out)
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return b"".join(map(self.raw.__getitem__, ids))
 
     def _word(self, word: str) -> bytes:
-        ids = self._ids(self._segment(MARK + word))
+        if self.by_line and "\n" in word:
+            first, *rest = word.split("\n")
+            ids = (self.words.get(first) or self._word(first)) if first else self._ids(self._segment(MARK))
+            ids += b"".join([self.raw[self.bytes[10]] + (self.lines.get(x) or self._line(x)) if x else self.raw[self.bytes[10]] for x in rest])
+        else:
+            ids = self._ids(self._segment(MARK + word))
         if len(word) <= LONGEST:
             self.words[word] = ids
         return ids
 
+    def _line(self, rest: str) -> bytes:
+        """What stands in a word after a line's end."""
+        ids = self._ids(self._segment(rest))
+        if len(rest) <= LONGEST:
+            self.lines[rest] = ids
+        return ids
+
     def _segment(self, s: str) -> list[int]:
         """One pass of the automaton over a segment, with a relaxation at each position."""
         n = len(s)
@@ -188,14 +207,18 @@ class Model:
 
     def _merged(self, s: str, n: int) -> list[int]:
         """The pass for a BPE model where every character is a piece: the last piece at each position, -2 for none."""
-        last, start, pairs, follows = [-2] * (n + 1), [0] * (n + 1), self.pairs, self._follows
+        last, start, pairs = [-2] * (n + 1), [0] * (n + 1), self.pairs
         last[0] = -1
         for end, (i, length) in self.automaton.iter(s):
             end += 1
-            if last[end] == -2 and (left := last[end - length]) != -2:
-                ok = pairs.get((left, i))
-                if follows(left, i) if ok is None else ok:
-                    last[end], start[end] = i, end - length
+            if last[end] == -2:
+                begin = end - length
+                left = last[begin]
+                if left != -2:
+                    ok = pairs.get((left, i))
+                    if ok or (ok is None and self._follows(left, i)):
+                        last[end] = i
+                        start[end] = begin
         out = []
         while n:
             out.append(last[n])
