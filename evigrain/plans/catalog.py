@@ -244,26 +244,26 @@ def numeric_excerpt(spark, d):
 
 
 @query(r"""
-WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq FROM conversations),
-c AS (SELECT DISTINCT conv_id % 3 AS query_id, conv_id, seq FROM m WHERE seq = 2),
-x AS (SELECT query_id, conv_id, seq + k AS seq, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'after' ELSE 'before' END AS origin FROM c, (VALUES (-1), (0), (1)) v(k)),
-p AS (SELECT query_id, conv_id, seq, origin, CASE WHEN origin = 'own' THEN substr(text, 21) ELSE text END AS text FROM m JOIN x USING (conv_id, seq)),
+WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS seq, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+c AS (SELECT DISTINCT doc_id % 3 AS query_id, doc_id, seq FROM m WHERE seq = 2),
+x AS (SELECT query_id, doc_id, seq + k AS seq, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'after' ELSE 'before' END AS origin FROM c, (VALUES (-1), (0), (1)) v(k)),
+p AS (SELECT query_id, doc_id, seq, origin, CASE WHEN origin = 'own' THEN substr(text, 21) ELSE text END AS text FROM m JOIN x USING (doc_id, seq)),
 f AS (SELECT *, regexp_extract_all(text, '\d+(?:[.,]\d+)?') AS f, string_split_regex(text, '\d+(?:[.,]\d+)?') AS g FROM p),
-n AS (SELECT query_id, conv_id, seq, origin, text, i, f[i] AS num, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS start FROM f, LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)),
-w AS (SELECT *, sum(CASE WHEN regexp_matches(num, '[.,]') THEN 3 ELSE 1 END) OVER v AS weight, count(*) OVER v AS c FROM n WINDOW v AS (PARTITION BY conv_id, seq, query_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 260 FOLLOWING)),
+n AS (SELECT query_id, doc_id, seq, origin, text, i, f[i] AS num, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS start FROM f, LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)),
+w AS (SELECT *, sum(CASE WHEN regexp_matches(num, '[.,]') THEN 3 ELSE 1 END) OVER v AS weight, count(*) OVER v AS c FROM n WINDOW v AS (PARTITION BY doc_id, seq, query_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 260 FOLLOWING)),
 b AS (SELECT *, CAST(start AS BIGINT) AS s, CAST(contains(lower(substr(text, CAST(greatest(start - 80, 0) AS BIGINT) + 1, CAST(start + 260 - greatest(start - 80, 0) AS BIGINT))), 'the') AS INT) AS hits FROM w WHERE c >= 2),
-o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, seq ORDER BY hits DESC, weight DESC, start) = 1)
-SELECT query_id, conv_id, seq, origin, CAST(row_number() OVER (PARTITION BY query_id, conv_id ORDER BY hits DESC, weight DESC, seq) AS INT) AS rank, substr(text, greatest(s - 60, 0) + 1, 360) AS excerpt FROM o
-QUALIFY row_number() OVER (PARTITION BY query_id, conv_id ORDER BY hits DESC, weight DESC, seq) <= 4""".replace("\\\\", "\\"))
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY hits DESC, weight DESC, start) = 1)
+SELECT query_id, doc_id, seq, origin, CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hits DESC, weight DESC, seq) AS INT) AS rank, substr(text, greatest(s - 60, 0) + 1, 360) AS excerpt FROM o
+QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hits DESC, weight DESC, seq) <= 4""".replace("\\\\", "\\"))
 def number_evidence(spark, d):
-    """Numbers in the second message of each conversation and those beside it."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    m = t(spark, d, "conversations").withColumn("seq", F.row_number().over(w)).select(F.col("conv_id").alias("doc_id"), "seq", F.format_string("%012d:%06d", "conv_id", "seq").alias("chunk_id"), "text")
+    """Numbers in the second line of each document and the lines beside it."""
+    lines = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("_at", "text"))
+    m = lines.select("doc_id", (F.col("_at") + 1).alias("seq"), F.format_string("%012d:%06d", "doc_id", F.col("_at") + 1).alias("chunk_id"), "text")
     cited = m.where("seq = 2").select((F.col("doc_id") % 3).alias("query_id"), "chunk_id", "doc_id", "seq")
     stems = spark.createDataFrame([(q, ["the"]) for q in range(3)], "query_id long, stems array<string>")
     out = ranking.number_evidence(cited, m, stems, skip=20)
     at = F.split("chunk_id", ":")
-    return out.select("query_id", at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("seq"), "origin", "rank", "excerpt")
+    return out.select("query_id", at[0].cast("long").alias("doc_id"), at[1].cast("long").alias("seq"), "origin", "rank", "excerpt")
 
 
 @query("""
