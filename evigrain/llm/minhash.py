@@ -15,7 +15,10 @@ those left, members outside a bucket's main component meet the members of others
 bitmaps (parities of hashed shingles, so two bitmaps differ in no more bits than the sets do in shingles).
 No bound ever parts a true pair.
 
-Equal sets are collapsed before all this, so exact copies cost one row.
+Equal sets are collapsed before all this, so exact copies cost one row. No key gathers its rows in one task: a
+class of very many copies and a vertex of very many links meet their rows by a broadcast of such keys alone
+(each has a stated share of all rows, so they are few), a centre's full set by blocks of its links; empty sets
+take no part in any join.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ SLOTS = 1 << 20
 MOST_SLOTS = 1 << 26
 FLUSH = 1 << 21
 GROUP = 2000
+HOT = 10_000
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
 
 
@@ -278,8 +282,33 @@ def _missed(at: DataFrame, sets: DataFrame, bits: DataFrame, store: _store.Store
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _share(rows: int) -> int:
+    """How many of ``rows`` rows one key may have in a task. Fewer than ``HOT`` keys have more."""
+    return max(GROUP, -(-rows // HOT))
+
+
+def _joined(many: DataFrame, one: DataFrame, key: list[str], share: int) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key with the number ``k`` of its rows in ``many``.
+
+    Keys with more than ``share`` rows meet where their rows lie: their rows of ``one`` are broadcast.
+    """
+    few = F.broadcast(one.where(F.col("k") > share).drop("k"))
+    rest = many.join(few.select(*key), key, "left_anti").join(one.where(F.col("k") <= share).drop("k"), key)
+    return rest.unionByName(many.join(few, key))
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, pairs: DataFrame, end: str, other: str, share: int) -> DataFrame:
+    """``rows`` of ``pairs`` with the full set of one end, ``s`` and its name. An end of many pairs is dealt out in blocks of them."""
+    ends = pairs.groupBy(end).agg(F.count("*").alias("k")).where(F.col("k") > share)
+    blocks = F.broadcast(ends.select(end, F.ceil(F.col("k") / share).cast("int").alias("blocks")))
+    own = sets.withColumnsRenamed({"id": end, "shingles": f"s{end}"}).join(blocks, end, "left")
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    dealt = rows.join(blocks, end, "left")
+    return dealt.withColumn("block", F.pmod(F.xxhash64(other), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks").join(own, [end, "block"]).drop("block")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """The pairs (a, b), a written table, whose full sets reach the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,8 +326,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    left = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-    both = left.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
+    share = _share(pairs.count())
+    both = _with_sets(_with_sets(pairs, sets, pairs, "b", "a", share), sets, pairs, "a", "b", share)
     return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
@@ -313,14 +342,17 @@ def components(edges: DataFrame, store: _store.Store, name: str) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
+    def ends(u: str, v: str):
+        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
     before = mark(now)
     for k in count(1):
+        share = _share(2 * before[0])
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
+        large = _joined(both.where("v > u"), least, ["u"], share).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = _joined(large, least, ["u"], share).select(F.inline(F.array(ends("v", "m"), ends("u", "m")))).where("u > v").distinct()
         now = store.table(small, f"{name}-{k}")
         after = mark(now)
         if after == before:
@@ -350,7 +382,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     profiles = store.table(_profiles(docs, width), "profiles")
     named = profiles.where("n > 0 and doc_id is not null")
     # classes of equal sets; their bands are equal too
-    classes = store.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    classes = store.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count("*").alias("k")), "classes")
     buckets = _buckets(classes)
     # two centres a bucket: the smallest id, and one that differs from bucket to bucket
     centres = [F.min("id").alias("centre"), F.max("id").alias("other"), F.min_by("id", F.xxhash64("id", "key")).alias("second")]
@@ -365,7 +397,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     best = Window.partitionBy("b").orderBy(_differ() - F.least("na", "nb"), "a")
     star = star.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CENTRES).select("a", "b")
     sets = store.table(_sets(docs, width, _wanted(members.select("id"), store, "wanted")), "sets")
-    links = store.table(_confirm(star, sets, percent), "links-0")
+    links = store.table(_confirm(store.table(star, "star"), sets, percent), "links-0")
     roots = components(links, store, "roots-0")
 
     # then the rest: members of buckets that hold several components
@@ -375,14 +407,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = store.table(_missed(store.table(at, "in-question"), sets, bits, store, percent), "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
     roots = components(links.union(more), store, "roots-1") if more.limit(1).count() else roots
-    roots = store.table(roots, "roots")
-    store.keep_only("profiles", "classes", "roots")
-
-    found = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
-    out = profiles.drop("bands", "bits").join(found, ["h1", "h2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # a row of ``found`` for each class, for its documents; documents of hot classes stay where they lie
+    found = classes.select("h1", "h2", "id", "k").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"), "k")
+    found = store.table(found, "found")
+    share = _share(profiles.count())
+    store.keep_only("profiles", "found")
+    rows = profiles.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = _joined(rows.where(linked), found, ["h1", "h2"], share).select("doc_id", "n_shingles", "component_id")
+    out = out.union(rows.where(~linked).select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -346,6 +346,24 @@ def test_minhash_of_a_shared_template(spark, monkeypatch):
     assert got == want and len({r[2] for r in want}) == 120
 
 
+def test_minhash_hot_keys(spark, monkeypatch):
+    """Many equal texts, many empty ones and a text with many that differ a little from it: the same rows, dealt out."""
+    monkeypatch.setattr(minhash, "GROUP", 5)
+    base = [f"w{i}" for i in range(40)]
+    near = [" ".join([*base[: k + 1], "x", *base[k + 1 :]]) for k in range(38)]
+    rows = [*["a copy of one page"] * 300, *["", None, "  "] * 100, " ".join(base), *near]
+    rows = [(k + 1, x) for k, x in enumerate(rows)]
+    docs = spark.createDataFrame([(None, "a copy of one page"), *rows], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, 2).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(brute.components(rows, 2))
+    assert [tuple(r)[1:] for r in got if r.doc_id is None] == [(4, None, True)]
+    # a key of more rows than its share is in no shuffled side
+    links = spark.createDataFrame([(1, k) for k in range(2, 60)] + [(k, k + 1) for k in range(100, 120)], "u long, v long")
+    one = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    dealt = minhash._joined(links, one, ["u"], 5)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, links.join(one.drop("k"), "u").collect()))
+
+
 def test_minhash_prefixes_part_no_pair_that_is_alike(spark, docs, rows):
     """The filter alone, over all documents as components of their own, against all pairs."""
     from evigrain.llm import _store
