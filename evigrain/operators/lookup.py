@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import holding
 from ..functions.numbers import number_in_text, numbers_in
 from ..functions.text import fold, sentences, words
 from ..functions.vectors import norm, unit
@@ -99,22 +100,33 @@ def evidence_touching(assertions: DataFrame, kept: DataFrame) -> DataFrame:
 def term_match(terms: DataFrame, forms: DataFrame, least: int = 4) -> DataFrame:
     """Each term's concept: its form exactly, else the longest form of ``least`` signs in it or around it.
 
-    ``terms``: term; ``forms``: concept_id, form. Exact matches meet by equality; the rest compare with forms
-    broadcast by checked size.
+    ``terms``: term; ``forms``: concept_id, form. Exact matches meet by equality; the rest by the first ``least``
+    signs of the one that is to be inside, which stand somewhere in the other, and are then compared.
     """
     t = terms.select("term").distinct().withColumn("_t", fold(F.col("term")))
     f = forms.select("concept_id", fold(F.col("form")).alias("form"))
     exact = t.join(f, t["_t"] == f["form"]).groupBy("term").agg(F.min("concept_id").alias("concept_id")).withColumn("tier", F.lit("exact"))
-    rest = t.join(exact.select("term"), "term", "left_anti").join(small(f.where(F.length("form") >= least)), F.contains(F.col("_t"), F.col("form")) | F.contains(F.col("form"), F.col("_t")))
-    near = rest.where(F.length("_t") >= least).groupBy("term").agg(F.min_by("concept_id", F.struct(-F.length("form"), F.col("form"), F.col("concept_id"))).alias("concept_id"))
+    rest = t.join(exact.select("term"), "term", "left_anti").where(F.length("_t") >= least)
+    f = f.where(F.length("form") >= least)
+
+    def runs(c: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - (least - 1))
+        return F.explode(F.array_distinct(F.transform(starts, lambda i: c.substr(i, F.lit(least)))))
+
+    head = lambda c: F.left(c, F.lit(least))
+    term, form = F.col("_t"), F.col("form")
+    outer = rest.withColumn("_g", runs(term)).join(small(f.withColumn("_g", head(form))), "_g").where(F.contains(term, form))
+    inner = rest.withColumn("_g", head(term)).join(small(f.withColumn("_g", runs(form))), "_g").where(F.contains(form, term))
+    near = outer.unionByName(inner).groupBy("term").agg(F.min_by("concept_id", F.struct(-F.length("form"), F.col("form"), F.col("concept_id"))).alias("concept_id"))
     return exact.unionByName(near.withColumn("tier", F.lit("part")))
 
 
 def longest_alias(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The longest alias (concept_id, alias) contained in each text."""
+    """The longest alias (concept_id, alias) contained in each text, all looked for in one pass over it."""
     low = docs.select(key, F.lower(text).alias("_t"))
-    hits = low.join(small(aliases.select("concept_id", F.lower("alias").alias("alias"))), F.contains(F.col("_t"), F.col("alias")))
-    return hits.groupBy(key).agg(F.min_by(F.struct("concept_id", "alias"), F.struct(-F.length("alias"), F.col("alias"))).alias("b")).select(key, "b.*")
+    asked = aliases.select("concept_id", F.lower("alias").alias("alias"))
+    hits = holding(low, [key], "_t", asked, "alias").join(small(asked), "alias")
+    return hits.groupBy(key).agg(F.min_by(F.struct("concept_id", "alias"), F.struct(-F.length("alias"), F.col("alias"), F.col("concept_id"))).alias("b")).select(key, "b.*")
 
 
 def language_rollup(chunks: DataFrame, by: str = "doc_id", lang: str = "lang") -> DataFrame:

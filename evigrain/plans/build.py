@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import holding
 from ..functions.paths import metadata
 from ..functions.payloads import coerced, confidence, payload, problem
 from ..functions.text import fold, grounded, slug
@@ -75,8 +76,6 @@ def condition_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.where("param is not null or value is not null")
 
 
-
-
 def known_conditions(found: DataFrame, registry: DataFrame, require: bool = True) -> DataFrame:
     """Conditions (param, quote, ...) with the registry's parameter they are about: adds param_concept and label.
 
@@ -88,7 +87,8 @@ def known_conditions(found: DataFrame, registry: DataFrame, require: bool = True
     rows = found.withColumns({"_k": F.xxhash64(F.coalesce("param", F.lit("")), F.coalesce("quote", F.lit(""))), "_p": fold(F.coalesce("param", F.lit("")), yo=True)})
     rows = rows.withColumn("_t", fold(F.concat_ws(" ", "param", "quote"), yo=True))
     asked = rows.select("_k", "_p", "_t").distinct()
-    hits = asked.join(small(forms), (F.col("_p") == F.col("_form")) | F.contains(F.col("_t"), F.col("_form")))
+    inside = holding(asked, ["_k", "_p"], "_t", forms, "_form")
+    hits = inside.unionByName(asked.select("_k", "_p", F.col("_p").alias("_form"))).distinct().join(small(forms), "_form")
     best = hits.groupBy("_k").agg(F.max_by(F.struct("concept_id", "type", "label"), F.struct((F.col("_p") == F.col("_form")).cast("int"), F.length("_form"), "_form")).alias("r")).select("_k", "r.*")
     own = best.where("type = 'Parameter'").select("_k", F.col("concept_id").alias("param_concept"), "label")
     return rows.join(own, "_k", "inner" if require else "left").drop("_k", "_p", "_t")

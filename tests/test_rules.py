@@ -185,3 +185,29 @@ def test_chunks_by_lines(spark):
         first, fresh = back, last + 1
     got = chunking.chunk_by_lines(spark.createDataFrame([(1, text), (2, None), (3, "tiny")], "doc_id long, text string")).orderBy("seq").collect()
     assert [(r.doc_id, r.text) for r in got] == [(1, x) for x in want if len(x) > 40] and len(want) > 5
+
+
+def test_strings_in_texts(spark, monkeypatch):
+    """All strings in one pass or in many: the pairs that comparing each with each finds; no plan has a nested loop."""
+    import random
+
+    from evigrain.functions import matching
+    from evigrain.operators import lookup
+
+    pick = random.Random(5)
+    texts = [(k, "".join(pick.choice("abё ") for _ in range(pick.randrange(60)))) for k in range(200)] + [(200, None), (201, "")]
+    strings = ["a", "ab", "bab", " ", "ёё", "aab b", "zz", "", None]
+    want = {(k, s) for k, x in texts if x for s in strings if s and s in x}
+    docs = spark.createDataFrame(texts, "k long, x string")
+    asked = spark.createDataFrame([(s,) for s in strings], "s string")
+    for signs in (matching.PASS_SIGNS, 4):
+        monkeypatch.setattr(matching, "PASS_SIGNS", signs)
+        found = [tuple(r) for r in matching.holding(docs, ["k"], "x", asked, "s").collect()]
+        assert sorted(found) == sorted(want)
+    assert matching.holding(docs, ["k"], "x", asked.where("s = 'none'"), "s").count() == 0
+    forms = spark.createDataFrame([("c1", "abab"), ("c2", "babёab"), ("c3", "ba"), ("c0", "abab")], "concept_id string, form string")
+    terms = [(x[:7],) for _, x in texts if x] + [("abab",), ("abёa",), ("xababx",), ("babё",)]
+    got = {r.term: (r.concept_id, r.tier) for r in lookup.term_match(spark.createDataFrame(terms, "term string"), forms).collect()}
+    assert (got["abab"], got["babё"], got["xababx"]) == (("c0", "exact"), ("c2", "part"), ("c0", "part"))
+    plan = lookup.term_match(docs.select(F.col("x").alias("term")), forms)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
