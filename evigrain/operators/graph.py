@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_TYPES
+from ..scratch import Steps
 
 
 def edge_key(src: Column, kind: Column, dst: Column, *props: Column) -> Column:
@@ -119,6 +120,13 @@ def ranked_experts(works: DataFrame, limit: int) -> DataFrame:
 GROUP = 2000
 
 
+def _spans(conditions: DataFrame) -> DataFrame:
+    """Conditions as intervals: id, subject, param, lo, hi."""
+    lo = F.when(F.col("op").isin("=", ">", ">=", "range"), F.col("value")).when(F.col("op") == "approx", F.col("value") - F.coalesce("value2", F.lit(0.0))).otherwise(float("-inf"))
+    hi = F.when(F.col("op").isin("=", "<", "<="), F.col("value")).when(F.col("op") == "range", F.col("value2")).when(F.col("op") == "approx", F.col("value") + F.coalesce("value2", F.lit(0.0))).otherwise(float("inf"))
+    return conditions.select("id", "subject", "param", lo.alias("lo"), hi.alias("hi"))
+
+
 def contradictions(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Pairs of conditions on one (subject, param) whose values can't both hold: subject, param, a, b.
 
@@ -126,9 +134,7 @@ def contradictions(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
     contradict each other. A pair comes once, the smaller id first. Only each subject's extreme intervals
     are compared at first: groups whose intervals share a point have no pair and never meet the join.
     """
-    lo = F.when(F.col("op").isin("=", ">", ">=", "range"), F.col("value")).when(F.col("op") == "approx", F.col("value") - F.coalesce("value2", F.lit(0.0))).otherwise(float("-inf"))
-    hi = F.when(F.col("op").isin("=", "<", "<="), F.col("value")).when(F.col("op") == "range", F.col("value2")).when(F.col("op") == "approx", F.col("value") + F.coalesce("value2", F.lit(0.0))).otherwise(float("inf"))
-    spans = conditions.select("id", "subject", "param", lo.alias("lo"), hi.alias("hi"))
+    spans = _spans(conditions)
     groups = spans.groupBy("subject", "param").agg(F.max("lo").alias("_l"), F.min("hi").alias("_h"), F.count("*").alias("_k"))
     # a large group is dealt out in blocks, so that no task has all its pairs
     groups = groups.where(F.col("_l") > F.col("_h") + tolerance).select("subject", "param", F.ceil(F.col("_k") / GROUP).cast("int").alias("_blocks"))
@@ -139,6 +145,44 @@ def contradictions(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return met.select("subject", "param", F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
+def opposed(conditions: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Conditions that others on one (subject, param) contradict, as :func:`contradictions` means it, without making pairs.
+
+    Returns subject, param, id, n_opponents, below and above: the opponent that ends lowest and the one that begins
+    highest (null where there is none on that side; ties to the smaller id). Conditions without a subject, a
+    parameter or a value oppose nothing; a range whose ends are swapped is read in order. ``id`` must be unique,
+    ``tolerance`` not negative.
+
+    Opponents are counted by their places in one order of all ends. A group of any size is spread over many tasks:
+    places are counted within each piece of the order, and on from the pieces before it.
+    """
+    lo, hi = F.least("lo", "hi"), F.greatest("lo", "hi")
+    spans = _spans(conditions).where("subject IS NOT NULL AND param IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL").withColumns({"lo": lo, "hi": hi})
+
+    def end(side: str, x: Column, order: int, point: int) -> Column:
+        return F.struct("subject", "param", F.lit(side).alias("side"), x.alias("x"), F.lit(order).alias("o"), "id", F.lit(point).alias("point"))
+
+    late = F.col("hi") + tolerance
+    # above: beginnings after this end; below: ends before this beginning
+    ends = spans.select(F.inline(F.array(end("above", F.col("lo"), 0, 1), end("above", late, 1, 0), end("below", F.col("lo"), 0, 0), end("below", late, 1, 1))))
+    order = ["x", "o", "id"]
+    group = ["subject", "param", "side"]
+    steps = Steps(conditions.sparkSession, "opposed")
+    ends = steps.write(ends.repartitionByRange(*group, *order).withColumn("piece", F.spark_partition_id()), "ends")
+    pieces = ends.groupBy(*group, "piece").agg(F.sum("point").alias("n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    extremes = spans.groupBy("subject", "param").agg(F.min_by("id", F.struct("hi", "id")).alias("below"), F.min_by("id", F.struct(-F.col("lo"), "id")).alias("above"))
+    pieces = pieces.withColumns({"start": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(whole)}).drop("n").join(extremes, ["subject", "param"])
+    own = Window.partitionBy(*group, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    asked = ends.withColumn("k", F.sum("point").over(own)).where("point = 0").join(pieces, [*group, "piece"])
+    before = F.col("start") + F.col("k")
+    n = F.when(F.col("side") == "above", F.col("all") - before).otherwise(before)
+    there = {c: F.max(F.when((F.col("side") == c) & (F.col("n") > 0), F.col(c))).alias(c) for c in ("below", "above")}
+    out = asked.withColumn("n", n).groupBy("subject", "param", "id").agg(F.sum("n").alias("n_opponents"), *there.values())
+    return out.where("n_opponents > 0")
+
+
 def revise(versions: DataFrame, edits: DataFrame, key: str = "edge_id", order: tuple[str, ...] = ("edited_at",)) -> DataFrame:
     """All versions of edited rows: each edit (key, order columns, new values) appends a row with the next version.
 

@@ -587,12 +587,24 @@ def gap_pairs(spark, d):
     return gaps.join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
 
 
+def _balances(spark, d):
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("subject"), F.lit("balance").alias("param"), F.when(F.col("s_suppkey") % 2 == 0, "<=").otherwise(">=").alias("op"), F.col("s_acctbal").alias("value"), F.lit(None).cast("double").alias("value2"))
+
+
 @query("""
 WITH c AS (SELECT s_suppkey AS id, s_nationkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN -1e308 ELSE s_acctbal END AS lo, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 1e308 END AS hi FROM supplier)
 SELECT x.subject, 'balance' AS param, x.id AS a, y.id AS b FROM c x JOIN c y ON x.subject = y.subject AND x.id < y.id WHERE x.lo > y.hi OR y.lo > x.hi""")
 def contradictions(spark, d):
-    c = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("subject"), F.lit("balance").alias("param"), F.when(F.col("s_suppkey") % 2 == 0, "<=").otherwise(">=").alias("op"), F.col("s_acctbal").alias("value"), F.lit(None).cast("double").alias("value2"))
-    return graph.contradictions(c)
+    return graph.contradictions(_balances(spark, d))
+
+
+@query("""
+WITH c AS (SELECT s_suppkey AS id, s_nationkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN -1e308 ELSE s_acctbal END AS lo, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 1e308 END AS hi FROM supplier)
+SELECT x.subject, 'balance' AS param, x.id, count(*) AS n_opponents, (list(y.id ORDER BY y.hi, y.id) FILTER (WHERE x.lo > y.hi))[1] AS below, (list(y.id ORDER BY y.lo DESC, y.id) FILTER (WHERE y.lo > x.hi))[1] AS above
+FROM c x JOIN c y ON x.subject = y.subject AND (x.lo > y.hi OR y.lo > x.hi) GROUP BY x.subject, x.id""")
+def opposed_conditions(spark, d):
+    """The conditions of ``contradictions``, each with the number of its opponents and the furthest ones."""
+    return graph.opposed(_balances(spark, d))
 
 
 @query(f"""

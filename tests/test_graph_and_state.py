@@ -227,3 +227,33 @@ def test_volumes_and_broken_members(spark, tmp_path):
 
     new = build.manifest(found, spark.createDataFrame([], "sha256 string, doc_no long"))
     assert sorted(r.path.split(f"{tmp_path.name}/")[-1] for r in new.collect()) == ["a.zip/doc0.txt", "a.zip/doc1.txt", "a.zip/doc2.txt", "a.zip/doc4.txt", "a.zip/doc5.txt", "a.zip/empty.txt", "plain.txt"]
+
+
+def test_opposed_conditions_equal_their_pairs(spark):
+    """Counts and furthest opponents against all pairs: ties, swapped ends, nulls, one group over many pieces."""
+    import random
+
+    from evigrain.operators import graph
+
+    pick = random.Random(11)
+    ops = ["=", "<", ">", "range", "approx"]
+    rows = []
+    for k in range(240):
+        a = float(pick.randrange(12))
+        op = pick.choice(ops)
+        rows.append((k, "s0" if k % 3 else f"s{k % 5}", "p", op, a, {"range": a + pick.randrange(3), "approx": 1.0}.get(op)))
+    rows += [(900, None, "p", "=", 1.0, None), (901, "s0", None, "=", 1.0, None), (902, "s0", "p", "=", None, None), (903, "s0", "p", "range", 9.0, 4.0)]
+    df = spark.createDataFrame(rows, "id long, subject string, param string, op string, value double, value2 double")
+    spans = {r.id: r for r in graph._spans(df).collect() if None not in (r.subject, r.param, r.lo, r.hi)}
+    at = {i: (min(r.lo, r.hi), max(r.lo, r.hi)) for i, r in spans.items()}
+    for tolerance in (0.0, 1.0):
+        want = {}
+        for i, (lo, hi) in at.items():
+            others = [(j, *at[j]) for j in at if spans[j].subject == spans[i].subject]
+            below = sorted((h, j) for j, _, h in others if lo > h + tolerance)
+            above = sorted((-x, j) for j, x, _ in others if x > hi + tolerance)
+            if below or above:
+                want[i] = (len(below) + len(above), below[0][1] if below else None, above[0][1] if above else None)
+        got = {r.id: (r.n_opponents, r.below, r.above) for r in graph.opposed(df, tolerance).collect()}
+        assert got == want
+    assert graph.opposed(df.where("id < 0")).count() == 0
