@@ -33,8 +33,20 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return out.select(*[F.col(c) if c in ("src", "dst", "type") else F.col(f"_r.{c}").alias(c) for c in ok.columns])
 
 
-def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
-    """One row for each id: scalars of the row that came first, unions of lists, the highest confidence."""
+def memberships(nodes: DataFrame, column: str = "source_docs", name: str = "doc_id") -> DataFrame:
+    """A list column of nodes as a table: id, ``name``, each pair once; nulls and empty lists have no row.
+
+    A node that the whole corpus names has a row for each document here, where a list would be one row of any size.
+    """
+    return nodes.select("id", F.explode(column).alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
+def merge_nodes(nodes: DataFrame, order: str, apart: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each id: scalars of the row that came first, unions of lists, the highest confidence.
+
+    Columns in ``apart`` are left out: lists that grow with the corpus belong in a table (:func:`memberships`).
+    """
+    nodes = nodes.drop(*apart)
     lists = [c for c, t in nodes.dtypes if t.startswith("array<string")]
     scalars = [c for c in nodes.columns if c not in ("id", "confidence", order, *lists)]
     union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists]

@@ -432,6 +432,21 @@ def geo_detect(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(geography.countries(c), ",").alias("countries"), geography.region(c, hint).alias("region"))
 
 
+WORD_PLACES = [(r"\bthat\w*", "Альфа", "RU"), (r"\bpour\b|\bdans\b", "Бета", "foreign"), (r"\bund\b", "Гамма", "foreign"), (r"\bwith\b", "Альфа", "RU"), (r"\blos\b", "Дельта", "RU")]
+_MARKED = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(?:{p})') THEN '{n}' END" for p, n in (("that", "Альфа"), ("(?:pour|dans)([^\\p{L}\\p{N}_]|$)", "Бета"), ("und([^\\p{L}\\p{N}_]|$)", "Гамма"), ("with([^\\p{L}\\p{N}_]|$)", "Альфа"), ("los([^\\p{L}\\p{N}_]|$)", "Дельта")))
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, source, list_filter([{_MARKED}], lambda x: x IS NOT NULL) AS c FROM documents)
+SELECT doc_id, CASE WHEN len(c) = 0 THEN '' ELSE concat_ws(',', CASE WHEN list_contains(c, 'Альфа') THEN 'Альфа' END, CASE WHEN list_contains(c, 'Бета') THEN 'Бета' END, CASE WHEN list_contains(c, 'Гамма') THEN 'Гамма' END, CASE WHEN list_contains(c, 'Дельта') THEN 'Дельта' END) END AS countries,
+  CASE WHEN list_has_any(c, ['Альфа', 'Дельта']) AND list_has_any(c, ['Бета', 'Гамма']) THEN 'global' WHEN list_has_any(c, ['Альфа', 'Дельта']) THEN 'RU' WHEN list_has_any(c, ['Бета', 'Гамма']) THEN 'foreign' WHEN source = 'src1' THEN 'RU' END AS region FROM h""")
+def text_places(spark, d):
+    """The detector of places over whole texts, with markers that occur in them."""
+    c, hint = F.col("text"), F.when(F.col("source") == "src1", "RU")
+    found = geography.countries(c, WORD_PLACES), geography.region(c, hint, WORD_PLACES)
+    return spread(t(spark, d, "documents")).select("doc_id", F.array_join(found[0], ",").alias("countries"), found[1].alias("region"))
+
+
 REGISTRY = [("c1", "that from", "thatter", None), ("c2", "les dans", "pour", ["avecs"]), ("c3", "nichts", "einer", ["und der"])]
 
 

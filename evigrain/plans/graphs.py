@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reach, shapes, triples
+from ..operators import graph, reach, shapes, triples
 from ..operators.shapes import Rule, Shape
 from ..operators.triples import Field
 from ..scratch import Steps
@@ -208,3 +208,13 @@ def linked_assertions(spark, d):
     """For every process its nearest twelve statements (here publications) within two steps."""
     nodes, edges = works(spark, d)
     return reach.linked_assertions(t(spark, d, "supplier").select(_id("supplier", "s_suppkey").alias("id")), edges, nodes.where("type = 'Publication'"))
+
+
+@query("""
+SELECT 'part:' || l_partkey AS id, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) AS name, count(DISTINCT l_orderkey) AS n_docs, CAST(min(l_orderkey) AS BIGINT) AS first_doc
+FROM lineitem GROUP BY l_partkey""")
+def node_documents(spark, d):
+    """Parts as nodes that orders name: merged without their lists, which are a table of their own."""
+    seen = t(spark, d, "lineitem").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_returnflag").alias("name"), F.array(F.col("l_orderkey").cast("string")).alias("source_docs"), F.lit(0.7).alias("confidence"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"))
+    held = graph.memberships(seen).groupBy("id").agg(F.count("*").alias("n_docs"), F.min(F.col("doc_id").cast("long")).alias("first_doc"))
+    return graph.merge_nodes(seen, "ord", apart=("source_docs",)).select("id", "name").join(held, "id")
