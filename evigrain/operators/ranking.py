@@ -333,15 +333,31 @@ def _densest(text: str, stems: list[str] | None, width: int, least: int, before:
     return int(starts[at[best]]), int(hits[best]), int(weight[best])
 
 
-def number_evidence(cited: DataFrame, texts: DataFrame, stems: DataFrame, most: int = 4, skip: int = 260) -> DataFrame:
+def best_in_documents(scored: DataFrame, cited: DataFrame, texts: DataFrame, best: int = 3) -> DataFrame:
+    """Places beside citations where more evidence may stand: query_id, doc_id, seq, origin.
+
+    Of each cited document (query_id, doc_id) the ``best`` chunks by ``scored`` (query_id, chunk_id, score; ties to the
+    smaller chunk_id) as ``inside``, and the chunks before and after them as ``beside``. ``texts``: chunk_id,
+    doc_id, seq; only these three columns move.
+    """
+    own = scored.join(texts.select("chunk_id", "doc_id", "seq"), "chunk_id").join(cited.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    found = top(own, best, [F.desc("score"), F.asc("chunk_id")], ["query_id", "doc_id"])
+    places = F.array(*[F.struct((F.col("seq") + k).alias("seq"), F.lit("beside" if k else "inside").alias("origin")) for k in (0, -1, 1)])
+    return found.select("query_id", "doc_id", F.inline(places)).groupBy("query_id", "doc_id", "seq").agg(F.max("origin").alias("origin"))
+
+
+def number_evidence(cited: DataFrame, texts: DataFrame, stems: DataFrame, most: int = 4, skip: int = 260, more: DataFrame | None = None) -> DataFrame:
     """Numeric evidence beside citations: query_id, chunk_id, rank, origin, excerpt.
 
     ``cited``: query_id, chunk_id, doc_id, seq; ``texts``: chunk_id, doc_id, seq, text; ``stems``: query_id,
     stems. Origins are what follows the first ``skip`` signs of the cited chunk itself, and the chunks before
-    and after it in its document; of each query and document the best ``most`` stay.
+    and after it in its document, and the places in ``more`` (query_id, doc_id, seq, origin), as of
+    :func:`best_in_documents` or of conditions; of each query and document the best ``most`` stay.
     """
     near = cited.select("query_id", "doc_id", F.explode(F.array(*[F.struct((F.col("seq") + k).alias("seq"), F.lit(o).alias("origin")) for k, o in ((0, "own"), (-1, "before"), (1, "after"))])).alias("n"))
-    near = near.select("query_id", "doc_id", "n.seq", "n.origin").groupBy("query_id", "doc_id", "seq").agg(F.max("origin").alias("origin"))
+    near = near.select("query_id", "doc_id", "n.seq", "n.origin")
+    near = near.unionByName(more.select("query_id", "doc_id", "seq", "origin")) if more is not None else near
+    near = near.groupBy("query_id", "doc_id", "seq").agg(F.max("origin").alias("origin"))
     met = texts.join(near, ["doc_id", "seq"]).join(small(stems), "query_id")
     met = met.withColumns({"text": F.when(F.col("origin") == "own", F.substring("text", skip + 1, 1 << 30)).otherwise(F.col("text")), "_k": F.struct("query_id", "doc_id", "chunk_id", "origin")})
     found = numeric_excerpts(met, key="_k", stems="stems", lead=60, size=360).select("_k.*", "hits", "weight", "excerpt")

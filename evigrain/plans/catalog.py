@@ -257,13 +257,37 @@ SELECT query_id, doc_id, seq, origin, CAST(row_number() OVER (PARTITION BY query
 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hits DESC, weight DESC, seq) <= 4""".replace("\\\\", "\\"))
 def number_evidence(spark, d):
     """Numbers in the second line of each document and the lines beside it."""
+    m, cited, stems = _lines(spark, d)
+    return _placed(ranking.number_evidence(cited, m, stems, skip=20))
+
+
+def _lines(spark, d):
     lines = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("_at", "text"))
     m = lines.select("doc_id", (F.col("_at") + 1).alias("seq"), F.format_string("%012d:%06d", "doc_id", F.col("_at") + 1).alias("chunk_id"), "text")
     cited = m.where("seq = 2").select((F.col("doc_id") % 3).alias("query_id"), "chunk_id", "doc_id", "seq")
-    stems = spark.createDataFrame([(q, ["the"]) for q in range(3)], "query_id long, stems array<string>")
-    out = ranking.number_evidence(cited, m, stems, skip=20)
+    return m, cited, spark.createDataFrame([(q, ["the"]) for q in range(3)], "query_id long, stems array<string>")
+
+
+def _placed(found):
     at = F.split("chunk_id", ":")
-    return out.select("query_id", at[0].cast("long").alias("doc_id"), at[1].cast("long").alias("seq"), "origin", "rank", "excerpt")
+    return found.select("query_id", at[0].cast("long").alias("doc_id"), at[1].cast("long").alias("seq"), "origin", "rank", "excerpt")
+
+
+_BESIDE = "x AS (SELECT query_id, doc_id, seq + k AS seq, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'after' ELSE 'before' END AS origin FROM c, (VALUES (-1), (0), (1)) v(k)),"
+
+
+@query(ORACLE["number_evidence"].replace(_BESIDE, """
+s AS (SELECT c.query_id, c.doc_id, m.seq FROM c JOIN m ON m.doc_id = c.doc_id WHERE contains(lower(text), 'e')
+  QUALIFY row_number() OVER (PARTITION BY c.query_id, c.doc_id ORDER BY len(regexp_extract_all(lower(text), 'e')) DESC, m.seq) <= 3),
+x AS (SELECT query_id, doc_id, seq, max(origin) AS origin FROM (
+  SELECT query_id, doc_id, seq + k AS seq, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'after' ELSE 'before' END AS origin FROM c, (VALUES (-1), (0), (1)) v(k)
+  UNION ALL SELECT query_id, doc_id, seq + k, CASE k WHEN 0 THEN 'inside' ELSE 'beside' END FROM s, (VALUES (-1), (0), (1)) v(k)) GROUP BY query_id, doc_id, seq),"""))
+def document_evidence(spark, d):
+    """Numbers beside a citation and in its document's three best lines, here those with the most e's, and beside these."""
+    m, cited, stems = _lines(spark, d)
+    scored = m.select((F.col("doc_id") % 3).alias("query_id"), "chunk_id", F.regexp_count(F.lower("text"), F.lit("e")).alias("score")).where("score > 0")
+    more = ranking.best_in_documents(scored, cited, m)
+    return _placed(ranking.number_evidence(cited, m, stems, skip=20, more=more))
 
 
 @query("""
