@@ -875,7 +875,7 @@ _A = ", ".join(f"('{c}', '{a}')" for c, a in ALIASES)
 WITH a(concept_id, alias) AS (VALUES {_A}) SELECT doc_id, concept_id, alias FROM documents JOIN a ON contains(lower(text), alias)
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) = 1""")
 def longest_alias(spark, d):
-    return lookup.longest_alias(t(spark, d, "documents"), spark.createDataFrame(ALIASES, "concept_id string, alias string"))
+    return lookup.longest_alias(spread(t(spark, d, "documents").select("doc_id", "text")), spark.createDataFrame(ALIASES, "concept_id string, alias string"))
 
 
 @query(f"""
