@@ -243,11 +243,11 @@ def fuse(kept: DataFrame, k: int = RRF_K) -> DataFrame:
     return out.withColumn("rrf", total).drop(*lists).withColumn("place", F.row_number().over(w))
 
 
-def best_per_document(ranked: DataFrame) -> DataFrame:
-    """The first chunk of each document, placed anew."""
+def best_per_document(ranked: DataFrame, anew: bool = True) -> DataFrame:
+    """The first chunk of each document, placed anew or (without ``anew``) at its place among all chunks."""
     w = Window.partitionBy("query_id", "doc_id").orderBy("place")
     out = ranked.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))) if anew else out
 
 
 def promote(ranked: DataFrame, named: Column, most: int = CITATIONS, places: int = 2, fixed: bool = False) -> DataFrame:

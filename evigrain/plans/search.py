@@ -48,9 +48,12 @@ def ranked(signalled: DataFrame) -> DataFrame:
     return ranking.fuse(signalled.where("kept"))
 
 
-def cited(signalled: DataFrame, named: Column) -> DataFrame:
-    """At most six citations a query, one for each document, named documents promoted."""
-    return ranking.promote(ranking.best_per_document(ranked(signalled)), named)
+def cited(signalled: DataFrame, named: Column, anew: bool = True) -> DataFrame:
+    """At most six citations a query, one for each document, named documents promoted.
+
+    Without ``anew`` the six places are those of all chunks, so further chunks of a document take up places.
+    """
+    return ranking.promote(ranking.best_per_document(ranked(signalled), anew), named)
 
 
 def branches(signalled: DataFrame) -> DataFrame:

@@ -89,6 +89,15 @@ def test_promotion(spark):
     assert kept == ["c1", "c2", "c3", "c6", "c9", "c11"]
 
 
+def test_citations_by_places_among_all_chunks(spark):
+    # the second chunk of d1 takes a place: at 6 places for all chunks d6 is outside, and promoted if it is named
+    r = spark.createDataFrame([(1, f"c{k}", k, f"d{max(k - 1, 1)}") for k in range(1, 9)], "query_id int, chunk_id string, place int, doc_id string")
+    rows = lambda anew, named: [(x.chunk_id, x.promoted) for x in ranking.promote(ranking.best_per_document(r, anew), named).orderBy("citation").collect()]
+    assert rows(False, F.lit(False)) == [(f"c{k}", False) for k in (1, 3, 4, 5, 6)]
+    assert rows(False, F.col("doc_id") == "d6") == [("c1", False), ("c3", False), ("c4", False), ("c5", False), ("c7", True)]
+    assert rows(True, F.lit(False)) == [(f"c{k}", False) for k in (1, 3, 4, 5, 6, 7)]
+
+
 def test_state(spark):
     seen = {(r, s): spark.range(1).select(state.may_see(F.lit(r), F.lit(s)).alias("x")).first().x for r in ("partner", "analyst") for s in ("public", "internal")}
     assert seen[("partner", "internal")] is False and all(v for k, v in seen.items() if k != ("partner", "internal"))
