@@ -50,9 +50,12 @@ FLAGS = "(?Uiu)"
 
 
 def countries(c: Column, markers: list[tuple[str, str, str]] = MARKERS) -> Column:
-    """The countries named in a text, each once, in the markers' order."""
-    hits = [F.when(c.rlike(FLAGS + p), F.lit(name)) for p, name, _ in markers]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    """The countries named in a text, each once, in the order of their first markers, whichever of them is found."""
+    by_name: dict[str, list[str]] = {}
+    for p, name, _ in markers:
+        by_name.setdefault(name, []).append(f"(?:{p})")
+    hits = [F.when(c.rlike(FLAGS + "|".join(ps)), F.lit(name)) for name, ps in by_name.items()]
+    return F.array_compact(F.array(*hits))
 
 
 def region(c: Column, hint: Column | None = None, markers: list[tuple[str, str, str]] = MARKERS) -> Column:

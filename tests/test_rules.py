@@ -105,6 +105,12 @@ def test_geography(spark, sentence, region, country):
     assert one(spark, geography.region(F.lit("описание стенда"), F.lit("RU"))) == "RU"
 
 
+def test_countries_in_the_order_of_their_first_markers(spark):
+    markers = [("one", "A", "RU"), ("two", "B", "foreign"), ("three|x+", "A", "RU")]
+    assert one(spark, geography.countries(F.lit("two, then three"), markers)) == ["A", "B"]
+    assert one(spark, geography.countries(F.lit("one, xx and three"), markers)) == ["A"]
+
+
 def test_planning(spark):
     p = one(spark, planning.plan(F.lit("сравнение отечественных и зарубежных схем за последние 8 лет, 45 мг/л"), 2030))
     assert (p.kind, p.region, p.years.year_from) == ("compare", "global", 2022)
