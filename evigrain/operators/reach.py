@@ -23,22 +23,27 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.explode(ways).alias("e")).select("e.a", "e.b")
 
 
-def bits_by_hop(edges: DataFrame, seeds: DataFrame, hops: int, small: int = SMALL) -> DataFrame:
+def bits_by_hop(edges: DataFrame, seeds: DataFrame, hops: int, small: int = SMALL, near: DataFrame | None = None) -> DataFrame:
     """Where sources arrive first: hop, id, word, bits (those that arrive at this hop and didn't before).
 
-    ``seeds``: id, word, bits. Hop 0 is the seeds. It stops early where nothing is new.
+    ``seeds``: id, word, bits. Hop 0 is the seeds. It stops early where nothing is new. With ``near`` (id, left: how
+    far from a target, each id once) a step is taken only to nodes from where a target is within the hops that remain.
     """
     steps = Steps(seeds.sparkSession, "reach")
     first = seeds.where("id IS NOT NULL").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
     state = steps.write(first.select("id", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh")), "state0")
     out = [state.select(F.lit(0).alias("hop"), "id", "word", F.col("fresh").alias("bits"))]
     ways = both_ways(edges)
+    if near is not None:
+        ends = near.select(F.col("id").alias("b"), "left")
+        ways = steps.write(ways.join(F.broadcast(ends) if ends.limit(small + 1).count() <= small else ends, "b"), "ways")
     for hop in range(1, hops + 1):
         frontier = state.where("fresh <> 0").select(F.col("id").alias("a"), "word", F.col("fresh").alias("bits"))
         count = frontier.count()
         if not count:
             break
-        met = ways.join(F.broadcast(frontier) if count <= small else frontier, "a")
+        open_ways = ways if near is None else ways.where(F.col("left") <= hops - hop)
+        met = open_ways.join(F.broadcast(frontier) if count <= small else frontier, "a")
         sent = met.select(F.col("b").alias("id"), "word", F.lit(0).cast("long").alias("seen"), "bits")
         held = state.select("id", "word", "seen", F.lit(0).cast("long").alias("bits"))
         merged = sent.unionByName(held).groupBy("id", "word").agg(F.bit_or("seen").alias("_seen"), F.bit_or("bits").alias("_sent"))
@@ -66,15 +71,24 @@ def _bit(column: str) -> Column:
     return F.expr(f"shiftleft(1L, {column})")
 
 
-def within_hops(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+def within_hops(edges: DataFrame, starts: DataFrame, hops: int, targets: DataFrame | None = None) -> DataFrame:
     """Nodes within ``hops`` steps of each start (start), whatever the edges' direction: start, id, distance.
 
     A start is at distance 0 from itself, whether it has edges or not; a repeated start counts once. A node
-    comes once for each start, at its smallest distance.
+    comes once for each start, at its smallest distance. With ``targets`` (id) only these are sought: how far nodes are
+    from any target is searched first, in one word for all, and no start goes where none is within what remains of its hops.
     """
-    known = numbered(starts)
-    known = Steps(starts.sparkSession, "numbers").write(known, "rows")
-    found = bits_by_hop(edges, known.select(F.col("start").alias("id"), "word", _bit("bit").alias("bits")), hops)
+    steps = Steps(starts.sparkSession, "numbers")
+    known = steps.write(numbered(starts), "rows")
+    near = None
+    if targets is not None:
+        targets = steps.write(targets.where("id IS NOT NULL").select("id").distinct(), "targets")
+        edges = steps.write(edges.select("src", "dst"), "edges")
+        one = F.lit(0).cast("long").alias("word"), F.lit(1).cast("long").alias("bits")
+        near = steps.write(bits_by_hop(edges, targets.select("id", *one), hops - 1).select("id", F.col("hop").alias("left")), "near")
+    found = bits_by_hop(edges, known.select(F.col("start").alias("id"), "word", _bit("bit").alias("bits")), hops, near=near)
+    if targets is not None:
+        found = found.join(targets, "id", "left_semi")
     single = found.select("hop", "id", "word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("bits", k) == 1)).alias("bit"))
     return single.join(known, ["word", "bit"]).select("start", "id", F.col("hop").alias("distance"))
 
@@ -104,7 +118,7 @@ def unevidenced(nodes: DataFrame, edges: DataFrame, pair_types: tuple[str, ...],
 
 def linked_documents(entities: DataFrame, edges: DataFrame, publications: DataFrame, hops: int = 2) -> DataFrame:
     """Documents of each entity (id, docs): its own and those of publications (id, doc_id) within ``hops`` (at most 3): id, doc_id."""
-    near = within_hops(edges, entities.select(F.col("id").alias("start")), min(max(hops, 1), 3)).where("distance > 0")
+    near = within_hops(edges, entities.select(F.col("id").alias("start")), min(max(hops, 1), 3), publications.select("id")).where("distance > 0")
     found = near.join(publications.select("id", "doc_id"), "id").select(F.col("start").alias("id"), "doc_id")
     own = entities.select("id", F.explode("docs").alias("doc_id"))
     return found.unionByName(own).where("id IS NOT NULL AND doc_id IS NOT NULL").distinct()
@@ -112,7 +126,6 @@ def linked_documents(entities: DataFrame, edges: DataFrame, publications: DataFr
 
 def linked_assertions(entities: DataFrame, edges: DataFrame, assertions: DataFrame, limit: int = 12) -> DataFrame:
     """Assertions (id) within two hops of each entity (id), the nearest first and then by id, ``limit`` at most: entity, id, distance."""
-    near = within_hops(edges, entities.select(F.col("id").alias("start")), 2).where("distance > 0")
-    found = near.join(assertions.select("id"), "id", "left_semi")
+    near = within_hops(edges, entities.select(F.col("id").alias("start")), 2, assertions.select("id")).where("distance > 0")
     place = F.row_number().over(Window.partitionBy("start").orderBy("distance", "id"))
-    return found.withColumn("_k", place).where(F.col("_k") <= limit).select(F.col("start").alias("entity"), "id", "distance")
+    return near.withColumn("_k", place).where(F.col("_k") <= limit).select(F.col("start").alias("entity"), "id", "distance")

@@ -166,3 +166,18 @@ def test_searches_from_the_other_end(spark):
         got[r.entity].append((r.id, r.distance))
     assert got == {"c": [(f"s{i:02}", 1) for i in range(5)], "t0": [("s00", 1)]}
     assert reach.near_kinds(star, said.where("id = 't0'").select("id", F.lit(63).alias("kind")), 2).where("id = 'c'").first().kinds == -(1 << 63)
+
+
+def test_search_for_targets_goes_nowhere_else(spark, monkeypatch):
+    # a hub with many leaves beside the one way from s to the target t; what lies past the target isn't sought
+    ends = [("s", "hub"), ("hub", "t"), ("t", "past"), *(("hub", f"leaf{i}") for i in range(50)), ("u", "s"), ("t", "s2")]
+    edges = spark.createDataFrame(ends, "src string, dst string")
+    starts, targets = spark.createDataFrame([("s",), ("u",), ("t",), (None,)], "start string"), spark.createDataFrame([("t",), ("t",), ("s2",), (None,)], "id string")
+    for hops in (1, 2, 3):
+        whole = {tuple(r) for r in reach.within_hops(edges, starts, hops).where("id IN ('t', 's2')").collect()}
+        assert sorted(tuple(r) for r in reach.within_hops(edges, starts, hops, targets).collect()) == sorted(whole)
+    made, bits = [], reach.bits_by_hop
+    monkeypatch.setattr(reach, "bits_by_hop", lambda *a, **k: made.append(bits(*a, **k)) or made[-1])
+    docs = spark.createDataFrame([("t", 7)], "id string, doc_id long")
+    assert [tuple(r) for r in reach.linked_documents(spark.createDataFrame([("s", [])], "id string, docs array<long>"), edges, docs).collect()] == [("s", 7)]
+    assert sorted(r.id for r in made[-1].collect()) == ["hub", "s", "t"]
