@@ -47,6 +47,17 @@ def test_few_pairs_are_compared_where_vectors_cluster(spark):
     assert sum(r.compared for r in got) < 0.1 * 4000 * 4000
 
 
+def test_vectors_without_structure_are_not_copied_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=48).tolist()) for i in range(1500)]
+    table = spark.createDataFrame([(i, v, 0, 0) for i, v in vectors], SCHEMA)
+    written, write = [], angles.Steps.write
+    monkeypatch.setattr(angles.Steps, "write", lambda *a: written.append(write(*a)) or written[-1])
+    got = angles.nearest_within(table, table, 0.3, other=True).collect()
+    assert {r.id: r.found for r in got} == plain(vectors, vectors, 0.3, True)
+    assert sum(w.count() for w in written) <= 2 * len(vectors)
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     some = spark.createDataFrame([(1, [1.0, 0.0], 0, 0)], SCHEMA)
