@@ -21,11 +21,11 @@ def payload(raw: Column) -> Column:
     return F.from_json(repaired(raw), PAYLOAD)
 
 
-def problem(raw: Column) -> Column:
-    """Why an answer can't be used: ``empty``, ``not json``, ``incomplete``; null if it can."""
-    x = payload(raw)
+def problem(raw: Column, json: Column | None = None, x: Column | None = None) -> Column:
+    """Why an answer can't be used: ``empty``, ``not json``, ``incomplete``; null if it can. ``json`` and ``x``: the repaired and the read answer, where they are known."""
+    json, x = repaired(raw) if json is None else json, payload(raw) if x is None else x
     missing = x["entities"].isNull() & x["assertions"].isNull() & x["conditions"].isNull()
-    return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "empty").when(repaired(raw).isNull(), "not json").when(missing, "incomplete")
+    return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "empty").when(json.isNull(), "not json").when(missing, "incomplete")
 
 
 def coerced(value: Column) -> Column:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import holding
 from ..functions.paths import metadata
-from ..functions.payloads import coerced, confidence, payload, problem
+from ..functions.payloads import coerced, confidence, problem, repaired
 from ..functions.text import fold, grounded, slug
 from ..functions.units import canonical_unit, canonical_value
 from ..operators import chunking, graph, state
 from ..operators.ranking import small
-from ..schemas import NODE_PREFIXES
+from ..schemas import NODE_PREFIXES, PAYLOAD
+from ..scratch import Steps
 from ..sources import files as sources
+from ..sources.tables import spread
 
 
 def manifest(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -43,9 +45,12 @@ def payload_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     """Nodes, edges and rejected rows of model answers (chunk_id, doc_id, text, payload).
 
     Entities become nodes; relations become edges where both ends are entities of the same chunk; assertions
-    become nodes where their quote stands in the chunk; conditions become nodes with canonical values.
+    become nodes where their quote stands in the chunk; conditions become nodes with canonical values. An answer is
+    read once, on all cores, and written: each kind of row is taken from there.
     """
-    rows = extractions.withColumns({"x": payload(F.col("payload")), "problem": problem(F.col("payload"))})
+    rows = spread(extractions).withColumn("_json", repaired(F.col("payload"))).withColumn("x", F.from_json("_json", PAYLOAD))
+    rows = rows.select("chunk_id", "doc_id", "text", "x", problem(F.col("payload"), F.col("_json"), F.col("x")).alias("problem"))
+    rows = Steps(extractions.sparkSession, "payloads").write(rows, "rows")
     bad = rows.where("problem is not null").select("chunk_id", "problem")
     ok = rows.where("problem is null").select("chunk_id", "doc_id", "text", "x")
     e = ok.select("chunk_id", "doc_id", F.explode("x.entities").alias("e")).where(F.length(F.trim("e.name")) > 0)

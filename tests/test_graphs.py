@@ -181,3 +181,12 @@ def test_search_for_targets_goes_nowhere_else(spark, monkeypatch):
     docs = spark.createDataFrame([("t", 7)], "id string, doc_id long")
     assert [tuple(r) for r in reach.linked_documents(spark.createDataFrame([("s", [])], "id string, docs array<long>"), edges, docs).collect()] == [("s", 7)]
     assert sorted(r.id for r in made[-1].collect()) == ["hub", "s", "t"]
+
+
+def test_answers_are_read_once(spark):
+    from evigrain.plans import build
+
+    raw = '```json\n{"entities": [{"name": "a", "type": "Material"}, {"name": "b", "type": "Process"}], "relations": [{"src": "b", "dst": "a", "type": "uses_material"}]}\n```'
+    nodes, edges, bad = build.payload_graph(spark.createDataFrame([("1", "d", "", raw), ("2", "d", "", "no")], "chunk_id string, doc_id string, text string, payload string"))
+    assert (nodes.count(), edges.count(), [tuple(r) for r in bad.collect()]) == (2, 1, [("2", "not json")])
+    assert all("from_json" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (nodes, edges, bad))
