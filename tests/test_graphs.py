@@ -190,3 +190,12 @@ def test_answers_are_read_once(spark):
     nodes, edges, bad = build.payload_graph(spark.createDataFrame([("1", "d", "", raw), ("2", "d", "", "no")], "chunk_id string, doc_id string, text string, payload string"))
     assert (nodes.count(), edges.count(), [tuple(r) for r in bad.collect()]) == (2, 1, [("2", "not json")])
     assert all("from_json" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (nodes, edges, bad))
+
+
+def test_repeated_texts_keep_their_own_conditions(spark):
+    from evigrain.operators import conditions
+
+    texts = ["не более 5 мм; около 7 %", "без чисел 3", "от 1 до 2 мм"]
+    rows = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)], "id long, text string").repartition(2)
+    got = sorted((r.id, r.start, r.op, r.value) for r in conditions.extract_conditions(rows).collect())
+    assert got == sorted((i, x[5], x[1], x[2]) for i in range(60) for x in conditions.find_conditions(texts[i % 3]))
