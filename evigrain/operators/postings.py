@@ -25,6 +25,8 @@ from .ranking import LISTED_TERMS, query_terms, small, top
 
 WINDOW = 128
 BUCKETS = 16
+#: Documents whose blocks of one bucket one task sorts and writes.
+DEALT = 50_000
 #: Blocks of each term whose scores make the floor.
 FIRST = 4
 _PEAK = "struct<tf:int,length:int>"
@@ -95,11 +97,14 @@ def _blocks(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return work
 
 
-def _write(blocks: DataFrame, folder: str, buckets: int) -> None:
-    """Writes a segment, then the note that makes it one: a segment without its note is not read."""
-    segment = uuid.uuid4().hex
+def _write(blocks: DataFrame, folder: str, buckets: int, docs: int) -> None:
+    """Writes a segment, then the note that makes it one: a segment without its note is not read.
+
+    A bucket has a file, sorted by term, for every ``DEALT`` documents: what a task sorts doesn't grow with the corpus.
+    """
+    segment, files = uuid.uuid4().hex, -(-docs // DEALT) or 1
     dealt = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{folder}/blocks/segment={segment}")
+    dealt.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("window"), F.lit(files))).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{folder}/blocks/segment={segment}")
     spark = blocks.sparkSession
     every = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks/segment={segment}").where("term = ''").select("term", "docs", "tfs", "lengths")
     note = _postings(every).agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
@@ -118,7 +123,7 @@ def add(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", a
     Arrow batch of terms.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), analyse(F.coalesce(text, F.lit(""))).alias("terms"))
-    _write(rows.mapInArrow(_blocks(window), _BLOCK), folder, buckets)
+    _write(rows.mapInArrow(_blocks(window), _BLOCK), folder, buckets, rows.count())
 
 
 def blocks(spark: SparkSession, folder: str, known: list[str] | None = None) -> DataFrame:
@@ -153,7 +158,7 @@ def merge(spark: SparkSession, folder: str, into: str, window: int = WINDOW, buc
         return pa.table({"term": [key[0].as_py()], "window": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([len(docs)], pa.int32()), "peaks": pa.array([peaks(tfs, lengths)], kind), "docs": [deltas(docs)], "tfs": [packed(tfs)], "lengths": [packed(lengths)]})
 
     made = moved.select("term", F.col("_new").alias("window"), "docs", "tfs", "lengths").groupBy("term", "window").applyInArrow(joined, _BLOCK)
-    _write(made, into, buckets)
+    _write(made, into, buckets, sum(n for _, n, _ in segments(spark, folder)))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
