@@ -23,11 +23,16 @@ def canonical_props(props: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(props))))
 
 
-def clean_edges(edges: DataFrame) -> DataFrame:
-    """Edges without self-loops and empty ends, unknown types as ``related``, one for each (src, dst, type, props)."""
+def clean_edges(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges without self-loops and empty ends, unknown types as ``related``, one for each (src, dst, type, props).
+
+    With ``tasks`` the edges are dealt to so many by their ends before they are grouped: for edges that seldom repeat, where
+    grouping in each task first would only hold them.
+    """
     known = F.when(F.col("type").isin(*EDGE_TYPES), F.col("type")).otherwise("related")
     ok = edges.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).withColumn("type", known)
     others = [c for c in ok.columns if c not in ("src", "dst", "type")]
+    ok = ok.repartition(tasks, "src", "dst", "type") if tasks else ok
     first = F.min_by(F.struct(*others), F.coalesce("edge_id", F.lit(""))).alias("_r")
     out = ok.groupBy("src", "dst", "type", canonical_props(F.col("props")).alias("_props")).agg(first)
     return out.select(*[F.col(c) if c in ("src", "dst", "type") else F.col(f"_r.{c}").alias(c) for c in ok.columns])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task groups at once where rows are dealt out by their number.
+ROWS = 500_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder."""
@@ -22,3 +27,8 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int = ROWS) -> int:
+    """As many tasks as ``rows`` need, so that none has many more than ``each``; one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, ceil(rows / each))

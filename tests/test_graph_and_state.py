@@ -266,3 +266,17 @@ def test_opposed_conditions_equal_their_pairs(spark):
         got = {r.id: (r.n_opponents, r.below, r.above) for r in graph.opposed(df, tolerance).collect()}
         assert got == want
     assert graph.opposed(df.where("id < 0")).count() == 0
+
+
+def test_tasks_grow_with_the_edges(spark, monkeypatch):
+    from evigrain.plans import catalog
+    from evigrain.sources.tables import ROWS, tasks_for
+
+    assert tasks_for(spark, 9 * ROWS + 1) == 10 and tasks_for(spark, 0) == spark.sparkContext.defaultParallelism
+    rows = [(f"a{i % 50}", f"b{i % 30}", "about", {}, f"e{i:04}") for i in range(400)]
+    raw = spark.createDataFrame(rows, "src string, dst string, type string, props map<string,string>, edge_id string")
+    dealt = graph.clean_edges(raw, 9)
+    assert dealt.rdd.getNumPartitions() == 9
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, graph.clean_edges(raw).collect()))
+    monkeypatch.setattr(catalog, "tasks_for", lambda spark, rows: 23)
+    assert catalog.all_edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 23
