@@ -99,12 +99,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Edges at each node, either way: id, degree."""
-    return undirected(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among ``nodes`` (id)."""
+def induced(edges: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
+    """Edges with both ends among ``nodes`` (id); if these are ``few`` the edges stay where they are."""
     ids = nodes.select("id").distinct()
+    ids = F.broadcast(ids) if few else ids
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
@@ -112,14 +113,14 @@ def overview(nodes: DataFrame, edges: DataFrame, limit: int, leaves: tuple[str,
     """The ``limit`` nodes of the highest degree, without ``leaves`` types, and the edges among them."""
     wide = nodes.where(~F.col("type").isin(*leaves)) if leaves else nodes
     anchors = wide.join(degrees(edges), "id").orderBy(F.desc("degree"), "id").limit(limit)
-    return anchors, induced(edges, anchors)
+    return anchors, induced(edges, anchors, few=True)
 
 
 def capped(subgraph: DataFrame, edges: DataFrame, most: int = 60) -> tuple[DataFrame, DataFrame]:
     """A subgraph (id, anchor) cut to ``most`` nodes, anchors first, then by degree; and the edges left."""
     kept = subgraph.join(degrees(induced(edges, subgraph)), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     kept = kept.orderBy(F.desc(F.col("anchor").cast("int")), F.desc("degree"), "id").limit(most)
-    return kept, induced(edges, kept)
+    return kept, induced(edges, kept, few=True)
 
 
 def visible(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -280,3 +280,8 @@ def test_tasks_grow_with_the_edges(spark, monkeypatch):
     assert sorted(map(repr, dealt.collect())) == sorted(map(repr, graph.clean_edges(raw).collect()))
     monkeypatch.setattr(catalog, "tasks_for", lambda spark, rows: 23)
     assert catalog.all_edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 23
+
+
+def test_degrees_count_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", "b")], "src string, dst string")
+    assert {tuple(r) for r in graph.degrees(edges).collect()} == {("a", 4), ("b", 3), ("c", 1)}
