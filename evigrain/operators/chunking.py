@@ -133,6 +133,30 @@ def strip_repeated(pages: DataFrame) -> DataFrame:
 
 
 _CHUNK = pa.struct([("text", pa.string()), ("page_from", pa.int32()), ("page_to", pa.int32()), ("section_title", pa.string())])
+#: Signs of chunks that go back to Spark together.
+BATCH = 1 << 20
+
+
+def _chunk_rows(keys: list[str | None], own: list[list[dict]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(keys, pa.string()), pa.array(own, pa.list_(_CHUNK))], ["doc_id", "chunks"])
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], sizes: Sizes = Sizes()) -> Iterator[pa.RecordBatch]:
+    """Batches of documents (doc_id, pages) to batches of their chunks, a document at a time.
+
+    A batch has thousands of documents, and their texts as Python objects would take many times its size.
+    """
+    for b in batches:
+        keys, own, size = [], [], 0
+        for key, doc in zip(b.column(0), b.column(1), strict=True):
+            found = chunks([(p["page_no"], x["text"], x["title"]) for p in doc.as_py() for x in p["blocks"]], sizes)
+            keys.append(key.as_py())
+            own.append([dict(zip(("text", "page_from", "page_to", "section_title"), c, strict=True)) for c in found])
+            size += sum(len(c[0]) for c in found)
+            if size >= BATCH:
+                yield _chunk_rows(keys, own)
+                keys, own, size = [], [], 0
+        yield _chunk_rows(keys, own)
 
 
 def chunk_documents(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
@@ -143,13 +167,7 @@ def chunk_documents(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     found = pages.select("doc_id", "page_no", blocks(F.col("text"), sizes.heading).alias("blocks"))
     docs = found.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page_no", "blocks"))).alias("pages"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [chunks([(p["page_no"], x["text"], x["title"]) for p in doc for x in p["blocks"]], sizes) for doc in b.column(1).to_pylist()]
-            rows = [[dict(zip(("text", "page_from", "page_to", "section_title"), c, strict=True)) for c in doc] for doc in own]
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(_CHUNK))], ["doc_id", "chunks"])
-
-    made = docs.mapInArrow(work, "doc_id string, chunks array<struct<text string, page_from int, page_to int, section_title string>>")
+    made = docs.mapInArrow(lambda batches: chunk_batches(batches, sizes), "doc_id string, chunks array<struct<text string, page_from int, page_to int, section_title string>>")
     kept = made.select("doc_id", F.posexplode(F.filter("chunks", lambda c: ~contents_page(c["text"]))).alias("seq", "c"))
     text = F.col("c.text")
     return kept.select(F.format_string("%s_c%04d", "doc_id", "seq").alias("chunk_id"), "doc_id", "seq", text.alias("text"), token_estimate(text).alias("n_tokens"), "c.page_from", "c.page_to", script_language(text).alias("lang"), "c.section_title")

@@ -217,3 +217,20 @@ def test_strings_in_texts(spark, monkeypatch):
     assert (got["abab"], got["babё"], got["xababx"]) == (("c0", "exact"), ("c2", "part"), ("c0", "part"))
     plan = lookup.term_match(docs.select(F.col("x").alias("term")), forms)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_chunks_leave_in_small_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = pa.struct([("page_no", pa.int32()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("title", pa.string())])))])
+    docs = [[{"page_no": 1, "blocks": [{"text": f"{k} {j} " + "word " * 600, "title": None} for j in range(20)]}] for k in range(400)]
+    batch = pa.record_batch([pa.array([str(k) for k in range(400)]), pa.array(docs, pa.list_(page))], ["doc_id", "pages"])
+    del docs
+    tracemalloc.start()
+    made = [(b.num_rows, b.column(0).to_pylist()) for b in chunking.chunk_batches(iter([batch]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for _, keys in made for k in keys] == [str(k) for k in range(400)]
+    assert max(n for n, _ in made) < 60 and most < batch.nbytes / 2
