@@ -16,20 +16,20 @@ bitmaps (parities of hashed shingles, so two bitmaps differ in no more bits than
 No bound ever parts a true pair.
 
 Equal sets are collapsed before all this, so exact copies cost one row. No key gathers its rows in one task: a
-class of very many copies and a vertex of very many links meet their rows by a broadcast of such keys alone
-(each has a stated share of all rows, so they are few), a centre's full set by blocks of its links; empty sets
-take no part in any join.
+class of very many copies meets its rows by a broadcast of such keys alone (each has a stated share of all rows,
+so they are few), a vertex's least neighbour is looked up in arrays where its links lie, a centre's full set meets
+by blocks of its links; empty sets take no part in any join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import _store
@@ -52,6 +52,8 @@ MOST_SLOTS = 1 << 26
 FLUSH = 1 << 21
 GROUP = 2000
 HOT = 10_000
+ARRAY_LINKS = 1 << 20
+LEAST_SHARDS = 8
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
 
 
@@ -331,30 +333,80 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
+def _both(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([u, v]), np.concatenate([v, u])
+
+
+def _combined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each ``u`` once, in order, with its least ``v``."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    at = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    return u[at], v[at]
+
+
+def _least(links: DataFrame, step: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], shards: int, folder: str) -> list[str]:
+    """Each ``u`` of the links that ``step`` makes of a batch (u, v), with its least ``v``, as arrays dealt by remainder; returns the files.
+
+    A batch's links are combined before they move, so a vertex of very many links is a row a batch.
+    """
+
+    def combine_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = _combined(*step(b.column(0).to_numpy(), b.column(1).to_numpy()))
+            yield pa.record_batch([pa.array(u % shards), pa.array(u), pa.array(v)], ["shard", "u", "v"])
+
+    def write(key: tuple, part: pa.Table) -> pa.Table:
+        u, v = _combined(part["u"].to_numpy(), part["v"].to_numpy())
+        return pa.table({"shard": [key[0].as_py()], "path": [_store.write_arrays(folder, f"s{key[0].as_py()}", {"id": u, "least": v})]})
+
+    made = links.select("u", "v").mapInArrow(lean(combine_batch), "shard long, u long, v long").groupBy("shard").applyInArrow(write, "shard long, path string")
+    files = dict(made.collect())  # a row for each shard
+    return [files.get(i, "") for i in range(shards)]
+
+
+def _large(files: list[str]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The large star: larger neighbours of each vertex are linked to the least of it and its neighbours."""
+
+    def step(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = _both(u, v)
+        u, v = u[v > u], v[v > u]
+        least = np.minimum(_among(u, files, "least")[1], u)
+        return v, least  # the least is never the larger end itself
+
+    return step
+
+
 def components(edges: DataFrame, store: _store.Store, name: str) -> DataFrame:
     """Connected components of links (a, b): id, root (the smallest id). Only linked ids have a row.
 
-    Alternates the large and the small star, each an aggregation and a join written to the shared folder,
-    until a round changes nothing. Links stay distributed; the driver sees two numbers a round.
+    Alternates the large and the small star until a round changes nothing. Least neighbours are written as arrays and
+    probed where the links lie, so links of one vertex stay dealt out, and a round has three exchanges: a driver keeps
+    threads, plans and tasks of each. The driver sees the arrays' names and two numbers a round.
     """
-    now = store.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-0")
+    shape = "u long, v long"
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def written(df: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = store.table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), f"{name}-{k}")
+        return out, (seen.get["n"], seen.get["sum"])
 
-    def ends(u: str, v: str):
-        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-
-    before = mark(now)
+    now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), 0)
     for k in count(1):
-        share = _share(2 * before[0])
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
-        large = _joined(both.where("v > u"), least, ["u"], share).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-        small = _joined(large, least, ["u"], share).select(F.inline(F.array(ends("v", "m"), ends("u", "m")))).where("u > v").distinct()
-        now = store.table(small, f"{name}-{k}")
-        after = mark(now)
+        if not before[0]:
+            break
+        shards, folder = _store.cut(before[0], ARRAY_LINKS, LEAST_SHARDS), f"{store.uri}/{name}-least"
+        large = _large(_least(now, _both, shards, folder))
+        files = _least(now, large, shards, folder)
+
+        def small(batches: Iterator[pa.RecordBatch], large=large, files=files) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, v = large(b.column(0).to_numpy(), b.column(1).to_numpy())
+                least = _among(u, files, "least")[1]
+                u, v = np.concatenate([u, v]), np.concatenate([least, least])
+                yield pa.record_batch([pa.array(u[u > v]), pa.array(v[u > v])], ["u", "v"])
+
+        now, after = written(now.select("u", "v").mapInArrow(lean(small), shape).distinct(), k)
         if after == before:
             break
         before = after
@@ -406,7 +458,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     at = at.join(mixed, "key")
     rest = store.table(_missed(store.table(at, "in-question"), sets, bits, store, percent), "rest")
     more = store.table(_confirm(rest, sets, percent), "links-1")
-    roots = components(links.union(more), store, "roots-1") if more.limit(1).count() else roots
+    # what is known is a star for each component already
+    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), store, "roots-1") if more.limit(1).count() else roots
     # a row of ``found`` for each class, for its documents; documents of hot classes stay where they lie
     found = classes.select("h1", "h2", "id", "k").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"), "k")
     found = store.table(found, "found")

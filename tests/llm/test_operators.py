@@ -364,6 +364,21 @@ def test_minhash_hot_keys(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, links.join(one.drop("k"), "u").collect()))
 
 
+def test_minhash_components_take_few_exchanges(spark, monkeypatch):
+    # a hub of many links, a chain, a pair; the driver keeps threads and tasks of every exchange
+    monkeypatch.setattr(minhash, "ARRAY_LINKS", 10)
+    pairs = [*((-7, i) for i in range(100, 160)), *((i, i + 1) for i in range(20)), (900, 901), (901, 900), (901, 901)]
+    from evigrain.llm import _store
+
+    plans, table = [], _store.Store.table
+    monkeypatch.setattr(_store.Store, "table", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, name))
+    store = _store.Store(spark, "test")
+    got = minhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(3), store, "roots").collect()
+    assert sorted(map(tuple, got)) == sorted([(-7, -7), *((i, -7) for i in range(100, 160)), *((i, 0) for i in range(21)), (900, 900), (901, 900)])
+    assert plans and all("Join" not in p and p.count("Exchange") <= 2 for p in plans)  # the first has the repartition of this test
+    assert minhash.components(spark.createDataFrame([(5, 5)], "a long, b long"), store, "none").collect() == []
+
+
 def test_minhash_prefixes_part_no_pair_that_is_alike(spark, docs, rows):
     """The filter alone, over all documents as components of their own, against all pairs."""
     from evigrain.llm import _store
