@@ -124,8 +124,33 @@ def linked_documents(entities: DataFrame, edges: DataFrame, publications: DataFr
     return found.unionByName(own).where("id IS NOT NULL AND doc_id IS NOT NULL").distinct()
 
 
+def nearest(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int, limit: int, small: int = SMALL) -> DataFrame:
+    """Of each start (id) the ``limit`` targets (id) nearest within ``hops``, whatever the edges' direction: id, target, distance.
+
+    By distance and then by id; a start that is a target is its own at distance 0. Lists of so many targets go from the
+    targets along the edges: what is among a node's nearest is among those of the neighbour before it, so a node never
+    holds or sends more, and pairs of starts and targets beyond the list are never made. A task's rows of a node are cut to the nearest before they move.
+    """
+    steps = Steps(starts.sparkSession, "nearest")
+    few = lambda df: F.broadcast(df) if df.limit(small + 1).count() <= small else df
+    starts = few(steps.write(starts.where("id IS NOT NULL").select("id").distinct(), "starts"))
+    ways = both_ways(steps.write(edges.select("src", "dst"), "edges"))
+    found = steps.write(targets.where("id IS NOT NULL").select("id").distinct(), "targets").select("id", F.col("id").alias("target"), F.lit(0).alias("distance"))
+    for hop in range(1, hops + 1):
+        own, steps_on = found, ways
+        if hop == hops:  # only the starts' lists are wanted
+            own, steps_on = found.join(starts, "id", "left_semi"), ways.join(starts.select(F.col("id").alias("b")), "b", "left_semi")
+        sent = steps_on.join(few(found.withColumnRenamed("id", "a")), "a").select(F.col("b").alias("id"), "target", (F.col("distance") + 1).alias("distance"))
+        by = Window.partitionBy("id").orderBy("distance", "target")
+        # a target comes at up to hop + 1 distances; equal rows share a rank
+        near = sent.unionByName(own).withColumn("_k", F.dense_rank().over(by)).where(F.col("_k") <= (hop + 1) * limit)
+        near = near.groupBy("id", "target").agg(F.min("distance").alias("distance"))
+        found = steps.write(near.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= limit).drop("_k"), f"near{hop}")
+    return found
+
+
 def linked_assertions(entities: DataFrame, edges: DataFrame, assertions: DataFrame, limit: int = 12) -> DataFrame:
     """Assertions (id) within two hops of each entity (id), the nearest first and then by id, ``limit`` at most: entity, id, distance."""
-    near = within_hops(edges, entities.select(F.col("id").alias("start")), 2, assertions.select("id")).where("distance > 0")
-    place = F.row_number().over(Window.partitionBy("start").orderBy("distance", "id"))
-    return near.withColumn("_k", place).where(F.col("_k") <= limit).select(F.col("start").alias("entity"), "id", "distance")
+    near = nearest(edges, entities, assertions, 2, limit + 1).where("distance > 0")  # one more: an entity may be an assertion
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "target"))
+    return near.withColumn("_k", place).where(F.col("_k") <= limit).select(F.col("id").alias("entity"), F.col("target").alias("id"), "distance")

@@ -168,6 +168,26 @@ def test_searches_from_the_other_end(spark):
     assert reach.near_kinds(star, said.where("id = 't0'").select("id", F.lit(63).alias("kind")), 2).where("id = 'c'").first().kinds == -(1 << 63)
 
 
+def test_nearest_assertions_make_no_pairs_beyond_the_list(spark, monkeypatch):
+    # 40 entities and 60 assertions around a hub (2,400 pairs), and a random graph; one of the assertions is an entity
+    rnd = random.Random(11)
+    hub = [*((f"e{i:02}", "hub") for i in range(40)), *(("hub", f"t{i:02}") for i in range(60)), ("e00", "t59"), ("t59", "e00"), ("e01", "e01"), (None, "e02")]
+    loose = [(f"n{rnd.randrange(50)}", f"n{rnd.randrange(50)}") for _ in range(150)]
+    said = [f"t{i:02}" for i in range(60)] + [f"n{i}" for i in range(0, 50, 3)] + ["e03"]
+    asked = [f"e{i:02}" for i in range(40)] + [f"n{i}" for i in range(50)]
+    table = spark.createDataFrame([*hub, *loose], "src string, dst string").repartition(3)
+    ids = lambda x: spark.createDataFrame([(i,) for i in [*x, x[0], None]], "id string")
+    want = set()
+    hops = plain_hops([e for e in [*hub, *loose] if None not in e], asked, 2)
+    for a in asked:
+        want |= {(a, t, d) for d, t in sorted((d, t) for s, t, d in hops if s == a and d and t in said)[:4]}
+    monkeypatch.setattr(reach, "within_hops", None)  # it makes a row for each pair
+    for small in (0, 500_000):
+        near = reach.nearest(table, ids(asked), ids(said), 2, 5, small)
+        assert near.count() <= 5 * len(asked) and near.groupBy("id").count().agg(F.max("count")).first()[0] == 5
+    assert {tuple(r) for r in reach.linked_assertions(ids(asked), table, ids(said), 4).collect()} == want
+
+
 def test_search_for_targets_goes_nowhere_else(spark, monkeypatch):
     # a hub with many leaves beside the one way from s to the target t; what lies past the target isn't sought
     ends = [("s", "hub"), ("hub", "t"), ("t", "past"), *(("hub", f"leaf{i}") for i in range(50)), ("u", "s"), ("t", "s2")]
