@@ -62,7 +62,8 @@ def _name(kind: str, key: Column) -> Column:
 
 
 def _exploded(df: DataFrame, *arrays: Column) -> DataFrame:
-    return df.select(F.explode(F.array_compact(F.concat(*arrays))).alias("x")).select("x.*")
+    # nulls go after the explode: array_compact is a lambda, which is interpreted
+    return df.select(F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("x")).where("x IS NOT NULL").select("x.*")
 
 
 def node_triples(nodes: DataFrame, fields: list[Field], lists: tuple[Field, ...] = ()) -> DataFrame:

@@ -226,3 +226,15 @@ def test_report_checks_once(spark):
     told = shapes.report(shapes.check(rows, [Shape("a", "A", (Rule("to", 1),))]))
     assert "bit_or(" not in told._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.path, r.subjects, r.results, r.examples) for r in told.collect()] == [("to", 1, 1, "node/a")]
+
+
+def test_triples_are_made_by_compiled_expressions(spark):
+    # lambdas are interpreted for every row; rows that break nothing are filtered before the arrays of broken rules
+    edges = spark.createDataFrame([("e", "a", "b", "t", 0.5, None), ("f", "a", "c", "t", None, "m")], "edge_id string, src string, dst string, type string, confidence double, method string")
+    facts = triples.fact_triples(edges, [Field("confidence", "confidence", "double"), Field("method", "method")], {"type", "confidence", "method"})
+    assert "lambda" not in facts._jdf.queryExecution().optimizedPlan().toString()
+    want = [("fact/e", "confidence", "0.5", "double"), ("fact/e", "type", "Fact", "class"), ("fact/f", "method", "m", "string"), ("fact/f", "type", "Fact", "class")]
+    assert sorted(map(tuple, facts.collect())) == want
+    found = shapes.check(facts, [Shape("fact", "Fact", (Rule("method", 1, one_of=("x",)), Rule("confidence", 1, 1, high=0.2)))])
+    got = sorted((r.focus, r.path, r.message, r.n, r.value) for r in found.collect())
+    assert got == [("fact/e", "confidence", "at most 0.2", 1, "0.5"), ("fact/e", "method", "at least 1", 0, None), ("fact/f", "confidence", "at least 1", 0, None), ("fact/f", "method", "one of x", 1, "m")]
