@@ -16,6 +16,8 @@ BASE = "https://example.org/evidence/"
 RDF, RDFS, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#"
 #: Short names that other vocabularies define.
 COMMON = {"type": RDF + "type", "predicate": RDF + "predicate", "label": RDFS + "label"}
+#: Columns whose values are numbers as they are; the text of others (a float has fewer digits than its double) is read.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "double")
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -31,20 +33,35 @@ class Field:
     kind: str = "string"
     type: str | None = None
 
-    def triple(self, subject: Column, columns: dict[str, str]) -> Column:
+    def said(self, columns: dict[str, str]) -> tuple[Column, Column, Column, Column]:
+        """Whether there is a value, the value as text, its kind, and its number (null for text that is none)."""
         own = columns.get(self.column)
         value = F.col(self.column) if own else F.col("props")[self.column]
-        text = value.cast("string")
-        number, plain = F.lit(True), text
-        if self.kind != "string":
-            if own in (None, "string"):
-                number = text.rlike(_NUMBER)
-            kind = "double" if self.kind == "double" else "long"
-            if kind == "long":
-                number = number & (text.try_cast("double") == F.floor(text.try_cast("double")))
-            plain = F.when(number, text.try_cast("double").cast(kind).cast("string")).otherwise(text)
-        there = value.isNotNull() & (text != "") & ((F.col("type") == self.type) if self.type else F.lit(True))
-        return F.when(there, _triple(subject, self.name, plain, F.when(number, self.kind).otherwise("string")))
+        there, kind = value.isNotNull(), "double" if self.kind == "double" else "long"
+        if own in _NUMBERS and self.kind != "string":
+            number = value.cast("double")
+            whole = (number == F.floor(number)) if kind == "long" and own == "double" else F.lit(True)
+            text = number.cast(kind).cast("string") if own == "double" or kind == "double" else value.cast(kind).cast("string")
+            plain = F.when(whole, text).otherwise(value.cast("string")) if kind == "long" else text
+        else:
+            text = value.cast("string")
+            there, number, whole, plain = there & (text != ""), text.try_cast("double"), F.lit(True), text
+            if self.kind != "string":
+                whole = text.rlike(_NUMBER)
+                if kind == "long":
+                    whole = whole & (number == F.floor(number))
+                plain = F.when(whole, number.cast(kind).cast("string")).otherwise(text)
+        there = there & (F.col("type") == self.type) if self.type else there
+        return there, plain, F.when(whole, self.kind).otherwise("string"), number
+
+    def triple(self, subject: Column, columns: dict[str, str]) -> Column:
+        there, plain, kind, _ = self.said(columns)
+        return F.when(there, _triple(subject, self.name, plain, kind))
+
+    def value(self, columns: dict[str, str]) -> Column:
+        """The value without its subject: there, o, kind, number. Each part is of its own, so that a rule makes no more than it compares."""
+        there, plain, kind, number = self.said(columns)
+        return F.struct(F.coalesce(there, F.lit(False)).alias("there"), plain.alias("o"), kind.alias("kind"), number.alias("number"))
 
 
 def _triple(s: Column, p: str | Column, o: Column, kind: str | Column) -> Column:
@@ -57,7 +74,8 @@ def percent(text: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def _name(kind: str, key: Column) -> Column:
+def named(kind: str, key: Column) -> Column:
+    """The subject of a node or fact."""
     return F.concat(F.lit(f"{kind}/"), percent(key))
 
 
@@ -72,7 +90,7 @@ def node_triples(nodes: DataFrame, fields: list[Field], lists: tuple[Field, ...]
     Nodes without an id make none; a null type makes no class. Nulls and empty texts make no triple.
     """
     rows, columns = nodes.where(F.coalesce("id", F.lit("")) != ""), dict(nodes.dtypes)
-    rows, s = rows.withColumn("_s", _name("node", F.col("id"))), F.col("_s")
+    rows, s = rows.withColumn("_s", named("node", F.col("id"))), F.col("_s")
     plain = F.array(F.when(F.col("type").isNotNull(), _triple(s, "type", F.col("type"), "class")), *[f.triple(s, columns) for f in fields])
 
     def each(f: Field) -> Column:
@@ -82,10 +100,19 @@ def node_triples(nodes: DataFrame, fields: list[Field], lists: tuple[Field, ...]
     return _exploded(rows, plain, *many)
 
 
+def described(rows: DataFrame, fields: list[Field], links: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes or facts with all they say in one row: id, type, a column (there, o, kind, number) for each field, and ``links``: arrays of far ids.
+
+    The same values as :func:`node_triples` and :func:`fact_triples`, without a row for each; ids are those of the rows.
+    """
+    columns = dict(rows.dtypes)
+    return rows.where(F.coalesce("id", F.lit("")) != "").select("id", "type", *[f.value(columns).alias(f.name) for f in fields], *links)
+
+
 def link_triples(edges: DataFrame) -> DataFrame:
     """Each distinct (src, type, dst) as a triple. Edges with an empty end make none; a null type is ``related``."""
     rows = edges.where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != "")).select("src", F.coalesce("type", F.lit("related")).alias("p"), "dst").distinct()
-    return rows.select(_name("node", F.col("src")).alias("s"), "p", _name("node", F.col("dst")).alias("o"), F.lit("iri").alias("kind"))
+    return rows.select(named("node", F.col("src")).alias("s"), "p", named("node", F.col("dst")).alias("o"), F.lit("iri").alias("kind"))
 
 
 def fact_triples(edges: DataFrame, fields: list[Field], only: set[str] | None = None) -> DataFrame:
@@ -95,9 +122,9 @@ def fact_triples(edges: DataFrame, fields: list[Field], only: set[str] | None =
     """
     columns = dict(edges.dtypes)
     rows = edges.where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != "")).withColumn("type", F.coalesce("type", F.lit("related")))
-    rows = rows.withColumn("_fact", _name("fact", F.col("edge_id")))
+    rows = rows.withColumn("_fact", named("fact", F.col("edge_id")))
     fact, wanted = F.col("_fact"), lambda name: only is None or name in only
-    fixed = {"type": (F.lit("Fact"), "class"), "factSubject": (_name("node", F.col("src")), "iri"), "factObject": (_name("node", F.col("dst")), "iri"), "predicate": (F.col("type"), "class")}
+    fixed = {"type": (F.lit("Fact"), "class"), "factSubject": (named("node", F.col("src")), "iri"), "factObject": (named("node", F.col("dst")), "iri"), "predicate": (F.col("type"), "class")}
     made = [_triple(fact, k, o, kind) for k, (o, kind) in fixed.items() if wanted(k)]
     return _exploded(rows, F.array(*made, *[f.triple(fact, columns) for f in fields if wanted(f.name)]))
 

@@ -238,3 +238,38 @@ def test_triples_are_made_by_compiled_expressions(spark):
     found = shapes.check(facts, [Shape("fact", "Fact", (Rule("method", 1, one_of=("x",)), Rule("confidence", 1, 1, high=0.2)))])
     got = sorted((r.focus, r.path, r.message, r.n, r.value) for r in found.collect())
     assert got == [("fact/e", "confidence", "at most 0.2", 1, "0.5"), ("fact/e", "method", "at least 1", 0, None), ("fact/f", "confidence", "at least 1", 0, None), ("fact/f", "method", "one of x", 1, "m")]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_subjects_described_in_one_row_answer_as_their_triples_do(spark, few):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(80):
+        ends = sorted({f"n{rnd.choice([0, 0, 1, rnd.randrange(90)])}" for _ in range(rnd.choice([0, 1, 2, 5]))})
+        rows.append((f"n{i}", rnd.choice(["A", "B", "C", None]), rnd.choice([None, 1.5, -2.0, 300.0]), rnd.choice([None, "", "7", "7.5", "big", "1e3", "NaN"]), rnd.choice([None, 1, 2**53 + 1]), rnd.choice([None, "rule", "x"]), rnd.choice([None, ends, ends])))
+    rows += [(None, "A", 1.0, "1", 1, "x", ["n1"]), ("", "A", None, None, None, None, None), ("a b:c*~", "A", 300.0, "big", 9, "x", ["a b:c*~", "n zero"])]
+    nodes = spark.createDataFrame(rows, "id string, type string, size double, text string, whole long, mode string, knows array<string>")
+    fields = [Field("size", "size", "double"), Field("text", "text", "integer"), Field("whole", "whole", "integer", "A"), Field("mode", "mode")]
+    wanted = [
+        Shape("a", "A", (Rule("knows", 1, 2, far="B"), Rule("size", 1, 1, datatype="double", low=0, high=100), Rule("text", datatype="integer", low=1), Rule("whole", 1, high=5), Rule("absent", 1))),
+        Shape("b", "B", (Rule("knows", far="A", one_of=("node/n0",), severity="warning"), Rule("mode", 1, one_of=("rule",), message="a mode"), Rule("text", 1, low=10))),
+        Shape("c", "C", (Rule("knows", datatype="string", low=3), Rule("size", 0, 0))),
+        Shape("none", "Z", (Rule("knows", 1),)),
+    ]
+    said = triples.node_triples(nodes, fields).unionByName(triples.link_triples(nodes.selectExpr("id AS src", "'knows' AS type", "explode(knows) AS dst")))
+    want = {tuple(r) for r in shapes.check(said.distinct(), wanted).collect()}
+    table = triples.described(nodes, fields, ("knows",))
+    got = [tuple(r) for r in shapes.check_described(table, wanted, lambda x: triples.named("node", x), few=few).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert shapes.check_described(table.limit(0), wanted, lambda x: triples.named("node", x)).count() == 0
+
+
+def test_facts_are_judged_where_they_are_read(spark):
+    lines = [("e", "Fact", 3.0, None), ("e", "Fact", 3.0, None), ("f", "Fact", 0.5, "x"), ("f", "Fact", 2.0, "x"), ("f", "Fact", 4.0, "x"), ("g", "Fact", 0.5, "m")]
+    facts = triples.described(spark.createDataFrame(lines, "id string, type string, confidence double, method string"), [Field("confidence", "confidence", "double"), Field("method", "method")])
+    wanted = [Shape("fact", "Fact", (Rule("method", 1, one_of=("m",)), Rule("confidence", high=1)))]
+    once = shapes.check_described(facts, wanted, lambda x: triples.named("fact", x))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 4 + 5
+    # lines that come again count once, other values of a line each
+    got = sorted((r.focus, r.path, r.message, r.n, r.value) for r in shapes.check_described(facts, wanted, lambda x: triples.named("fact", x), 3).collect())
+    assert got == [("fact/e", "confidence", "at most 1", 1, "3.0"), ("fact/e", "method", "at least 1", 0, None), ("fact/f", "confidence", "at most 1", 2, "2.0"), ("fact/f", "method", "one of m", 1, "x")]
