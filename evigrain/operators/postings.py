@@ -64,9 +64,43 @@ def peaks(tf: np.ndarray, length: np.ndarray) -> list[dict]:
     return out
 
 
+def _binary(values: np.ndarray, starts: np.ndarray, first: np.ndarray | None = None) -> pa.Array:
+    """:func:`packed` of each stretch of ``values`` (from each start to the next), after eight bytes of ``first`` if given."""
+    n, head = np.diff(starts, append=len(values)), 0 if first is None else 8
+    most = np.zeros(len(n), np.uint64)
+    held = np.flatnonzero(n)
+    if len(held):
+        # stretches without values don't part the others
+        most[held] = np.maximum.reduceat(values, starts[held])
+    kind = np.searchsorted(np.array([np.iinfo(t).max for t in _TYPES], np.uint64), most).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(head + 1 + (n << kind))])
+    out = np.zeros(int(offsets[-1]), np.uint8)
+    if head:
+        out[offsets[:-1, None] + np.arange(8)] = first.astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[offsets[:-1] + head] = kind
+    own = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(values)) - starts[own]
+    for k, t in enumerate(_TYPES):
+        at = np.flatnonzero(kind[own] == k)
+        if len(at):
+            to = offsets[own[at]] + head + 1 + (place[at] << k)
+            out[to[:, None] + np.arange(1 << k)] = values[at].astype(t).view(np.uint8).reshape(-1, 1 << k)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def _all_peaks(tf: np.ndarray, length: np.ndarray, block: np.ndarray, blocks: int) -> pa.Array:
+    """:func:`peaks` of each block, whose numbers ascend."""
+    order = np.lexsort((length, -tf, block))
+    # a block's lengths lie below those of the blocks before it, so one running minimum serves all
+    low = length[order] - block[order] * (int(length.max(initial=0)) + 1)
+    kept = order[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])] if len(low) else order
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(block[kept], minlength=blocks))])
+    pairs = pa.StructArray.from_arrays([pa.array(tf[kept], pa.int32()), pa.array(length[kept], pa.int32())], ["tf", "length"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+
 def _blocks(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [x.split(" ")[0] for x in ("term string", "window long", "n int", "peaks x", "docs binary", "tfs binary", "lengths binary")]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct([("tf", pa.int32()), ("length", pa.int32())])), pa.binary(), pa.binary(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,10 +110,10 @@ def _blocks(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for lo in range(0, len(b), window):
                 part = b.slice(lo, window)
                 terms = part.column(1)
-                size = np.diff(terms.offsets.to_numpy())
+                size = np.diff(terms.offsets.to_numpy()).astype(np.int64)
                 codes = terms.flatten().dictionary_encode()
                 # a row for each document, and the empty term in every one: it counts documents and lengths
-                vocabulary = ["", *codes.dictionary.to_pylist()]
+                vocabulary = pa.concat_arrays([pa.array([""], codes.dictionary.type), codes.dictionary])
                 doc = np.argsort(part.column(0).to_numpy(), kind="stable")
                 place = np.empty(len(doc), np.int64)
                 place[doc] = np.arange(len(doc))
@@ -87,11 +121,15 @@ def _blocks(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 pair, tf = np.unique(np.concatenate([np.arange(len(doc)), pair]), return_counts=True)
                 term, row = np.divmod(pair, len(doc))
                 ids, lengths = part.column(0).to_numpy()[doc][row], size[doc][row]
-                cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
-                rows = []
-                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows.append((vocabulary[term[i]], at, j - i, peaks(tf[i:j], lengths[i:j]), deltas(ids[i:j]), packed(tf[i:j]), packed(lengths[i:j])))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                # all blocks of the window at once: a term has few postings in it
+                starts = np.flatnonzero(np.diff(term, prepend=-1))
+                n = np.diff(starts, append=len(term))
+                block = np.repeat(np.arange(len(n)), n)
+                inner = np.ones(len(term), bool)
+                inner[starts] = False
+                steps = _binary(np.diff(ids, prepend=0)[inner].astype(np.uint64), starts - np.arange(len(n)), ids[starts])
+                columns = [vocabulary.take(pa.array(term[starts])), pa.array(np.full(len(n), at)), pa.array(n, pa.int32()), _all_peaks(tf, lengths, block, len(n)), steps]
+                yield pa.record_batch([*columns, _binary(tf.astype(np.uint64), starts), _binary(lengths.astype(np.uint64), starts)], names)
                 at += 1
 
     return work
@@ -214,9 +252,8 @@ class Search:
         reach = bounds.groupBy("query_id", "segment", "window").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks")).join(near(floor), "query_id", "left")
         # a hair below, as sums of the same numbers in another order differ
         reach = reach.withColumn("open", F.coalesce(F.col("bound") >= F.col("floor") * (1 - 1e-9) - 1e-9, F.lit(True)))
-        left = reach.where("open").select("segment", "window").distinct()
-        if not listed:
-            left = Steps(spark, "search").write(left, "left")
+        # written, as it is looked at first and then joined
+        left = Steps(spark, "search").write(reach.where("open").select("segment", "window").distinct(), "left")
         some = left.limit(LISTED_TERMS + 1).collect()
         wanted = rows
         if len(some) <= LISTED_TERMS:

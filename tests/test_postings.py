@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,28 @@ def test_packed_numbers():
     assert postings.peaks(tf, n) == [{"tf": 3, "length": 7}, {"tf": 1, "length": 4}]
 
 
+def test_blocks_of_a_window_are_made_at_once(monkeypatch):
+    rnd = random.Random(9)
+    texts = [rnd.choices(["the", "é", *(f"w{k}" for k in range(60))], k=rnd.choice([0, 1, 5, 40, 300])) for _ in range(50)]
+    ids = rnd.sample([*range(-(2**62), 2**62, 2**56), *range(40)], 50)
+    want = []
+    for lo in range(0, 50, 8):
+        found = {}
+        for i, terms in sorted(zip(ids[lo : lo + 8], texts[lo : lo + 8], strict=True)):
+            for term in {"", *terms}:
+                found.setdefault(term, []).append((i, terms.count(term) or 1, len(terms)))
+        for term, rows in found.items():
+            doc, tf, length = map(np.array, zip(*rows, strict=True))
+            want.append((term, (3 << 40) + lo // 8, len(rows), postings.peaks(tf, length), postings.deltas(doc), postings.packed(tf), postings.packed(length)))
+    # no call for a block: there are about as many blocks as different words of each window
+    for name in ("packed", "deltas", "peaks"):
+        monkeypatch.setattr(postings, name, None)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["doc", "terms"])
+    got = [tuple(r.values()) for b in postings._blocks(8)(iter([batch.slice(0, 24), batch.slice(24)])) for r in b.to_pylist()]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
 def test_index_gives_the_rows_of_a_scan(spark, docs, queries, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/index"
     third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
